@@ -44,3 +44,9 @@ def hot_keys(df: DataFrame, key: str, most: int = 1000) -> DataFrame:
 def n_words(text: Column) -> Column:
     """Words of [^\\x20\\x09-\\x0D]+ in a text."""
     return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+
+
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most `rows` rows from now on in this session, so that a Python worker holds a few MB of texts at a time."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,0 +1,179 @@
+"""Document fingerprints from prefix polynomial hashes.
+
+For code points c[0], c[1], ... the prefix array is H[i] = sum of c[j] * B**j for j < i, modulo a prime. The hash of the span [i, i + m) moved to
+place 0 is (H[i + m] - H[i]) * B**-i: two spans, of one text or of two, are taken as equal when these agree modulo both primes (62 bits), and the
+longest common extension of two places is found by binary search over m. A fingerprint holds the length, the hash of the whole text and the
+smallest hashes among all windows of the text (a bottom-k sketch), all read from the prefix array.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from weftgraph.llm.common import bound_batches, partitions
+
+PRIMES = (2147483647, 2147483629)
+BASES = (911382323, 972663749)
+WINDOW, SKETCH = 16, 64
+#: Texts below FINE_CHARS also carry a sketch of short windows; it decides if the shorter text has under SHORT_CHARS.
+FINE_WINDOW, FINE_CHARS, SHORT_CHARS = 4, 192, 96
+
+
+class _Powers:
+    """Powers of the bases and of their inverses, grown by doubling."""
+
+    def __init__(self) -> None:
+        self.up = [np.ones(1, np.uint64) for _ in PRIMES]
+        self.down = [np.ones(1, np.uint64) for _ in PRIMES]
+
+    def upto(self, n: int) -> _Powers:
+        while len(self.up[0]) < n:
+            m = len(self.up[0])
+            for table, signs in ((self.up, 1), (self.down, -1)):
+                for k, (p, b) in enumerate(zip(PRIMES, BASES, strict=True)):
+                    step = np.uint64(pow(b, signs * m, p))
+                    table[k] = np.concatenate([table[k], table[k] * step % np.uint64(p)])
+        return self
+
+
+_POWERS = _Powers()
+
+
+class PrefixHash:
+    """Prefix arrays of a text; None counts as empty."""
+
+    def __init__(self, text: str | None) -> None:
+        codes = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.n = n = len(codes)
+        self.powers = _POWERS.upto(n + 1)
+        self.h = []
+        for k, p in enumerate(PRIMES):
+            h = np.zeros(n + 1, np.uint64)
+            np.cumsum(codes * self.powers.up[k][:n] % np.uint64(p), out=h[1:])
+            self.h.append(h % np.uint64(p))
+
+    def span(self, i: int, m: int) -> tuple[int, ...]:
+        """The hash of the m code points from i on, alike wherever they stand."""
+        return tuple((int(h[i + m]) - int(h[i])) * int(down[i]) % p for h, down, p in zip(self.h, self.powers.down, PRIMES, strict=True))
+
+    def windows(self, m: int) -> np.ndarray:
+        """The hashes of all windows of m code points, by the first prime."""
+        if self.n < m:
+            return np.zeros(0, np.uint64)
+        p = np.uint64(PRIMES[0])
+        return (self.h[0][m:] + p - self.h[0][:-m]) % p * self.powers.down[0][: self.n - m + 1] % p
+
+
+def spans_equal(a: PrefixHash, i: int, b: PrefixHash, j: int, m: int) -> bool:
+    """Whether a[i:i+m] and b[j:j+m] are equal, both within their texts."""
+    return i + m <= a.n and j + m <= b.n and a.span(i, m) == b.span(j, m)
+
+
+def longest_common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
+    """The largest m with a[i:i+m] == b[j:j+m]."""
+    low, high = 0, min(a.n - i, b.n - j)
+    while low < high:
+        m = (low + high + 1) // 2
+        if a.span(i, m) == b.span(j, m):
+            low = m
+        else:
+            high = m - 1
+    return low
+
+
+def _smallest(values: np.ndarray, k: int) -> list[int]:
+    """The k smallest distinct values, mixed first so that order says nothing about text."""
+    v = ((values + np.uint64(0x9E3779B9)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    take = 2 * k
+    while True:
+        some = np.unique(v if take >= len(v) else np.partition(v, take)[:take])
+        if len(some) >= k or take >= len(v):
+            return some[:k].tolist()
+        take *= 4
+
+
+def fingerprint(text: PrefixHash) -> str:
+    """length.whole.sketch.fine, each in hexadecimal; equal texts give equal strings."""
+    whole = "".join(f"{x:08x}" for x in text.span(0, text.n))
+    fine = _smallest(text.windows(FINE_WINDOW), SKETCH) if text.n < FINE_CHARS else []
+    return ".".join((f"{text.n:x}", whole, *("".join(f"{x:08x}" for x in s) for s in (_smallest(text.windows(WINDOW), SKETCH), fine))))
+
+
+def _alike(a: str, b: str) -> float:
+    x, y = ({s[i : i + 8] for i in range(0, len(s), 8)} for s in (a, b))
+    if not x or not y:
+        return 0.0
+    full = len(x) == SKETCH or len(y) == SKETCH
+    union = sorted(x | y)[: SKETCH if full else None]
+    both = len(x & y & set(union))
+    return 2 * both / (len(union) + both)
+
+
+def likeness(a: str, b: str) -> float:
+    """The share of their windows that two texts have in common (Dice coefficient), from their fingerprints: 1 for equal texts, 0 if either has none in common with the other."""
+    if a == b:
+        return 1.0
+    n, m = a.split("."), b.split(".")
+    if min(int(n[0], 16), int(m[0], 16)) < SHORT_CHARS and n[3] and m[3]:
+        return _alike(n[3], m[3])
+    return _alike(n[2], m[2])
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+    """For each document: n_chars, its fingerprint, and those of its edited text, whose last quarter is the beginning of the next document by id.
+
+    Adds edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and shared_prefix (longest common extension of text and edited text at 0).
+    The order is by id in `buckets` ranges, twice as many as shuffle partitions: only their bounds reach the driver. Each range is sorted by one task; the first row of a range is
+    also sent to the range before it (the very first one to the last), so each text is moved once.
+
+    A null text counts as empty; null ids come first; equal ids are ordered by a hash of the text, then the text. A single document is its own next one.
+    An empty table gives no rows. Other columns of docs are not returned.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark)
+    n = buckets or 2 * partitions(spark)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    cuts = rows.select(F.col("id").cast("double").alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 0.25 / n)
+    bounds = np.unique(np.array([int(x) for x in cuts], np.int64))
+
+    @F.pandas_udf("int")
+    def bucket_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="right")), dtype="int32")
+
+    @F.pandas_udf("string")
+    def print_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: fingerprint(PrefixHash(t)))
+
+    @F.pandas_udf("edited_fingerprint string, near_edited double, near_next double, shared_prefix long")
+    def compare(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for text, edited, own, following in parts:
+            out = []
+            for t, e, f, g in zip(text, edited, own, following, strict=True):
+                a, b = PrefixHash(t), PrefixHash(e)
+                h = f if t == e else fingerprint(b)
+                out.append((h, likeness(f, h), likeness(f, g), longest_common_extension(a, 0, b, 0)))
+            yield pd.DataFrame(out, columns=["edited_fingerprint", "near_edited", "near_next", "shared_prefix"])
+
+    # the first id of each range that has rows, and the range before it: at most n rows
+    first = rows.select("id", bucket_of("id").alias("bucket")).groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"))).alias("least"))
+    around = Window.partitionBy(F.lit(0)).orderBy("bucket")
+    whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = first.withColumn("before", F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(whole)))
+    begin = first.select(F.col("least.id").alias("first_id"), F.col("before"))
+    order = F.struct(F.xxhash64("text").alias("h"), F.col("text"))
+    heads = rows.join(F.broadcast(begin), F.col("id").eqNullSafe(F.col("first_id"))).groupBy("before").agg(F.min_by(F.struct("id", "text"), order).alias("row"))
+    heads = heads.select("row.id", "row.text", F.col("before").alias("bucket"), F.lit(1).alias("extra"))
+    every = rows.select("id", "text", bucket_of("id").alias("bucket"), F.lit(0).alias("extra")).unionByName(heads).withColumn("fingerprint", print_of("text"))
+    inside = Window.partitionBy("bucket").orderBy("extra", "id", F.xxhash64("text"), "text")
+    paired = every.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(inside)).filter("extra = 0")
+    size = F.length("text")
+    quarter = F.floor(size / 4).cast("int")
+    paired = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), size - quarter), F.substring(F.col("next.text"), F.lit(1), quarter)))
+    done = paired.withColumn("c", compare("text", "edited", "fingerprint", F.col("next.fingerprint")))
+    return done.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "c.edited_fingerprint", "c.near_edited", "c.near_next", "c.shared_prefix")

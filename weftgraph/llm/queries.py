@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import mixing, sharding, substring_dedup
+from weftgraph.llm import fingerprints, mixing, sharding, substring_dedup
 from weftgraph.llm.common import load
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
 
@@ -24,5 +28,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("removed_spans", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op6_source_mixing, op7_histogram_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op6_source_mixing, op7_histogram_sharding, op10_substring_dedup)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import fingerprints, mixing, sharding, substring_dedup
+from weftgraph.llm import fingerprints, mixing, neighbours, sharding, substring_dedup
 from weftgraph.llm.common import load
 
 
@@ -22,11 +22,15 @@ def op7_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.dedup_units(load(spark, sf_dir, "documents"))
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return done.withColumn("removed_spans", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op6_source_mixing, op7_histogram_sharding, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op10_substring_dedup)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}

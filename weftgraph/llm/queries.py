@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import fingerprints, mixing, neighbours, sharding, substring_dedup
+from weftgraph.llm import byte_bpe, fingerprints, mixing, neighbours, sharding, substring_dedup
 from weftgraph.llm.common import load
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest_documents(load(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
 
@@ -32,5 +39,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("removed_spans", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_byte_bpe, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op10_substring_dedup)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}

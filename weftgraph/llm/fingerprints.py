@@ -8,10 +8,12 @@ smallest hashes among all windows of the text (a bottom-k sketch), all read from
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,7 +133,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The order is by id in `buckets` ranges, twice as many as shuffle partitions: only their bounds reach the driver. Each range is sorted by one task; the first row of a range is
     also sent to the range before it (the very first one to the last), so each text is moved once.
 
-    A null text counts as empty; null ids come first; equal ids are ordered by a hash of the text, then the text. A single document is its own next one.
+    A null text counts as empty; null ids come first; equal ids are ordered by a hash of the text, then by its compressed form. A single document is its own next one.
     An empty table gives no rows. Other columns of docs are not returned.
     """
     spark = docs.sparkSession
@@ -145,20 +147,26 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def bucket_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.fillna(0).to_numpy(np.int64), side="right")), dtype="int32")
 
-    @F.pandas_udf("string")
-    def print_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("binary")
+    def pack(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in texts:
-            yield batch.map(lambda t: fingerprint(PrefixHash(t)))
+            yield batch.map(lambda t: squeeze.compress(f"{fingerprint(PrefixHash(t))}\n{t}".encode()))
 
-    @F.pandas_udf("edited_fingerprint string, near_edited double, near_next double, shared_prefix long")
-    def compare(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for text, edited, own, following in parts:
+    @F.pandas_udf("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, shared_prefix long")
+    def compare(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        swell = zstandard.ZstdDecompressor()
+        for packed, following in parts:
             out = []
-            for t, e, f, g in zip(text, edited, own, following, strict=True):
+            for own, after in zip(packed, following, strict=True):
+                f, _, t = swell.decompress(own).decode().partition("\n")
+                g, _, u = swell.decompress(after).decode().partition("\n")
+                quarter = len(t) // 4
+                e = t[: len(t) - quarter] + u[:quarter]
                 a, b = PrefixHash(t), PrefixHash(e)
                 h = f if t == e else fingerprint(b)
-                out.append((h, likeness(f, h), likeness(f, g), longest_common_extension(a, 0, b, 0)))
-            yield pd.DataFrame(out, columns=["edited_fingerprint", "near_edited", "near_next", "shared_prefix"])
+                out.append((len(t), hashlib.sha256(e.encode()).hexdigest(), f, h, likeness(f, h), likeness(f, g), longest_common_extension(a, 0, b, 0)))
+            yield pd.DataFrame(out, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "shared_prefix"])
 
     # the first id of each range that has rows, and the range before it: at most n rows
     first = rows.select("id", bucket_of("id").alias("bucket")).groupBy("bucket").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), F.col("id"))).alias("least"))
@@ -167,13 +175,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     first = first.withColumn("before", F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(whole)))
     begin = first.select(F.col("least.id").alias("first_id"), F.col("before"))
     order = F.struct(F.xxhash64("text").alias("h"), F.col("text"))
-    heads = rows.join(F.broadcast(begin), F.col("id").eqNullSafe(F.col("first_id"))).groupBy("before").agg(F.min_by(F.struct("id", "text"), order).alias("row"))
-    heads = heads.select("row.id", "row.text", F.col("before").alias("bucket"), F.lit(1).alias("extra"))
-    every = rows.select("id", "text", bucket_of("id").alias("bucket"), F.lit(0).alias("extra")).unionByName(heads).withColumn("fingerprint", print_of("text"))
-    inside = Window.partitionBy("bucket").orderBy("extra", "id", F.xxhash64("text"), "text")
-    paired = every.withColumn("next", F.lead(F.struct("text", "fingerprint")).over(inside)).filter("extra = 0")
-    size = F.length("text")
-    quarter = F.floor(size / 4).cast("int")
-    paired = paired.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), size - quarter), F.substring(F.col("next.text"), F.lit(1), quarter)))
-    done = paired.withColumn("c", compare("text", "edited", "fingerprint", F.col("next.fingerprint")))
-    return done.select(F.col("id").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "c.edited_fingerprint", "c.near_edited", "c.near_next", "c.shared_prefix")
+    heads = rows.join(F.broadcast(begin), F.col("id").eqNullSafe(F.col("first_id"))).groupBy("before").agg(F.min_by(F.struct("id", F.xxhash64("text").alias("tie"), "text"), order).alias("row"))
+    heads = heads.select("row.id", "row.tie", "row.text", F.col("before").alias("bucket"), F.lit(1).alias("extra"))
+    # what moves is each text with its fingerprint, compressed
+    every = rows.select("id", F.xxhash64("text").alias("tie"), "text", bucket_of("id").alias("bucket"), F.lit(0).alias("extra")).unionByName(heads).withColumn("packed", pack("text")).drop("text")
+    inside = Window.partitionBy("bucket").orderBy("extra", "id", "tie", "packed")
+    paired = every.withColumn("next", F.lead("packed").over(inside)).filter("extra = 0")
+    return paired.select(F.col("id").alias("doc_id"), compare("packed", "next").alias("c")).select("doc_id", "c.*")

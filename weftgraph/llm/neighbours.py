@@ -15,7 +15,8 @@ from weftgraph.llm.common import bound_batches
 
 TREES = 16
 LEAF_ROWS = 400
-SHARE = 0.1
+#: A search opens EFFORT * cells ** GROWTH cells.
+EFFORT, GROWTH = 0.45, 0.7
 #: Rows that the hyperplanes are fitted on, at most; every row is indexed.
 SAMPLE_ROWS = 16_384
 #: Rows of a leaf that one group holds; larger leaves are dealt over several.
@@ -97,11 +98,11 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, share: float = SHARE, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf_rows: int = LEAF_ROWS, effort: float = EFFORT, growth: float = GROWTH, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `is_query` the k other rows of largest inner product among those in the cells that its search reaches.
 
-    Trees are fitted on at most sample_rows rows (those of smallest id hash) and have leaves of about leaf_rows rows, if the sample allows; a search opens the share
-    `share` of all cells. Each cell's rows, in chunks of about CHUNK_ROWS, meet the queries that opened it in one place, as a block product; of each query, a task passes on its
+    Trees are fitted on at most sample_rows rows (those of smallest id hash) and have leaves of about leaf_rows rows, if the sample allows; a search opens
+    effort * cells ** growth cells. Each cell's rows, in chunks of about CHUNK_ROWS, meet the queries that opened it in one place, as a block product; of each query, a task passes on its
     best k. Scores are sums of products of doubles, made anew for these. For tables of up to leaf_rows rows the result is exact.
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do those with a length other than the commonest (the larger one, if two are equally common) or a null id.
@@ -117,7 +118,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     dims, n = sizes["dims"], sizes["count"]
     taken = taken.filter(F.size("v") == dims)
     sample = _matrix(taken.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()["v"])
-    depth = max(0, min(ceil(log2(n / leaf_rows)), int(log2(max(len(sample) / 8, 1)))))
+    depth = max(0, min(round(log2(n / leaf_rows)), int(log2(max(len(sample) / 8, 1)))))
     forest = spark.sparkContext.broadcast(Forest(sample, trees, depth))
 
     @F.pandas_udf("array<int>")
@@ -130,7 +131,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     for r in placed.groupBy("cell").count().collect():  # at most a row for each cell
         counts[r["cell"]] = r["count"]
     chunks = np.maximum(1, -(-counts // CHUNK_ROWS))
-    visits = ceil(share * trees * 2**depth)
+    visits = ceil(effort * (trees * 2**depth) ** growth)
 
     @F.pandas_udf("array<int>")
     def opened(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

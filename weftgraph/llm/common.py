@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.plans.staging import materialize
+
+__all__ = ["bound_batches", "hot_keys", "load", "materialize", "n_words", "partitions"]
+
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder, as Spark reads it."""
@@ -19,21 +19,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a folder of our own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftgraph-", dir=os.environ.get("TMPDIR")))
-    return sc.getCheckpointDir()
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation of what came before, and later jobs read only the columns that they use."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def hot_keys(df: DataFrame, key: str, most: int = 1000) -> DataFrame:
     """Keys that hold more than one in `most` of df's rows, so fewer than `most` keys: always small enough to broadcast."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))

@@ -18,13 +18,14 @@ import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftgraph.llm.common import bound_batches
 
 #: Pieces whose tokens a worker remembers, in each of two generations; states of the transducer, which is then begun anew.
 MEMO_PIECES = 400_000
 MEMO_STATES = 150_000
+#: Pairs of tokens of which a worker remembers whether they stay apart.
+MEMO_PAIRS = 1_000_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -47,11 +48,11 @@ def merge_all(ranks: dict[bytes, int], piece: bytes) -> tuple[list[bytes], list[
 
 
 class _State:
-    """The last committed token, the bytes since, the last token at each place among these, and the live places: those at which a token may still begin or end."""
+    """The last committed token (-1: none), the bytes since, the last token at each place among these, and the live places: those at which a token may still begin or end."""
 
     __slots__ = ("before", "lasts", "live", "next", "window")
 
-    def __init__(self, before: bytes | None, window: bytes, lasts: tuple[bytes, ...], live: tuple[int, ...]) -> None:
+    def __init__(self, before: int, window: bytes, lasts: tuple[int, ...], live: tuple[int, ...]) -> None:
         self.before, self.window, self.lasts, self.live = before, window, lasts, live
         self.next: dict[int, tuple[_State, list[int]] | None] = {}  # None: met once
 
@@ -61,22 +62,28 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        self._merges = {t: done for t in ranks for parts, done in (merge_all(ranks, t),) if len(parts) == 1}  # tokens that merging leads to
-        #: 1: a longer token begins so; 2: a token; 3: both.
-        self.kinds = dict.fromkeys((t[:i] for t in self._merges for i in range(1, len(t))), 1)
-        for t in self._merges:
-            self.kinds[t] = self.kinds.get(t, 0) | 2
-        self._goes: dict[tuple[bytes, bytes], bool] = {}
+        #: How tokens come about by merging, for those that do.
+        self._merges = {rank: done for t, rank in ranks.items() for parts, done in (merge_all(ranks, t),) if len(parts) == 1}
+        self._bytes = {rank: t for t, rank in ranks.items()}
+        self._lens = {rank: len(t) for t, rank in ranks.items()}
+        #: For each beginning of a token: 4 * rank + 2 if it is a token, + 1 if a longer one begins so.
+        self.kinds: dict[bytes, int] = {}
+        for rank in self._merges:
+            t = self._bytes[rank]
+            self.kinds[t] = self.kinds.get(t, 0) | 4 * rank | 2
+            for i in range(1, len(t)):
+                self.kinds[t[:i]] = self.kinds.get(t[:i], 0) | 1
+        self._goes: dict[int, bool] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.start = _State(None, b"", (), (0,))
-        self.states = {(None, b""): self.start}
+        self.start = _State(-1, b"", (), (0,))
+        self.states = {(-1, b""): self.start}
 
-    def _apart(self, a: bytes, b: bytes) -> bool:
-        """Whether a + b encodes to a and b: no merge across their boundary ever comes first."""
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether tokens a and b side by side encode to themselves: no merge across their boundary ever comes first."""
         left, right = self._merges[a], self._merges[b]
-        end, begin, i, j, never = a[-1:], b[:1], 0, 0, len(self.ranks) + 1
+        end, begin, i, j, never = self._bytes[a][-1:], self._bytes[b][:1], 0, 0, len(self.ranks) + 1
         while True:
             across = self.ranks.get(end + begin, never)
             ours = left[i][0] if i < len(left) else never
@@ -90,40 +97,48 @@ class Transducer:
             else:
                 begin, j = right[j][1], j + 1
 
-    def _read(self, state: _State, data: bytes, upto: int) -> tuple[list[bytes], list[int]]:
+    def _fits(self, left: int, token: int) -> bool:
+        if len(self._goes) >= MEMO_PAIRS:
+            self._goes.clear()
+        fits = self._goes[left << 20 | token] = self._apart(left, token)
+        return fits
+
+    def _read(self, state: _State, data: bytes, upto: int) -> tuple[list[int], list[int]]:
         """From a state whose window begins data: the last tokens at all places up to `upto`, and the live places there."""
-        kinds, goes, before = self.kinds, self._goes, state.before
+        kind_of, goes, before = self.kinds.get, self._goes.get, state.before
         lasts, live = list(state.lasts), state.live
         for n in range(len(state.window) + 1, upto + 1):
-            last, then = None, []
+            last, then = -1, []
             for i in live:
-                part = data[i:n]
-                kind = kinds.get(part)
+                kind = kind_of(data[i:n])
                 if kind is None:
                     continue
-                if kind > 1 and last is None:
+                if kind & 2 and last < 0:
+                    token = kind >> 2
                     left = lasts[i - 1] if i else before
-                    fits = left is None or goes.get((left, part))
-                    if fits is None:
-                        if len(goes) >= 2 * MEMO_STATES:
-                            goes.clear()
-                        fits = goes[left, part] = self._apart(left, part)
-                    if fits:
-                        last = part
+                    # exactly one token fits; if none of the longer ones did, it is the single byte
+                    if left < 0 or i == n - 1:
+                        last = token
+                    else:
+                        fits = goes(left << 20 | token)
+                        if fits is None:
+                            fits = self._fits(left, token)
+                        if fits:
+                            last = token
                 if kind & 1:
                     then.append(i)
-            assert last is not None, "every byte must be a token"
             lasts.append(last)
             then.append(n)
             live = then
         return lasts, live
 
-    def _back(self, lasts: list[bytes] | tuple[bytes, ...], at: int) -> list[int]:
+    def _back(self, lasts: list[int] | tuple[int, ...], at: int) -> list[int]:
         """The tokens that end at a place."""
-        out = []
+        out, lens = [], self._lens
         while at:
-            out.append(self.ranks[lasts[at - 1]])
-            at -= len(lasts[at - 1])
+            token = lasts[at - 1]
+            out.append(token)
+            at -= lens[token]
         return out[::-1]
 
     def step(self, state: _State, byte: int) -> tuple[_State, list[int]]:
@@ -137,7 +152,7 @@ class Transducer:
         while len(ends) > 1:
             far = max(ends)
             ends.remove(far)
-            ends.add(far - len(lasts[far - 1]))
+            ends.add(far - self._lens[lasts[far - 1]])
         (sure,) = ends
         key = (lasts[sure - 1] if sure else state.before, window[sure:])
         if (then := self.states.get(key)) is None:
@@ -164,7 +179,8 @@ class Transducer:
                     return out + self._back(lasts, len(data))
                 found = self.step(state, byte)
             state = found[0]
-            out += found[1]
+            if found[1]:
+                out += found[1]
         return out + self.flush(state)
 
 
@@ -190,8 +206,13 @@ class Encoder:
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
+        known = self.memo.get
         for piece in self.find(text or ""):
-            out += self.memo.get(piece) or self._new(piece)
+            ids = known(piece)
+            if ids is None:
+                ids = self._new(piece)
+                known = self.memo.get
+            out += ids
         return out
 
 
@@ -305,11 +326,21 @@ class Tokenizer:
 
         return decoded(ids)
 
+    def digests(self, ids: Column) -> Column:
+        """n_tokens, ids_sha256 and decoded_sha256 of ids; next to encode() in the same Python worker."""
+        tools = self._tools()
+
+        @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+        def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            _, decoder = tools()
+            for column in batches:
+                rows = []
+                for x in column:
+                    text = decoder.feed(x.tolist()) + decoder.finish()
+                    rows.append((len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-@F.pandas_udf(T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType())]))
-def _id_digests(ids: pd.Series) -> pd.DataFrame:
-    rows = [(len(x), hashlib.sha256(np.asarray(x).astype("<u4").tobytes()).hexdigest()) for x in ids]
-    return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256"])
+        return digested(ids)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
@@ -328,6 +359,4 @@ def decode_documents(tokens: DataFrame, ranks_path: str, pattern: str, ids_col:
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the text decoded from the ids), without the ids leaving the Python workers."""
     tokenizer = Tokenizer(docs.sparkSession, ranks_path, pattern)
-    ids = tokenizer.encode(F.col(text_col))
-    digests = docs.select(F.col(id_col).alias("doc_id"), _id_digests(ids).alias("d"), F.sha2(F.encode(tokenizer.decode(ids), "UTF-8"), 256).alias("decoded_sha256"))
-    return digests.select("doc_id", "d.n_tokens", "d.ids_sha256", "decoded_sha256")
+    return docs.select(F.col(id_col).alias("doc_id"), tokenizer.digests(tokenizer.encode(F.col(text_col))).alias("d")).select("doc_id", "d.*")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, fingerprints, jaccard_join, mixing, neighbours, sharding, substring_dedup
+from weftgraph.llm import byte_bpe, fingerprints, jaccard_join, mixing, neighbours, quality, sharding, substring_dedup
 from weftgraph.llm.common import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -24,6 +24,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(load(spark, sf_dir, "documents"), shingle=4, percent=85)
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = quality.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return done.drop("print")
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(load(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
 
@@ -43,5 +48,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("removed_spans", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_byte_bpe, op4_jaccard_join, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_byte_bpe, op4_jaccard_join, op5_quality_classifier, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op10_substring_dedup)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}

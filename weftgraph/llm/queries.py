@@ -6,12 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, fingerprints, jaccard_join, mixing, neighbours, quality, sharding, substring_dedup
+from weftgraph.llm import byte_bpe, fingerprints, jaccard_join, mixing, neighbours, quality, sharding, substring_dedup, toxicity
 from weftgraph.llm.common import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = toxicity.score_toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return done.withColumn("evidence", F.to_json("evidence"))
+
+
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(load(spark, sf_dir, "documents"))
 
@@ -48,5 +53,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("removed_spans", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op2_document_fingerprints, op3_byte_bpe, op4_jaccard_join, op5_quality_classifier, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op3_byte_bpe, op4_jaccard_join, op5_quality_classifier, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op10_substring_dedup)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}

@@ -31,20 +31,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words [^\\x20\\x09-\\x0D]+ of the texts, A-Z lower-cased, and the number of the text that each belongs to."""
-    data = b" ".join(texts) + b" "
-    raw = np.frombuffer(data, np.uint8)
-    raw = raw + np.uint8(32) * ((raw >= 65) & (raw <= 90))
-    white = (raw == 32) | ((raw >= 9) & (raw <= 13))
+def _split(raw: np.ndarray, white: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end."""
     edge = np.diff(white.astype(np.int8), prepend=1)
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def _lower(texts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    return raw + np.uint8(32) * ((raw >= 65) & (raw <= 90))
+
+
+def _hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words, and the sums that they are read from."""
     up, down = _POWERS.upto(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    limits = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(limits, starts, side="right")
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), sums
+
+
+def _owner(texts: list[bytes], starts: np.ndarray) -> np.ndarray:
+    return np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, side="right")
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words [^\\x20\\x09-\\x0D]+ of the texts, A-Z lower-cased, and the number of the text that each belongs to."""
+    raw = _lower(texts)
+    starts, ends = _split(raw, (raw == 32) | ((raw >= 9) & (raw <= 13)))
+    return _hashes(raw, starts, ends)[0], _owner(texts, starts)
+
+
+def term_hashes(texts: list[bytes], stems: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of letters, digits and non-ASCII bytes, and of the beginnings of `stems` bytes of longer ones; and the text of each."""
+    raw = _lower(texts)
+    inside = (raw >= 128) | ((raw >= 97) & (raw <= 122)) | ((raw >= 48) & (raw <= 57))
+    starts, ends = _split(raw, ~inside)
+    whole, sums = _hashes(raw, starts, ends)
+    out, of = [whole], [_owner(texts, starts)]
+    _, down = _POWERS.upto(len(raw) + 1)
+    for m in stems:
+        long = ends - starts > m
+        at = starts[long]
+        out.append(mix((sums[at + m] - sums[at]) * down[at] + np.uint64(m << 32)))
+        of.append(of[0][long])
+    return np.concatenate(out), np.concatenate(of)
 
 
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, fingerprints, jaccard_join, mixing, neighbours, quality, sharding, substring_dedup, toxicity
+from weftgraph.llm import byte_bpe, fingerprints, jaccard_join, licenses, mixing, neighbours, quality, sharding, substring_dedup, toxicity
 from weftgraph.llm.common import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -47,11 +47,15 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(load(spark, sf_dir, "documents")).withColumn("licenses", F.array_join("licenses", ",")).withColumn("matches", F.to_json("matches"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup.dedup_units(load(spark, sf_dir, "documents"))
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return done.withColumn("removed_spans", F.array_join(spans, ","))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op3_byte_bpe, op4_jaccard_join, op5_quality_classifier, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op3_byte_bpe, op4_jaccard_join, op5_quality_classifier, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op9_license_scan, op10_substring_dedup)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL}

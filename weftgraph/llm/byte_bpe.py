@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import bound_batches
 
-#: Pieces whose tokens a worker remembers, in each of two generations; states of the transducer, which is then begun anew.
-MEMO_PIECES = 400_000
+#: Pieces whose tokens a worker remembers, in each of two generations; states that the transducer may have (long pieces add to these).
+MEMO_PIECES = 500_000
 MEMO_STATES = 150_000
 #: Pairs of tokens of which a worker remembers whether they stay apart.
 MEMO_PAIRS = 1_000_000
@@ -74,9 +74,6 @@ class Transducer:
             for i in range(1, len(t)):
                 self.kinds[t[:i]] = self.kinds.get(t[:i], 0) | 1
         self._goes: dict[int, bool] = {}
-        self._reset()
-
-    def _reset(self) -> None:
         self.start = _State(-1, b"", (), (0,))
         self.states = {(-1, b""): self.start}
 
@@ -165,15 +162,15 @@ class Transducer:
         return self._back(state.lasts, len(state.window))
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > MEMO_STATES:
-            self._reset()
         out: list[int] = []
         state = self.start
+        full = len(self.states) >= MEMO_STATES  # then what isn't part of the transducer is simulated
         for at, byte in enumerate(piece):
             found = state.next.get(byte)
             if not found:
-                if byte not in state.next and len(piece) - at < 64:  # never met: simulate to the end
-                    state.next[byte] = None
+                if (full or byte not in state.next) and len(piece) - at < 64:  # never met: simulate to the end
+                    if not full:
+                        state.next[byte] = None
                     data = state.window + piece[at:]
                     lasts, _ = self._read(state, data, len(data))
                     return out + self._back(lasts, len(data))
@@ -257,9 +254,13 @@ class StreamingDecoder:
                 self.pending = b""
         return "".join(out)
 
-    def feed(self, ids: Iterable[int]) -> str:
-        out = []
+    def feed(self, ids: Sequence[int]) -> str:
         ready = self.ready
+        if self.state == 0:
+            texts = list(map(ready.get, ids))
+            if None not in texts:
+                return "".join(texts)
+        out = []
         for i in ids:
             if self.state == 0:
                 text = ready.get(i)

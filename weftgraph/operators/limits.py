@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def window_usage(calls: DataFrame, time_col: str, tokens: Column, by: list[str], seconds: int = 60) -> DataFrame:
     """calls with requests_used and tokens_used within the last `seconds` seconds up to each, per group: a shard of a limiter."""
-    at = F.unix_micros(time_col)
+    at = F.unix_micros(F.col(time_col).cast("timestamp"))
     inside = Window.partitionBy(*by).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
     return calls.withColumns({"requests_used": F.count(F.lit(1)).over(inside), "tokens_used": F.sum(tokens).over(inside)})
 

@@ -22,6 +22,15 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
 
 
+def _ids(rows: pd.DataFrame, kind: str) -> np.ndarray:
+    return rows["id"].to_numpy(object if kind == "string" else None)
+
+
+def _column(ids: np.ndarray, kind: str) -> pd.Series:
+    """Ids as Spark takes them back: strings as objects."""
+    return pd.Series(ids, dtype=object if kind == "string" else None)
+
+
 def _block(ident: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
 
@@ -45,10 +54,10 @@ def self_pairs(objects: DataFrame, threshold: float = THRESHOLD, ident: str = "i
         if i == j:
             np.fill_diagonal(sims, -1)
         x, y = np.nonzero(sims >= threshold)
-        left, right, s = a["id"].to_numpy()[x], b["id"].to_numpy()[y], sims[x, y]
+        left, right, s = _ids(a, kind)[x], _ids(b, kind)[y], sims[x, y]
         if i != j:
             left, right, s = np.r_[left, right], np.r_[right, left], np.r_[s, s]
-        return pd.DataFrame({"src": left, "dst": right, "similarity": s})
+        return pd.DataFrame({"src": _column(left, kind), "dst": _column(right, kind), "similarity": s})
 
     return dealt.groupBy("i", "j").applyInPandas(pairs, f"src {kind}, dst {kind}, similarity double")
 
@@ -62,14 +71,12 @@ def nearest(objects: DataFrame, registry: DataFrame, threshold: float = THRESHOL
     there = right.withColumn("j", _block(F.col("id"), m)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "ref": [], "similarity": []})
         b = b.sort_values("id")
-        sims = _unit_rows(a["v"]) @ _unit_rows(b["v"]).T
+        sims = _unit_rows(a["v"]) @ _unit_rows(b["v"]).T if len(a) and len(b) else np.zeros((len(a), len(b)))
         first = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         top = np.take_along_axis(sims, first, axis=1)
         x, y = np.nonzero(top > threshold)
-        return pd.DataFrame({"src": a["id"].to_numpy()[x], "ref": b["id"].to_numpy()[first[x, y]], "similarity": top[x, y]})
+        return pd.DataFrame({"src": _column(_ids(a, kinds[0])[x], kinds[0]), "ref": _column(_ids(b, kinds[1])[first[x, y]], kinds[1]), "similarity": top[x, y]})
 
     found = asks.groupBy("i", "j").cogroup(there.groupBy("i", "j")).applyInPandas(best, f"src {kinds[0]}, ref {kinds[1]}, similarity double")
     order = Window.partitionBy("src").orderBy(F.desc("similarity"), "ref")

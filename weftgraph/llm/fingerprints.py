@@ -21,7 +21,7 @@ from weftgraph.llm.common import bound_batches, partitions
 
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
-WINDOW, SKETCH = 16, 64
+WINDOW, SKETCH, MARKS = 16, 64, 32
 #: Texts below FINE_CHARS also carry a sketch of short windows; it decides if the shorter text has under SHORT_CHARS.
 FINE_WINDOW, FINE_CHARS, SHORT_CHARS = 4, 192, 96
 
@@ -99,11 +99,34 @@ def _smallest(values: np.ndarray, k: int) -> list[int]:
         take *= 4
 
 
+def _spacing(n: int) -> int:
+    """The power of two by which a text of n code points has at most MARKS marks."""
+    return 1 << max(0, (max(n, 1) - 1) // MARKS).bit_length()
+
+
 def fingerprint(text: PrefixHash) -> str:
-    """length.whole.sketch.fine, each in hexadecimal; equal texts give equal strings."""
+    """length.whole.sketch.fine.marks, each in hexadecimal; equal texts give equal strings. Marks are the prefix array at multiples of a spacing."""
     whole = "".join(f"{x:08x}" for x in text.span(0, text.n))
     fine = _smallest(text.windows(FINE_WINDOW), SKETCH) if text.n < FINE_CHARS else []
-    return ".".join((f"{text.n:x}", whole, *("".join(f"{x:08x}" for x in s) for s in (_smallest(text.windows(WINDOW), SKETCH), fine))))
+    step = _spacing(text.n)
+    lists = _smallest(text.windows(WINDOW), SKETCH), fine, text.h[0][step : text.n + 1 : step].tolist()
+    return ".".join((f"{text.n:x}", whole, *("".join(f"{x:08x}" for x in s) for s in lists)))
+
+
+def _beginning(a: list[str], b: list[str]) -> float:
+    """The share of the longer text up to the last mark at which both prefixes are equal, by binary search over the marks that both have."""
+    n, m = int(a[0], 16), int(b[0], 16)
+    x, y = _spacing(n), _spacing(m)
+    step = max(x, y)
+    mark = lambda s, k, own: s[8 * (k * step // own - 1) : 8 * (k * step // own)]
+    low, high = 0, min(n, m) // step
+    while low < high:
+        k = (low + high + 1) // 2
+        if mark(a[4], k, x) == mark(b[4], k, y):
+            low = k
+        else:
+            high = k - 1
+    return low * step / max(n, m, 1)
 
 
 def _alike(a: str, b: str) -> float:
@@ -117,13 +140,12 @@ def _alike(a: str, b: str) -> float:
 
 
 def likeness(a: str, b: str) -> float:
-    """The share of their windows that two texts have in common (Dice coefficient), from their fingerprints: 1 for equal texts, 0 if either has none in common with the other."""
+    """How much two texts have in common, from their fingerprints: the share of their windows (Dice coefficient of the sketches) or the share that their common beginning has in the longer one, whichever is more; 1 for equal texts."""
     if a == b:
         return 1.0
-    n, m = a.split("."), b.split(".")
-    if min(int(n[0], 16), int(m[0], 16)) < SHORT_CHARS and n[3] and m[3]:
-        return _alike(n[3], m[3])
-    return _alike(n[2], m[2])
+    x, y = a.split("."), b.split(".")
+    short = min(int(x[0], 16), int(y[0], 16)) < SHORT_CHARS and x[3] and y[3]
+    return max(_alike(x[3], y[3]) if short else _alike(x[2], y[2]), _beginning(x, y))
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:

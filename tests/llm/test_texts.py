@@ -178,6 +178,20 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert triples(jaccard_join.jaccard_components(frame(spark, rows), 4, 85)) == plain_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("few", [3, 20])
+def test_keys_that_go_on_over_batches(spark, rows, monkeypatch, few):
+    monkeypatch.setattr(jaccard_join, "FEW_SETS", few)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    words = prose(11, 40).split()
+    near = [(500 + i, " ".join([*words[: i % 12], f"z{i % 12}", *words[i % 12 + 1 :]]), "en", "s") for i in range(60)]
+    try:
+        got = triples(jaccard_join.jaccard_components(frame(spark, rows + near).repartition(9), 4, 85))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == plain_components(rows + near, 4, 85)
+
+
 def test_one_of_a_group_stays(spark, rows):
     kept = [r["doc_id"] for r in jaccard_join.keep_one(frame(spark, rows), 4, 85).collect()]
     wanted = [i for i, n, least, _ in plain_components(rows, 4, 85) if n == 0 or i is None or least == i]

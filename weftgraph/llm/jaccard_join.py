@@ -234,28 +234,29 @@ def _candidates(keyed: DataFrame, percent: int) -> DataFrame:
     """From (key, salt, heavy, s, n), sorted by key within partitions: pairs (a, b) of sets that share a key of few sets, and (a, key) for each set of a key of many."""
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None  # rows of the last key, which may go on; of a long key only what isn't passed on yet
+        rest = None  # rows of the last key, which may go on, each set once; none of a key of many sets, whose rows are passed on as they come
         long_key: tuple | None = None
 
         def groups(df: pd.DataFrame, last: bool):
             nonlocal rest, long_key
             if rest is not None:
                 df = pd.concat([rest, df])
+            rest = None
             if not len(df):
                 return
             key, salt, heavy, s, n = (df[c].to_numpy() for c in ("key", "salt", "heavy", "s", "n"))
             edge = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]), True])
             many = np.diff(edge)
-            if not last:
-                cut = edge[-2]
-                if many[-1] > FEW_SETS:
-                    cut = edge[-1]
-                rest = df.iloc[cut:]
-                upto = len(edge) - (1 if cut == edge[-1] else 2)
-            else:
-                rest, upto = None, len(edge) - 1
+            upto = len(many)
+            tail = (key[-1], salt[-1])
+            if not last and tail != long_key and not heavy[-1]:
+                once = df.iloc[edge[-2] :].drop_duplicates("s")
+                if len(once) <= FEW_SETS:
+                    rest, upto = once, upto - 1
             a_out, b_out, key_out, n_out, m_out = [], [], [], [], []
-            for g in np.flatnonzero((many[:upto] > 1) | heavy[edge[:upto]] | (np.array([long_key is not None and (key[x], salt[x]) == long_key for x in edge[:upto]], bool) if upto else np.zeros(0, bool))).tolist():
+            begun = edge[:upto]
+            going_on = (key[begun] == long_key[0]) & (salt[begun] == long_key[1]) if long_key else np.zeros(upto, bool)
+            for g in np.flatnonzero((many[:upto] > 1) | heavy[begun] | going_on).tolist():
                 x, y = edge[g], edge[g + 1]
                 ids, at = np.unique(s[x:y], return_index=True)
                 size = n[x:y][at]

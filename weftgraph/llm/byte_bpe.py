@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import bound_batches
 
 #: Pieces whose tokens a worker remembers, in each of two generations; states that the transducer may have (long pieces add to these).
-MEMO_PIECES = 500_000
-MEMO_STATES = 150_000
+MEMO_PIECES = 250_000
+MEMO_STATES = 80_000
 #: Pairs of tokens of which a worker remembers whether they stay apart.
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 400_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:

@@ -210,26 +210,54 @@ def test_shingles_are_those_of_words():
 # substring dedup
 
 
-def plain_lines(rows, min_words=5):
+def plain_lines(rows, min_words=5, min_sentence_words=8):
+    norm = lambda x: re.sub(r"[ \t\n\x0b\f\r]+", " ", x.lower()).strip(" ")
+
+    def units(text):
+        for k, line in enumerate(text.split("\n")):
+            yield k, 0, line
+            pieces = re.split(r"(?<=[.!?]) ", line)
+            if len(pieces) > 1:
+                yield from ((k, 1 + n, p) for n, p in enumerate(pieces))
+
     seen, out = {}, []
-    places = sorted((i, k, line) for i, t, *_ in rows if t for k, line in enumerate(t.split("\n")))
-    for i, k, line in places:
-        norm = re.sub(r"[ \t\n\x0b\f\r]+", " ", line.lower()).strip(" ")
-        if len(norm.split()) >= min_words:
-            seen.setdefault(norm, (i, k))
+    for i, k, n, unit in sorted((i, k, n, unit) for i, t, *_ in rows if t for k, n, unit in units(t)):
+        if len(norm(unit).split()) >= (min_sentence_words if n else min_words):
+            seen.setdefault(norm(unit), (i, k, n))
     for i, t, *_ in rows:
         kept, spans, at = [], [], 0
+        gone = lambda k, n, unit, i=i: len(norm(unit).split()) >= (min_sentence_words if n else min_words) and seen[norm(unit)] != (i, k, n)
         for k, line in enumerate(t.split("\n") if t else []):
-            norm = re.sub(r"[ \t\n\x0b\f\r]+", " ", line.lower()).strip(" ")
-            if seen.get(norm, (i, k)) == (i, k):
+            pieces = re.split(r"(?<=[.!?]) ", line)
+            if gone(k, 0, line):
+                spans.append((at, at + len(line)))
+            elif len(pieces) == 1:
                 kept.append(line)
             else:
-                spans.append((at, at + len(line)))
+                stay, start = [], at
+                for n, p in enumerate(pieces):
+                    if gone(k, 1 + n, p):
+                        spans.append((start, start + len(p)))
+                    else:
+                        stay.append(p)
+                    start += len(p) + 1
+                if stay:
+                    kept.append(" ".join(stay))
             at += len(line) + 1
         out.append((i, "\n".join(kept) if t is not None else None, spans))
     return sorted(out, key=str)
 
 
+def test_passages_inside_lines(spark):
+    passage = [f"{prose(s, 12)}." for s in range(60, 66)]
+    rows = [(1, f"{prose(1, 20)} {' '.join(passage)} {prose(2, 20)}", "en", "s"), (2, f"{prose(3, 20)}. {' '.join(passage)} {prose(4, 20)}\nlast", "en", "s"), (3, " ".join(passage), "en", "s"), (4, f"{passage[0]}  {passage[1]}", "en", "s"), (5, f"{prose(5, 40)}. {prose(6, 9)}! Ok.", "en", "s")]
+    got = {r["doc_id"]: r for r in substring_dedup.dedup_units(frame(spark, rows)).collect()}
+    assert sorted(((i, r["text"], [(s["start"], s["end"]) for s in r["removed_spans"]]) for i, r in got.items()), key=str) == plain_lines(rows)
+    assert got[1]["text"] == rows[0][1] and got[5]["text"] == rows[4][1] and got[3]["n_removed"] == 6
+    for i, t, *_ in rows:
+        assert all(t[s["start"] : s["end"]] in passage for s in got[i]["removed_spans"])
+
+
 def test_repeated_lines(spark):
     a, b, c = "A first line of words here", "another LINE of some words", "short line"
     rows = [(1, f"{a}\n{b}\n{c}", "en", "s"), (2, f"{c}\n  another line  of some words\nnew words that nobody has said", "en", "s"), (3, f"{a}\n{a}", "en", "s"), (4, None, "en", "s"), (5, "", "en", "s"), (6, f"é {a}\n\n{b}\n", "en", "s"), (7, "\n".join([a] * 3000), "en", "s")]

@@ -1,4 +1,4 @@
-"""Substring dedup by line or paragraph hashing."""
+"""Substring dedup by hashing lines or paragraphs, and the sentences in them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import hot_keys, materialize, n_words
 
-MIN_WORDS = 5
+#: Words that a repeated line or paragraph, and a repeated sentence inside one, must have to go.
+MIN_WORDS, MIN_SENTENCE_WORDS = 5, 8
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
+#: Sentences end before a space after one of these; joined by a space, they give the unit again.
+SENTENCE_END = r"(?<=[.!?]) "
+#: Sentences of a unit, in the number of a place.
+PLACES = 1 << 20
 
 
 def normalised(unit: Column) -> Column:
@@ -16,12 +21,16 @@ def normalised(unit: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(unit), r"[\x20\x09-\x0D]+", " "))
 
 
-def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sentences(unit: Column) -> Column:
+    return F.split(unit, SENTENCE_END)
+
+
+def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS, min_sentence_words: int = MIN_SENTENCE_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each repeated unit removed but in its earliest place, by (id, position); adds n_units, n_removed and removed_spans.
 
-    A unit is a line or a paragraph (between blank lines); units of fewer than min_words words stay. Digests are MD5 of the
-    normalised unit. removed_spans has [start, end) in code points of the original text for each removed unit, in order, so
-    the original can be restored. What remains is joined as it was split.
+    A unit is a line or a paragraph (between blank lines), or a sentence inside one: a passage may stand in the middle of a line. Units with fewer words than asked for stay. Digests are MD5 of the
+    normalised unit. removed_spans has [start, end) in code points of the original text for each removed unit, in order, so the original can be restored. What remains is
+    joined as it was split; a line goes when all its sentences do. A sentence's earliest place is never in a line that goes, since that line would have an earlier one.
 
     Null texts stay null, empty ones empty, both with n_units 0; a null id ranks first. Rows that repeat id and text are one document: they get
     the same result. A document whose units are all repeats keeps its row with an empty text. Columns named like new ones are replaced.
@@ -31,11 +40,16 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     kept = [c for c in docs.columns if c not in new]
     ident, text = F.col(id_col), F.col(text_col)
     print_of = F.xxhash64(text)
-    pieces = docs.filter(F.length(text) > 0).select(ident.alias("__id"), print_of.alias("__print"), F.posexplode(F.split(text, sep)).alias("__pos", "__unit"))
-    long_enough = pieces.withColumn("__norm", normalised(F.col("__unit"))).filter(n_words(F.col("__norm")) >= min_words)
-    # one small table of places: id, print of the text, position, digest
-    units = materialize(long_enough.select("__id", "__print", "__pos", F.unhex(F.md5("__norm")).alias("__digest")), "units")
-    place = F.struct("__id", "__print", "__pos")
+    lines = docs.filter(F.length(text) > 0).select(ident.alias("__id"), print_of.alias("__print"), F.posexplode(F.split(text, sep)).alias("__line", "__whole"))
+    # a place is line * PLACES, plus 1 + k for its sentence k
+    whole = F.array(F.struct(F.lit(0).alias("sub"), F.col("__whole").alias("unit")))
+    inner = F.transform(_sentences(F.col("__whole")), lambda x, k: F.struct((k + 1).alias("sub"), x.alias("unit")))
+    found = lines.select("__id", "__print", "__line", F.inline(F.when(F.size(inner) > 1, F.concat(whole, inner)).otherwise(whole)))
+    long_enough = found.withColumn("__norm", normalised(F.col("unit"))).filter(n_words(F.col("__norm")) >= F.when(F.col("sub") == 0, min_words).otherwise(min_sentence_words))
+    # one small table of places: id, print of the text, place, digest
+    at = F.col("__line").cast("long") * PLACES + F.col("sub")
+    units = materialize(long_enough.select("__id", "__print", at.alias("__at"), F.unhex(F.md5("__norm")).alias("__digest")), "units")
+    place = F.struct("__id", "__print", "__at")
     firsts = units.groupBy("__digest").agg(F.count(F.lit(1)).alias("__n"), F.min(place).alias("__first")).filter("__n > 1").drop("__n")
     # a digest above a thousandth of all places is met by broadcast (there are fewer than a thousand); the rest can't be hot
     hot = hot_keys(units, "__digest")
@@ -43,37 +57,65 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     often = units.join(hot_firsts, "__digest", "inner")
     seldom = units.join(F.broadcast(hot), "__digest", "left_anti").join(firsts, "__digest", "inner")
     repeats = often.unionByName(seldom).filter(~place.eqNullSafe(F.col("__first")))
-    gone = repeats.groupBy("__id", "__print").agg(F.collect_set("__pos").alias("__gone"))
+    gone = repeats.groupBy("__id", "__print").agg(F.collect_set("__at").alias("__gone"))
     joined = docs.select(*kept, print_of.alias("__p")).join(gone, ident.eqNullSafe(F.col("__id")) & (F.col("__p") == F.col("__print")), "left")
     parts = F.when(F.length(text) > 0, F.split(text, sep)).otherwise(F.array().cast("array<string>"))
-    lost = F.coalesce(F.col("__gone"), F.array().cast("array<int>"))
-    begun = F.struct(F.lit(0).alias("at"), F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def walk(state, piece):
-        end = state["at"] + F.length(piece)
-        span = F.struct(state["at"].alias("start"), end.alias("end"))
-        spans = F.when(F.array_contains(lost, state["pos"]), F.array_append(state["spans"], span)).otherwise(state["spans"])
-        return F.struct((end + len(sep)).alias("at"), (state["pos"] + 1).alias("pos"), spans.alias("spans"))
-
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    spans = F.when(F.col("__gone").isNull(), none).otherwise(F.aggregate(parts, begun, walk, lambda s: s["spans"]))
-    rest = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(lost, i)), sep))
+
+    def lost(line: Column, sub) -> Column:
+        return F.array_contains("__gone", line.cast("long") * PLACES + sub)
+
+    def rest_of(line: Column, i: Column) -> Column:
+        """What stays of a line; null if nothing does."""
+        pieces = _sentences(line)
+        stay = F.filter(pieces, lambda _, k: ~lost(i, k + 1))
+        return F.when(lost(i, 0) | (F.size(stay) == 0), F.lit(None).cast("string")).when(F.size(stay) == F.size(pieces), line).otherwise(F.array_join(stay, " "))
+
+    spans_type = "array<struct<start:int,end:int>>"
+
+    def add(spans: Column, start: Column, end: Column, when: Column) -> Column:
+        return F.when(when, F.array_append(spans, F.struct(start.alias("start"), end.alias("end")))).otherwise(spans)
+
+    def walk(state: Column, line: Column) -> Column:
+        end = state["at"] + F.length(line)
+        begun = F.struct(state["at"].alias("at"), F.lit(1).alias("sub"), state["spans"].alias("spans"))
+
+        def inside(s: Column, piece: Column) -> Column:
+            stop = s["at"] + F.length(piece)
+            return F.struct((stop + 1).alias("at"), (s["sub"] + 1).alias("sub"), add(s["spans"], s["at"], stop, lost(state["line"], s["sub"])).alias("spans"))
+
+        whole_line = F.array_append(state["spans"], F.struct(state["at"].alias("start"), end.alias("end")))
+        spans = F.when(lost(state["line"], 0), whole_line).otherwise(F.aggregate(_sentences(line), begun, inside, lambda s: s["spans"]))
+        return F.struct((end + len(sep)).alias("at"), (state["line"] + 1).alias("line"), spans.alias("spans"))
+
+    none = F.array().cast(spans_type)
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), none.alias("spans"))
+    untouched = F.col("__gone").isNull()
+    rest = F.when(untouched, text).otherwise(F.array_join(F.filter(F.transform(parts, rest_of), lambda x: x.isNotNull()), sep))
     others = [F.col(c) if c != text_col else rest.alias(text_col) for c in kept]
-    return joined.select(*others, F.size(parts).alias("n_units"), F.size(lost).alias("n_removed"), spans.alias("removed_spans"))
+    done = joined.select(*others, F.size(parts).alias("n_units"), F.when(untouched, none).otherwise(F.aggregate(parts, start, walk, lambda s: s["spans"])).alias("removed_spans"))
+    return done.select(*kept, "n_units", F.size("removed_spans").alias("n_removed"), "removed_spans")
 
 
+_NORM = "trim(regexp_replace(lower({x}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')"
+_COUNT = "len(regexp_extract_all({x}, '[^\\x20\\x09-\\x0D]+'))"
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, text, lang, source, n_chars, CASE WHEN length(text) > 0 THEN string_split(text, chr(10)) ELSE [] END AS parts FROM documents),
-p AS (SELECT doc_id, pos, parts[pos] AS unit, trim(regexp_replace(lower(parts[pos]), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ') AS norm
-      FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM d)),
-u AS (SELECT doc_id, pos, md5(norm) AS digest FROM p WHERE len(regexp_extract_all(norm, '[^\\x20\\x09-\\x0D]+')) >= {MIN_WORDS}),
-r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY digest ORDER BY doc_id, pos) AS rn FROM u),
-m AS (SELECT p.doc_id, p.pos, p.unit, coalesce(r.rn > 1, false) AS gone,
-             sum(length(p.unit) + 1) OVER (PARTITION BY p.doc_id ORDER BY p.pos) - length(p.unit) - 1 AS start
-      FROM p LEFT JOIN r ON p.doc_id = r.doc_id AND p.pos = r.pos),
-a AS (SELECT doc_id, string_agg(unit, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept, count(*) FILTER (WHERE gone) AS n_removed,
-             string_agg(start::BIGINT || '-' || (start + length(unit))::BIGINT, ',' ORDER BY pos) FILTER (WHERE gone) AS spans FROM m GROUP BY doc_id)
-SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(a.kept, '') END AS text, d.lang, d.source, d.n_chars, len(d.parts)::INTEGER AS n_units,
-       coalesce(a.n_removed, 0)::INTEGER AS n_removed, coalesce(a.spans, '') AS removed_spans
-FROM d LEFT JOIN a ON d.doc_id = a.doc_id
+p AS (SELECT doc_id, pos, parts[pos] AS unit FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM d)),
+q AS (SELECT doc_id, pos, unit, string_split(regexp_replace(unit, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS pieces, sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(unit) - 1 AS start FROM p),
+s AS (SELECT doc_id, pos, sub, pieces[sub] AS piece FROM (SELECT doc_id, pos, pieces, unnest(range(1, len(pieces) + 1)) AS sub FROM q WHERE len(pieces) > 1)),
+n AS (SELECT doc_id, pos, 0 AS sub, {_NORM.format(x="unit")} AS norm FROM q UNION ALL SELECT doc_id, pos, sub, {_NORM.format(x="piece")} FROM s),
+u AS (SELECT doc_id, pos, sub, md5(norm) AS digest FROM n WHERE {_COUNT.format(x="norm")} >= CASE WHEN sub = 0 THEN {MIN_WORDS} ELSE {MIN_SENTENCE_WORDS} END),
+r AS (SELECT doc_id, pos, sub FROM (SELECT *, row_number() OVER (PARTITION BY digest ORDER BY doc_id, pos, sub) AS rn FROM u) WHERE rn > 1),
+t AS (SELECT s.doc_id, s.pos, s.sub, s.piece, r.sub IS NOT NULL AS gone, sum(length(s.piece) + 1) OVER (PARTITION BY s.doc_id, s.pos ORDER BY s.sub) - length(s.piece) - 1 AS start
+      FROM s LEFT JOIN r ON s.doc_id = r.doc_id AND s.pos = r.pos AND s.sub = r.sub),
+l AS (SELECT doc_id, pos, count(*) FILTER (WHERE gone) AS n_gone, string_agg(piece, ' ' ORDER BY sub) FILTER (WHERE NOT gone) AS stay FROM t GROUP BY doc_id, pos),
+m AS (SELECT q.doc_id, q.pos, CASE WHEN r.sub IS NOT NULL THEN NULL WHEN coalesce(l.n_gone, 0) = 0 THEN q.unit ELSE l.stay END AS rest, r.sub IS NOT NULL AS whole, q.start, length(q.unit) AS size
+      FROM q LEFT JOIN r ON q.doc_id = r.doc_id AND q.pos = r.pos AND r.sub = 0 LEFT JOIN l ON q.doc_id = l.doc_id AND q.pos = l.pos),
+x AS (SELECT doc_id, start::BIGINT AS a, (start + size)::BIGINT AS b FROM m WHERE whole UNION ALL
+      SELECT t.doc_id, (m.start + t.start)::BIGINT, (m.start + t.start + length(t.piece))::BIGINT FROM t JOIN m ON t.doc_id = m.doc_id AND t.pos = m.pos WHERE t.gone AND NOT m.whole),
+spans AS (SELECT doc_id, count(*) AS n_removed, string_agg(a || '-' || b, ',' ORDER BY a) AS spans FROM x GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(rest, chr(10) ORDER BY pos) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.kept, '') END AS text, d.lang, d.source, d.n_chars, len(d.parts)::INTEGER AS n_units,
+       coalesce(spans.n_removed, 0)::INTEGER AS n_removed, coalesce(spans.spans, '') AS removed_spans
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN spans ON d.doc_id = spans.doc_id
 """

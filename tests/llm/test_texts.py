@@ -82,6 +82,8 @@ def test_tokens_are_those_of_the_tokenizer(spark, rows):
     for r in byte_bpe.digest_documents(frame(spark, rows[:9]), PATH, public_tokenizers.PATTERN).collect():
         text = next(t for i, t, *_ in rows if i == r["doc_id"])
         assert r["ids_sha256"] == hashlib.sha256(np.array(reference.encode_ordinary(text), "<u4").tobytes()).hexdigest() and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    tripped = byte_bpe.round_trip_documents(frame(spark, rows), PATH, public_tokenizers.PATTERN).collect()
+    assert len(tripped) == len(rows) and all(r["round_trip"] and r["token_ids"] == reference.encode_ordinary(r["text"] or "") for r in tripped)
     assert byte_bpe.digest_documents(frame(spark, []), PATH, public_tokenizers.PATTERN).count() == 0
 
 

@@ -279,7 +279,9 @@ class StreamingDecoder:
         return rest
 
 
-_WORKER: dict[tuple, tuple[Encoder, StreamingDecoder]] = {}
+#: What a worker has made of a vocabulary; an encoder only where texts are encoded.
+_ENCODERS: dict[tuple, Encoder] = {}
+_DECODERS: dict[tuple, StreamingDecoder] = {}
 
 
 class Tokenizer:
@@ -289,27 +291,27 @@ class Tokenizer:
         bound_batches(spark)
         with open(ranks_path, "rb") as f:
             data = f.read()
-        self.shared = spark.sparkContext.broadcast(data)
-        self.key = (hashlib.sha256(data).hexdigest(), pattern)
+        shared, key = spark.sparkContext.broadcast(data), (hashlib.sha256(data).hexdigest(), pattern)
 
-    def _tools(self):
-        shared, key = self.shared, self.key
+        def encoder() -> Encoder:
+            if key not in _ENCODERS:
+                _ENCODERS[key] = Encoder(read_ranks(shared.value), pattern)
+            return _ENCODERS[key]
 
-        def tools() -> tuple[Encoder, StreamingDecoder]:
-            if key not in _WORKER:
-                ranks = read_ranks(shared.value)
-                _WORKER[key] = Encoder(ranks, key[1]), StreamingDecoder({v: k for k, v in ranks.items()})
-            return _WORKER[key]
+        def decoder() -> StreamingDecoder:
+            if key not in _DECODERS:
+                _DECODERS[key] = StreamingDecoder({v: k for k, v in read_ranks(shared.value).items()})
+            return _DECODERS[key]
 
-        return tools
+        self.encoder, self.decoder = encoder, decoder
 
     def encode(self, text: Column) -> Column:
         """Ids of a text; none for a null or empty one."""
-        tools = self._tools()
+        own = self.encoder
 
         @F.pandas_udf("array<int>")
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encoder, _ = tools()
+            encoder = own()
             for texts in batches:
                 yield pd.Series([np.array(encoder.encode(t), np.int32) for t in texts], dtype=object)
 
@@ -317,11 +319,11 @@ class Tokenizer:
 
     def decode(self, ids: Column) -> Column:
         """The text of ids; empty for none or null. An id outside the vocabulary is an error."""
-        tools = self._tools()
+        own = self.decoder
 
         @F.pandas_udf("string")
         def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            _, decoder = tools()
+            decoder = own()
             for column in batches:
                 yield pd.Series([decoder.feed(x.tolist() if x is not None else ()) + decoder.finish() for x in column], dtype=object)
 
@@ -329,11 +331,11 @@ class Tokenizer:
 
     def digests(self, ids: Column) -> Column:
         """n_tokens, ids_sha256 and decoded_sha256 of ids; next to encode() in the same Python worker."""
-        tools = self._tools()
+        own = self.decoder
 
         @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
         def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            _, decoder = tools()
+            decoder = own()
             for column in batches:
                 rows = []
                 for x in column:
@@ -343,6 +345,20 @@ class Tokenizer:
 
         return digested(ids)
 
+    def checked(self, text: Column) -> Column:
+        """token_ids, and round_trip: whether they decode to the text, found in the worker that encodes it."""
+        encoder_of, decoder_of = self.encoder, self.decoder
+
+        @F.pandas_udf("token_ids array<int>, round_trip boolean")
+        def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            encoder, decoder = encoder_of(), decoder_of()
+            for texts in batches:
+                ids = [encoder.encode(t) for t in texts]
+                same = [decoder.feed(x) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
+                yield pd.DataFrame({"token_ids": pd.Series([np.array(x, np.int32) for x in ids], dtype=object), "round_trip": same})
+
+        return both(text)
+
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """docs with token_ids and n_tokens (replacing columns of these names). Null and empty texts have no tokens. Rows stay where they are: nothing is shuffled."""
@@ -351,6 +367,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     return docs.select(*rest, tokenizer.encode(F.col(text_col)).alias("token_ids")).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
+def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """encode_documents, with round_trip: whether the ids decode to the text (null as the empty one)."""
+    tokenizer = Tokenizer(docs.sparkSession, ranks_path, pattern)
+    rest = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")]
+    both = docs.select(*rest, tokenizer.checked(F.col(text_col)).alias("__both"))
+    return both.select(*rest, "__both.token_ids", F.size("__both.token_ids").cast("long").alias("n_tokens"), "__both.round_trip")
+
+
 def decode_documents(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids") -> DataFrame:
     """tokens with decoded_text, the text of their ids."""
     tokenizer = Tokenizer(tokens.sparkSession, ranks_path, pattern)

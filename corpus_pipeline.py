@@ -36,10 +36,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, the number of these, and whether they decode to the text."""
-    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    tokens = byte_bpe.encode_documents(docs, path, pattern)
-    decoded = byte_bpe.decode_documents(tokens, path, pattern)
-    return decoded.select(*COLUMNS, "token_ids", "n_tokens", (F.col("decoded_text") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return byte_bpe.round_trip_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).select(*COLUMNS, "token_ids", "n_tokens", "round_trip")
 
 
 STAGES = [("quality_classifier", classify), ("jaccard_join", deduplicate), ("substring_dedup", drop_repeats), ("source_mixing", mix), ("byte_bpe", tokenize)]

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
@@ -287,6 +288,33 @@ def test_mix_follows_targets_and_ids(spark):
     assert key(mixing.mix_sources(frame(spark, rows), targets, most_broadcast=0)) == key(mixed)
 
 
+def plain_times(rate, ident):
+    u = int(hashlib.md5(f"{mixing.SEED}:{ident}".encode()).hexdigest()[:13], 16) / 2**52
+    times, upto = 0, math.exp(-rate)
+    while upto <= u:
+        times += 1
+        upto += math.exp(times * math.log(rate) - rate - math.lgamma(times + 1))
+    return times
+
+
+@pytest.mark.parametrize("few", [50_000, 0])
+def test_rates_have_no_bound(spark, few):
+    rows = [(i, "t", "en", "rare" if i < 3 else "one" if i == 3 else "rest") for i in range(3000)]
+    targets = spark.createDataFrame([("rare", 0.3), ("one", 0.5), ("rest", 0.2)], "source string, weight double")
+    got = mixing.mix_sources(frame(spark, rows), targets, most_broadcast=few).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("copies"), F.min("copy").alias("least"), F.max("copy").alias("most"), F.max("rate").alias("rate")).collect()
+    wanted = {i: plain_times({"rare": 300.0, "one": 1500.0, "rest": 600 / 2996}[s], i) for i, _, _, s in rows}
+    assert {r["doc_id"]: r["n"] for r in got} == {i: n for i, n in wanted.items() if n}
+    assert all(r["least"] == 1 and r["n"] == r["copies"] == r["most"] for r in got)
+    assert {round(r["rate"], 6) for r in got if r["doc_id"] < 4} == {300.0, 1500.0}
+
+
+@pytest.mark.parametrize("rate", [200.5, 745.0, 31_000.0])
+def test_counts_at_large_rates(spark, rate):
+    rows = spark.range(300).select("id", F.md5(F.concat(F.lit(f"{mixing.SEED}:"), F.col("id").cast("string"))).alias("h"), F.lit(rate).alias("rate"))
+    unit = F.conv(F.substring("h", 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+    assert all(r["n"] == plain_times(rate, r["id"]) for r in rows.select("id", mixing._times_at(F.col("rate"), unit).alias("n")).collect())
+
+
 # sharding
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, jaccard_join, mixing, quality, substring_dedup
+from weftgraph.llm import byte_bpe, jaccard_join, mixing, passages, quality, substring_dedup
 from weftgraph.llm.common import load, materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,9 +24,10 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document, or an earlier place, has; documents left without any text go."""
-    done = substring_dedup.dedup_units(docs)
-    return done.filter((F.length(F.trim("text")) > 0) | (F.col("n_removed") == 0)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Texts without the lines, sentences and passages of 50 words that an earlier document, or an earlier place, has; documents left without any text go."""
+    units = substring_dedup.dedup_units(docs).withColumn("__had", F.length(F.trim("text")) > 0).filter(F.col("__had") | (F.col("n_removed") == 0) | F.col("__had").isNull())
+    done = passages.drop_passages(materialize(units.select(*COLUMNS, "__had"), "units-left"))
+    return done.filter((F.length(F.trim("text")) > 0) | ~F.coalesce("__had", F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 
 def window_usage(calls: DataFrame, time_col: str, tokens: Column, by: list[str], seconds: int = 60) -> DataFrame:
     """calls with requests_used and tokens_used within the last `seconds` seconds up to each, per group: a shard of a limiter."""
+    span = seconds * 1_000_000
     at = F.unix_micros(F.col(time_col).cast("timestamp"))
-    inside = Window.partitionBy(*by).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    return calls.withColumns({"requests_used": F.count(F.lit(1)).over(inside), "tokens_used": F.sum(tokens).over(inside)})
+    # groups are cut into buckets as long as the window; a bucket's rows go to the next one too, where they only count
+    own = F.floor((at - F.pmod(at, F.lit(span))) / span)
+    both = F.when(at.isNull(), F.array(F.struct(own.alias("bucket"), F.lit(True).alias("own")))).otherwise(F.array(F.struct(own.alias("bucket"), F.lit(True).alias("own")), F.struct((own + 1).alias("bucket"), F.lit(False).alias("own"))))
+    dealt = calls.select(*calls.columns, F.explode(both).alias("__in"))
+    inside = Window.partitionBy(*by, "__in.bucket").orderBy(at).rangeBetween(-span, 0)
+    used = dealt.withColumns({"requests_used": F.count(F.lit(1)).over(inside), "tokens_used": F.sum(tokens).over(inside)})
+    return used.filter("__in.own").drop("__in")
+
 
 
 def admission(calls: DataFrame, time_col: str, tokens: Column, by: list[str], rpm: int, tpm: int, seconds: int = 60) -> DataFrame:

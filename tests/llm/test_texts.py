@@ -115,6 +115,29 @@ def test_a_full_transducer_still_encodes(monkeypatch):
         assert encoder.encode(text) == reference.encode_ordinary(text)
 
 
+def test_a_very_long_piece_adds_no_states_beyond_the_cap(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_STATES", 200)
+    ranks = byte_bpe.read_ranks(open(PATH, "rb").read())
+    reference = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(8)
+    for text in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 100_000, "straightforward" * 5_000):
+        assert encoder.encode(text) == reference.encode_ordinary(text)
+        assert len(encoder.transducer.states) <= 200
+
+
+def test_white_space_and_signs_between_words():
+    ranks = byte_bpe.read_ranks(open(PATH, "rb").read())
+    reference = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    assert encoder.spaced
+    rng = random.Random(9)
+    parts = ["a", "the", "re", " ", " ", "  ", "\n", " \n", "\t", "'s", " '", "é", "1", "½", "Ⅷ", "!", "...", "\x1c", "\x85", "\xa0", "日本", "ж", "e\u0301", "\u200d", "😀", "ing", "\r\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert encoder.encode(text) == reference.encode_ordinary(text)
+
+
 def test_decoding_bytes_that_are_no_characters():
     tokens = {i: bytes((i,)) for i in range(256)}
     rng = random.Random(4)

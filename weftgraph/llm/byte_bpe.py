@@ -5,14 +5,20 @@ sequence of tokens is an encoding exactly if each adjacent pair encodes to itsel
 goes with the last token of what lies before it. A state of the transducer is the last committed token and the bytes read since, with
 the last token at each place among them. A byte leads to the next state, made when it is first needed; tokens on which all places agree at which a longer token may still begin
 are emitted at once. No token begins further back than the longest token is long, so lookahead is bounded.
+
+The transducer is made lazily: a transition becomes part of it when it is needed for the second time and there is room. Until then the rest of the piece is left to the machine before it is
+determinised: at each place the longest token that ends there (found by an Aho-Corasick automaton of all tokens) and goes with the last token at the place where it begins. So a worker's memory is
+bounded, whatever the texts and however long a piece is.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
@@ -21,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import bound_batches
 
-#: Pieces whose tokens a worker remembers, in each of two generations; states that the transducer may have (long pieces add to these).
+#: Pieces whose tokens a worker remembers, in each of two generations; states that the transducer may have.
 MEMO_PIECES = 250_000
 MEMO_STATES = 80_000
 #: Pairs of tokens of which a worker remembers whether they stay apart.
@@ -58,7 +64,7 @@ class _State:
 
 
 class Transducer:
-    """Bytes in, token ids out, with bounded lookahead. A transition becomes part of the transducer when it is needed for the second time; before that its outcome is found by simulation."""
+    """Bytes in, token ids out, with bounded lookahead."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
@@ -73,6 +79,11 @@ class Transducer:
             self.kinds[t] = self.kinds.get(t, 0) | 4 * rank | 2
             for i in range(1, len(t)):
                 self.kinds[t[:i]] = self.kinds.get(t[:i], 0) | 1
+        tokens = ahocorasick.Automaton()
+        for rank in self._merges:
+            tokens.add_word(self._bytes[rank].decode("latin-1"), (rank, self._lens[rank]))
+        tokens.make_automaton()
+        self._ends = tokens.iter
         self._goes: dict[int, bool] = {}
         self.start = _State(-1, b"", (), (0,))
         self.states = {(-1, b""): self.start}
@@ -161,19 +172,38 @@ class Transducer:
         """The tokens of the bytes not yet committed."""
         return self._back(state.lasts, len(state.window))
 
+    def simulate(self, state: _State, rest: bytes) -> list[int]:
+        """The tokens not yet committed in a state, followed by `rest` to the end of the piece, without states."""
+        goes = self._goes.get
+        lasts, done = [state.before, *state.lasts], len(state.window)  # the last token at each place
+        add = lasts.append
+        data = state.window + rest
+        # of the tokens that end at a place, the longest comes first; exactly one fits
+        for end, (token, size) in self._ends(data.decode("latin-1")):
+            if end < done:
+                continue
+            if size > 1:
+                left = lasts[end + 1 - size]
+                if left >= 0:
+                    fits = goes(left << 20 | token)
+                    if fits is None:
+                        fits = self._fits(left, token)
+                    if not fits:
+                        continue
+            add(token)
+            done = end + 1
+        return self._back(lasts[1:], len(data))
+
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
         state = self.start
-        full = len(self.states) >= MEMO_STATES  # then what isn't part of the transducer is simulated
         for at, byte in enumerate(piece):
             found = state.next.get(byte)
             if not found:
-                if (full or byte not in state.next) and len(piece) - at < 64:  # never met: simulate to the end
-                    if not full:
+                if byte not in state.next or len(self.states) >= MEMO_STATES:
+                    if len(self.states) < MEMO_STATES:
                         state.next[byte] = None
-                    data = state.window + piece[at:]
-                    lasts, _ = self._read(state, data, len(data))
-                    return out + self._back(lasts, len(data))
+                    return out + self.simulate(state, piece[at:])
                 found = self.step(state, byte)
             state = found[0]
             if found[1]:
@@ -181,37 +211,85 @@ class Transducer:
         return out + self.flush(state)
 
 
+#: Fixed value: a pattern none of whose matches goes on over a space between two characters that are no white space, or looks past one.
+SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
-    """Texts to ids; each match of the pattern is encoded separately."""
+    """Texts to ids; each match of the pattern is encoded separately. Ids are little-endian unsigned 32-bit integers in bytes, as these join fast."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def _new(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece)
+        self.spaced = pattern == SPACED_PATTERN
+        self.white = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x3100)))))
+        #: The ids of pieces. What follows a space goes without it, so that it is found as a word of a text; all other pieces have one more space before them.
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _piece(self, key: str) -> bytes:
+        """The ids of a piece, by its key in the memo."""
+        ids = self.older.get(key)
         if ids is None:
-            data = piece.encode()
+            data = key[1:].encode() if key[0] == " " else b" " + key.encode()
             whole = self.transducer.ranks.get(data)  # a piece that is a token stays whole even if merges don't lead to it
-            ids = (whole,) if whole is not None else tuple(self.transducer.encode(data))
+            ids = array("I", (whole,) if whole is not None else self.transducer.encode(data)).tobytes()
         if len(self.memo) >= MEMO_PIECES:
             self.memo, self.older = {}, self.memo
-        self.memo[piece] = ids
+        self.memo[key] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        known = self.memo.get
-        for piece in self.find(text or ""):
-            ids = known(piece)
-            if ids is None:
-                ids = self._new(piece)
-                known = self.memo.get
-            out += ids
+    def _matches(self, text: str) -> bytes:
+        out = []
+        for piece in self.find(text):
+            key = piece[1:] if piece[0] == " " and piece[-1] not in self.white else " " + piece
+            ids = self.memo.get(key)
+            out.append(self._piece(key) if ids is None else ids)
+        return b"".join(out)
+
+    def _word(self, word: str) -> bytes:
+        """What follows a space, up to the next one. Letters are one piece; most other words are letters and a sign."""
+        if word.isascii():
+            if word.isalpha():
+                return self._piece(word)
+            stem, sign = word[:-1], word[-1]
+            if stem.isalpha() and not sign.isalnum() and sign not in self.white:
+                known, end = self.memo.get(stem), self.memo.get(" " + sign)
+                return (self._piece(stem) if known is None else known) + (self._piece(" " + sign) if end is None else end)
+        return self._matches(" " + word)
+
+    def _grouped(self, words: list[str]) -> list[str]:
+        """words joined again where white space is next to the space between them."""
+        out = words[:1]
+        for word in words[1:]:
+            last = out[-1]
+            if not word or not last or word[0] in self.white or last[-1] in self.white:
+                out[-1] = f"{last} {word}"
+            else:
+                out.append(word)
         return out
 
+    def encode_bytes(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if not self.spaced:
+            return self._matches(text)
+        words = text.split(" ")
+        first, rest = words[0], words[1:]
+        out = list(map(self.memo.get, rest))
+        unknown = [i for i, ids in enumerate(out) if ids is None] if None in out else []
+        white = self.white
+        if not first or first[-1] in white or any(not (w := rest[i]) or w[0] in white or w[-1] in white for i in unknown):
+            # words that are remembered have no white space at their ends
+            first, *rest = self._grouped(words)
+            return self._matches(first) + b"".join([self._word(w) for w in rest])
+        for i in unknown:
+            out[i] = self._word(rest[i])
+        return self._matches(first) + b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+
 
 #: Bytes that may follow: state -> (lowest, highest, next state) for each kind of lead or continuation byte of well-formed UTF-8.
 _UTF8 = {
@@ -313,7 +391,7 @@ class Tokenizer:
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encoder = own()
             for texts in batches:
-                yield pd.Series([np.array(encoder.encode(t), np.int32) for t in texts], dtype=object)
+                yield pd.Series([np.frombuffer(encoder.encode_bytes(t), "<i4") for t in texts], dtype=object)
 
         return encoded(text)
 
@@ -329,21 +407,22 @@ class Tokenizer:
 
         return decoded(ids)
 
-    def digests(self, ids: Column) -> Column:
-        """n_tokens, ids_sha256 and decoded_sha256 of ids; next to encode() in the same Python worker."""
-        own = self.decoder
+    def digests(self, text: Column) -> Column:
+        """n_tokens, ids_sha256 and decoded_sha256 of a text's ids, which don't leave the worker."""
+        encoder_of, decoder_of = self.encoder, self.decoder
 
         @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
         def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            decoder = own()
-            for column in batches:
+            encoder, decoder = encoder_of(), decoder_of()
+            for texts in batches:
                 rows = []
-                for x in column:
-                    text = decoder.feed(x.tolist()) + decoder.finish()
-                    rows.append((len(x), hashlib.sha256(x.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                for t in texts:
+                    ids = encoder.encode_bytes(t)
+                    back = decoder.feed(np.frombuffer(ids, "<u4").tolist()) + decoder.finish()
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-        return digested(ids)
+        return digested(text)
 
     def checked(self, text: Column) -> Column:
         """token_ids, and round_trip: whether they decode to the text, found in the worker that encodes it."""
@@ -353,9 +432,9 @@ class Tokenizer:
         def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             encoder, decoder = encoder_of(), decoder_of()
             for texts in batches:
-                ids = [encoder.encode(t) for t in texts]
-                same = [decoder.feed(x) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
-                yield pd.DataFrame({"token_ids": pd.Series([np.array(x, np.int32) for x in ids], dtype=object), "round_trip": same})
+                ids = [np.frombuffer(encoder.encode_bytes(t), "<i4") for t in texts]
+                same = [decoder.feed(x.tolist()) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
+                yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "round_trip": same})
 
         return both(text)
 
@@ -384,4 +463,4 @@ def decode_documents(tokens: DataFrame, ranks_path: str, pattern: str, ids_col:
 def digest_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of ids as little-endian unsigned 32-bit integers) and decoded_sha256 (of the text decoded from the ids), without the ids leaving the Python workers."""
     tokenizer = Tokenizer(docs.sparkSession, ranks_path, pattern)
-    return docs.select(F.col(id_col).alias("doc_id"), tokenizer.digests(tokenizer.encode(F.col(text_col))).alias("d")).select("doc_id", "d.*")
+    return docs.select(F.col(id_col).alias("doc_id"), tokenizer.digests(F.col(text_col)).alias("d")).select("doc_id", "d.*")

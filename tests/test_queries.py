@@ -22,7 +22,7 @@ def duck():
 
 def normal(df):
     def text(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return ""
         return repr(float(v)) if isinstance(v, float) else str(v)
 

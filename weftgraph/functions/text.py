@@ -1,7 +1,10 @@
-"""Column functions over strings and vectors; all are Spark's own, so they stay in generated code."""
+"""Column functions over strings and vectors; all but token counters of models are Spark's own, so they stay in generated code."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,20 +22,32 @@ def embed_text(name: Column, description: Column, prefix: str = "") -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(F.length(F.trim(text)) == 0, F.lit(True))
+    """Whether a text is null or has nothing but white space, line breaks and tabs included."""
+    return ~F.coalesce(text.rlike(r"\S"), F.lit(False))
+
+
+def token_count(text: Column, count: Callable[[str], int] | None = None) -> Column:
+    """White-space words; 0 for null. With `count`, a model's own counter (as chunk_documents takes it), called in Arrow batches."""
+    if count is None:
+        return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+
+    @F.pandas_udf("int")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([0 if t is None else count(t) for t in texts], dtype="int32")
+
+    return counted(text)
 
 
-def token_count(text: Column) -> Column:
-    """White-space words; 0 for null. The default counter where no model's tokenizer is at hand."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0))
+# The patterns at which texts are split, and what a type of edge may not hold.
+PARAGRAPH_GAP, SENTENCE_GAP, NOT_IN_TYPE = r"\n\s*\n", r"(?<=[.!?])\s+", "[^a-zA-Z0-9_]"
 
 
 def paragraphs(text: Column) -> Column:
-    return F.split(text, r"\n\s*\n")
+    return F.split(text, PARAGRAPH_GAP)
 
 
 def sentences(text: Column) -> Column:
-    return F.split(text, r"(?<=[.!?])\s+")
+    return F.split(text, SENTENCE_GAP)
 
 
 def words(text: Column) -> Column:
@@ -42,7 +57,7 @@ def words(text: Column) -> Column:
 
 def edge_type(name: Column) -> Column:
     """A relationship's name as the type of a graph's edges."""
-    return F.upper(F.regexp_replace(name, "[^a-zA-Z0-9_]", "_"))
+    return F.upper(F.regexp_replace(name, NOT_IN_TYPE, "_"))
 
 
 def label(name: Column, ident: Column) -> Column:

@@ -2,43 +2,110 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.numbering import number_rows
+from weftgraph.operators.numbering import ranged_rows
 
-#: Rows whose batches are packed in one go: packing is sequential, so a segment is the unit of work, and no batch crosses into another.
-SEGMENT_ROWS = 10_000
+_SUMMARY = "part int, before long, batches long, used long, total long, head long"
 
 
-def next_fit(rows: DataFrame, cost: str, budget: int, reserve: int = 0, order: list | None = None, guard_empty: bool = True, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
-    """rows with segment and batch_no (from 0 in each segment), in an order.
+def _next_starts(costs: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums before each row (and after the last), and for each row that a batch begins with, the row that the next one begins with (the number of rows: none here)."""
+    sums = np.r_[0, np.cumsum(costs)]
+    n = len(costs)
+    # a batch from i holds i, and rows on while their sum is at most room
+    return sums, np.minimum(np.maximum(np.searchsorted(sums, sums[:-1] + room, side="right") - 1, np.arange(1, n + 1)), n)
+
+
+def _entered(sums: np.ndarray, used: int, room: int) -> int:
+    """The first row that doesn't fit into a batch open from before, of `used` so far."""
+    return int(np.searchsorted(sums[1:], room - used, side="right"))
+
+
+def next_fit(rows: DataFrame, cost: str, budget: int, reserve: int = 0, order: list | None = None, guard_empty: bool = True, segment_rows: int | None = None) -> DataFrame:
+    """rows with batch_no (from 0), in an order.
 
     A row opens a new batch if the batch's cost, its own and the reserve exceed the budget; with guard_empty only if the batch has rows, else also before an oversize first row, which leaves an
-    empty batch number. The reserve is added in each comparison and not kept.
+    empty batch number. The reserve is added in each comparison and not kept. A null cost counts as 0; costs are not negative.
+
+    Spark sorts by ranges. What a range makes of the batch that is open at its beginning is found for all such batches at once: rows that may begin the first batch inside, in stretches that lead to the
+    same end. These stretches, mostly one or two for a range, go to the driver, which follows them; then each range numbers its own rows. Batches go on over ranges. With segment_rows, they begin anew every so many
+    rows, and rows get segment too.
     """
-    numbered = number_rows(rows, order or rows.columns, "__no").withColumn("segment", F.floor(F.col("__no") / segment_rows).cast("int"))
-    item = F.struct(F.col("__no"), F.col(cost).cast("long").alias("__cost"))
-    begun = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<no:long,batch:int>>").alias("out"))
+    room = budget - reserve
+    size = F.coalesce(F.col(cost).cast("long"), F.lit(0)).alias("__cost")
+    placed = ranged_rows(rows, order or rows.columns)
+    if segment_rows:
+        segment = F.floor((F.col("__start") + F.col("__at")) / segment_rows).cast("int")
+        named = placed.withColumn("segment", segment)
+        small, group = named.select(F.col("segment").alias("part"), (F.col("__start") + F.col("__at")).alias("at"), size), ["segment", "__no"]
+        named = named.withColumn("__no", F.col("__start") + F.col("__at"))
+    else:
+        named, group = placed, ["__part", "__at"]
+        small = placed.select(F.col("__part").alias("part"), F.col("__at").alias("at"), size)
+
+    def summed(df: pd.DataFrame) -> pd.DataFrame:
+        costs = df.sort_values("at")["__cost"].to_numpy(np.int64)
+        n = len(costs)
+        sums, then = _next_starts(costs, room)
+        # rows that may begin the first batch of the range: all that a batch open from before can reach
+        most = min(_entered(sums, 0, room) + 1, n)
+        last, count = np.arange(n), np.ones(n, np.int64)
+        for i in range(n - 1, -1, -1):
+            if then[i] < n:
+                last[i], count[i] = last[then[i]], count[then[i]] + 1
+        used = sums[-1] - sums[last[:most]]
+        edge = np.flatnonzero(np.r_[True, (last[1:most] != last[: most - 1]) | (count[1:most] != count[: most - 1])])
+        return pd.DataFrame({"part": df["part"].iloc[0], "before": sums[edge], "batches": count[edge], "used": used[edge], "total": sums[-1], "head": sums[1]})
+
+    entries: dict[int, tuple[int, int]] = {}  # range -> cost of the batch open before it (-1: none yet), its number
+    if not segment_rows:
+        open_, number = -1, 0
+        found: dict[int, list] = {}
+        for r in small.groupBy("part").applyInPandas(summed, _SUMMARY).collect():
+            found.setdefault(r["part"], []).append(r)
+        for part in sorted(found):
+            entries[part] = open_, number
+            stretches = sorted(found[part], key=lambda r: r["before"])
+            if open_ < 0:
+                own = stretches[0]
+                number += own["batches"] - 1 + (not guard_empty and own["head"] > room)
+            elif open_ + stretches[0]["total"] <= room:  # the whole range fits
+                open_ += stretches[0]["total"]
+                continue
+            else:
+                # rows before the first new batch fit into the open one
+                own = [r for r in stretches if open_ + r["before"] <= room or r is stretches[0]][-1]
+                number += own["batches"]
+            open_ = own["used"]
 
-    def place(state: Column, row: Column) -> Column:
-        over = state["used"] + row["__cost"] + reserve > budget
-        new = over & (state["n"] > 0) if guard_empty else over
-        batch = state["batch"] + new.cast("int")
-        used = F.when(new, row["__cost"]).otherwise(state["used"] + row["__cost"])
-        out = F.array_append(state["out"], F.struct(row["__no"].alias("no"), batch.alias("batch")))
-        return F.struct(batch.alias("batch"), used.alias("used"), F.when(new, 1).otherwise(state["n"] + 1).alias("n"), out.alias("out"))
+    def numbered(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("at")
+        costs = df["__cost"].to_numpy(np.int64)
+        sums, then = _next_starts(costs, room)
+        used, number = entries.get(int(df["part"].iloc[0]), (-1, 0))
+        at = 0 if used < 0 else _entered(sums, used, room)
+        if used < 0:
+            number += not guard_empty and costs[0] > room
+            number -= 1
+        starts = np.zeros(len(costs), np.int64)
+        while at < len(costs):
+            starts[at] = 1
+            at = int(then[at])
+        return pd.DataFrame({"part": df["part"], "at": df["at"], "batch_no": number + np.cumsum(starts)})
 
-    packed = numbered.groupBy("segment").agg(F.aggregate(F.array_sort(F.collect_list(item)), begun, place, lambda s: s["out"]).alias("out"))
-    batches = packed.select(F.explode("out").alias("o")).select(F.col("o.no").alias("__no"), F.col("o.batch").alias("batch_no"))
-    return numbered.join(batches, "__no").drop("__no")
+    batches = small.groupBy("part").applyInPandas(numbered, "part int, at long, batch_no int").toDF(*group, "batch_no")
+    return named.join(batches, group).select(*rows.columns, *(["segment"] if segment_rows else []), "batch_no")
 
 
 def embedding_batches(texts: DataFrame, cost: str, budget: int = 120_000, order: list | None = None) -> DataFrame:
     """Batches for an embedding model: one, unless all costs together exceed the budget."""
     total = texts.agg(F.sum(cost)).first()[0] or 0
     if total <= budget:
-        return texts.withColumn("segment", F.lit(0)).withColumn("batch_no", F.lit(0))
+        return texts.withColumn("batch_no", F.lit(0))
     return next_fit(texts, cost, budget, 0, order, guard_empty=False)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import materialize
@@ -18,23 +18,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Alternates two steps until nothing changes (about log of the longest path rounds): each node links its larger neighbours to
     the smallest it knows, then its smaller ones. Every round is a partial aggregation and a join by node, written to the shared folder;
-    the driver sees one checksum a round. Self-loops give components of one node; rows with a null end are ignored.
+    the driver sees one checksum a round, made while it is written. Self-loops give components of one node; rows with a null end are ignored.
     """
-    real = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
-    nodes = real.select("u").union(real.select("v")).distinct().withColumnRenamed("u", "node")
-    now = materialize(real.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    nodes = materialize(nodes, "nodes")
-    before = None
+    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
+    first = materialize(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", keep=True)
+    now, before = first.filter("u <> v"), None
     for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
-        now = materialize(small, "edges")
-        sign = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        now = materialize(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges", keep=True)
+        sign = seen.get
         if sign == before:
             break
         before = sign
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    nodes = first.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -42,8 +42,8 @@ def relationships(linked: DataFrame) -> DataFrame:
 def graph_nodes(linked: DataFrame, nodes: DataFrame) -> DataFrame:
     """(pg_id, name) at either end of complete triples, that nodes lacks."""
     done = complete(linked)
-    ends = done.select(F.col("from_entity_reference").alias("pg_id"), F.col("from_entity").alias("name")).unionByName(done.select(F.col("to_entity_reference").alias("pg_id"), F.col("to_entity").alias("name")))
-    return ends.distinct().join(nodes.select("pg_id", "name"), ["pg_id", "name"], "left_anti")
+    both = [F.struct(F.col(f"{e}_entity_reference").alias("pg_id"), F.col(f"{e}_entity").alias("name")) for e in ("from", "to")]
+    return done.select(F.inline(F.array(*both))).distinct().join(nodes.select("pg_id", "name"), ["pg_id", "name"], "left_anti")
 
 
 def graph_edges(relationships: DataFrame, types: DataFrame, nodes: DataFrame) -> DataFrame:

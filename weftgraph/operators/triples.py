@@ -42,8 +42,8 @@ def _distinct(objects: DataFrame) -> DataFrame:
 
 def entities(triples: DataFrame) -> DataFrame:
     """hash, name, description of the entities at either end."""
-    ends = [triples.select(F.col(f"{e}_entity_hash").alias("hash"), F.col(f"{e}_entity").alias("name"), F.col(f"{e}_entity_description").alias("description")) for e in ("from", "to")]
-    return _distinct(ends[0].unionByName(ends[1]))
+    ends = [F.struct(F.col(f"{e}_entity_hash").alias("hash"), F.col(f"{e}_entity").alias("name"), F.col(f"{e}_entity_description").alias("description")) for e in ("from", "to")]
+    return _distinct(triples.select(F.inline(F.array(*ends))))
 
 
 def relationship_types(triples: DataFrame) -> DataFrame:

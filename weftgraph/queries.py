@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text as fn
@@ -95,7 +95,7 @@ def uri_parse(spark, sf_dir):
 
 @query("source_listing")
 def source_listing(spark, sf_dir):
-    return sources.list_files(spark, f"{sf_dir}/n").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
+    return sources.list_files(spark, f"{sf_dir}/").select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
 
 
 @query("filetype_filter", f"WITH {_URIS} SELECT doc_id, regexp_extract(uri, '\\.([^./]+)$', 1) AS file_type FROM uris WHERE lower(regexp_extract(uri, '\\.([^./]+)$', 1)) IN ('txt', 'md')")
@@ -114,9 +114,9 @@ def doc_dedup(spark, sf_dir):
     return sources.distinct_documents(load(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("content")), "content", "doc_id")
 
 
-@query("blank_filter", "SELECT doc_id, CASE WHEN length(trim(coalesce(x, ''))) > 0 THEN 1 ELSE 0 END AS embeds FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE text END AS x FROM documents)")
+@query("blank_filter", "SELECT doc_id, CASE WHEN regexp_matches(coalesce(x, ''), '\\S') THEN 1 ELSE 0 END AS embeds FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '  ' WHEN doc_id % 7 = 0 THEN chr(10) || chr(9) ELSE text END AS x FROM documents)")
 def blank_filter(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.col("text"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).when(F.col("doc_id") % 7 == 0, F.lit("\n\t")).otherwise(F.col("text"))
     return load(spark, sf_dir, "documents").select("doc_id", F.when(fn.is_blank(text), 0).otherwise(1).alias("embeds"))
 
 
@@ -154,29 +154,28 @@ def chunk_pack(spark, sf_dir):
     return chunking.chunk_documents(docs, 100).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk"), "start_char", "end_char", "is_paragraph_boundary", "is_sentence_boundary")
 
 
-def _fit_sql(budget: int, reserve: int, guard: str) -> str:
-    over = f"{{c}} + {reserve} > {budget} {guard}"
-    return f"""WITH RECURSIVE o AS (SELECT doc_id, {_WORDS} AS cost, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents), s AS (SELECT *, (rn // {batching.SEGMENT_ROWS})::INT AS segment FROM o),
-f AS (SELECT rn, segment, cost AS used, CASE WHEN {over.format(c="cost").replace("AND n > 0", "AND false")} THEN 1 ELSE 0 END AS batch_no FROM s WHERE rn % {batching.SEGMENT_ROWS} = 0
- UNION ALL SELECT s.rn, s.segment, CASE WHEN {over.format(c="f.used + s.cost").replace("AND n > 0", "")} THEN s.cost ELSE f.used + s.cost END, f.batch_no + CASE WHEN {over.format(c="f.used + s.cost").replace("AND n > 0", "")} THEN 1 ELSE 0 END
- FROM f JOIN s ON s.rn = f.rn + 1 AND s.segment = f.segment)
-SELECT f.segment, f.batch_no::INT AS batch_no, count(*) AS n, sum(s.cost)::BIGINT AS tokens FROM f JOIN s ON s.rn = f.rn GROUP BY ALL"""
+def _fit_sql(budget: int, reserve: int) -> str:
+    over = f"f.used + s.cost + {reserve} > {budget}"
+    return f"""WITH RECURSIVE s AS (SELECT doc_id, {_WORDS} AS cost, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents),
+f AS (SELECT rn, cost AS used, {{first}} AS batch_no FROM s WHERE rn = 0
+ UNION ALL SELECT s.rn, CASE WHEN {over} THEN s.cost ELSE f.used + s.cost END, f.batch_no + CASE WHEN {over} THEN 1 ELSE 0 END FROM f JOIN s ON s.rn = f.rn + 1)
+SELECT f.batch_no::INT AS batch_no, count(*) AS n, sum(s.cost)::BIGINT AS tokens FROM f JOIN s ON s.rn = f.rn GROUP BY ALL"""
 
 
 def _batches(packed: DataFrame) -> DataFrame:
-    return packed.groupBy("segment", "batch_no").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("tokens"))
+    return packed.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("tokens"))
 
 
 def _costs(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", fn.token_count(F.col("text")).cast("long").alias("cost"))
 
 
-@query("verification_batches", _fit_sql(4_000, 500, "AND n > 0"))
+@query("verification_batches", _fit_sql(4_000, 500).format(first=0))
 def verification_batches(spark, sf_dir):
     return _batches(batching.verification_batches(_costs(spark, sf_dir), "cost", order=["doc_id"]))
 
 
-@query("embedding_batches", _fit_sql(120_000, 0, ""))
+@query("embedding_batches", _fit_sql(120_000, 0).format(first="CASE WHEN cost > 120000 THEN 1 ELSE 0 END"))
 def embedding_batches(spark, sf_dir):
     return _batches(batching.embedding_batches(_costs(spark, sf_dir), "cost", order=["doc_id"]))
 
@@ -266,17 +265,22 @@ def cosine_self_pairs(spark, sf_dir):
     return _rounded(similarity.self_pairs(load(spark, sf_dir, "embeddings"), THETA, "vec_id"))
 
 
-_KNN = f"knn AS (SELECT src, dst AS ref, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rn FROM pairs WHERE src % 2 = 1 AND dst % 2 = 0 AND s > {THETA})"
+_ASKED = "asked AS (SELECT * FROM pairs WHERE src % 50 = 0)"
+_KNN = f"{_ASKED}, knn AS (SELECT src, dst AS ref, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rn FROM asked WHERE s > {THETA})"
 
 
-def _odd_even(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def _asking(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Objects that ask, every fiftieth, and the registry with all of them, under ids of its own."""
     rows = load(spark, sf_dir, "embeddings")
-    return rows.filter("vec_id % 2 = 1"), rows.filter("vec_id % 2 = 0")
+    return rows.filter("vec_id % 50 = 0"), rows.withColumn("vec_id", F.col("vec_id") + 1_000_000)
 
 
 @query("cosine_knn", f"WITH {PAIRS}, {_KNN} SELECT src, ref, round(s, 6) AS similarity FROM knn WHERE rn <= 3")
 def cosine_knn(spark, sf_dir):
-    return _rounded(similarity.nearest(*_odd_even(spark, sf_dir), THETA, 3, "vec_id", "vec_id"))
+    # an object's own row in the registry is among the first four, or four others are as near
+    found = similarity.nearest(*_asking(spark, sf_dir), THETA, 4, "vec_id", "vec_id").withColumn("ref", F.col("ref") - 1_000_000).filter("src <> ref")
+    order = Window.partitionBy("src").orderBy(F.desc("similarity"), "ref")
+    return _rounded(found.withColumn("rn", F.row_number().over(order)).filter("rn <= 3").drop("rn"))
 
 
 @query("epsilon_candidates", f"WITH {PAIRS} SELECT src, dst, round(s, 6) AS similarity FROM (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM near) WHERE s >= top - 0.05")
@@ -284,10 +288,11 @@ def epsilon_candidates(spark, sf_dir):
     return _rounded(similarity.near_top(similarity.self_pairs(load(spark, sf_dir, "embeddings"), THETA, "vec_id"), THETA))
 
 
-@query("candidate_union", f"""WITH {PAIRS}, {_KNN}, own AS (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM near WHERE src % 2 = 1 AND dst % 2 = 1), db AS (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM knn WHERE rn <= 2)
+@query("candidate_union", f"""WITH {PAIRS}, asked AS (SELECT * FROM pairs WHERE src % 50 = 0 UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings WHERE vec_id % 50 = 0), knn AS (SELECT src, dst + 1000000 AS ref, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rn FROM asked WHERE s > {THETA}),
+own AS (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM near WHERE src % 50 = 0 AND dst % 50 = 0), db AS (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM knn WHERE rn <= 2)
 SELECT src, dst, NULL::BIGINT AS ref, round(s, 6) AS similarity, true AS is_from_input_list FROM own WHERE s >= top - 0.05 UNION ALL SELECT src, NULL, ref, round(s, 6), false FROM db WHERE s >= top - 0.05""")
 def candidate_union(spark, sf_dir):
-    return _rounded(similarity.candidates(*_odd_even(spark, sf_dir), THETA, 0.05, 2, "vec_id", "vec_id"))
+    return _rounded(similarity.candidates(*_asking(spark, sf_dir), THETA, 0.05, 2, "vec_id", "vec_id"))
 
 
 def _judged(spark, sf_dir) -> DataFrame:
@@ -367,17 +372,18 @@ def update_embedding(spark, sf_dir):
     return registry.update_embeddings(rows, changes).select("id", F.round(F.col("embedding")[0], 5).alias("first"))
 
 
-def _registry(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _registry(spark, sf_dir, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entities, and the references of those entities and types that the registry has."""
-    t = graph_triples(spark, sf_dir)
+    t = stored if stored is not None else materialize(graph_triples(spark, sf_dir), "triples")
     objects = materialize(triples.entities(t), "entities")
     entity_refs = materialize(registry.assign_ids(objects.filter(F.substring("hash", 1, 1) != "0"), 0, ["hash"], "reference"), "entity-refs")
     return objects, entity_refs, materialize(registry.assign_ids(triples.relationship_types(t), 0, ["hash"], "reference"), "type-refs")
 
 
 def _linked(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    _, entity_refs, type_refs = _registry(spark, sf_dir)
-    return linking.link_references(graph_triples(spark, sf_dir), entity_refs, type_refs), entity_refs, type_refs
+    stored = materialize(graph_triples(spark, sf_dir), "triples")
+    _, entity_refs, type_refs = _registry(spark, sf_dir, stored)
+    return linking.link_references(stored, entity_refs, type_refs), entity_refs, type_refs
 
 
 _REF_COLUMNS = "from_entity_hash, to_entity_hash, from_entity_reference, to_entity_reference, relationship_type_reference"
@@ -468,7 +474,7 @@ SELECT a.name || ' [' || a.id || ']' AS from_entity, t.name || ' [' || t.id || '
 FROM triples x JOIN e a ON a.name = x.from_entity JOIN e b ON b.name = x.to_entity JOIN t ON t.name = x.relationship_type""")
 def knowledge_graph(spark, sf_dir):
     """The whole flow without a verifier: triples, objects by name, ids, references, relationships, and these read back."""
-    found = graph_triples(spark, sf_dir)
+    found = materialize(graph_triples(spark, sf_dir), "triples")
     none = spark.createDataFrame([], "id long, name string")
 
     def numbered(objects: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from weftgraph.operators.numbering import number_rows
+from weftgraph.plans.staging import file_system
 from weftgraph.schemas import EDGES, NODES, OBJECTS, RELATIONSHIPS
 
 TABLES = {"entities": OBJECTS, "relationship_types": OBJECTS, "relationships": RELATIONSHIPS, "nodes": NODES, "edges": EDGES}
@@ -34,46 +36,60 @@ def update_embeddings(registry: DataFrame, changes: DataFrame) -> DataFrame:
     return registry.join(last, "id", "left").withColumn("embedding", F.coalesce("__new", "embedding")).select(*registry.columns)
 
 
+class Conflict(Exception):
+    """Another writer has made the version that a commit was to make."""
+
+
 class Registry:
-    """Tables below a folder. Each commit writes whole versions of the tables it changes and then adds one row to the log of versions, so a reader sees all of a commit or none."""
+    """Tables below a folder. A version is one small file that names, for each table, the folders of its parts; a commit writes new parts and then that file, so a reader sees all of a commit or none. The
+    file is made only if it isn't there: of two writers one gets a Conflict. Rows that are added cost what they are; older parts stay as they are."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self._log_schema = T.StructType([T.StructField("version", T.LongType()), T.StructField("name", T.StringType()), T.StructField("path", T.StringType())])
-
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
-    def _paths(self) -> tuple[int, dict[str, str]]:
-        if not self._exists(f"{self.path}/log"):
-            return 0, {}
-        log = self.spark.read.schema(self._log_schema).json(f"{self.path}/log")
-        rows = log.groupBy("name").agg(F.max_by("path", "version").alias("path"), F.max("version").alias("version")).collect()  # a row for each table
-        return max(r["version"] for r in rows), {r["name"]: r["path"] for r in rows}
+    def _version(self) -> dict:
+        """The last version: its number, its tables' parts and the names of the batches so far."""
+        at, fs = file_system(self.spark, f"{self.path}/versions")
+        if not fs.exists(at):
+            return {"version": 0, "tables": {}, "batches": []}
+        last = max(str(f.getPath().getName()) for f in fs.listStatus(at))
+        return json.loads(self.spark.read.text(f"{self.path}/versions/{last}", wholetext=True).first()[0])
 
     def create(self) -> Registry:
         """Empty tables, where there are none; existing ones stay."""
-        if not self._paths()[1]:
+        if not self._version()["tables"]:
             self.wipe()
         return self
 
     def wipe(self) -> None:
-        """All tables empty."""
-        self.commit({name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()})
+        """All tables empty, and no batch known."""
+        self.commit(replaced={name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}, forget=True)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(self._paths()[1][name])
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        version, _ = self._paths()
-        rows = []
-        for name, df in tables.items():
-            at = f"{self.path}/{name}/{version + 1}-{uuid.uuid4().hex}"
-            df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]).write.parquet(at)
-            rows.append((version + 1, name, at))
-        self.spark.createDataFrame(rows, self._log_schema).coalesce(1).write.mode("append").json(f"{self.path}/log")
+        return self.spark.read.schema(TABLES[name]).parquet(*self._version()["tables"][name])
+
+    def has_batch(self, batch: str) -> bool:
+        """Whether a commit of this name is in the last version."""
+        return batch in self._version()["batches"]
+
+    def commit(self, added: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, batch: str | None = None, forget: bool = False) -> None:
+        """A new version: rows added to tables, tables replaced, and the name of the batch that they come from."""
+        old = self._version()
+        tables = dict(old["tables"])
+        for parts, keep in ((replaced or {}, False), (added or {}, True)):
+            for name, df in parts.items():
+                at = f"{self.path}/{name}/{old['version'] + 1}-{uuid.uuid4().hex}"
+                df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]).write.parquet(at)
+                tables[name] = [*(tables.get(name, []) if keep else []), at]
+        batches = [] if forget else old["batches"] + ([batch] if batch else [])
+        version = {"version": old["version"] + 1, "tables": tables, "batches": batches}
+        at, fs = file_system(self.spark, f"{self.path}/versions/{version['version']:012d}.json")
+        try:
+            out = fs.create(at, False)
+        except Py4JJavaError as failed:
+            raise Conflict(f"version {version['version']} of {self.path} is there already") from failed
+        out.write(json.dumps(version).encode())
+        out.close()
 
     def largest_id(self, name: str) -> int:
         return self.table(name).agg(F.max("id")).first()[0] or 0

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import embed_text
+from weftgraph.functions.text import embed_text, identity_hash
 from weftgraph.operators import linking, resolution, similarity, triples
 from weftgraph.operators.chunking import chunk_documents
-from weftgraph.operators.registry import Registry, assign_ids
-from weftgraph.plans.models import Embedder, Extractor, HashingEmbedder, RuleVerifier, Verifier, embed_column, extract_triples, extractor_named
-from weftgraph.plans.staging import materialize
+from weftgraph.operators.registry import Registry, assign_ids, update_embeddings
+from weftgraph.plans.models import Embedder, Extractor, HashingEmbedder, RuleVerifier, SlidingWindow, Verifier, embed_column, extract_triples, extractor_named
+from weftgraph.plans.staging import materialize, scratch
 from weftgraph.sources.documents import distinct_documents
 
 
@@ -33,22 +33,32 @@ class Settings:
 class Ingest:
     """One dataflow over a batch of documents. Its steps are DataFrames; model answers are written before they are used, so they are asked for once."""
 
-    def __init__(self, spark: SparkSession, registry: Registry, settings: Settings = Settings(), embedder: Callable[[], Embedder] = HashingEmbedder, verifier: Verifier | None = None) -> None:
+    def __init__(self, spark: SparkSession, registry: Registry, settings: Settings = Settings(), embedder: Callable[[], Embedder] = HashingEmbedder, verifier: Verifier | None = None, limiter: Callable[[], SlidingWindow] | None = None) -> None:
         self.spark, self.registry, self.settings, self.embedder = spark, registry.create(), settings, embedder
-        self.verifier = verifier or RuleVerifier()
+        self.verifier, self.limiter = verifier or RuleVerifier(), limiter
         self.extractor: Callable[[], Extractor] = extractor_named(settings.extractor)
 
     def extract(self, docs: DataFrame) -> DataFrame:
-        """Triples with identity hashes, of documents (uri, content, file_type)."""
+        """Triples with identity hashes, of documents (uri, content, file_type). Chunks are dealt out anew before the model is asked, as a long document's all come from one task."""
         chunks = chunk_documents(distinct_documents(docs), self.settings.chunk_tokens)
-        answers = materialize(extract_triples(chunks.select("uri", "chunk"), self.extractor, permissive=self.settings.permissive), "answers")
+        dealt = chunks.select("uri", "chunk_no", "chunk").repartition("uri", "chunk_no")
+        answers = materialize(extract_triples(dealt, self.extractor, permissive=self.settings.permissive), "answers")
         parsed = answers.withColumn("triples", triples.valid(triples.parse(F.col("answer"))))
         return triples.with_hashes(triples.explode(parsed))
 
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        """rows (name, description, maybe embedding) with the vectors that they lack."""
+        asked = rows.withColumn("text", embed_text(F.col("name"), F.col("description")))
+        return embed_column(asked, "text", self.embedder, limiter=self.limiter).drop("text")
+
     def resolve(self, objects: DataFrame, table: str) -> DataFrame:
-        """hash, reference of objects (hash, name, description); the registry's table gets what is new to it."""
+        """hash, reference of objects (hash, name, description, maybe embedding); the registry's table gets what is new to it, and new vectors of rows whose text a verifier has changed."""
         s, stored = self.settings, self.registry.table(table)
-        vectors = materialize(embed_column(objects.withColumn("text", embed_text(F.col("name"), F.col("description"))), "text", self.embedder).drop("text"), "objects")
+        if "embedding" not in objects.columns:
+            # an object that the registry has word for word has its vector there
+            known = stored.groupBy(identity_hash(F.col("name"), F.col("description")).alias("hash")).agg(F.min_by("embedding", "id").alias("embedding"))
+            objects = objects.join(known, "hash", "left")
+        vectors = materialize(self._embedded(objects), "objects")
         near = similarity.candidates(vectors, stored, s.threshold, s.epsilon, s.registry_candidates, ident="hash", ref="id")
         named = vectors.select(F.col("hash").alias("src"), "name", "description")
         others = vectors.select(F.col("hash").alias("dst"), F.col("name").alias("dst_name"), F.col("description").alias("dst_description"))
@@ -62,28 +72,34 @@ class Ingest:
         # one row for each new name: components that agree on it are one object
         names = new.groupBy("name").agg(F.min_by("description", "component").alias("description"))
         fresh = materialize(assign_ids(names, self.registry.largest_id(table), ["name"]), "fresh")
-        again = embed_column(fresh.withColumn("text", embed_text(F.col("name"), F.col("description"))), "text", self.embedder).drop("text")
-        self.pending[table] = stored.unionByName(again.select("id", "name", "description", "embedding"))
+        added = materialize(self._embedded(fresh).select("id", "name", "description", "embedding"), "added")
+        changed = resolved.filter(F.col("has_updates") & F.col("reference").isNotNull()).select(F.col("reference").alias("id"), F.col("hash").alias("seq"), "name", "description")
+        changes = materialize(self._embedded(changed).select("id", "seq", "embedding"), "changes")
+        if changes.isEmpty():
+            self.added[table] = added
+        else:
+            self.replaced[table] = update_embeddings(stored, changes).unionByName(added)
+        self.objects[table] = stored.select("id", "name").unionByName(added.select("id", "name"))
         ids = new.select("component", "name").join(fresh.select("name", F.col("id").alias("new_id")), "name").select("component", "new_id")
         return materialize(resolved.join(ids, "component", "left").select("hash", F.coalesce("reference", "new_id").alias("reference")), "references")
 
-    def run(self, docs: DataFrame) -> DataFrame:
-        """The linked triples of docs; all tables of the registry change in one commit."""
-        found = materialize(self.extract(docs), "triples")
-        return self.store(found)
+    def run(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
+        """The linked triples of docs; all tables of the registry change in one commit, under the name of the batch."""
+        with scratch(self.spark):
+            return self.store(materialize(self.extract(docs), "triples"), batch)
 
-    def store(self, found: DataFrame) -> DataFrame:
+    def store(self, found: DataFrame, batch: str | None = None) -> DataFrame:
         """Resolves, links and stores triples that have their hashes."""
-        self.pending: dict[str, DataFrame] = {}
+        self.added, self.replaced, self.objects = {}, {}, {}
         entity_refs = self.resolve(triples.entities(found), "entities")
         type_refs = self.resolve(triples.relationship_types(found), "relationship_types")
-        linked = materialize(linking.link_references(found, entity_refs, type_refs), "linked")
+        linked = materialize(linking.link_references(found, entity_refs, type_refs), "linked", keep=True)
         rows = linking.relationships(linked)
         added = materialize(assign_ids(rows, self.registry.largest_id("relationships"), rows.columns), "relationships")
-        nodes = self.registry.table("nodes")
-        nodes = materialize(nodes.unionByName(linking.graph_nodes(linked, nodes)), "nodes")
-        edges = linking.graph_edges(added, self.pending["relationship_types"], nodes)
-        self.registry.commit({**self.pending, "relationships": self.registry.table("relationships").unionByName(added), "nodes": nodes, "edges": self.registry.table("edges").unionByName(edges)})
+        old = self.registry.table("nodes")
+        nodes = materialize(linking.graph_nodes(linked, old), "nodes")
+        edges = linking.graph_edges(added, self.objects["relationship_types"], old.unionByName(nodes))
+        self.registry.commit({**self.added, "relationships": added, "nodes": nodes, "edges": edges}, self.replaced, batch)
         return linked
 
 
@@ -96,3 +112,8 @@ def health(spark: SparkSession, registry: Registry) -> DataFrame:
     except Exception as failed:  # the state is what is asked for
         rows.append(("registry", "ERROR", str(failed)[:200]))
     return spark.createDataFrame(rows, "service string, state string, message string")
+
+
+def all_ok(states: DataFrame) -> DataFrame:
+    """One row, ok: whether every state is "OK"; true without any."""
+    return states.agg(F.coalesce(F.bool_and(F.col("state") == "OK"), F.lit(True)).alias("ok"))

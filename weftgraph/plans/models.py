@@ -9,14 +9,19 @@ import re
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import token_count
+from weftgraph.operators import batching, resolution
+from weftgraph.plans.staging import materialize
 from weftgraph.schemas import TRIPLE_FIELDS
 
 # The fields that an extractor is asked for, and the kinds of statements.
@@ -94,6 +99,20 @@ class Extractor(ABC):
         """A list of triples for each text."""
 
 
+class PromptExtractor(Extractor):
+    """A model behind a function from a prompt to the JSON of a chunk's triples; each request waits for `limiter`."""
+
+    def __init__(self, complete: Callable[[str], str], limiter: SlidingWindow | None = None, count: Callable[[str], int] = lambda t: len(t.split())) -> None:
+        self.complete, self.limiter, self.count = complete, limiter, count
+
+    def extract(self, texts: list[str]) -> list[list[dict]]:
+        out = []
+        for prompt in map(extraction_prompt, texts):
+            with self.limiter.slot(self.count(prompt)) if self.limiter else nullcontext():
+                out.append(json.loads(self.complete(prompt)))
+        return out
+
+
 class PatternExtractor(Extractor):
     """Sentences of the form <subject> <verb> <object>, with a verb of a small list."""
 
@@ -114,10 +133,14 @@ class PatternExtractor(Extractor):
 
 
 class Embedder(ABC):
-    """Vectors of texts, one instance for each partition."""
+    """Vectors of texts, one instance for each partition. A request has at most max_batch_size texts and, unless it has one, max_batch_tokens tokens; texts are cut to max_tokens words (0: not)."""
 
     max_batch_size: int = 128
     max_batch_tokens: int = 120_000
+    max_tokens: int = 0
+    dimensions: int = 0
+    #: What is put before a text of a kind ("document" or "query").
+    prefixes: dict[str, str] = {}
 
     @abstractmethod
     def embed(self, texts: list[str]) -> list[list[float]]:
@@ -127,8 +150,8 @@ class Embedder(ABC):
 class HashingEmbedder(Embedder):
     """Signed counts of lower-case words and pairs of words in buckets, of unit length."""
 
-    def __init__(self, dimensions: int = 256) -> None:
-        self.dimensions = dimensions
+    def __init__(self, dimensions: int = 256, max_tokens: int = 0) -> None:
+        self.dimensions, self.max_tokens = dimensions, max_tokens
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
@@ -151,6 +174,38 @@ class Verifier(ABC):
         """pairs (name, description, other_name, other_description, similarity, ...) with are_same, updated_name and updated_description."""
 
 
+def _bare(column: str) -> Column:
+    """A name in lower case without white space at its ends."""
+    return F.lower(F.regexp_replace(column, r"^\s+|\s+$", ""))
+
+
+class BatchVerifier(Verifier):
+    """A model that judges pairs in batches of a token budget: `judge` makes, once for each batch's worker, what turns a list of pairs (as dicts) into a list of answers (are_same, updated_name,
+    updated_description; None: no answer, so not the same). Each request waits for `limiter` and is repeated when it is refused."""
+
+    COLUMNS = ("name", "description", "other_name", "other_description")
+
+    def __init__(self, judge: Callable[[], Callable[[list[dict]], list[dict | None]]], count: Callable[[str], int] | None = None, budget: int = 4_000, reserve: int = 500, limiter: Callable[[], SlidingWindow] | None = None, retry: Callable = with_retries) -> None:
+        self.judge, self.count, self.budget, self.reserve, self.limiter, self.retry = judge, count, budget, reserve, limiter, retry
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        order = [c for c in ("src", "dst", "ref", *self.COLUMNS) if c in pairs.columns]
+        cost = reduce(add, [token_count(F.col(c), self.count) for c in self.COLUMNS])
+        packed = materialize(batching.verification_batches(pairs.withColumn("__tokens", cost), "__tokens", self.budget, self.reserve, order).withColumn("pair_id", F.monotonically_increasing_id()), "pairs")
+        judge, limiter, retry, columns = self.judge, self.limiter, self.retry, list(self.COLUMNS)
+
+        def asked(df: pd.DataFrame) -> pd.DataFrame:
+            ask, limit = judge(), limiter() if limiter else None
+            rows = df[columns].to_dict("records")
+            with limit.slot(int(df["__tokens"].sum())) if limit else nullcontext():
+                answers = retry(lambda: ask(rows))
+            told = [(i, *(a.get(k) for k in ("are_same", "updated_name", "updated_description"))) for i, a in zip(df["pair_id"], answers, strict=True) if a]
+            return pd.DataFrame(told, columns=["pair_id", "are_same", "updated_name", "updated_description"])
+
+        verdicts = packed.groupBy("batch_no").applyInPandas(asked, "pair_id long, are_same boolean, updated_name string, updated_description string")
+        return resolution.merge_verdicts(packed, verdicts, ("pair_id",)).drop("__tokens", "batch_no", "pair_id")
+
+
 class RuleVerifier(Verifier):
     """The same if the names are, but for case and ends, or the similarity is at least tau. The longer name stays (of equal ones the lesser), and both descriptions if they differ."""
 
@@ -158,7 +213,7 @@ class RuleVerifier(Verifier):
         self.tau = tau
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        same = (F.lower(F.trim("name")) == F.lower(F.trim("other_name"))) | (F.col("similarity") >= self.tau)
+        same = (_bare("name") == _bare("other_name")) | (F.col("similarity") >= self.tau)
         n, m = F.length("name"), F.length("other_name")
         name = F.when(n > m, F.col("name")).when(m > n, F.col("other_name")).otherwise(F.least("name", "other_name"))
         both = F.when(F.col("description").eqNullSafe(F.col("other_description")), F.col("description")).otherwise(F.concat_ws("; ", "description", "other_description"))
@@ -166,6 +221,11 @@ class RuleVerifier(Verifier):
         return pairs.withColumns({"are_same": same, "updated_name": F.when(same, name), "updated_description": F.when(same, both)})
 
 
+def extraction_prompt(text: str) -> str:
+    """What a model is told to do with a chunk."""
+    return f"{EXTRACTION_PROMPT}\n\n{text}"
+
+
 def extract_triples(chunks: DataFrame, make: Callable[[], Extractor] = PatternExtractor, text_col: str = "chunk", batch_rows: int = 64, permissive: bool = False) -> DataFrame:
     """chunks with answer: the JSON of each chunk's triples. An extractor that fails is an error; with permissive the answer is "[]" and the error is in the column error."""
     names = [c for c in chunks.columns if c not in ("answer", "error")]
@@ -188,19 +248,42 @@ def extract_triples(chunks: DataFrame, make: Callable[[], Extractor] = PatternEx
     return chunks.select(*names).mapInPandas(run, schema)
 
 
-def embed_column(rows: DataFrame, text_col: str, make: Callable[[], Embedder] = HashingEmbedder, out_col: str = "embedding") -> DataFrame:
-    """rows with a vector of a text column, asked for in batches of the embedder's size."""
+def request_batches(texts: list[str], most_texts: int, most_tokens: int, count: Callable[[str], int]) -> Iterator[tuple[int, int, int]]:
+    """Where the requests for texts begin and end, and their tokens."""
+    begin, used = 0, 0
+    for i, text in enumerate(texts):
+        cost = count(text)
+        if i > begin and (i - begin == most_texts or used + cost > most_tokens):
+            yield begin, i, used
+            begin, used = i, 0
+        used += cost
+    if begin < len(texts):
+        yield begin, len(texts), used
+
+
+def embed_column(rows: DataFrame, text_col: str, make: Callable[[], Embedder] = HashingEmbedder, out_col: str = "embedding", kind: str = "document", limiter: Callable[[], SlidingWindow] | None = None) -> DataFrame:
+    """rows with a vector of a text column, asked for in requests of the embedder's size, each after waiting for `limiter`. Vectors that rows have already (out_col not null or empty) stay and aren't asked for."""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embedder = make()
+        embedder, limit = make(), limiter() if limiter else None
+        prefix = embedder.prefixes.get(kind, "")
         for texts in batches:
-            out: list[list[float]] = []
-            for at in range(0, len(texts), embedder.max_batch_size):
-                out += embedder.embed(texts.iloc[at : at + embedder.max_batch_size].tolist())
+            out: list = [[]] * len(texts)
+            wanted = [i for i, t in enumerate(texts) if t and t.strip()]
+            ready = [prefix + (" ".join(t.split()[: embedder.max_tokens]) if embedder.max_tokens else t) for t in texts.iloc[wanted]]
+            for a, b, tokens in request_batches(ready, embedder.max_batch_size, embedder.max_batch_tokens, lambda t: len(t.split())):
+                with limit.slot(tokens) if limit else nullcontext():
+                    for i, v in zip(wanted[a:b], embedder.embed(ready[a:b]), strict=True):
+                        if embedder.dimensions and len(v) not in (0, embedder.dimensions):
+                            raise ValueError(f"a vector of {len(v)} dimensions, not {embedder.dimensions}")
+                        out[i] = v
             yield pd.Series(out, dtype=object)
 
-    return rows.withColumn(out_col, vectors(F.col(text_col)))
+    if out_col not in rows.columns:
+        return rows.withColumn(out_col, vectors(F.col(text_col)))
+    have = F.coalesce(F.size(out_col) > 0, F.lit(False))
+    return rows.withColumn(out_col, F.when(have, F.col(out_col)).otherwise(vectors(F.when(~have, F.col(text_col)))))
 
 
 #: Extractors by name; an unknown name is an error before any work begins.

@@ -20,15 +20,17 @@ def stream_documents(spark: SparkSession, folder: str, files_per_batch: int = 1_
 
 
 def ingest_stream(docs: DataFrame, ingest: Ingest, checkpoint: str, seen: str) -> StreamingQuery:
-    """Runs ingest over each micro-batch until no files are left. Digests of contents are kept below `seen`, with the number of the batch that brought them: a content is ingested once, also if its batch is repeated after a failure."""
+    """Runs ingest over each micro-batch until no files are left. Digests of contents are kept below `seen`, with the number of the batch that brought them, and the registry keeps the name of each batch with what it brought: a content is ingested once, also if its batch is repeated after a failure."""
     spark = docs.sparkSession
 
     def batch(rows: DataFrame, number: int) -> None:
+        name = f"{checkpoint}:{number}"
         digests = rows.withColumn("digest", F.sha2("content", 256))
         old = spark.read.schema("digest string, batch long").parquet(seen).filter(F.col("batch") < number)
         new = materialize(digests.join(old, "digest", "left_anti"), "batch")
-        if not new.isEmpty():
-            ingest.run(new.select("uri", "content", "file_type"))
+        # a batch that was committed before a failure isn't run again
+        if not new.isEmpty() and not ingest.registry.has_batch(name):
+            ingest.run(new.select("uri", "content", "file_type"), name)
         new.select("digest", F.lit(number).cast("long").alias("batch")).distinct().write.mode("append").parquet(seen)
 
     spark.createDataFrame([], "digest string, batch long").write.mode("append").parquet(seen)

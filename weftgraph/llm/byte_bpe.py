@@ -7,8 +7,8 @@ the last token at each place among them. A byte leads to the next state, made wh
 are emitted at once. No token begins further back than the longest token is long, so lookahead is bounded.
 
 The transducer is made lazily: a transition becomes part of it when it is needed for the second time and there is room. Until then the rest of the piece is left to the machine before it is
-determinised: at each place the longest token that ends there (found by an Aho-Corasick automaton of all tokens) and goes with the last token at the place where it begins. So a worker's memory is
-bounded, whatever the texts and however long a piece is.
+determinised: at each place the longest token that ends there and goes with the last token at the place where it begins. For the new pieces of many texts this is done for all of one length at once.
+So a worker's memory is bounded, whatever the texts and however long a piece is.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.common import bound_batches
 
-#: Pieces whose tokens a worker remembers, in each of two generations; states that the transducer may have.
-MEMO_PIECES = 250_000
-MEMO_STATES = 80_000
-#: Pairs of tokens of which a worker remembers whether they stay apart.
-MEMO_PAIRS = 400_000
+#: Pieces met more than once whose tokens a worker remembers, in each of two generations; pieces met once; states that the transducer may have.
+MEMO_PIECES, MEMO_MET = 250_000, 200_000
+MEMO_STATES = 20_000
+#: Pairs of tokens of which a worker remembers whether they stay apart, one by one and (a power of two, twice as many as there may be) for many pieces at once.
+MEMO_PAIRS, PAIR_SLOTS = 100_000, 1 << 20
+#: Bytes of the longest piece that is simulated with others, and characters of texts whose new pieces are.
+LONG_PIECE, BATCH_CHARS = 32, 2_000_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -63,6 +65,39 @@ class _State:
         self.next: dict[int, tuple[_State, list[int]] | None] = {}  # None: met once
 
 
+class _Pairs:
+    """Which pairs of tokens stay apart, for many at once: a table with open addressing, emptied when it is half full."""
+
+    def __init__(self) -> None:
+        self.keys, self.fits, self.held = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(40)).astype(np.int64) & (PAIR_SLOTS - 1)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair fits, and the places of those not known."""
+        slots, fits = self._slots(keys), np.zeros(len(keys), bool)
+        open_, unknown = np.arange(len(keys)), []
+        while len(open_):
+            there = self.keys[slots[open_]]
+            hit = there == keys[open_]
+            fits[open_[hit]] = self.fits[slots[open_[hit]]]
+            unknown.append(open_[there < 0])
+            open_ = open_[~hit & (there >= 0)]
+            slots[open_] = (slots[open_] + 1) & (PAIR_SLOTS - 1)
+        return fits, np.concatenate(unknown) if unknown else open_
+
+    def add(self, keys: np.ndarray, fits: list[bool]) -> None:
+        if self.held + len(keys) > PAIR_SLOTS // 2:
+            self.keys[:], self.held = -1, 0
+        for key, slot, fit in zip(keys.tolist(), self._slots(keys).tolist(), fits, strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & (PAIR_SLOTS - 1)
+            self.keys[slot], self.fits[slot] = key, fit
+        self.held += len(keys)
+
+
 class Transducer:
     """Bytes in, token ids out, with bounded lookahead."""
 
@@ -85,6 +120,15 @@ class Transducer:
         tokens.make_automaton()
         self._ends = tokens.iter
         self._goes: dict[int, bool] = {}
+        # beginnings of tokens as nodes, for many pieces at once: node * 256 + byte -> node
+        nodes = {prefix: i for i, prefix in enumerate(self.kinds)}
+        edges = sorted((nodes[x[:-1]] * 256 + x[-1], i) for x, i in nodes.items() if len(x) > 1)
+        self._edges, self._to = np.array([e for e, _ in edges], np.int64), np.array([i for _, i in edges], np.int64)
+        self._token = np.array([kind >> 2 if kind & 2 else -1 for kind in self.kinds.values()], np.int64)
+        self._first = np.array([nodes[bytes((b,))] for b in range(256)], np.int64)
+        self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self._sizes[list(self._lens)] = list(self._lens.values())
+        self._pairs = _Pairs()
         self.start = _State(-1, b"", (), (0,))
         self.states = {(-1, b""): self.start}
 
@@ -194,6 +238,58 @@ class Transducer:
             done = end + 1
         return self._back(lasts[1:], len(data))
 
+    def _fit_all(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
+        keys = left << 20 | token
+        fits, unknown = self._pairs.find(keys)
+        if len(unknown):
+            new, at = np.unique(keys[unknown], return_inverse=True)
+            told = [self._apart(k >> 20, k & 0xFFFFF) for k in new.tolist()]
+            self._pairs.add(new, told)
+            fits[unknown] = np.array(told, bool)[at]
+        return fits
+
+    def simulate_all(self, data: np.ndarray) -> list[bytes]:
+        """The ids, as bytes, of pieces of one length: the rows of data."""
+        many, size = data.shape
+        flat, at, node = data.ravel(), np.arange(data.size), self._first[data.ravel()]
+        # for each length, the token of so many bytes that begins at each place
+        tokens = [self._token[node].reshape(many, size)]
+        for n in range(2, size + 1):
+            inside = at % size + n <= size
+            at, edge = at[inside], node[inside] * 256 + flat[at[inside] + n - 1]
+            found = np.minimum(np.searchsorted(self._edges, edge), len(self._edges) - 1)
+            goes = self._edges[found] == edge
+            at, node = at[goes], self._to[found[goes]]
+            if not len(at):
+                break
+            longer = np.full(data.size, -1, np.int64)
+            longer[at] = self._token[node]
+            tokens.append(longer.reshape(many, size))
+        lasts = np.full((size + 1, many), -1, np.int64)
+        for end in range(1, size + 1):
+            last, open_ = tokens[0][:, end - 1].copy(), np.arange(many)
+            for n in range(min(end, len(tokens)), 1, -1):
+                token = tokens[n - 1][open_, end - n]
+                there = np.flatnonzero(token >= 0)
+                if not len(there):
+                    continue
+                if end > n:
+                    there = there[self._fit_all(lasts[end - n][open_[there]], token[there])]
+                last[open_[there]] = token[there]
+                open_ = np.delete(open_, there)
+                if not len(open_):
+                    break
+            lasts[end] = last
+        ids, first = np.zeros((many, size), "<u4"), np.full(many, size)
+        rows, ends = np.arange(many), np.full(many, size)
+        while len(rows):
+            token = lasts[ends[rows], rows]
+            first[rows] -= 1
+            ids[rows, first[rows]] = token
+            ends[rows] -= self._sizes[token]
+            rows = rows[ends[rows] > 0]
+        return [row[k:].tobytes() for row, k in zip(ids, first.tolist(), strict=True)]
+
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
         state = self.start
@@ -215,6 +311,10 @@ class Transducer:
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Signs that are a match of SPACED_PATTERN of their own after a letter, if nothing but white space follows.
+SIGNS = frozenset(".,;:!?)\"")
+
+
 class Encoder:
     """Texts to ids; each match of the pattern is encoded separately. Ids are little-endian unsigned 32-bit integers in bytes, as these join fast."""
 
@@ -222,21 +322,40 @@ class Encoder:
         self.transducer = Transducer(ranks)
         self.find = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
-        self.white = frozenset(regex.findall(r"\s", "".join(map(chr, range(0x3100)))))
+        every = "".join(map(chr, range(0x110000)))
+        self.white = frozenset(regex.findall(r"\s", every))
+        #: Characters on which Python and the pattern differ about what a letter is.
+        self.doubtful = frozenset(regex.findall(r"\p{L}", every)) ^ frozenset(c for c in every if c.isalpha())
         #: The ids of pieces. What follows a space goes without it, so that it is found as a word of a text; all other pieces have one more space before them.
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.met: dict[str, bytes] = {}
 
     def _piece(self, key: str) -> bytes:
         """The ids of a piece, by its key in the memo."""
-        ids = self.older.get(key)
+        ids = self._known(key)
         if ids is None:
             data = key[1:].encode() if key[0] == " " else b" " + key.encode()
             whole = self.transducer.ranks.get(data)  # a piece that is a token stays whole even if merges don't lead to it
             ids = array("I", (whole,) if whole is not None else self.transducer.encode(data)).tobytes()
-        if len(self.memo) >= MEMO_PIECES:
-            self.memo, self.older = {}, self.memo
-        self.memo[key] = ids
+            self._remember(key, ids)
+        return ids
+
+    def _remember(self, key: str, ids: bytes) -> None:
+        """Notes a piece that is met for the first time."""
+        if len(self.met) >= MEMO_MET:
+            self.met.clear()
+        self.met[key] = ids
+
+    def _known(self, key: str) -> bytes | None:
+        """The ids of a piece that was met once, or long ago; from now on it is in the memo."""
+        ids = self.met.pop(key, None)
+        if ids is None:
+            ids = self.older.get(key)
+        if ids is not None:
+            if len(self.memo) >= MEMO_PIECES:
+                self.memo, self.older = {}, self.memo
+            self.memo[key] = ids
         return ids
 
     def _matches(self, text: str) -> bytes:
@@ -249,14 +368,19 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """What follows a space, up to the next one. Letters are one piece; most other words are letters and a sign."""
-        if word.isascii():
-            if word.isalpha():
-                return self._piece(word)
-            stem, sign = word[:-1], word[-1]
-            if stem.isalpha() and not sign.isalnum() and sign not in self.white:
-                known, end = self.memo.get(stem), self.memo.get(" " + sign)
-                return (self._piece(stem) if known is None else known) + (self._piece(" " + sign) if end is None else end)
-        return self._matches(" " + word)
+        if word.isalpha() and self.doubtful.isdisjoint(word):
+            return self._piece(word)
+        stem, sign = word[:-1], word[-1]
+        if sign in SIGNS and stem.isalpha() and self.doubtful.isdisjoint(stem):
+            known, end = self.memo.get(stem), self.memo.get(" " + sign)
+            return (self._piece(stem) if known is None else known) + (self._piece(" " + sign) if end is None else end)
+        if word[-1] in self.white or " " in word:
+            return self._matches(" " + word)
+        ids = self._known(word)
+        if ids is None:
+            ids = self._matches(" " + word)
+            self._remember(word, ids)
+        return ids
 
     def _grouped(self, words: list[str]) -> list[str]:
         """words joined again where white space is next to the space between them."""
@@ -269,6 +393,45 @@ class Encoder:
                 out.append(word)
         return out
 
+    def _new_pieces(self, words: set[str]) -> None:
+        """Notes the pieces of words that no memo has."""
+        keys: set[str] = set()
+        for word in words:
+            if word.isalpha() and self.doubtful.isdisjoint(word):
+                keys.add(word)
+            elif word and word[-1] in SIGNS and (stem := word[:-1]).isalpha() and self.doubtful.isdisjoint(stem):
+                keys.add(stem)
+            elif word not in self.met and word not in self.older:
+                keys.update(piece[1:] if piece[0] == " " and piece[-1] not in self.white else " " + piece for piece in self.find(" " + word))
+        groups: dict[int, list[tuple[str, bytes]]] = {}
+        for key in keys:
+            if key in self.memo or key in self.met or key in self.older:
+                continue
+            data = key[1:].encode() if key[0] == " " else b" " + key.encode()
+            if 1 < len(data) <= LONG_PIECE and data not in self.transducer.ranks:
+                groups.setdefault(len(data), []).append((key, data))
+        if len(self.met) + sum(map(len, groups.values())) > MEMO_MET:
+            self.met.clear()
+        for size, pieces in groups.items():
+            data = np.frombuffer(b"".join(x for _, x in pieces), np.uint8).reshape(-1, size).astype(np.int64)
+            self.met.update(zip((key for key, _ in pieces), self.transducer.simulate_all(data), strict=True))
+
+    def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
+        """The ids of each text; the new pieces of many texts are found together."""
+        out: list[bytes] = []
+        part: list[str | None] = []
+        size = 0
+        for text in (*texts, None):
+            part.append(text)
+            size += len(text or "")
+            if size > BATCH_CHARS or len(out) + len(part) > len(texts):
+                if self.spaced:
+                    known = self.memo
+                    self._new_pieces({w for t in part if t for w in t.split(" ") if w not in known})
+                out += map(self.encode_bytes, part)
+                part, size = [], 0
+        return out[: len(texts)]
+
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -391,7 +554,7 @@ class Tokenizer:
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encoder = own()
             for texts in batches:
-                yield pd.Series([np.frombuffer(encoder.encode_bytes(t), "<i4") for t in texts], dtype=object)
+                yield pd.Series([np.frombuffer(ids, "<i4") for ids in encoder.encode_all(texts)], dtype=object)
 
         return encoded(text)
 
@@ -416,8 +579,7 @@ class Tokenizer:
             encoder, decoder = encoder_of(), decoder_of()
             for texts in batches:
                 rows = []
-                for t in texts:
-                    ids = encoder.encode_bytes(t)
+                for ids in encoder.encode_all(texts):
                     back = decoder.feed(np.frombuffer(ids, "<u4").tolist()) + decoder.finish()
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
@@ -432,7 +594,7 @@ class Tokenizer:
         def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             encoder, decoder = encoder_of(), decoder_of()
             for texts in batches:
-                ids = [np.frombuffer(encoder.encode_bytes(t), "<i4") for t in texts]
+                ids = [np.frombuffer(x, "<i4") for x in encoder.encode_all(texts)]
                 same = [decoder.feed(x.tolist()) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
                 yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "round_trip": same})
 

@@ -1,5 +1,6 @@
 """Operators that learn, and the search of vectors."""
 
+import collections
 import random
 
 import numpy as np
@@ -103,25 +104,113 @@ def test_quality_without_labels_or_documents(corpus):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
-def test_probabilities_after_each_context_sum_to_one(corpus, spark):
-    _, docs, labels, _ = corpus
-    _, model = quality.train(docs, labels.filter("quality = 1"))
-    rows = model.filter(F.col("lang") == "xx").toPandas()
-    table = quality.probabilities(rows).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(table.astype(np.float64).sum(axis=1), 1, atol=1e-4)
-    stored = quality.dense_model(rows).reshape(-1, quality.SYMBOLS)
-    assert np.allclose(stored, -np.log(table), rtol=1e-3)
-
-
-def test_counts_and_shares_are_those_of_a_plain_model(spark):
-    texts = ["abab abab", "abba", "b"]
-    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] * 10, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(3)], LABELS)
-    _, model = quality.train(rows, labels)
-    codes, at = quality.gram_codes(texts)
-    assert at.tolist() == [0, 9, 13, 14] and len(codes) == 14
-    top = {r["code"] for r in model.filter("lang = '*' and n = 4 and code >= 0").collect()}
-    assert top == set(codes.tolist())
+class PlainModel:
+    """Interpolated modified Kneser-Ney over tuples of symbols, in loops."""
+
+    def __init__(self, texts):
+        order = quality.ORDER
+        self.grams = [collections.Counter() for _ in range(order + 1)]
+        for t in texts:
+            self.grams[order].update(self.of(t))
+        for n in range(order - 1, 0, -1):
+            self.grams[n].update(g[1:] for g in self.grams[n + 1])
+        self.cuts, self.contexts = {}, {}
+        for n in range(1, order + 1):
+            t = collections.Counter(self.grams[n].values())
+            y = t[1] / (t[1] + 2 * t[2]) if t[1] + 2 * t[2] else None
+            self.cuts[n] = [0.0]
+            for k in (1, 2, 3):
+                d = k - (k + 1) * y * t[k + 1] / t[k] if y is not None and t[k] else None
+                self.cuts[n].append(d if d is not None and 0 < d < k else (k * 0.5 if k < 3 else 1.4))
+            self.contexts[n] = collections.defaultdict(list)
+            for g, c in self.grams[n].items():
+                self.contexts[n][g[:-1]].append(c)
+
+    @staticmethod
+    def of(text):
+        symbols = [0] * (quality.ORDER - 1) + quality._symbols(np.array([ord(c) for c in text])).tolist()
+        return [tuple(symbols[i : i + quality.ORDER]) for i in range(len(text))]
+
+    def p(self, gram):
+        if not gram:
+            return 1 / quality.SYMBOLS
+        n, below = len(gram), self.p(gram[1:])
+        after = self.contexts[n].get(gram[:-1])
+        if not after:
+            return below
+        c, cuts = self.grams[n].get(gram, 0), self.cuts[n]
+        return (c - cuts[min(c, 3)]) / sum(after) + sum(cuts[min(x, 3)] for x in after) / sum(after) * below
+
+
+def test_counts_shares_and_scores_are_those_of_a_plain_model(spark, monkeypatch):
+    """Perplexities through sharded joins, in slices, against loops; among the texts are CJK, astral, long and empty ones."""
+    monkeypatch.setattr(quality, "SLICE_CHARS", 50)
+    rng = random.Random(5)
+    texts = [sentence(rng, 8) for _ in range(30)] + ["abab abab", "abba", "b", "日本語の文章です。" * 3, "ж𝒳😀é", sentence(rng, 90)]
+    rows = [(i, t, "x" if i % 2 else "rare") for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, len(texts), 2)], LABELS)
+    docs = spark.createDataFrame([*rows, (900, None, "x"), (901, "", None)], "doc_id long, text string, lang string")
+    langs, model = quality.train(docs, labels)
+    assert langs.count() == 0
+    back = {r["doc_id"] for r in docs.filter(quality._kept_back(F.col("doc_id"))).collect()}
+    trained = [t for i, t, _ in rows if i % 2 == 0 and i not in back]
+    assert 0 < len(trained) < 18
+    plain = PlainModel(trained)
+    stored = {(r["n"], r["code"]): r["value"] for r in model.filter("lang = '*'").collect()}
+    assert sum(code >= 0 for _, code in stored) == sum(map(len, plain.grams))
+    for n, grams in enumerate(plain.grams[1:], 1):
+        for g, c in grams.items():
+            code = sum(x << quality.BITS * (n - 1 - k) for k, x in enumerate(g))
+            assert stored[n, code] == pytest.approx((c - plain.cuts[n][min(c, 3)]) / sum(plain.contexts[n][g[:-1]]))
+    got = {r["id"]: r for r in quality.score(docs, langs, model).collect()}
+    assert len(got) == len(texts) + 2 and got[900]["n_scored"] == got[901]["n_scored"] == 0
+    for i, t, _ in rows:
+        assert got[i]["n_scored"] == len(t) and got[i]["nll"] == pytest.approx(-sum(np.log(plain.p(g)) for g in PlainModel.of(t)), rel=1e-5)
+
+
+def test_probabilities_after_a_context_sum_to_one(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, sentence(rng), "xx") for i in range(60)], "doc_id long, text string, lang string")
+    _, model = quality.train(docs, spark.createDataFrame([(i, 1, 0) for i in range(60)], LABELS))
+    rows = model.filter("lang = 'xx'").toPandas()
+    code, n = rows["code"].to_numpy(), rows["n"].to_numpy()
+    keys = np.where(code >= 0, n << 60 | code, -1 - (n << 60 | (-1 - code)))
+    order = np.argsort(keys)
+    for context in (0, *quality.gram_codes(["la roten"])[0][4:7].tolist()):
+        grams = (context << quality.BITS & ((1 << quality.BITS * quality.ORDER) - 1)) | np.arange(quality.SYMBOLS)
+        assert quality.probabilities(grams, keys[order], rows["value"].to_numpy()[order]).sum() == pytest.approx(1, abs=1e-6)
+
+
+@pytest.mark.parametrize("lang, letters", [("zh", [chr(0x4E00 + 37 * k % 3000) for k in range(400)]), ("ru", [chr(c) for c in range(0x430, 0x450)])])
+def test_clean_text_of_other_scripts_is_told_from_shuffled(spark, lang, letters):
+    rng = random.Random(7)
+    words = ["".join(rng.choices(letters, k=rng.randrange(2, 5))) for _ in range(60)]
+    clean = [" ".join(rng.choices(words, k=60)) for _ in range(150)]
+    shuffled = ["".join(rng.sample(t, len(t))) for t in clean[:50]]
+    docs = spark.createDataFrame([(i, t, lang) for i, t in enumerate(clean + shuffled)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)], LABELS)
+    got = {r["doc_id"]: r["accepted"] for r in quality.classify(docs, labels).collect()}
+    assert sum(got[i] for i in range(100, 150)) >= 48 and not any(got[i] for i in range(150, 200))
+
+
+def test_repeated_words_are_rejected_and_copies_and_ties_get_one_score(spark):
+    rng = random.Random(9)
+    rows = [(i, sentence(rng), "xx") for i in range(80)] + [(500 + i, rows_word * 80, "xx") for i, rows_word in enumerate(("la ", "roten ", "misu "))]
+    rows += [(600, rows[3][1], "xx"), (3, rows[3][1], "xx"), (601, rows[3][1], "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = quality.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(80)], LABELS)).collect()
+    assert len(got) == len(rows)
+    assert not any(r["accepted"] for r in got if 500 <= r["doc_id"] < 600)
+    assert len({(r["score"], r["variety"]) for r in got if r["doc_id"] in (3, 600, 601)}) == 1
+
+
+def test_the_filter_of_bounded_size_misses_no_id(spark, monkeypatch):
+    monkeypatch.setattr(quality, "FILTER_BITS", 1 << 15)
+    ids = spark.range(0, 100_000, 7).toDF("id")
+    kept = spark.range(100_000).toDF("x").filter(quality._maybe_in(ids, F.col("x")))
+    assert kept.filter("x % 7 = 0").count() == ids.count()
+    few = spark.range(0, 100_000, 1000).toDF("id")
+    assert 100 <= spark.range(100_000).toDF("x").filter(quality._maybe_in(few, F.col("x"))).count() < 3_000
 
 
 def vectors(spark, n=600, dims=16):

@@ -1,135 +1,148 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text, perplexity for each document, and a threshold for each language.
 
-Words of web text are open-ended, so the n-grams are of characters folded into an alphabet of 48 symbols. Counts are made by all tasks over all trusted text and summed by
-shards of (language, n-gram); probabilities come from joins of these counts with those of their contexts. What a language's model can hold is bounded by the alphabet
-(48**4 n-grams), whatever the corpus is, so models are broadcast, in groups of languages of bounded size.
+N-grams are of ORDER characters. Counts are made by all tasks over all trusted text (but for a share that is kept for the thresholds) and summed by shards; probabilities come from joins of these counts with
+those of their contexts. No model is gathered anywhere: documents are dealt into parts, each part asks for the n-grams it holds, once each, the shards of the model answer, and the answers meet the part
+again. What is asked for grows with the corpus and its vocabulary, and nothing of it depends on how many languages there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound_batches, materialize
-
-ORDER = 4
-SYMBOLS = 48
-PAD, SPACE, UPPER, DIGIT, SYMBOL, ASCII, OTHER = 0, 1, 28, 29, 41, 42, 47
-PUNCTUATION = ".,!?'\"-:;()"
-#: Languages with fewer trusted documents than this share one model and one threshold.
-LEAST_TRUSTED = 20
-#: The quantile of trusted documents' scores, and how far (in log-perplexity) above it a document is rejected.
+from weftgraph.llm.common import bound_batches, materialize, partitions
+
+ORDER = 5
+#: Bits of a symbol. Code points below EXACT stand for themselves (Latin, Greek, Cyrillic, Hebrew, Arabic), others for one of as many classes by a hash; 0 is what is before a text.
+BITS = 12
+SYMBOLS, EXACT = 1 << BITS, 1 << (BITS - 1)
+#: Languages with fewer trusted documents than this share one model and one threshold, as do those after the first MOST_LANGS by trusted documents: their list is broadcast.
+LEAST_TRUSTED, MOST_LANGS = 20, 100_000
+#: One in so many trusted documents isn't counted: their scores, of text that the model hasn't seen, make the thresholds.
+KEPT_BACK = 4
+#: The quantile of these scores, and how far (in log-perplexity) above it a document is rejected.
 QUANTILE, MARGIN = 0.99, 0.05
+#: Text that repeats itself is foreseen well. So a document is also rejected whose share of different n-grams in windows of so many characters is below a low quantile by more than a margin.
+WINDOW, LOW_QUANTILE, LOW_MARGIN = 200, 0.005, 0.05
 #: Characters at the language's mean by which a score is smoothed: a few words say little.
 PRIOR_CHARS = 60
-#: n-grams of all models of a group at most, but for a single language's: 16 bytes each.
-GROUP_GRAMS = 8_000_000
 POOLED = "*"
-#: Characters that a worker handles at a time, and languages whose counts it holds.
-PART_CHARS, HELD_LANGS = 400_000, 4
-
-
-def _folding() -> np.ndarray:
-    table = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x3000):
-        ch = chr(c)
-        if ch.isspace():
-            s = SPACE
-        elif "a" <= ch <= "z":
-            s = 2 + c - ord("a")
-        elif ch.isupper():
-            s = UPPER
-        elif ch.isdigit():
-            s = DIGIT
-        elif ch in PUNCTUATION:
-            s = 30 + PUNCTUATION.index(ch)
-        elif ch in "$%&*#@":
-            s = SYMBOL
-        elif c < 128:
-            s = ASCII
-        elif ch.isalpha():
-            s = 43 + c % 4
-        else:
-            continue
-        table[c] = s
-    return table
-
-
-_TABLE: list[np.ndarray] = []
+#: Characters that a worker handles at a time, n-grams that it holds while counting, and characters of a part.
+SLICE_CHARS, HELD_GRAMS, PART_CHARS = 400_000, 3_000_000, 24_000_000
+#: Bits of the filter by which most documents without a trusted label stay where they are: 16 for each label, and no more than this (16 MB).
+FILTER_BITS = 1 << 27
+
+
+def _symbols(codes: np.ndarray) -> np.ndarray:
+    codes = codes.astype(np.int64)
+    return np.where(codes < EXACT, codes, EXACT + ((codes * 0x9E3779B1 >> 13) & (EXACT - 1)))
 
 
 def gram_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ORDER-gram that ends at each character, as a number in base SYMBOLS, over all texts; and where each text begins in it, with the end of the last."""
-    if not _TABLE:
-        _TABLE.append(_folding())
-    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    """The ORDER-gram that ends at each character, BITS bits a symbol, over all texts; and where each text begins in it, with the end of the last."""
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
-    begins = ends - sizes
+    padded = np.zeros(len(flat) + (ORDER - 1) * len(texts), np.int64)
     at = np.arange(len(flat)) + (ORDER - 1) * np.repeat(np.arange(1, len(texts) + 1), sizes)
-    padded = np.zeros(len(flat) + (ORDER - 1) * len(texts), np.int32)
-    padded[at] = _TABLE[0][flat]
-    codes = np.zeros(len(flat), np.int32)
+    padded[at] = _symbols(flat)
+    codes = np.zeros(len(flat), np.int64)
     for k in range(ORDER - 1, -1, -1):
-        codes = codes * SYMBOLS + padded[at - k]
-    return codes, np.r_[begins, ends[-1:]]
+        codes = codes << BITS | padded[at - k]
+    return codes, np.r_[ends - sizes, ends[-1:]]
 
 
-def _parts(texts: list[str]) -> Iterator[list[str]]:
-    """Neighbouring texts of about PART_CHARS characters, or one longer."""
-    part: list[str] = []
+def _slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The codes of neighbouring texts of about SLICE_CHARS characters together, and the number of the text of each. Of a longer text a slice begins with the characters before it."""
+    part: list[tuple[int, str, int]] = []
     size = 0
-    for t in texts:
-        if part and size + len(t) > PART_CHARS:
-            yield part
-            part, size = [], 0
-        part.append(t)
-        size += len(t)
+
+    def made() -> tuple[np.ndarray, np.ndarray]:
+        codes, at = gram_codes([t for _, t, _ in part])
+        keep = np.concatenate([np.arange(a + skip, b) for (_, _, skip), a, b in zip(part, at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        return codes[keep], np.repeat([i for i, _, _ in part], [len(t) - skip for _, t, skip in part])
+
+    for i, text in enumerate(texts):
+        for begin in range(0, len(text), SLICE_CHARS):
+            before = min(begin, ORDER - 1)
+            part.append((i, text[begin - before : begin + SLICE_CHARS], before))
+            size += len(part[-1][1])
+            if size >= SLICE_CHARS:
+                yield made()
+                part, size = [], 0
     if part:
-        yield part
+        yield made()
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    codes, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([a[1], b[1]]), len(codes)).astype(np.int64)
+
+
+class _Counts:
+    """Counts of n-grams; slices are merged when they are as many as what is merged already."""
+
+    def __init__(self) -> None:
+        self.done = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.open.append(np.unique(codes, return_counts=True))
+        self.held += len(self.open[-1][0])
+        if self.held > max(len(self.done[0]), 500_000):
+            self.close()
+
+    def close(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.open:
+            self.done = _merged(self.done, tuple(np.concatenate(x) for x in zip(*self.open, strict=True)))
+            self.open, self.held = [], 0
+        return self.done
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(lang, packed text) to (lang, gram, c), one row for each n-gram of a task (or of more, if it has over HELD_LANGS languages)."""
+    """(lang, packed text) to (lang, gram, c), one row for each n-gram of a task, or of more where it holds over HELD_GRAMS."""
     swell = zstandard.ZstdDecompressor()
-    counts: dict[str, np.ndarray] = {}
+    counts: dict[str, _Counts] = {}
 
-    def flush(lang: str) -> pd.DataFrame:
-        c = counts.pop(lang)
-        seen = np.flatnonzero(c)
-        return pd.DataFrame({"lang": lang, "gram": seen.astype(np.int32), "c": c[seen].astype(np.int64)})
+    def flush() -> Iterator[pd.DataFrame]:
+        for lang, found in counts.items():
+            grams, c = found.close()
+            yield pd.DataFrame({"lang": lang, "gram": grams, "c": c})
+        counts.clear()
 
     for df in batches:
         for lang, packed in df.groupby("lang")["packed"]:
-            for part in _parts([swell.decompress(x).decode() for x in packed]):
-                codes, _ = gram_codes(part)
-                if lang not in counts:
-                    if len(counts) == HELD_LANGS:
-                        yield flush(next(iter(counts)))
-                    counts[lang] = np.zeros(SYMBOLS**ORDER, np.uint32)
-                np.add.at(counts[lang], codes, np.uint32(1))
-    for lang in list(counts):
-        yield flush(lang)
+            for codes, _ in _slices([swell.decompress(x).decode() for x in packed]):
+                counts.setdefault(lang, _Counts()).add(codes)
+        if sum(len(c.done[0]) + c.held for c in counts.values()) > HELD_GRAMS:
+            yield from flush()
+    yield from flush()
+
+
+def _tail(code: Column, n: int) -> Column:
+    """The last n symbols."""
+    return code.bitwiseAND(F.lit((1 << BITS * n) - 1))
 
 
 def kneser_ney(grams: DataFrame) -> DataFrame:
     """From counts (lang, gram, c) of the highest order: lang, n, code, value for every order n. value is the discounted share (code >= 0) of an n-gram after its context, or the weight of the lower order after a context (code = -1 - context)."""
-    top = grams.select("lang", F.lit(ORDER).alias("n"), F.col("gram").cast("long").alias("code"), "c")
+    top = grams.select("lang", F.lit(ORDER).alias("n"), F.col("gram").alias("code"), "c")
     orders = [top]
     for n in range(ORDER - 1, 0, -1):
-        # continuation counts: how many different symbols come before; an n-gram at a text's beginning has its raw count
+        # continuation counts: how many different symbols come before
         above = orders[-1]
-        orders.append(above.groupBy("lang", (F.col("code") % SYMBOLS**n).alias("code")).agg(F.count(F.lit(1)).alias("c")).select("lang", F.lit(n).alias("n"), "code", "c"))
+        orders.append(above.groupBy("lang", _tail(F.col("code"), n).alias("code")).agg(F.count(F.lit(1)).alias("c")).select("lang", F.lit(n).alias("n"), "code", "c"))
     counts = orders[0]
     for x in orders[1:]:
         counts = counts.unionByName(x)
-    counts = counts.withColumn("context", F.floor(F.col("code") / SYMBOLS).cast("long"))
-    counts = materialize(counts, "ngram-counts")
+    counts = materialize(counts.withColumn("context", F.shiftright("code", BITS)), "ngram-counts")
     kinds = [F.count_if(F.col("c") == k).cast("double").alias(f"t{k}") for k in (1, 2, 3, 4)]
     found = counts.groupBy("lang", "n").agg(*kinds)  # a row for each language and order
     y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
@@ -149,135 +162,200 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     return materialize(shares.unionByName(after.select("lang", "n", (-1 - F.col("context")).alias("code"), F.col("left").alias("value"))), "ngram-model")
 
 
-def probabilities(rows: pd.DataFrame) -> np.ndarray:
-    """The probability of every ORDER-gram's last symbol after the others, from the rows of a language."""
-    below = np.full(SYMBOLS, 1.0 / SYMBOLS, np.float32)
+def _keys(grams: np.ndarray) -> np.ndarray:
+    """What the model has to be asked about ORDER-grams: the shares of their ends of every order, and the weights of the contexts of these; as the order (from bit 60 on) and the code, contexts as -1 minus that."""
+    out = []
+    for n in range(ORDER, 0, -1):
+        grams = np.unique(grams & ((1 << BITS * n) - 1)) if n < ORDER else grams
+        out += [n << 60 | grams, -1 - (n << 60 | np.unique(grams >> BITS))]
+    return np.sort(np.concatenate(out))
+
+
+def probabilities(grams: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The probability of each ORDER-gram's last symbol after the others, from what the model has said: sorted keys and their values."""
+
+    def said(asked: np.ndarray, otherwise: float) -> np.ndarray:
+        if not len(keys):
+            return np.full(len(asked), otherwise)
+        at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+        return np.where(keys[at] == asked, values[at], otherwise)
+
+    p = np.full(len(grams), 1.0 / SYMBOLS)
     for n in range(1, ORDER + 1):
-        of = rows[rows["n"] == n]
-        code, value = of["code"].to_numpy(np.int64), of["value"].to_numpy(np.float32)
-        weight = np.ones(SYMBOLS ** (n - 1), np.float32)
-        weight[-1 - code[code < 0]] = value[code < 0]
-        # the lower order forgets the oldest symbol of the context
-        table = np.tile(below.reshape(-1, SYMBOLS), (SYMBOLS if n > 1 else 1, 1))
-        table *= weight[:, None]
-        table = table.reshape(-1)
-        table[code[code >= 0]] += value[code >= 0]
-        below = table
-    return below
-
-
-def dense_model(rows: pd.DataFrame) -> np.ndarray:
-    """Minus log probability of every ORDER-gram; in half precision, as a worker holds one for each language it meets."""
-    table = probabilities(rows)
-    np.maximum(table, 1e-12, out=table)
-    np.log(table, out=table)
-    return (-table).astype(np.float16)
+        end = grams & ((1 << BITS * n) - 1)
+        p = said(n << 60 | end, 0.0) + said(-1 - (n << 60 | end >> BITS), 1.0) * p
+    return p
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as compressed differences, bytes of equal weight together."""
+    steps = np.diff(keys, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(steps.T).tobytes())
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(steps.T).view(np.int64).ravel())
 
 
 def _squeeze():
     @F.pandas_udf("binary")
     def squeeze(texts: pd.Series) -> pd.Series:
         pack = zstandard.ZstdCompressor(level=3)
-        return texts.map(lambda t: pack.compress(t.encode()))
+        return texts.map(lambda t: pack.compress(t.encode("utf-8", "surrogatepass")))
 
     return squeeze
 
 
-def _known_lang(langs: list[str], lang):
-    """A language with a model of its own, or POOLED."""
-    return F.when(lang.isin(langs), lang).otherwise(F.lit(POOLED)) if langs else F.lit(POOLED)
+def _maybe_in(ids: DataFrame, ident: Column):
+    """A filter of bounded size: a condition that holds for all rows with an id of `ids`, and for few others as long as these are at most an eighth of FILTER_BITS."""
+    spark = ids.sparkSession
+    bits = min(FILTER_BITS, max(1 << 15, 1 << max(0, 16 * ids.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1  # Spark counts bits from 1 on
+    # 4 KB for each 32768 bits, set by all tasks
+    rows = ids.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    table = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        table[(r["bucket"] - 1) * 4_096 : r["bucket"] * 4_096] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table)
 
+    @F.pandas_udf("boolean")
+    def held(at: pd.Series) -> pd.Series:
+        p = at.to_numpy(np.int64)
+        return pd.Series((shared.value[p >> 3] >> (p & 7) & 1).astype(bool))
 
-def train(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], DataFrame]:
-    """Languages with a model of their own, and the models of these and of POOLED, from all documents whose id is in trusted."""
+    return held(F.pmod(F.xxhash64(ident), F.lit(bits)))
+
+
+def train(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """Languages with a model of their own (lang, mine), and the models of these and of POOLED, from the documents whose id is in trusted, but for one in KEPT_BACK."""
     bound_batches(docs.sparkSession)
-    good = trusted.select(F.col(id_col).alias("__t")).distinct()
+    good = materialize(trusted.select(F.col(id_col).alias("id")).filter("id is not null").distinct(), "trusted")
     rows = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("__id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("__text"))
-    many = rows.select("__id", "lang").join(good, F.col("__id") == F.col("__t"), "left_semi").groupBy("lang").count().filter(F.col("count") >= LEAST_TRUSTED).orderBy(F.desc("count"), "lang").limit(1_000)
-    langs = sorted(r["lang"] for r in many.collect())
     # compressed texts move to their labels, at every size: ids of trusted documents are as many as the corpus makes them
-    packed = rows.select("__id", "lang", _squeeze()("__text").alias("packed")).join(good.hint("merge"), F.col("__id") == F.col("__t"), "left_semi")
-    counted = packed.select("lang", "packed").mapInPandas(_count, "lang string, gram int, c long")
+    likely = rows.filter(F.col("__id").isNotNull()).filter(_maybe_in(good, F.col("__id"))).select("__id", "lang", _squeeze()("__text").alias("packed"))
+    ours = likely.join(good.hint("merge"), F.col("__id") == F.col("id"), "left_semi")
+    per_lang = rows.select("__id", "lang").join(good, F.col("__id") == F.col("id"), "left_semi").groupBy("lang").count()
+    langs = materialize(per_lang.filter(F.col("count") >= LEAST_TRUSTED).orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang", F.lit(True).alias("mine")), "langs")
+    counted = ours.filter(~_kept_back(F.col("__id"))).select("lang", "packed").mapInPandas(_count, "lang string, gram long, c long")
     own = materialize(counted.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "ngrams")
     pooled = own.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "gram", "c")
-    both = own.filter(F.col("lang").isin(langs)).unionByName(pooled) if langs else pooled
-    return langs, kneser_ney(both)
+    return langs, kneser_ney(own.join(F.broadcast(langs.select("lang")), "lang", "left_semi").unionByName(pooled))
 
 
-def _groups(spark: SparkSession, model: DataFrame) -> list[list[str]]:
-    """Languages whose models together have at most GROUP_GRAMS rows, or that are one."""
-    groups: list[list[str]] = []
-    room = 0
-    for r in sorted(model.groupBy("lang").count().collect(), key=lambda r: r["lang"]):
-        if not groups or r["count"] > room:
-            groups.append([])
-            room = GROUP_GRAMS
-        groups[-1].append(r["lang"])
-        room -= r["count"]
-    return groups
+def _kept_back(ident: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("kept back"), ident), F.lit(KEPT_BACK)) == 0
 
 
-def score(docs: DataFrame, langs: list[str], model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """id, print (a hash of the text), model_lang, n_scored (characters) and nll (minus log probability in all) for each row; a pass over docs for each group of languages, and no shuffle."""
+def _prime(least: int) -> int:
+    n = max(least, 3) | 1
+    while any(n % k == 0 for k in range(3, int(n**0.5) + 1, 2)):
+        n += 2
+    return n
+
+
+def score(docs: DataFrame, langs: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """id, print (a hash of the text), model_lang, n_scored (characters), nll (minus log probability in all) and n_different (different n-grams, in windows) for each row. A text moves once, compressed, to its part."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), _known_lang(langs, F.coalesce(F.col(lang_col), F.lit(""))).alias("lang"))
-    out = None
-    for group in _groups(spark, model) or [[POOLED]]:
-        table = model.filter(F.col("lang").isin(group)).toPandas()
-        table["code"] = table["code"].astype(np.int32)
-        table["n"] = table["n"].astype(np.int8)
-        shared = spark.sparkContext.broadcast({lang: of.drop(columns="lang") for lang, of in table.groupby("lang")})
-
-        def scored(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            tables: dict[str, np.ndarray] = {}
-            for df in batches:
-                parts = []
-                for lang, of in df.groupby("lang"):
-                    if lang not in tables:
-                        if len(tables) == 2 * HELD_LANGS:
-                            tables.pop(next(iter(tables)))
-                        tables[lang] = dense_model(shared.value.get(lang, pd.DataFrame({"n": [], "code": [], "value": []}, dtype=np.int64)))
-                    counts, nlls = [], []
-                    for part in _parts(of["text"].tolist()):
-                        codes, at = gram_codes(part)
-                        sums = np.r_[0.0, np.cumsum(tables[lang][codes], dtype=np.float64)]
-                        counts.append(np.diff(at))
-                        nlls.append(sums[at[1:]] - sums[at[:-1]])
-                    parts.append(pd.DataFrame({"id": of["id"], "print": of["print"], "model_lang": lang, "n_scored": np.concatenate(counts), "nll": np.concatenate(nlls)}))
-                if parts:
-                    done = pd.concat(parts)
-                    done["id"] = done["id"].astype("Int64")
-                    yield done
-
-        part = rows.filter(F.col("lang").isin(group)).mapInPandas(scored, "id long, print long, model_lang string, n_scored long, nll double")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """doc_id, print, model_lang, n_scored, perplexity, score, threshold and accepted for each row of docs.
+    text, tag = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(lang_col), F.lit(""))
+    known = F.broadcast(langs.select(F.col("lang").alias("__tag"), "mine"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), text.alias("text"), tag.alias("__lang")).join(known, F.col("__lang") == F.col("__tag"), "left")
+    chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
+    parts = max(1, ceil(chars / PART_CHARS), min(partitions(spark), ceil(chars / (PART_CHARS / 6))))
+    shards = _prime(max(parts, partitions(spark)))
+    named = rows.select("id", "print", F.when(F.col("mine"), F.col("__lang")).otherwise(F.lit(POOLED)).alias("lang"), _squeeze()("text").alias("packed"))
+    dealt = named.withColumn("part", F.pmod(F.xxhash64("id", "print"), F.lit(parts)).cast("int")).repartition(parts, "part")
+
+    def texts_of(packed: pd.Series) -> list[str]:
+        swell = zstandard.ZstdDecompressor()
+        return [swell.decompress(x).decode("utf-8", "surrogatepass") for x in packed]
+
+    def ask(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for lang, of in df.groupby("lang"):
+            counts = _Counts()
+            for codes, _ in _slices(texts_of(of["packed"])):
+                counts.add(codes)
+            keys = _keys(counts.close()[0])
+            shard = np.mod(keys, shards)
+            order = np.argsort(shard, kind="stable")
+            edge = np.searchsorted(shard[order], np.arange(shards + 1))
+            out += [(lang, s, df["part"].iloc[0], _pack_keys(keys[order[a:b]])) for s, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if b > a]
+        return pd.DataFrame(out, columns=["lang", "shard", "part", "keys"])
+
+    def answer(model: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        at = np.argsort(model["key"].to_numpy(np.int64))
+        keys, values = model["key"].to_numpy(np.int64)[at], model["value"].to_numpy(np.float32)[at]
+        out = []
+        for lang, part, packed in zip(asked["lang"], asked["part"], asked["keys"], strict=True) if len(keys) else ():
+            wanted = _unpack_keys(packed)
+            found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            there = keys[found] == wanted
+            if there.any():
+                out.append((part, lang, _pack_keys(wanted[there]), zstandard.ZstdCompressor(level=1).compress(values[found[there]].tobytes())))
+        return pd.DataFrame(out, columns=["part", "lang", "keys", "values"])
+
+    def scored(df: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
+        swell = zstandard.ZstdDecompressor()
+        out = []
+        for lang, of in df.groupby("lang"):
+            own = said[said["lang"] == lang]
+            keys = np.concatenate([np.zeros(0, np.int64), *map(_unpack_keys, own["keys"])])
+            values = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(swell.decompress(x), np.float32) for x in own["values"])])
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order].astype(np.float64)
+            texts = texts_of(of["packed"])
+            nll, different = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for codes, owner in _slices(texts):
+                grams, at = np.unique(codes, return_inverse=True)
+                nll -= np.bincount(owner, np.log(np.maximum(probabilities(grams, keys, values), 1e-12))[at], len(texts))
+                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+                since = np.arange(len(owner)) - np.repeat(first, np.diff(np.r_[first, len(owner)]))
+                window = np.cumsum(since % WINDOW == 0) - 1
+                in_window = np.unique(window * len(grams) + at) // len(grams)
+                different += np.bincount(owner[since % WINDOW == 0][in_window], minlength=len(texts))
+            out.append(pd.DataFrame({"id": of["id"], "print": of["print"], "model_lang": lang, "n_scored": np.array([len(t) for t in texts], np.int64), "nll": nll, "n_different": different}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "print": [], "model_lang": [], "n_scored": [], "nll": [], "n_different": []})
+
+    asked = dealt.groupBy("part").applyInPandas(ask, "lang string, shard int, part int, keys binary")
+    code = F.when(F.col("code") >= 0, F.col("code")).otherwise(-1 - F.col("code"))
+    key = F.shiftleft(F.col("n").cast("long"), 60).bitwiseOR(code)
+    key = F.when(F.col("code") >= 0, key).otherwise(-1 - key)
+    held = model.select("lang", key.alias("key"), F.col("value").cast("float").alias("value")).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    answers = held.groupBy("lang", "shard").cogroup(asked.groupBy("lang", "shard")).applyInPandas(answer, "part int, lang string, keys binary, values binary")
+    return dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(scored, f"id {kind}, print long, model_lang string, n_scored long, nll double, n_different long")
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, low_quantile: float = LOW_QUANTILE, low_margin: float = LOW_MARGIN) -> DataFrame:
+    """doc_id, print, model_lang, n_scored, perplexity, score, threshold, variety, least_variety and accepted for each row of docs.
 
     Trusted are the documents with quality 1 in labels. score is the log-perplexity, smoothed by PRIOR_CHARS characters at the mean of the language's trusted text; a row is rejected if it exceeds
-    the quantile of trusted documents of its language by more than the margin. Null and empty texts are rejected, with a null perplexity. Null and rare
-    languages share the pooled model. Rows that repeat an id are scored each. Without any trusted text nothing but empty texts is rejected.
+    the quantile of the language's kept-back trusted documents by more than the margin. variety is the share of different n-grams in windows of WINDOW characters, smoothed likewise; a row is rejected if it falls
+    short of their low quantile by more than the low margin. Null and empty texts are rejected, with a null perplexity. Null and rare languages share the pooled model. Rows that repeat an id are scored each. Without any trusted text nothing but empty texts is rejected.
     """
     trusted = labels.filter("quality = 1")
     langs, model = train(docs, trusted, id_col, text_col, lang_col)
     rows = materialize(score(docs, langs, model, id_col, text_col, lang_col), "scores")
     good = trusted.select(F.col(id_col).alias("__t")).distinct()
     known = rows.filter("n_scored > 0").join(good, F.col("id") == F.col("__t"), "left_semi")
-    means = known.groupBy("model_lang").agg((F.sum("nll") / F.sum("n_scored")).alias("mean"))
+    # where a language has too few documents kept back, all of its trusted ones count
+    back = _kept_back(F.col("id"))
+    means = known.groupBy("model_lang").agg((F.sum("nll") / F.sum("n_scored")).alias("mean"), (F.sum("n_different") / F.sum("n_scored")).alias("usual"), (F.count_if(back) < 5).alias("few"))
     means = materialize(means, "means")
 
     def smoothed(df: DataFrame) -> DataFrame:
-        # at most a thousand languages and the pooled one
-        return df.join(F.broadcast(means), "model_lang", "left").withColumn("score", (F.col("nll") + PRIOR_CHARS * F.coalesce("mean", F.lit(0.0))) / (F.col("n_scored") + PRIOR_CHARS))
-
-    limits = materialize(smoothed(known).groupBy("model_lang").agg((F.percentile_approx("score", quantile, 100_000) + margin).alias("threshold")), "limits")
-    done = smoothed(rows).join(F.broadcast(limits), "model_lang", "left")
+        # at most MOST_LANGS languages and the pooled one
+        both = df.join(F.broadcast(means), "model_lang", "left")
+        with_prior = lambda total, mean: (F.col(total) + PRIOR_CHARS * F.coalesce(mean, F.lit(0.0))) / (F.col("n_scored") + PRIOR_CHARS)
+        return both.withColumns({"score": with_prior("nll", "mean"), "variety": with_prior("n_different", "usual")})
+
+    judged = smoothed(known).filter(back | F.col("few")).groupBy("model_lang")
+    limits = judged.agg((F.percentile_approx("variety", low_quantile, 100_000) - low_margin).alias("least_variety"), (F.percentile_approx("score", quantile, 100_000) + margin).alias("threshold"))
+    done = smoothed(rows).join(F.broadcast(materialize(limits, "limits")), "model_lang", "left")
     perplexity = F.when(F.col("n_scored") > 0, F.exp(F.col("nll") / F.greatest("n_scored", F.lit(1))))
-    accepted = (F.col("n_scored") > 0) & (F.col("score") <= F.coalesce("threshold", F.lit(float("inf"))))
-    return done.select(F.col("id").alias("doc_id"), "print", "model_lang", "n_scored", perplexity.alias("perplexity"), "score", "threshold", accepted.alias("accepted"))
+    accepted = (F.col("n_scored") > 0) & (F.col("score") <= F.coalesce("threshold", F.lit(float("inf")))) & (F.col("variety") >= F.coalesce("least_variety", F.lit(0.0)))
+    return done.select(F.col("id").alias("doc_id"), "print", "model_lang", "n_scored", perplexity.alias("perplexity"), "score", "threshold", "variety", "least_variety", accepted.alias("accepted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -204,6 +204,38 @@ def test_large_buckets_in_blocks(spark, monkeypatch):
     assert triples(jaccard_join.jaccard_components(frame(spark, rows), 4, 85)) == plain_components(rows, 4, 85)
 
 
+def test_a_chain_of_candidates_that_are_no_links(spark, monkeypatch):
+    """Each text shares a rare beginning with the next one: candidates chain, links don't. Some neighbours do link."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 8)
+    parts = [prose(900 + i, 14) for i in range(120)]
+    rows = [(i, parts[i] + " " + parts[i + 1], "en", "s") for i in range(119)]
+    rows += [(500 + i, rows[i][1] + " end", "en", "s") for i in range(0, 119, 10)]
+    monkeypatch.setattr(jaccard_join, "prefix_of", lambda n, percent: n - n)  # no pair is left out by its count of keys
+    seen = []
+    dealt = jaccard_join._dealt
+
+    def spied(*args):
+        out = dealt(*args)
+        seen.append(out.groupBy("bucket", "cluster", "i", "j").count().toPandas())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_dealt", spied)
+    assert triples(jaccard_join.jaccard_components(frame(spark, rows), 4, 85)) == plain_components(rows, 4, 85)
+    sizes = seen[0]["count"]
+    assert len(sizes) and sizes.sum() <= 12 * len(rows) and sizes.max() <= 40
+
+
+def test_keys_of_many_sets_meet_by_classes_of_size(spark, monkeypatch):
+    """A passage that many texts of many lengths share is a large key; all links are found between neighbouring classes."""
+    monkeypatch.setattr(jaccard_join, "FEW_SETS", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard_join, "HEAVY_ROWS", 4)
+    words = prose(77, 150).split()
+    rows = [(i, " ".join(words[: 12 + i]), "en", "s") for i in range(0, 130, 2)]
+    for percent in (85, 100):
+        assert triples(jaccard_join.jaccard_components(frame(spark, rows), 4, percent)) == plain_components(rows, 4, percent)
+
+
 @pytest.mark.parametrize("few", [3, 20])
 def test_keys_that_go_on_over_batches(spark, rows, monkeypatch, few):
     monkeypatch.setattr(jaccard_join, "FEW_SETS", few)

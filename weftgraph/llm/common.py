@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.plans.staging import materialize
+from weftgraph.plans.staging import materialize, scratch
 
-__all__ = ["bound_batches", "hot_keys", "load", "materialize", "n_words", "partitions"]
+__all__ = ["bound_batches", "hot_keys", "load", "materialize", "n_words", "partitions", "scratch"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -4,17 +4,20 @@ A document's set is that of its distinct word shingles; documents with equal set
 makes this true: two sets of similarity t or more share one of the first n - ceil(t n) + 1 shingles of each. The order here puts shingles last that many rows of a
 bounded sample hold; it changes how much work there is, never the result. Sets that share such a key come together in buckets:
 
-- a key of few sets gives pairs; their number of shared keys bounds their overlap, and the pairs that can still be similar form clusters, each a bucket;
+- a key of few sets gives pairs; their number of shared keys bounds their overlap, and the pairs that can still be similar form clusters, each a bucket. A cluster of more than BLOCK_SETS sets may be a chain
+  of pairs that aren't links: it is cut into blocks, and only those pairs of blocks are made that hold a pair, each of the sets of its pairs alone;
 - a key of many sets (copies with small changes, or a common passage) is a bucket itself. There, only pairs count whose smallest key of this kind is the bucket's.
 
 In a bucket the sets are the leaves of a signature tree whose nodes hold the OR of their token bitmaps and the range of their sizes. Two nodes are compared only if the
-largest overlap that bitmaps and sizes allow could be enough; what is left is counted exactly. Buckets of more than BLOCK_SETS sets are dealt over tasks as pairs of blocks.
+largest overlap that bitmaps and sizes allow could be enough; what is left is counted exactly. Keys of more than BLOCK_SETS sets are dealt over tasks as pairs of blocks, by classes of size: sets of classes that
+aren't neighbours can't be similar.
 A bucket passes on a link count for each set and one edge for each set it has joined to others, not its pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound_batches, materialize
+from weftgraph.llm.common import bound_batches, materialize, scratch
 from weftgraph.llm.shingles import shingle_sets
 from weftgraph.operators.components import connected_components
 
@@ -33,7 +36,7 @@ SAMPLE_ROWS, COMMON_SHINGLES = 8_192, 131_072
 HEAVY_ROWS = 8
 #: A key of more sets than this is a bucket.
 FEW_SETS = 96
-BLOCK_SETS = 1_024
+BLOCK_SETS = 512
 FAN_OUT = 8
 
 
@@ -300,7 +303,13 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    sets = materialize(document_sets(docs, shingle, percent, id_col, text_col), "sets")
+    with scratch(spark):
+        return _components(docs, shingle, percent, id_col, text_col)
+
+
+def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    spark = docs.sparkSession
+    sets = materialize(document_sets(docs, shingle, percent, id_col, text_col), "sets", keep=True)
     short = F.xxhash64("digest")
     classes = materialize(sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct("id", "print")).alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")).withColumn("s", short), "classes")
 
@@ -314,23 +323,21 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     beyond = F.greatest(n - prefix_of(n, percent), m - prefix_of(m, percent))
     least = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
     pairs = found.filter("pair").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"), F.max("m").alias("m")).filter(F.col("c") + beyond >= least).select("a", "b")
-    clusters = connected_components(pairs, "a", "b").select(F.col("component").alias("bucket"), F.lit(True).alias("cluster"), F.col("node").alias("s"))
-    large = found.filter("not pair").select(F.col("key").alias("bucket"), F.lit(False).alias("cluster"), F.col("a").alias("s")).distinct()
-    members = materialize(clusters.unionByName(large), "members")
+    pairs = materialize(pairs, "pairs")
+    clusters = materialize(connected_components(pairs, "a", "b").select(F.col("component").alias("bucket"), F.col("node").alias("s")), "clusters")
+    large = found.filter("not pair").groupBy(F.col("key").alias("bucket"), F.col("a").alias("s")).agg(F.max("n").alias("n"))
+    members = materialize(_dealt(clusters, pairs, large, percent), "members")
 
     # each needed text once, compressed, with the keys of large buckets that its set has
     squeeze = _squeeze()
-    hot = members.filter("not cluster").groupBy("s").agg(F.collect_set("bucket").alias("hot"))
-    wanted = classes.join(members.select("s").distinct(), "s", "left_semi").join(hot, "s", "left").select("s", "digest", "copies", "rep", F.coalesce("hot", F.array().cast("array<long>")).alias("hot"))
+    hot = members.filter("not cluster").select("s", "bucket").distinct().groupBy("s").agg(F.collect_list("bucket").alias("hot"))
+    wanted = classes.join(members.select("s").distinct().hint("merge"), "s", "left_semi").join(hot, "s", "left").select("s", "digest", "copies", "rep", F.coalesce("hot", F.array().cast("array<long>")).alias("hot"))
     text_of = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__print"), F.col(text_col).alias("__text"))
     matched = text_of.join(wanted, F.col("__id").eqNullSafe(F.col("rep.id")) & (F.col("__print") == F.col("rep.print"))).dropDuplicates(["digest"])
     texts = materialize(matched.select("s", "digest", "copies", "hot", squeeze("__text").alias("packed")), "texts")
 
-    sizes = members.groupBy("bucket", "cluster").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK_SETS).cast("int")).drop("size")
-    dealt = members.join(sizes, ["bucket", "cluster"]).withColumn("block", F.pmod(F.xxhash64("s"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", "cluster", "s", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     place = ["bucket", "cluster", "i", "j"]
-    grid = dealt.join(texts, "s").drop("s").repartition(*place).sortWithinPartitions(*place)
+    grid = members.join(texts, "s").drop("s").repartition(*place).sortWithinPartitions(*place)
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         swell = zstandard.ZstdDecompressor()
@@ -363,10 +370,35 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
     counts = linked.groupBy("digest").agg(F.sum("links").alias("links"))
     named = classes.select("digest", "least", "copies").join(joined.withColumnRenamed("node", "digest"), "digest", "left").join(counts, "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     lows = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    result = materialize(named.join(lows, "component").select(F.col("digest").alias("__digest"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "components")
+    result = materialize(named.join(lows, "component").select(F.col("digest").alias("__digest"), "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "components", keep=True)
     return sets.join(result, F.col("digest") == F.col("__digest"), "left").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
+def _dealt(clusters: DataFrame, pairs: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """bucket, cluster, s, block, i, j: what sets each pair (i, j) of blocks of a bucket gets, and the block of each. Buckets of one set are left out."""
+    ends = lambda block, other: [F.least(block, other).alias("i"), F.greatest(block, other).alias("j")]
+    # clusters: small ones are one block; of others the blocks' pairs that hold a pair
+    sizes = clusters.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK_SETS).cast("int")).drop("size")
+    zero = F.lit(0).alias
+    small = clusters.join(sizes.filter("blocks = 1"), "bucket").select("bucket", F.lit(True).alias("cluster"), "s", zero("block"), zero("i"), zero("j"))
+    block_of = lambda s: F.pmod(F.xxhash64(s), "blocks").cast("int")
+    chained = clusters.join(sizes.filter("blocks > 1"), "bucket").withColumnRenamed("s", "a").join(pairs, "a").withColumns({"x": block_of("a"), "y": block_of("b")})
+    both = F.inline(F.array(F.struct(F.col("a").alias("s"), F.col("x").alias("block")), F.struct(F.col("b").alias("s"), F.col("y").alias("block"))))
+    chained = chained.select("bucket", F.lit(True).alias("cluster"), *ends("x", "y"), both).distinct().select("bucket", "cluster", "s", "block", "i", "j")
+    # keys of many sets: a class of size meets itself and its neighbours; classes are a little wider than the ratio of sizes that a link allows
+    step = math.log(100 / percent) * 1.000001 if percent < 100 else 1e-9
+    classed = large.withColumn("class", F.floor(F.log(F.col("n").cast("double")) / step).cast("long"))
+    counts = classed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
+    shape = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("size") / BLOCK_SETS).cast("int")))).alias("blocks"), F.sum("size").alias("size")).filter("size > 1")
+    one = F.col("size") <= BLOCK_SETS
+    placed = classed.join(shape, "bucket").withColumn("block", F.when(one, 0).otherwise(F.col("class") * 65_536 + F.pmod(F.xxhash64("s"), F.element_at("blocks", F.col("class")))))
+    near = F.flatten(F.transform(F.sequence(F.col("class") - 1, F.col("class") + 1), lambda c: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("blocks", c), F.lit(0))), lambda h: c * 65_536 + h)))
+    known = F.filter(near, lambda x: F.pmod(x, F.lit(65_536)) < F.coalesce(F.try_element_at("blocks", F.floor(x / 65_536).cast("long")), F.lit(0)))
+    meets = F.when(one, F.array(F.lit(0).cast("long"))).otherwise(known)
+    keyed = placed.withColumn("other", F.explode(meets)).select("bucket", F.lit(False).alias("cluster"), "s", F.col("block").cast("long"), *ends(F.col("block").cast("long"), F.col("other")))
+    return small.unionByName(chained).select("bucket", "cluster", "s", *[F.col(c).cast("long") for c in ("block", "i", "j")]).unionByName(keyed)
+
+
 def prefix_of(n, percent: int):
     return n - F.ceil(F.lit(percent) * n / 100) + 1
 

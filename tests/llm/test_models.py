@@ -79,6 +79,76 @@ def test_the_index_gives_the_nearest():
         assert index.nearest(rows[i], weights[i], 16, i)[0].tolist() == wanted
 
 
+def test_blocks_that_cannot_matter_are_not_read():
+    rng = np.random.default_rng(4)
+    rows, weights = [], []
+    for i in range(3_000):
+        # topics of their own, and terms that all may have
+        at = np.unique(np.r_[rng.choice(np.arange(20) + 20 * (i % 60), 6), rng.choice(np.arange(1200, 1240), 2)])
+        w = np.where(at < 1200, 3.0, 0.3) * (0.5 + rng.random(len(at)))
+        rows.append(at)
+        weights.append(w / np.sqrt((w * w).sum()))
+    index = toxicity.BlockMaxIndex(rows, weights, 1240)
+    dense = np.zeros((3_000, 1240))
+    for i, (r, w) in enumerate(zip(rows, weights, strict=True)):
+        dense[i, r] = w
+    every = 0
+    for i in range(0, 3_000, 50):
+        every += sum(int((dense[:, t] > 0).sum()) for t in rows[i])
+        sims = np.round(np.minimum(dense @ dense[i], 1), 12)
+        sims[i] = 0
+        assert index.nearest(rows[i], weights[i], 16, i)[0].tolist() == np.lexsort((np.arange(3_000), -sims))[:16].tolist()
+    assert index.read < 0.8 * every
+
+
+def test_scores_are_those_of_a_dense_model(corpus):
+    """TF-IDF, cosines with all examples, votes, calibration and scores without an index; and two runs say the same."""
+    rows, docs, labels, _ = corpus
+    model = toxicity.train(docs, labels)
+    texts = [t or "" for _, t, _ in rows]
+    hashes = [np.array(h) for h in toxicity._terms_of(texts)]
+    place = {h: k for k, h in enumerate(model.terms.tolist())}
+    count = np.zeros((len(texts), len(place)))
+    for i, found in enumerate(hashes):
+        for h in found.tolist():
+            if h in place:
+                count[i, place[h]] += 1
+    idf = np.log((1 + len(texts)) / (1 + (count > 0).sum(axis=0))) + 1
+    assert np.allclose(idf, model.idf)
+    dense = np.where(count > 0, 1 + np.log(np.maximum(count, 1)), 0) * idf
+    size = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
+    dense = np.divide(dense, size, out=np.zeros_like(dense), where=size > 0)
+    first = {i: k for k, (i, _, _) in reversed(list(enumerate(rows))) if i is not None}
+    examples = np.array([dense[first[i]] for i in model.ids.tolist()])
+
+    def vote(v, without=None):
+        sims = np.round(np.minimum(examples @ v, 1), 12)
+        near = [j for j in np.lexsort((np.arange(len(sims)), -sims)).tolist() if sims[j] > 0 and j != without][: toxicity.NEIGHBOURS]
+        w = model.weight[near] / (1.05 - sims[near])
+        return ((w * model.toxic[near]).sum() + model.base) / (w.sum() + 1), len(near)
+
+    told = [j for j in range(len(examples)) if examples[j].any()]
+    knots = toxicity.isotonic(np.array([vote(examples[j], j)[0] for j in told]), model.toxic[told].astype(float), model.weight[told])
+    got = toxicity.score_toxicity(docs, labels).collect()
+    by_text = {}
+    for (i, _, _), v in zip(rows, dense, strict=True):
+        raw, n = vote(v)
+        by_text.setdefault(i, set()).add(round(float(np.interp(raw, *knots)) if n else model.none, 9))
+    assert all(round(r["score"], 9) in by_text[r["doc_id"]] for r in got)
+    again = toxicity.score_toxicity(docs.repartition(7), labels.repartition(3)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_equal_texts_with_different_labels_are_one_toxic_example(spark, corpus):
+    rows, docs, labels, known = corpus
+    free = [r["doc_id"] for r in labels.filter(~toxicity.held_out(F.col("doc_id"))).collect() if known[r["doc_id"]][1] == 0][:2]
+    twins = docs.withColumn("text", F.when(F.col("doc_id").isin(free), F.lit("two of a kind")).otherwise(F.col("text")))
+    mixed = labels.withColumn("toxic", F.when(F.col("doc_id") == free[1], 1).otherwise(F.col("toxic")))
+    model = toxicity.train(twins, mixed)
+    assert model.ids.tolist().count(min(free)) == 1 and max(free) not in model.ids.tolist()
+    assert model.toxic[model.ids.tolist().index(min(free))] == 1
+
+
 def test_isotonic_is_rising_and_keeps_the_mean():
     rng = np.random.default_rng(2)
     x, y, w = rng.random(200), (rng.random(200) < 0.4).astype(float), rng.random(200) + 0.1

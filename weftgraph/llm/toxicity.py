@@ -9,25 +9,26 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound_batches
+from weftgraph.llm.common import bound_batches, materialize, scratch
 from weftgraph.llm.shingles import chunks, term_hashes
 
-#: Labelled examples of either class that the index may hold, those of smallest id hash: the only bounded part, as a fit on labels may be.
+#: Labelled examples of either class that the index holds unless told otherwise, those of smallest id hash: the only bounded part, as a fit on labels may be.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 2_048, 4_096
-#: Terms are words and their first bytes. Kept are those in at least LEAST_ROWS examples that go with toxic ones by this chi-square, at most MOST_TERMS.
+#: Terms are words and their first bytes. The space of the cosine is made of those that go with toxic examples: squared phi coefficient (chi-square over the number of examples), which doesn't depend on how
+#: many examples there are, and chi-square at a chance of a thousandth. There is no limit to their number.
 STEMS = (4, 5, 6)
-LEAST_ROWS, LEAST_CHI2, MOST_TERMS = 3, 40.0, 4_096
+LEAST_PHI2, LEAST_CHI2 = 0.006, 10.83
 NEIGHBOURS = 16
 BLOCK = 64
 THRESHOLD = 0.3
 
 
 class BlockMaxIndex:
-    """Postings of unit TF-IDF vectors, with the largest weight of each term in each block of BLOCK examples. Examples are placed by their heaviest term, so that few blocks have large bounds."""
+    """Postings of unit TF-IDF vectors in the order of (term, block), with the largest weight of each term in each block of BLOCK examples. Examples are placed by their heaviest term, so that few blocks have large bounds."""
 
     def __init__(self, rows: list[np.ndarray], weights: list[np.ndarray], n_terms: int) -> None:
         self.n = len(rows)
-        blocks = -(-self.n // BLOCK)
+        self.blocks = max(1, -(-self.n // BLOCK))
         heaviest = np.array([r[np.argmax(w)] if len(r) else n_terms for r, w in zip(rows, weights, strict=True)], np.int64)
         self.example = np.argsort(heaviest, kind="stable")  # place -> example
         place = np.empty(self.n, np.int64)
@@ -35,28 +36,36 @@ class BlockMaxIndex:
         of = np.repeat(place, [len(r) for r in rows])
         term = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         weight = np.concatenate(weights) if rows else np.zeros(0)
-        self.most = np.zeros((n_terms, blocks))
+        self.most = np.zeros((n_terms, self.blocks))
         np.maximum.at(self.most, (term, of // BLOCK), weight)
         order = np.lexsort((of, term))
         self.of, self.weight = of[order], weight[order]
-        self.starts = np.searchsorted(term[order], np.arange(n_terms + 1))
+        #: Where the postings of a term in a block begin, at term * blocks + block.
+        self.starts = np.searchsorted(term[order] * self.blocks + self.of // BLOCK, np.arange(n_terms * self.blocks + 1))
+        self.read = 0  # postings so far
+
+    def _postings(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and shares of the cosine of the postings of terms in blocks; no other posting is touched."""
+        lists = (terms[:, None] * self.blocks + blocks).ravel()
+        begin, size = self.starts[lists], self.starts[lists + 1] - self.starts[lists]
+        at = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        self.read += len(at)
+        return self.of[at], self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), size)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine above 0 and these cosines. Blocks are opened by falling bound, twice as many each time, until no bound could change the result."""
         bounds = weights @ self.most[terms]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        at = [slice(x, y) for x, y in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist(), strict=True)]
-        of = np.concatenate([self.of[x] for x in at])
-        share = np.concatenate([w * self.weight[x] for w, x in zip(weights.tolist(), at, strict=True)])
         ids, sims = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 4
+        done, step = 0, 2
         while done < len(order) and not (len(ids) == k and bounds[order[done]] < sims[-1] - 1e-9):
-            opened = np.zeros(len(bounds), bool)
-            opened[order[done : done + step]] = True
+            opened = order[done : done + step]
+            if len(ids) == k:
+                opened = opened[bounds[opened] >= sims[-1] - 1e-9]
+            of, share = self._postings(terms, weights, opened)
             done, step = done + step, 2 * step
-            here = opened[of // BLOCK]
-            found = np.bincount(of[here], share[here], self.n)
+            found = np.bincount(of, share, self.n)
             new = np.flatnonzero(found)
             ids, sims = np.r_[ids, self.example[new]], np.r_[sims, np.round(np.minimum(found[new], 1.0), 12)]
             if without >= 0:
@@ -140,16 +149,19 @@ def _terms_of(texts: list[str]) -> Iterator[np.ndarray]:
             yield hashes[a:b]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model of the examples; the driver gets at most MOST_TERMS terms and the vectors of TOXIC_EXAMPLES + CLEAN_EXAMPLES rows over these."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> Model:
+    """A model of the examples; the driver gets their terms that go with toxic ones, and their vectors over these. How many documents hold a term is counted over all documents."""
     spark = docs.sparkSession
     bound_batches(spark)
     usable = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
     pick = lambda t, n: usable.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = pick(1, TOXIC_EXAMPLES).unionByName(pick(0, CLEAN_EXAMPLES)).toPandas()
+    chosen = pick(1, toxic_examples).unionByName(pick(0, clean_examples)).toPandas()
     picked = spark.createDataFrame([(int(i), int(t)) for i, t in zip(chosen["doc_id"], chosen["toxic"], strict=True)], "doc_id long, toxic int")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    every = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # equal texts are one example, of the least id, toxic if any of them is: one that is its own neighbour would vouch for itself
+    rows = every.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    rows = materialize(rows, "examples")
 
     def statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -159,34 +171,53 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pd.DataFrame({"term": term.view(np.int64), "toxic": label, "c": count})
 
     counts = rows.mapInPandas(statistics, "term long, toxic int, c long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("c")).otherwise(0)).alias("b"))
-    t, c = (int((chosen["toxic"] == k).sum()) for k in (1, 0))
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+    t, c = sizes.get(1, 0), sizes.get(0, 0)
     n, a, b = float(t + c), F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = n * F.pow(a * (c - b) - b * (t - a), 2) / F.greatest((a + b) * (n - a - b) * float(max(t * c, 1)), F.lit(1.0))
-    terms = counts.filter((a + b >= LEAST_ROWS) & (a * c > b * t)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(MOST_TERMS).toPandas()
-    hashes = terms["term"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hashes = hashes[order]
-    idf = np.log((1 + n) / (1 + (terms["a"] + terms["b"]).to_numpy(np.float64)[order])) + 1
-    shell = Model(hashes, idf, pd.DataFrame({"doc_id": [], "toxic": [], "terms": [], "counts": []}), (1.0, 1.0))
+    terms = counts.filter(a * c > b * t).withColumn("chi2", chi2).filter((F.col("chi2") >= LEAST_CHI2) & (F.col("chi2") >= LEAST_PHI2 * n)).select("term").toPandas()
+    hashes = np.sort(terms["term"].to_numpy(np.int64).view(np.uint64))
+    none = pd.DataFrame({"doc_id": [], "toxic": [], "terms": [], "counts": []})
+    shell = spark.sparkContext.broadcast(Model(hashes, np.ones(len(hashes)), none, (1.0, 1.0)))
+
+    def frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, total, seen = shell.value, 0, np.zeros(len(hashes) + 1, np.int64)
+        for df in batches:
+            for h in _terms_of(df["text"].tolist()):
+                seen[known.count(h)[0]] += 1
+                total += 1
+        seen[-1] = total
+        there = np.flatnonzero(seen)
+        yield pd.DataFrame({"at": there, "c": seen[there]})
+
+    found = every.select("text").mapInPandas(frequencies, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).toPandas()
+    held = np.zeros(len(hashes) + 1)
+    held[found["at"].to_numpy(np.int64)] = found["c"]
+    idf = np.log((1 + held[-1]) / (1 + held[:-1])) + 1
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = shell.value
         for df in batches:
-            found = [shell.count(h) for h in _terms_of(df["text"].tolist())]
-            yield pd.DataFrame({"doc_id": df["doc_id"], "toxic": df["toxic"], "terms": [x for x, _ in found], "counts": [y for _, y in found]})
+            got = [known.count(h) for h in _terms_of(df["text"].tolist())]
+            yield pd.DataFrame({"doc_id": df["doc_id"], "toxic": df["toxic"], "terms": [x for x, _ in got], "counts": [y for _, y in got]})
 
-    # copies count once: an example that is its own neighbour would vouch for itself
-    once = rows.dropDuplicates(["text"]).mapInPandas(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").toPandas().sort_values("doc_id", ignore_index=True)
+    once = rows.mapInPandas(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").toPandas().sort_values("doc_id", ignore_index=True)
     weight = totals.get(0, 0) / max(c, 1), totals.get(1, 0) / max(t, 1)
     return Model(hashes, idf, once, tuple(w / max(min(weight), 1e-9) for w in weight))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _fitted(docs: DataFrame, *args) -> Model:
+    with scratch(docs.sparkSession):
+        return train(docs, *args)
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> DataFrame:
     """doc_id, held_out, score (probability that the label is 1), predicted (score >= THRESHOLD) and evidence (nearest examples, with cosine and label) for each row of docs.
 
-    A score depends on the text alone. Texts without a term of the vocabulary, null and empty ones included, have the share of toxic examples among such. Without usable labels every score is 0. Rows that
+    Learnt from are at most toxic_examples and clean_examples labelled rows; a text that several of them have is one example, toxic if one of them is. A score depends on the text alone. Texts without a term of the vocabulary, null and empty ones included, have the share of toxic examples among such. Without usable labels every score is 0. Rows that
     repeat an id are scored each; a null id is held out. The index is a broadcast of bounded size; documents are not moved.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col))
+    model = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels, id_col, text_col, toxic_examples, clean_examples))
 
     @F.pandas_udf("score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

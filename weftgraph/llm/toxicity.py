@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -14,10 +15,10 @@ from weftgraph.llm.shingles import chunks, term_hashes
 
 #: Labelled examples of either class that the index holds unless told otherwise, those of smallest id hash: the only bounded part, as a fit on labels may be.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 2_048, 4_096
-#: Terms are words and their first bytes. The space of the cosine is made of those that go with toxic examples: squared phi coefficient (chi-square over the number of examples), which doesn't depend on how
-#: many examples there are, and chi-square at a chance of a thousandth. There is no limit to their number.
+#: Terms are words and their first bytes. The space of the cosine is made of those that go with toxic examples, by a chi-square that among all terms tested even one would reach by chance with this
+#: probability at most. So few examples don't make a space of chance words, and there is no limit to the number of terms.
 STEMS = (4, 5, 6)
-LEAST_PHI2, LEAST_CHI2 = 0.006, 10.83
+CHANCE = 0.05
 NEIGHBOURS = 16
 BLOCK = 64
 THRESHOLD = 0.3
@@ -173,9 +174,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = rows.mapInPandas(statistics, "term long, toxic int, c long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("c")).otherwise(0)).alias("b"))
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     t, c = sizes.get(1, 0), sizes.get(0, 0)
+    counts = materialize(counts, "term-counts")
+    least = NormalDist().inv_cdf(1 - CHANCE / max(counts.count(), 1) / 2) ** 2
     n, a, b = float(t + c), F.col("a").cast("double"), F.col("b").cast("double")
     chi2 = n * F.pow(a * (c - b) - b * (t - a), 2) / F.greatest((a + b) * (n - a - b) * float(max(t * c, 1)), F.lit(1.0))
-    terms = counts.filter(a * c > b * t).withColumn("chi2", chi2).filter((F.col("chi2") >= LEAST_CHI2) & (F.col("chi2") >= LEAST_PHI2 * n)).select("term").toPandas()
+    terms = counts.filter(a * c > b * t).withColumn("chi2", chi2).filter(F.col("chi2") >= least).select("term").toPandas()
     hashes = np.sort(terms["term"].to_numpy(np.int64).view(np.uint64))
     none = pd.DataFrame({"doc_id": [], "toxic": [], "terms": [], "counts": []})
     shell = spark.sparkContext.broadcast(Model(hashes, np.ones(len(hashes)), none, (1.0, 1.0)))

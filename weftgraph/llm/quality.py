@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound_batches, materialize, partitions
+from weftgraph.llm.common import bound_batches, materialize, partitions, scratch
 
 ORDER = 5
 #: Bits of a symbol. Code points below EXACT stand for themselves (Latin, Greek, Cyrillic, Hebrew, Arabic), others for one of as many classes by a hash; 0 is what is before a text.
@@ -41,6 +41,8 @@ FILTER_BITS = 1 << 27
 
 def _symbols(codes: np.ndarray) -> np.ndarray:
     codes = codes.astype(np.int64)
+    if not len(codes) or codes.max() < EXACT:
+        return codes
     return np.where(codes < EXACT, codes, EXACT + ((codes * 0x9E3779B1 >> 13) & (EXACT - 1)))
 
 
@@ -159,7 +161,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     after = materialize(after.select("lang", "n", "context", "total", "left", "d1", "d2", "d3"), "ngram-contexts")
     cut = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
     shares = counts.join(after, ["lang", "n", "context"]).select("lang", "n", "code", ((c - cut) / F.col("total")).alias("value"))
-    return materialize(shares.unionByName(after.select("lang", "n", (-1 - F.col("context")).alias("code"), F.col("left").alias("value"))), "ngram-model")
+    return materialize(shares.unionByName(after.select("lang", "n", (-1 - F.col("context")).alias("code"), F.col("left").alias("value"))), "ngram-model", keep=True)
 
 
 def _keys(grams: np.ndarray) -> np.ndarray:
@@ -198,6 +200,50 @@ def _unpack_keys(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(steps.T).view(np.int64).ravel())
 
 
+def _pack_values(values: np.ndarray) -> bytes:
+    """Shares and weights to a relative precision of a 4,096th, as 16 bits of their logarithms, bytes of equal weight together."""
+    steps = np.minimum(np.round(-np.log(np.maximum(values, 1e-13)) * 2_048), 65_535).astype(np.uint16)
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 2).T).tobytes())
+
+
+def _unpack_values(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, -1)
+    return np.exp(-np.ascontiguousarray(steps.T).view(np.uint16).ravel() / 2_048)
+
+
+def _different(at: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:
+    """For each text, the different n-grams (numbers) in consecutive windows of WINDOW characters, added up."""
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    since = np.arange(len(owner)) - np.repeat(first, np.diff(np.r_[first, len(owner)]))
+    begins = since % WINDOW == 0
+    rows = np.full((int(begins.sum()), WINDOW), -1, np.int32)
+    rows[np.cumsum(begins) - 1, since % WINDOW] = at
+    rows.sort(axis=1)
+    found = (rows[:, 0] >= 0) + (rows[:, 1:] != rows[:, :-1]).sum(axis=1)
+    return np.bincount(owner[begins], found, many).astype(np.int64)
+
+
+class _Said:
+    """What the model has said about a part: the costs of all ORDER-grams that it knows, worked out once; others are when they come."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.grams = keys[np.searchsorted(keys, ORDER << 60) :] & ((1 << BITS * ORDER) - 1)
+        self.costs = self._cost(self.grams)
+
+    def _cost(self, grams: np.ndarray) -> np.ndarray:
+        return -np.log(np.maximum(probabilities(grams, self.keys, self.values), 1e-12))
+
+    def cost(self, grams: np.ndarray) -> np.ndarray:
+        """Minus log probability of sorted ORDER-grams."""
+        if not len(self.grams):
+            return self._cost(grams)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        out, known = self.costs[at], self.grams[at] == grams
+        out[~known] = self._cost(grams[~known])
+        return out
+
+
 def _squeeze():
     @F.pandas_udf("binary")
     def squeeze(texts: pd.Series) -> pd.Series:
@@ -230,13 +276,18 @@ def _maybe_in(ids: DataFrame, ident: Column):
 def train(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Languages with a model of their own (lang, mine), and the models of these and of POOLED, from the documents whose id is in trusted, but for one in KEPT_BACK."""
     bound_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return _train(docs, trusted, id_col, text_col, lang_col)
+
+
+def _train(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, DataFrame]:
     good = materialize(trusted.select(F.col(id_col).alias("id")).filter("id is not null").distinct(), "trusted")
     rows = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("__id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("__text"))
     # compressed texts move to their labels, at every size: ids of trusted documents are as many as the corpus makes them
     likely = rows.filter(F.col("__id").isNotNull()).filter(_maybe_in(good, F.col("__id"))).select("__id", "lang", _squeeze()("__text").alias("packed"))
     ours = likely.join(good.hint("merge"), F.col("__id") == F.col("id"), "left_semi")
     per_lang = rows.select("__id", "lang").join(good, F.col("__id") == F.col("id"), "left_semi").groupBy("lang").count()
-    langs = materialize(per_lang.filter(F.col("count") >= LEAST_TRUSTED).orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang", F.lit(True).alias("mine")), "langs")
+    langs = materialize(per_lang.filter(F.col("count") >= LEAST_TRUSTED).orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang", F.lit(True).alias("mine")), "langs", keep=True)
     counted = ours.filter(~_kept_back(F.col("__id"))).select("lang", "packed").mapInPandas(_count, "lang string, gram long, c long")
     own = materialize(counted.groupBy("lang", "gram").agg(F.sum("c").alias("c")), "ngrams")
     pooled = own.groupBy("gram").agg(F.sum("c").alias("c")).select(F.lit(POOLED).alias("lang"), "gram", "c")
@@ -262,10 +313,13 @@ def score(docs: DataFrame, langs: DataFrame, model: DataFrame, id_col: str = "do
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), text.alias("text"), tag.alias("__lang")).join(known, F.col("__lang") == F.col("__tag"), "left")
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    parts = max(1, ceil(chars / PART_CHARS), min(partitions(spark), ceil(chars / (PART_CHARS / 6))))
+    parts = max(ceil(chars / PART_CHARS), min(partitions(spark), 8))
     shards = _prime(max(parts, partitions(spark)))
     named = rows.select("id", "print", F.when(F.col("mine"), F.col("__lang")).otherwise(F.lit(POOLED)).alias("lang"), _squeeze()("text").alias("packed"))
-    dealt = named.withColumn("part", F.pmod(F.xxhash64("id", "print"), F.lit(parts)).cast("int")).repartition(parts, "part")
+    # a part is a number that Spark's own hash deals to a task of its own
+    least = spark.range(40 * parts).select(F.col("id").cast("int").alias("part")).groupBy(F.pmod(F.hash("part"), F.lit(parts)).alias("task")).agg(F.min("part").alias("part"))
+    names = F.array(*[F.lit(r["part"]) for r in least.orderBy("task").collect()])
+    dealt = named.withColumn("part", F.element_at(names, (F.pmod(F.xxhash64("id", "print"), F.size(names)) + 1).cast("int"))).repartition(parts, "part")
 
     def texts_of(packed: pd.Series) -> list[str]:
         swell = zstandard.ZstdDecompressor()
@@ -293,28 +347,23 @@ def score(docs: DataFrame, langs: DataFrame, model: DataFrame, id_col: str = "do
             found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             there = keys[found] == wanted
             if there.any():
-                out.append((part, lang, _pack_keys(wanted[there]), zstandard.ZstdCompressor(level=1).compress(values[found[there]].tobytes())))
+                out.append((part, lang, _pack_keys(wanted[there]), _pack_values(values[found[there]])))
         return pd.DataFrame(out, columns=["part", "lang", "keys", "values"])
 
     def scored(df: pd.DataFrame, said: pd.DataFrame) -> pd.DataFrame:
-        swell = zstandard.ZstdDecompressor()
         out = []
         for lang, of in df.groupby("lang"):
             own = said[said["lang"] == lang]
             keys = np.concatenate([np.zeros(0, np.int64), *map(_unpack_keys, own["keys"])])
-            values = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(swell.decompress(x), np.float32) for x in own["values"])])
+            values = np.concatenate([np.zeros(0), *map(_unpack_values, own["values"])])
             order = np.argsort(keys)
-            keys, values = keys[order], values[order].astype(np.float64)
+            model = _Said(keys[order], values[order])
             texts = texts_of(of["packed"])
             nll, different = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             for codes, owner in _slices(texts):
                 grams, at = np.unique(codes, return_inverse=True)
-                nll -= np.bincount(owner, np.log(np.maximum(probabilities(grams, keys, values), 1e-12))[at], len(texts))
-                first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                since = np.arange(len(owner)) - np.repeat(first, np.diff(np.r_[first, len(owner)]))
-                window = np.cumsum(since % WINDOW == 0) - 1
-                in_window = np.unique(window * len(grams) + at) // len(grams)
-                different += np.bincount(owner[since % WINDOW == 0][in_window], minlength=len(texts))
+                nll += np.bincount(owner, model.cost(grams)[at], len(texts))
+                different += _different(at, owner, len(texts))
             out.append(pd.DataFrame({"id": of["id"], "print": of["print"], "model_lang": lang, "n_scored": np.array([len(t) for t in texts], np.int64), "nll": nll, "n_different": different}))
         return pd.concat(out) if out else pd.DataFrame({"id": [], "print": [], "model_lang": [], "n_scored": [], "nll": [], "n_different": []})
 
@@ -334,15 +383,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     the quantile of the language's kept-back trusted documents by more than the margin. variety is the share of different n-grams in windows of WINDOW characters, smoothed likewise; a row is rejected if it falls
     short of their low quantile by more than the low margin. Null and empty texts are rejected, with a null perplexity. Null and rare languages share the pooled model. Rows that repeat an id are scored each. Without any trusted text nothing but empty texts is rejected.
     """
-    trusted = labels.filter("quality = 1")
+    with scratch(docs.sparkSession):
+        return _classified(docs, labels.filter("quality = 1"), id_col, text_col, lang_col, quantile, margin, low_quantile, low_margin)
+
+
+def _classified(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang_col: str, quantile: float, margin: float, low_quantile: float, low_margin: float) -> DataFrame:
     langs, model = train(docs, trusted, id_col, text_col, lang_col)
-    rows = materialize(score(docs, langs, model, id_col, text_col, lang_col), "scores")
+    rows = materialize(score(docs, langs, model, id_col, text_col, lang_col), "scores", keep=True)
     good = trusted.select(F.col(id_col).alias("__t")).distinct()
     known = rows.filter("n_scored > 0").join(good, F.col("id") == F.col("__t"), "left_semi")
     # where a language has too few documents kept back, all of its trusted ones count
     back = _kept_back(F.col("id"))
     means = known.groupBy("model_lang").agg((F.sum("nll") / F.sum("n_scored")).alias("mean"), (F.sum("n_different") / F.sum("n_scored")).alias("usual"), (F.count_if(back) < 5).alias("few"))
-    means = materialize(means, "means")
+    means = materialize(means, "means", keep=True)
 
     def smoothed(df: DataFrame) -> DataFrame:
         # at most MOST_LANGS languages and the pooled one
@@ -352,7 +405,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     judged = smoothed(known).filter(back | F.col("few")).groupBy("model_lang")
     limits = judged.agg((F.percentile_approx("variety", low_quantile, 100_000) - low_margin).alias("least_variety"), (F.percentile_approx("score", quantile, 100_000) + margin).alias("threshold"))
-    done = smoothed(rows).join(F.broadcast(materialize(limits, "limits")), "model_lang", "left")
+    done = smoothed(rows).join(F.broadcast(materialize(limits, "limits", keep=True)), "model_lang", "left")
     perplexity = F.when(F.col("n_scored") > 0, F.exp(F.col("nll") / F.greatest("n_scored", F.lit(1))))
     accepted = (F.col("n_scored") > 0) & (F.col("score") <= F.coalesce("threshold", F.lit(float("inf")))) & (F.col("variety") >= F.coalesce("least_variety", F.lit(0.0)))
     return done.select(F.col("id").alias("doc_id"), "print", "model_lang", "n_scored", perplexity.alias("perplexity"), "score", "threshold", "variety", "least_variety", accepted.alias("accepted"))

@@ -208,7 +208,7 @@ def _pack_values(values: np.ndarray) -> bytes:
 
 def _unpack_values(data: bytes) -> np.ndarray:
     steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, -1)
-    return np.exp(-np.ascontiguousarray(steps.T).view(np.uint16).ravel() / 2_048)
+    return np.exp(np.ascontiguousarray(steps.T).view(np.uint16).ravel() / -2_048.0)
 
 
 def _different(at: np.ndarray, owner: np.ndarray, many: int) -> np.ndarray:

@@ -398,6 +398,57 @@ def test_a_group_of_copies_that_fills_shards_is_split(spark):
 # licenses
 
 
+def plain_shingles(text, k):
+    w = [x for x in re.split(r"[\x20\x09-\x0D\xA0]+", (text or "").lower().translate({ord(c): None for c in ".,;:!?\"'()[]{}<>`*_"})) if x]
+    k = min(k, len(w)) or 1
+    return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)], k
+
+
+def plain_matches(text, template):
+    """The largest share of a template's shingles in any window of as many shingles, rounded up to a power of two and doubled."""
+    wanted, k = plain_shingles(template, licenses.SHINGLE)
+    w = 1 << (len(wanted) - 1).bit_length()
+    own, _ = plain_shingles(text, k)
+    if len(own) and len(own[0]) != k:
+        return 0.0
+    return max((len(set(own[i : i + 2 * w]) & set(wanted)) / len(set(wanted)) for i in range(0, max(len(own), 1), w)), default=0.0)
+
+
+def test_hundreds_of_long_templates_against_all_windows(spark):
+    rng = random.Random(12)
+    templates = [(f"t{i}", f"family {i % 50}", prose(3000 + i, rng.choice([1, 2, 4, 6, 30, 90, 200, 333]))) for i in range(300)]
+    rows = []
+    for i in range(70):
+        t = templates[i * 7 % 300][2].split()
+        part = list(t)
+        for _ in range(len(t) // 60 * (i % 4)):  # some words differ
+            part[rng.randrange(len(part))] = "changed"
+        if i % 5 == 4:
+            part = part[: len(part) // 2]
+        rows.append((i, " ".join([prose(i, 5 * i), *part, prose(i + 1, 40)]), "en", "s"))
+    rows += [(500, None, "en", "s"), (501, "", "en", "s"), (502, rows[3][1], "en", "s"), (3, rows[3][1], "en", "s"), (None, rows[2][1], "en", "s"), (503, " ".join(t for _, _, t in templates[:40]), "en", "s")]
+    got = {}
+    for r in licenses.scan_licenses(frame(spark, rows), licenses.template_frame(spark, templates)).collect():
+        got.setdefault(r["doc_id"], []).append({m["template_id"]: m["containment"] for m in r["matches"] or []})
+    assert sum(map(len, got.values())) == len(rows)
+    found = missed = 0
+    for i, text, *_ in rows:
+        wanted = {name: x for name, _, t in templates if (x := plain_matches(text, t)) >= licenses.CONTAINMENT}
+        for own in got[i]:
+            assert set(own) <= set(wanted) and all(own[x] == pytest.approx(wanted[x]) for x in own)
+            found, missed = found + len(own), missed + len(wanted) - len(own)
+    assert found > 40 and missed <= 0.02 * (found + missed)
+
+
+def test_whole_licenses_are_found_and_no_templates_find_nothing(spark):
+    made = [(i, f"{prose(i, 300)} Copyright 2020 somebody {t} {prose(i + 50, 200)}", "en", "s") for i, (_, _, t) in enumerate(licenses.TEXTS)]
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, made)).collect()}
+    for i, (name, family, _) in enumerate(licenses.TEXTS):
+        assert family in got[i]["licenses"] and name in {m["template_id"] for m in got[i]["matches"]}
+    none = licenses.template_frame(spark).limit(0)
+    assert all(r["licenses"] == [] and r["n_matches"] == 0 for r in licenses.scan_licenses(frame(spark, made), none).collect())
+
+
 def test_license_statements_are_found(spark, rows):
     short = [s for _, _, s in licenses.TEMPLATES]
     made = [(2000 + k, f"{prose(k, 30 * (k % 3))}\n{s.upper() if k % 2 else s} {prose(k + 1, 40)}", "en", "s") for k, s in enumerate(short * 3)]

@@ -12,8 +12,8 @@ MIN_WORDS, MIN_SENTENCE_WORDS = 5, 8
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 #: Sentences end before a space after one of these; joined by a space, they give the unit again.
 SENTENCE_END = r"(?<=[.!?]) "
-#: Sentences of a unit, in the number of a place.
-PLACES = 1 << 20
+#: By which a line's number goes into that of a place: more than a line can have sentences.
+PLACES = 1 << 31
 
 
 def normalised(unit: Column) -> Column:

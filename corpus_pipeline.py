@@ -25,9 +25,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines, sentences and passages of 50 words that an earlier document, or an earlier place, has; documents left without any text go."""
-    units = substring_dedup.dedup_units(docs).withColumn("__had", F.length(F.trim("text")) > 0).filter(F.col("__had") | (F.col("n_removed") == 0) | F.col("__had").isNull())
+    units = substring_dedup.dedup_units(docs).withColumn("__had", F.col("text").rlike(r"\S")).filter(F.col("__had") | (F.col("n_removed") == 0) | F.col("__had").isNull())
     done = passages.drop_passages(materialize(units.select(*COLUMNS, "__had"), "units-left"))
-    return done.filter((F.length(F.trim("text")) > 0) | ~F.coalesce("__had", F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return done.filter(F.col("text").rlike(r"\S") | ~F.coalesce("__had", F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

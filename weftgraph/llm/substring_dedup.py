@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import hot_keys, materialize, n_words
+from weftgraph.llm.common import bound_batches, hot_keys, materialize, n_words
 
 #: Words that a repeated line or paragraph, and a repeated sentence inside one, must have to go.
 MIN_WORDS, MIN_SENTENCE_WORDS = 5, 8
 SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
 #: Sentences end before a space after one of these; joined by a space, they give the unit again.
 SENTENCE_END = r"(?<=[.!?]) "
+SPANS = "array<struct<start:int,end:int>>"
 #: By which a line's number goes into that of a place: more than a line can have sentences.
 PLACES = 1 << 31
 
@@ -35,6 +40,7 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     Null texts stay null, empty ones empty, both with n_units 0; a null id ranks first. Rows that repeat id and text are one document: they get
     the same result. A document whose units are all repeats keeps its row with an empty text. Columns named like new ones are replaced.
     """
+    bound_batches(docs.sparkSession)
     sep = SEPARATORS[unit]
     new = ["n_units", "n_removed", "removed_spans"]
     kept = [c for c in docs.columns if c not in new]
@@ -59,41 +65,42 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
     repeats = often.unionByName(seldom).filter(~place.eqNullSafe(F.col("__first")))
     gone = repeats.groupBy("__id", "__print").agg(F.collect_set("__at").alias("__gone"))
     joined = docs.select(*kept, print_of.alias("__p")).join(gone, ident.eqNullSafe(F.col("__id")) & (F.col("__p") == F.col("__print")), "left")
-    parts = F.when(F.length(text) > 0, F.split(text, sep)).otherwise(F.array().cast("array<string>"))
-
-    def lost(line: Column, sub) -> Column:
-        return F.array_contains("__gone", line.cast("long") * PLACES + sub)
-
-    def rest_of(line: Column, i: Column) -> Column:
-        """What stays of a line; null if nothing does."""
-        pieces = _sentences(line)
-        stay = F.filter(pieces, lambda _, k: ~lost(i, k + 1))
-        return F.when(lost(i, 0) | (F.size(stay) == 0), F.lit(None).cast("string")).when(F.size(stay) == F.size(pieces), line).otherwise(F.array_join(stay, " "))
-
-    spans_type = "array<struct<start:int,end:int>>"
-
-    def add(spans: Column, start: Column, end: Column, when: Column) -> Column:
-        return F.when(when, F.array_append(spans, F.struct(start.alias("start"), end.alias("end")))).otherwise(spans)
-
-    def walk(state: Column, line: Column) -> Column:
-        end = state["at"] + F.length(line)
-        begun = F.struct(state["at"].alias("at"), F.lit(1).alias("sub"), state["spans"].alias("spans"))
-
-        def inside(s: Column, piece: Column) -> Column:
-            stop = s["at"] + F.length(piece)
-            return F.struct((stop + 1).alias("at"), (s["sub"] + 1).alias("sub"), add(s["spans"], s["at"], stop, lost(state["line"], s["sub"])).alias("spans"))
-
-        whole_line = F.array_append(state["spans"], F.struct(state["at"].alias("start"), end.alias("end")))
-        spans = F.when(lost(state["line"], 0), whole_line).otherwise(F.aggregate(_sentences(line), begun, inside, lambda s: s["spans"]))
-        return F.struct((end + len(sep)).alias("at"), (state["line"] + 1).alias("line"), spans.alias("spans"))
-
-    none = F.array().cast(spans_type)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("line"), none.alias("spans"))
-    untouched = F.col("__gone").isNull()
-    rest = F.when(untouched, text).otherwise(F.array_join(F.filter(F.transform(parts, rest_of), lambda x: x.isNotNull()), sep))
-    others = [F.col(c) if c != text_col else rest.alias(text_col) for c in kept]
-    done = joined.select(*others, F.size(parts).alias("n_units"), F.when(untouched, none).otherwise(F.aggregate(parts, start, walk, lambda s: s["spans"])).alias("removed_spans"))
-    return done.select(*kept, "n_units", F.size("removed_spans").alias("n_removed"), "removed_spans")
+    units_of = F.when(F.length(text) > 0, F.size(F.split(text, sep))).otherwise(0)
+
+    @F.pandas_udf(f"rest string, spans {SPANS}")
+    def cut(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for text_batch, gone_batch in texts:
+            done = [_without(t, set(g.tolist()), sep) if t is not None else (None, []) for t, g in zip(text_batch, gone_batch, strict=True)]
+            yield pd.DataFrame({"rest": [x for x, _ in done], "spans": [[{"start": a, "end": b} for a, b in y] for _, y in done]})
+
+    # only texts that lose units go to Python
+    loses = F.col("__gone").isNotNull()
+    parted = joined.select(*kept, "__gone", units_of.alias("n_units"), cut(F.when(loses, text), F.coalesce("__gone", F.array().cast("array<bigint>"))).alias("__cut"))
+    spans = F.when(loses, F.col("__cut.spans")).otherwise(F.array().cast(SPANS))
+    others = [F.col(c) if c != text_col else F.when(loses, F.col("__cut.rest")).otherwise(text).alias(text_col) for c in kept]
+    return parted.select(*others, "n_units", F.size(spans).alias("n_removed"), spans.alias("removed_spans"))
+
+
+def _without(text: str, gone: set[int], sep: str) -> tuple[str, list[tuple[int, int]]]:
+    """A text without the units at some places, and where these were."""
+    kept, spans, at = [], [], 0
+    for i, line in enumerate(text.split(sep)):
+        place, end = i * PLACES, at + len(line)
+        if place in gone:
+            spans.append((at, end))
+        else:
+            pieces = re.split(SENTENCE_END, line)
+            stay, begin = [], at
+            for k, piece in enumerate(pieces):
+                if place + 1 + k in gone:
+                    spans.append((begin, begin + len(piece)))
+                else:
+                    stay.append(piece)
+                begin += len(piece) + 1
+            if stay:
+                kept.append(" ".join(stay))
+        at = end + len(sep)
+    return sep.join(kept), spans
 
 
 _NORM = "trim(regexp_replace(lower({x}), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' ')"

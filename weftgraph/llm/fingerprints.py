@@ -155,7 +155,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The order is by id in `buckets` ranges, twice as many as shuffle partitions: only their bounds reach the driver. Each range is sorted by one task; the first row of a range is
     also sent to the range before it (the very first one to the last), so each text is moved once.
 
-    A null text counts as empty; null ids come first; equal ids are ordered by a hash of the text, then by its compressed form. A single document is its own next one.
+    Ids are integers. A null text counts as empty; null ids come first, all in one range; equal ids are ordered by a hash of the text, then by its compressed form. A single document is its own next one.
     An empty table gives no rows. Other columns of docs are not returned.
     """
     spark = docs.sparkSession

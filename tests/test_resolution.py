@@ -48,3 +48,17 @@ def test_threshold_is_reached_by_inputs_and_passed_by_the_registry(spark):
 def test_window_below_the_best(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.86), (1, 4, 0.8), (2, 3, 0.41)], "src int, dst int, similarity double")
     assert {(r["src"], r["dst"]) for r in similarity.near_top(pairs).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def test_blocks_keep_what_is_near_their_best(spark):
+    import numpy as np
+
+    from weftgraph.operators import similarity
+
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((200, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, embedding array<double>")
+    wanted = similarity.near_top(similarity.self_pairs(rows, 0.4, block_rows=40), 0.4, 0.05)
+    few = similarity.self_pairs(rows, 0.4, block_rows=40, epsilon=0.05)
+    ids = lambda df: sorted((r["src"], r["dst"]) for r in df.collect())
+    assert ids(similarity.near_top(few, 0.4, 0.05)) == ids(wanted) and few.count() < similarity.self_pairs(rows, 0.4).count()

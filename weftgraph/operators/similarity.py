@@ -39,8 +39,11 @@ def _usable(objects: DataFrame, ident: str, vector: str) -> DataFrame:
     return objects.filter(F.size(vector) > 0).select(F.col(ident).alias("id"), F.col(vector).alias("v"))
 
 
-def self_pairs(objects: DataFrame, threshold: float = THRESHOLD, ident: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """src, dst, similarity for all ordered pairs of different objects with a cosine of at least the threshold. Objects without a vector have no pairs."""
+def self_pairs(objects: DataFrame, threshold: float = THRESHOLD, ident: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, epsilon: float | None = None) -> DataFrame:
+    """src, dst, similarity for all ordered pairs of different objects with a cosine of at least the threshold. Objects without a vector have no pairs.
+
+    With epsilon, only pairs within epsilon of the best that src has in the same two blocks: a superset of what near_top() keeps, and all that it needs.
+    """
     rows = _usable(objects, ident, vector)
     kind = objects.schema[ident].dataType.simpleString()
     blocks = max(1, ceil(rows.count() / block_rows))
@@ -53,10 +56,16 @@ def self_pairs(objects: DataFrame, threshold: float = THRESHOLD, ident: str = "i
         sims = _unit_rows(a["v"]) @ _unit_rows(b["v"]).T if len(a) and len(b) else np.zeros((len(a), len(b)))
         if i == j:
             np.fill_diagonal(sims, -1)
-        x, y = np.nonzero(sims >= threshold)
+
+        def enough(axis: int) -> tuple[np.ndarray, np.ndarray]:
+            least = threshold if epsilon is None else np.maximum(threshold, sims.max(axis=axis, keepdims=True, initial=-1) - epsilon)
+            return np.nonzero(sims >= least)
+
+        x, y = enough(1)
         left, right, s = _ids(a, kind)[x], _ids(b, kind)[y], sims[x, y]
         if i != j:
-            left, right, s = np.r_[left, right], np.r_[right, left], np.r_[s, s]
+            x, y = enough(0)
+            left, right, s = np.r_[left, _ids(b, kind)[y]], np.r_[right, _ids(a, kind)[x]], np.r_[s, sims[x, y]]
         return pd.DataFrame({"src": _column(left, kind), "dst": _column(right, kind), "similarity": s})
 
     return dealt.groupBy("i", "j").applyInPandas(pairs, f"src {kind}, dst {kind}, similarity double")
@@ -91,7 +100,7 @@ def near_top(pairs: DataFrame, threshold: float = THRESHOLD, epsilon: float = EP
 
 def candidates(objects: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON, k: int = CANDIDATES, ident: str = "id", ref: str = "id", vector: str = "embedding") -> DataFrame:
     """src, dst (another object) or ref (a row of the registry), similarity and is_from_input_list: what a verifier should look at. The window below the best is taken for either kind apart."""
-    own = near_top(self_pairs(objects, threshold, ident, vector), threshold, epsilon)
+    own = near_top(self_pairs(objects, threshold, ident, vector, epsilon=epsilon), threshold, epsilon)
     stored = near_top(nearest(objects, registry, threshold, k, ident, ref, vector), threshold, epsilon)
     own_kind, ref_kind = objects.schema[ident].dataType, registry.schema[ref].dataType
     return own.select("src", "dst", F.lit(None).cast(ref_kind).alias("ref"), "similarity", F.lit(True).alias("is_from_input_list")).unionByName(

@@ -285,7 +285,7 @@ def cosine_knn(spark, sf_dir):
 
 @query("epsilon_candidates", f"WITH {PAIRS} SELECT src, dst, round(s, 6) AS similarity FROM (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM near) WHERE s >= top - 0.05")
 def epsilon_candidates(spark, sf_dir):
-    return _rounded(similarity.near_top(similarity.self_pairs(load(spark, sf_dir, "embeddings"), THETA, "vec_id"), THETA))
+    return _rounded(similarity.near_top(similarity.self_pairs(load(spark, sf_dir, "embeddings"), THETA, "vec_id", epsilon=similarity.EPSILON), THETA))
 
 
 @query("candidate_union", f"""WITH {PAIRS}, asked AS (SELECT * FROM pairs WHERE src % 50 = 0 UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings WHERE vec_id % 50 = 0), knn AS (SELECT src, dst + 1000000 AS ref, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rn FROM asked WHERE s > {THETA}),

@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import bound_batches
 
 #: Pieces met more than once whose tokens a worker remembers, in each of two generations; pieces met once; states that the transducer may have.
-MEMO_PIECES, MEMO_MET = 250_000, 200_000
+MEMO_PIECES, MEMO_MET = 150_000, 100_000
 MEMO_STATES = 20_000
 #: Pairs of tokens of which a worker remembers whether they stay apart, one by one and (a power of two, twice as many as there may be) for many pieces at once.
-MEMO_PAIRS, PAIR_SLOTS = 100_000, 1 << 20
+MEMO_PAIRS, PAIR_SLOTS = 20_000, 1 << 20
 #: Bytes of the longest piece that is simulated with others, and characters of texts whose new pieces are.
-LONG_PIECE, BATCH_CHARS = 32, 2_000_000
+LONG_PIECE, BATCH_CHARS = 32, 1_000_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -432,6 +432,10 @@ class Encoder:
                 part, size = [], 0
         return out[: len(texts)]
 
+    def forget(self) -> None:
+        """Gives the pieces back, as a worker may lie idle beside others."""
+        self.memo, self.older, self.met = {}, {}, {}
+
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -555,6 +559,7 @@ class Tokenizer:
             encoder = own()
             for texts in batches:
                 yield pd.Series([np.frombuffer(ids, "<i4") for ids in encoder.encode_all(texts)], dtype=object)
+            encoder.forget()
 
         return encoded(text)
 
@@ -583,6 +588,7 @@ class Tokenizer:
                     back = decoder.feed(np.frombuffer(ids, "<u4").tolist()) + decoder.finish()
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            encoder.forget()
 
         return digested(text)
 
@@ -597,6 +603,7 @@ class Tokenizer:
                 ids = [np.frombuffer(x, "<i4") for x in encoder.encode_all(texts)]
                 same = [decoder.feed(x.tolist()) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
                 yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "round_trip": same})
+            encoder.forget()
 
         return both(text)
 

@@ -8,11 +8,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Tables written in each scratch() that is open, the innermost last.
 _OPEN: list[list[str]] = []
+#: Where materialize() has put what it returned.
+_STORED: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,4 +64,16 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     if scopes:
         scopes[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    _STORED[stored] = path
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table that materialize() returned, before its scratch() ends: nothing may read it any more."""
+    path = _STORED.pop(df)
+    at, fs = file_system(df.sparkSession, path)
+    fs.delete(at, True)
+    for scope in _OPEN:
+        if path in scope:
+            scope.remove(path)

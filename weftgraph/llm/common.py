@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import materialize, scratch
 
-__all__ = ["bound_batches", "hot_keys", "load", "materialize", "n_words", "partitions", "scratch"]
+__all__ = ["bound_batches", "hot_keys", "load", "materialize", "n_words", "partitions", "scratch", "small_batches"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,3 +38,15 @@ def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most `rows` rows from now on in this session, so that a Python worker holds a few MB of texts at a time."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows for what runs inside; the session's setting is as before afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, clustering, fingerprints, jaccard_join, licenses, mixing, neighbours, quality, sharding, simhash, substring_dedup, toxicity
+from weftgraph.llm import byte_bpe, clustering, conversations, fingerprints, jaccard_join, licenses, mixing, neighbours, quality, sharding, simhash, substring_dedup, toxicity
 from weftgraph.llm.common import load
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -61,9 +61,13 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(load(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(load(spark, sf_dir, "conversations"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster_vectors(load(spark, sf_dir, "embeddings")).drop("worked")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op3_byte_bpe, op4_jaccard_join, op5_quality_classifier, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op9_license_scan, op10_substring_dedup, op11_simhash_near_dedup, op13_centroid_clustering)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_document_fingerprints, op3_byte_bpe, op4_jaccard_join, op5_quality_classifier, op6_source_mixing, op7_histogram_sharding, op8_nearest_neighbours, op9_license_scan, op10_substring_dedup, op11_simhash_near_dedup, op12_conversation_repair, op13_centroid_clustering)}
 ORACLES = {"op6_source_mixing": mixing.ORACLE_SQL, "op10_substring_dedup": substring_dedup.ORACLE_SQL, "op13_centroid_clustering": clustering.ORACLE_SQL}

@@ -114,7 +114,7 @@ def _round(rows: DataFrame, centroids: Centroids) -> DataFrame:
 def seeds(rows: DataFrame, k: int, seed: int) -> np.ndarray:
     """The first k vectors by the hash of seed and id; of equal hashes the smaller vector first, null ids last. At most k rows reach the driver."""
     found = rows.withColumn("h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)).orderBy(F.asc_nulls_last("h"), "v").limit(k).select("v").collect()
-    return np.array([r["v"] for r in found], np.int64).reshape(len(found), -1)
+    return np.array([r["v"] for r in found], np.int64)
 
 
 def cluster_vectors(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, seed: int = SEED, dimensions: int = DIMENSIONS, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

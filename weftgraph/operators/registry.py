@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators import vector_index
 from weftgraph.operators.numbering import number_rows
 from weftgraph.plans.staging import file_system
 from weftgraph.schemas import EDGES, NODES, OBJECTS, RELATIONSHIPS
@@ -40,20 +43,99 @@ class Conflict(Exception):
     """Another writer has made the version that a commit was to make."""
 
 
+@dataclass(frozen=True)
+class Part:
+    """Rows that a commit has added, or several such parts merged. Of a delta, rows take the place of those of the same id in parts before it. level: how many times it was merged."""
+
+    path: str
+    rows: int
+    largest: int
+    delta: bool = False
+    level: int = 0
+
+
 class Registry:
-    """Tables below a folder. A version is one small file that names, for each table, the folders of its parts; a commit writes new parts and then that file, so a reader sees all of a commit or none. The
-    file is made only if it isn't there: of two writers one gets a Conflict. Rows that are added cost what they are; older parts stay as they are."""
+    """Tables below a folder, each a log of parts. A version is one small file that names the parts of each table; a commit writes new parts, of what is added or changed only, and then that file, so a reader sees all of a commit or
+    none. The file is written beside its place and renamed without overwriting: a reader never sees half of one, and of two writers one gets a Conflict. That needs a file system whose rename doesn't overwrite and is atomic, as HDFS
+    and local disks have; on an object store without it let one writer at a time commit.
+
+    Parts are merged as the log grows: MERGED neighbours of one level become one of the next, so a table of n commits has at most MERGED parts for each of log(n) levels, and a row is written again as often as there are levels. Version
+    files before the last KEPT, and parts that only they name, are deleted; a reader that holds an older version must read it anew.
+
+    The parts of object tables (those with an embedding) are segments of a vector index, see vector_index.py: search() and the self-join open their cells.
+    """
+
+    MERGED, KEPT = 8, 50
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _version(self) -> dict:
-        """The last version: its number, its tables' parts and the names of the batches so far."""
+    # versions
+
+    def _listed(self) -> list[int]:
         at, fs = file_system(self.spark, f"{self.path}/versions")
         if not fs.exists(at):
-            return {"version": 0, "tables": {}, "batches": []}
-        last = max(str(f.getPath().getName()) for f in fs.listStatus(at))
-        return json.loads(self.spark.read.text(f"{self.path}/versions/{last}", wholetext=True).first()[0])
+            return []
+        names = [str(f.getPath().getName()) for f in fs.listStatus(at)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0] != ".")
+
+    def _read(self, number: int) -> dict:
+        at, fs = file_system(self.spark, f"{self.path}/versions/{number:012d}.json")
+        source = fs.open(at)
+        try:
+            version = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
+        return version | {"tables": {name: [Part(**p) for p in parts] for name, parts in version["tables"].items()}}
+
+    def _version(self) -> dict:
+        """The last version: its number, its tables' parts and the batches so far: of numbered ones (`stream:number`) the last of each stream, of others the names."""
+        for _ in range(10):
+            there = self._listed()
+            if not there:
+                return {"version": 0, "tables": {}, "streams": {}, "names": []}
+            try:
+                return self._read(there[-1])
+            except Py4JJavaError as failed:  # deleted since it was listed, as others have gone on
+                if "FileNotFound" not in str(failed):
+                    raise
+        raise OSError(f"the versions of {self.path} change faster than they can be read")
+
+    def _publish(self, version: dict) -> None:
+        sc = self.spark.sparkContext
+        folder = f"{self.path}/versions"
+        beside, fs = file_system(self.spark, f"{folder}/.{uuid.uuid4().hex}.tmp")
+        out = fs.create(beside, False)
+        out.write(json.dumps(version | {"tables": {name: [asdict(p) for p in parts] for name, parts in version["tables"].items()}}).encode())
+        out.close()
+        at, _ = file_system(self.spark, f"{folder}/{version['version']:012d}.json")
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(at).toUri(), sc._jsc.hadoopConfiguration())
+        none = sc._gateway.new_array(sc._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        none[0] = sc._jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(fs.makeQualified(beside), fs.makeQualified(at), none)
+        except Py4JJavaError as failed:
+            fs.delete(beside, False)
+            if "FileAlreadyExists" not in str(failed):
+                raise
+            raise Conflict(f"version {version['version']} of {self.path} is there already") from failed
+
+    def _forget_old(self) -> None:
+        """Deletes version files before the last KEPT, and the parts that no kept version names."""
+        there = self._listed()
+        old, kept = there[: -self.KEPT], there[-self.KEPT :]
+        if not old:
+            return
+        named = lambda numbers: {p.path for n in numbers for parts in self._read(n)["tables"].values() for p in parts}
+        # parts come and go in order, so what is gone by the first kept version is in no later one
+        for path in named(old) - named(kept[:1]):
+            at, fs = file_system(self.spark, path)
+            fs.delete(at, True)
+        for n in old:
+            at, fs = file_system(self.spark, f"{self.path}/versions/{n:012d}.json")
+            fs.delete(at, False)
+
+    # tables
 
     def create(self) -> Registry:
         """Empty tables, where there are none; existing ones stay."""
@@ -65,35 +147,89 @@ class Registry:
         """All tables empty, and no batch known."""
         self.commit(replaced={name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}, forget=True)
 
+    def parts(self, name: str) -> list[Part]:
+        return self._version()["tables"][name]
+
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.schema(TABLES[name]).parquet(*self._version()["tables"][name])
+        """The rows of a table as of now, of each id the last."""
+        return self._rows(name, self.parts(name))
+
+    def _rows(self, name: str, parts: list[Part]) -> DataFrame:
+        schema = TABLES[name]
+        if not parts:
+            return self.spark.createDataFrame([], schema)
+        if not any(p.delta for p in parts[1:]):
+            return self.spark.read.schema(schema).parquet(*[f"{p.path}/rows" for p in parts])
+        rows = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{p.path}/rows").withColumn("__seq", F.lit(i)) for i, p in enumerate(parts)])
+        last = reduce(DataFrame.unionByName, [self.spark.read.schema(schema).parquet(f"{p.path}/rows").select(F.col("id").alias("__of"), F.lit(i).alias("__last")) for i, p in enumerate(parts) if p.delta])
+        last = last.groupBy("__of").agg(F.max("__last").alias("__last"))
+        return rows.join(last, F.col("id") == F.col("__of"), "left").filter("__last is null or __seq >= __last").select(*schema.names)
+
+    def segments(self, name: str) -> list[vector_index.Segment]:
+        """The index of a table's vectors, a segment for each part. Rows that a later part has anew don't count."""
+        parts, out = self.parts(name), []
+        for i, p in enumerate(parts):
+            later = [f"{x.path}/rows" for x in parts[i + 1 :] if x.delta]
+            gone = self.spark.read.schema(TABLES[name]).parquet(*later).select(F.col("id").alias("ref")) if later else None
+            out.append(vector_index.read_segment(self.spark, p.path, gone))
+        return out
 
     def has_batch(self, batch: str) -> bool:
-        """Whether a commit of this name is in the last version."""
-        return batch in self._version()["batches"]
-
-    def commit(self, added: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, batch: str | None = None, forget: bool = False) -> None:
-        """A new version: rows added to tables, tables replaced, and the name of the batch that they come from."""
+        """Whether a commit of this name, or a later one of its stream, is in the last version."""
+        version = self._version()
+        stream, number = _named(batch)
+        return batch in version["names"] if number is None else number <= version["streams"].get(stream, -1)
+
+    def _write(self, name: str, rows: DataFrame, number: int, delta: bool = False, level: int = 0) -> Part:
+        at = f"{self.path}/{name}/{number}-{uuid.uuid4().hex}"
+        schema = TABLES[name]
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+        if "embedding" in schema.names:
+            vector_index.write_segment(rows, at)
+        else:
+            rows.write.parquet(f"{at}/rows")
+        ids = F.max("id") if "id" in schema.names else F.lit(None)
+        n, largest = self.spark.read.schema(schema).parquet(f"{at}/rows").agg(F.count(F.lit(1)), ids).first()
+        return Part(at, n, largest or 0, delta, level)
+
+    def commit(self, added: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, batch: str | None = None, forget: bool = False) -> None:
+        """A new version: rows added to tables, rows that take the place of those with their ids, tables replaced, and the name of the batch that they come from. What is empty writes no part."""
         old = self._version()
-        tables = dict(old["tables"])
-        for parts, keep in ((replaced or {}, False), (added or {}, True)):
-            for name, df in parts.items():
-                at = f"{self.path}/{name}/{old['version'] + 1}-{uuid.uuid4().hex}"
-                df.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]).write.parquet(at)
-                tables[name] = [*(tables.get(name, []) if keep else []), at]
-        batches = [] if forget else old["batches"] + ([batch] if batch else [])
-        version = {"version": old["version"] + 1, "tables": tables, "batches": batches}
-        at, fs = file_system(self.spark, f"{self.path}/versions/{version['version']:012d}.json")
-        try:
-            out = fs.create(at, False)
-        except Py4JJavaError as failed:
-            raise Conflict(f"version {version['version']} of {self.path} is there already") from failed
-        out.write(json.dumps(version).encode())
-        out.close()
+        number = old["version"] + 1
+        tables = {name: list(parts) for name, parts in old["tables"].items()}
+        for name, df in (replaced or {}).items():
+            part = self._write(name, df, number)
+            tables[name] = [part] if part.rows else []
+        for rows, delta in ((added or {}, False), (changed or {}, True)):
+            for name, df in rows.items():
+                if not df.isEmpty():
+                    tables[name] = self._merged(name, [*tables.get(name, []), self._write(name, df, number, delta)], number)
+        stream, at = _named(batch) if batch else (None, None)
+        streams = {} if forget else dict(old["streams"])
+        names = [] if forget else [*old["names"], *([batch] if batch and at is None else [])]
+        if at is not None:
+            streams[stream] = max(at, streams.get(stream, -1))
+        self._publish({"version": number, "tables": tables, "streams": streams, "names": names})
+        self._forget_old()
+
+    def _merged(self, name: str, parts: list[Part], number: int) -> list[Part]:
+        while len(parts) >= self.MERGED and len({p.level for p in parts[-self.MERGED :]}) == 1:
+            last = parts[-self.MERGED :]
+            rest = parts[: -self.MERGED]
+            # with nothing before it, no row is taken the place of
+            delta = bool(rest) and any(p.delta for p in last)
+            parts = [*rest, self._write(name, self._rows(name, last), number, delta, last[0].level + 1)]
+        return parts
 
     def largest_id(self, name: str) -> int:
-        return self.table(name).agg(F.max("id")).first()[0] or 0
+        return max((p.largest for p in self.parts(name)), default=0)
 
     def preview(self, name: str, rows: int = 10) -> DataFrame:
         """The first rows by id."""
         return self.table(name).select("id", "name", "description").orderBy("id").limit(rows)
+
+
+def _named(batch: str) -> tuple[str, int | None]:
+    """The stream and the number of a batch named `stream:number`."""
+    stream, _, number = batch.rpartition(":")
+    return (stream, int(number)) if stream and number.isdigit() else (batch, None)

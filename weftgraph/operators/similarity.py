@@ -1,27 +1,24 @@
-"""Pairs of similar objects by the cosine of their embeddings: exact, as products of blocks.
+"""Pairs of similar objects by the cosine of their embeddings: exact, as products of blocks of near objects.
 
-Both sides are dealt into blocks of about BLOCK_ROWS rows; a task gets one block of each and multiplies them, so no task holds more than two blocks and what leaves it are the pairs asked for. The work is
-that of all pairs, which an exact answer needs; each row is sent to as many tasks as the other side has blocks.
+A task gets two blocks of at most BLOCK_ROWS rows and multiplies them, so what leaves it are the pairs asked for. Blocks are cells with bounds (operators/cells.py): two that can't hold a pair never meet. How many that spares depends on
+the data: all but neighbours where objects stand in groups, few where they stand evenly in many dimensions.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.operators import vector_index
+from weftgraph.operators.cells import CELL_ROWS, cell_table, make_cells, near_cell_pairs, unit_rows
+from weftgraph.plans.staging import materialize
+
 BLOCK_ROWS = 4_096
 THRESHOLD, EPSILON, CANDIDATES = 0.4, 0.05, 1
 
 
-def _unit_rows(vectors: pd.Series) -> np.ndarray:
-    m = np.array(vectors.tolist(), np.float64).reshape(len(vectors), -1)
-    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10)
-
-
 def _ids(rows: pd.DataFrame, kind: str) -> np.ndarray:
     return rows["id"].to_numpy(object if kind == "string" else None)
 
@@ -31,10 +28,6 @@ def _column(ids: np.ndarray, kind: str) -> pd.Series:
     return pd.Series(ids, dtype=object if kind == "string" else None)
 
 
-def _block(ident: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(ident), F.lit(blocks)).cast("int")
-
-
 def _usable(objects: DataFrame, ident: str, vector: str) -> DataFrame:
     return objects.filter(F.size(vector) > 0).select(F.col(ident).alias("id"), F.col(vector).alias("v"))
 
@@ -42,18 +35,15 @@ def _usable(objects: DataFrame, ident: str, vector: str) -> DataFrame:
 def self_pairs(objects: DataFrame, threshold: float = THRESHOLD, ident: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, epsilon: float | None = None) -> DataFrame:
     """src, dst, similarity for all ordered pairs of different objects with a cosine of at least the threshold. Objects without a vector have no pairs.
 
-    With epsilon, only pairs within epsilon of the best that src has in the same two blocks: a superset of what near_top() keeps, and all that it needs.
+    Blocks are cells of near objects; two of them meet only where their bounds leave room for a pair. With epsilon, only pairs within epsilon of the best that src has in the same two blocks: a superset of what near_top() keeps, and
+    all that it needs.
     """
-    rows = _usable(objects, ident, vector)
-    kind = objects.schema[ident].dataType.simpleString()
-    blocks = max(1, ceil(rows.count() / block_rows))
-    dealt = rows.withColumn("block", _block(F.col("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v")
+    dealt, kind = block_pairs(objects, threshold, ident, vector, block_rows), objects.schema[ident].dataType.simpleString()
 
     def pairs(df: pd.DataFrame) -> pd.DataFrame:
         i, j = df["i"].iloc[0], df["j"].iloc[0]
         a, b = df[df["block"] == i], df[df["block"] == j]
-        sims = _unit_rows(a["v"]) @ _unit_rows(b["v"]).T if len(a) and len(b) else np.zeros((len(a), len(b)))
+        sims = unit_rows(a["v"]) @ unit_rows(b["v"]).T if len(a) and len(b) else np.zeros((len(a), len(b)))
         if i == j:
             np.fill_diagonal(sims, -1)
 
@@ -71,25 +61,24 @@ def self_pairs(objects: DataFrame, threshold: float = THRESHOLD, ident: str = "i
     return dealt.groupBy("i", "j").applyInPandas(pairs, f"src {kind}, dst {kind}, similarity double")
 
 
-def nearest(objects: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, k: int = CANDIDATES, ident: str = "id", ref: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """src, ref, similarity: for each object the k rows of the registry with the largest cosine above (not at) the threshold, ties to the smaller ref."""
-    left, right = _usable(objects, ident, vector), _usable(registry, ref, vector)
-    kinds = objects.schema[ident].dataType.simpleString(), registry.schema[ref].dataType.simpleString()
-    n, m = (max(1, ceil(x.count() / block_rows)) for x in (left, right))
-    asks = left.withColumn("i", _block(F.col("id"), n)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
-    there = right.withColumn("j", _block(F.col("id"), m)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def block_pairs(objects: DataFrame, threshold: float, ident: str, vector: str, block_rows: int) -> DataFrame:
+    """i, j, block, id, v: the rows of each pair (i, j) of blocks that may hold a pair of objects at the threshold or above."""
+    rows = _usable(objects, ident, vector)
+    n = rows.count()
+    if n <= block_rows:
+        zero = F.lit(0).cast("long")
+        return rows.select(zero.alias("i"), zero.alias("j"), zero.alias("block"), "id", "v")
+    placed, centres = make_cells(rows, block_rows, n)
+    pairs = materialize(near_cell_pairs(cell_table(placed), centres, threshold), "block-pairs")
+    met = pairs.select("i", "j", F.col("i").alias("block")).unionByName(pairs.filter("i <> j").select("i", "j", F.col("j").alias("block")))
+    return placed.select(F.col("cell").alias("block"), "id", "v").join(met, "block").select("i", "j", "block", "id", "v")
 
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id")
-        sims = _unit_rows(a["v"]) @ _unit_rows(b["v"]).T if len(a) and len(b) else np.zeros((len(a), len(b)))
-        first = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        top = np.take_along_axis(sims, first, axis=1)
-        x, y = np.nonzero(top > threshold)
-        return pd.DataFrame({"src": _column(_ids(a, kinds[0])[x], kinds[0]), "ref": _column(_ids(b, kinds[1])[first[x, y]], kinds[1]), "similarity": top[x, y]})
 
-    found = asks.groupBy("i", "j").cogroup(there.groupBy("i", "j")).applyInPandas(best, f"src {kinds[0]}, ref {kinds[1]}, similarity double")
-    order = Window.partitionBy("src").orderBy(F.desc("similarity"), "ref")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("rank")
+def nearest(objects: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, k: int = CANDIDATES, ident: str = "id", ref: str = "id", vector: str = "embedding", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """src, ref, similarity: for each object the k rows of the registry with the largest cosine above (not at) the threshold, ties to the smaller ref. An index of the registry is made for this search; one that is stored is searched by
+    vector_index.search()."""
+    made = vector_index.make_segment(registry, ref, vector, cell_rows)
+    return vector_index.search(_usable(objects, ident, vector), [made], threshold, k)
 
 
 def near_top(pairs: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON, by: tuple[str, ...] = ("src",)) -> DataFrame:
@@ -98,11 +87,12 @@ def near_top(pairs: DataFrame, threshold: float = THRESHOLD, epsilon: float = EP
     return pairs.withColumn("__top", top).filter((F.col("similarity") >= F.greatest(F.lit(threshold), F.col("__top") - epsilon))).drop("__top")
 
 
-def candidates(objects: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, epsilon: float = EPSILON, k: int = CANDIDATES, ident: str = "id", ref: str = "id", vector: str = "embedding") -> DataFrame:
-    """src, dst (another object) or ref (a row of the registry), similarity and is_from_input_list: what a verifier should look at. The window below the best is taken for either kind apart."""
+def candidates(objects: DataFrame, registry: DataFrame | list[vector_index.Segment], threshold: float = THRESHOLD, epsilon: float = EPSILON, k: int = CANDIDATES, ident: str = "id", ref: str = "id", vector: str = "embedding") -> DataFrame:
+    """src, dst (another object) or ref (a row of the registry, given as rows or by its index), similarity and is_from_input_list: what a verifier should look at. The window below the best is taken for either kind apart."""
     own = near_top(self_pairs(objects, threshold, ident, vector, epsilon=epsilon), threshold, epsilon)
-    stored = near_top(nearest(objects, registry, threshold, k, ident, ref, vector), threshold, epsilon)
-    own_kind, ref_kind = objects.schema[ident].dataType, registry.schema[ref].dataType
+    index = registry if isinstance(registry, list) else [vector_index.make_segment(registry, ref, vector)]
+    stored = near_top(vector_index.search(_usable(objects, ident, vector), index, threshold, k), threshold, epsilon)
+    own_kind, ref_kind = objects.schema[ident].dataType, stored.schema["ref"].dataType
     return own.select("src", "dst", F.lit(None).cast(ref_kind).alias("ref"), "similarity", F.lit(True).alias("is_from_input_list")).unionByName(
         stored.select("src", F.lit(None).cast(own_kind).alias("dst"), "ref", "similarity", F.lit(False).alias("is_from_input_list"))
     )

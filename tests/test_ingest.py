@@ -52,7 +52,7 @@ def test_stream(spark, folder):
     registry = Registry(spark, str(folder / "registry"))
     ingest = Ingest(spark, registry)
     for _ in range(2):
-        ingest_stream(stream_documents(spark, str(folder / "in"), 2), ingest, str(folder / "checkpoint"), str(folder / "seen")).awaitTermination(120)
+        ingest_stream(stream_documents(spark, str(folder / "in"), 2), ingest, str(folder / "checkpoint")).awaitTermination(120)
     assert state(registry) == {"entities": 3, "relationship_types": 2, "relationships": 3, "nodes": 3, "edges": 3}
 
 
@@ -114,7 +114,7 @@ def test_a_failure_between_commit_and_digests_adds_nothing_twice(spark, folder):
             super().run(docs, batch)
             raise OSError("lost after the commit")
 
-    ask = lambda kind: ingest_stream(stream_documents(spark, str(folder / "in")), kind(spark, registry), str(folder / "checkpoint"), str(folder / "seen"))
+    ask = lambda kind: ingest_stream(stream_documents(spark, str(folder / "in")), kind(spark, registry), str(folder / "checkpoint"))
     with pytest.raises(Exception, match="lost after the commit"):
         ask(Fails).awaitTermination(120)
     assert state(registry)["relationships"] == 3
@@ -162,9 +162,9 @@ def test_augustus_and_octavian_are_one_and_found_again(spark, tmp_path):
 
     def resolve(names):
         objects = spark.createDataFrame([(n, n, f"about {n}") for n in names], "hash string, name string, description string")
-        ingest.added, ingest.replaced, ingest.objects = {}, {}, {}
+        ingest.added, ingest.changed, ingest.objects = {}, {}, {}
         got = {r["hash"]: r["reference"] for r in ingest.resolve(objects, "entities").collect()}
-        registry.commit(ingest.added, ingest.replaced)
+        registry.commit(ingest.added, ingest.changed)
         return got
 
     first = resolve(["Gaius Julius Caesar Augustus", "Roman Empire", "Octavian"])

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from weftgraph.operators import vector_index
 from weftgraph.operators.numbering import number_rows
 from weftgraph.plans.staging import file_system
-from weftgraph.schemas import EDGES, NODES, OBJECTS, RELATIONSHIPS
+from weftgraph.schemas import ANSWERS, EDGES, NODES, OBJECTS, RELATIONSHIPS
 
-TABLES = {"entities": OBJECTS, "relationship_types": OBJECTS, "relationships": RELATIONSHIPS, "nodes": NODES, "edges": EDGES}
+TABLES = {"entities": OBJECTS, "relationship_types": OBJECTS, "relationships": RELATIONSHIPS, "nodes": NODES, "edges": EDGES, "answers": ANSWERS}
 
 
 def assign_ids(rows: DataFrame, start: int, order: list[str], name: str = "id") -> DataFrame:
@@ -69,6 +69,7 @@ class Registry:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
+        self._written: list[str] = []
 
     # versions
 
@@ -148,7 +149,7 @@ class Registry:
         self.commit(replaced={name: self.spark.createDataFrame([], schema) for name, schema in TABLES.items()}, forget=True)
 
     def parts(self, name: str) -> list[Part]:
-        return self._version()["tables"][name]
+        return self._version()["tables"].get(name, [])
 
     def table(self, name: str) -> DataFrame:
         """The rows of a table as of now, of each id the last."""
@@ -182,6 +183,7 @@ class Registry:
 
     def _write(self, name: str, rows: DataFrame, number: int, delta: bool = False, level: int = 0) -> Part:
         at = f"{self.path}/{name}/{number}-{uuid.uuid4().hex}"
+        self._written.append(at)
         schema = TABLES[name]
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         if "embedding" in schema.names:
@@ -195,21 +197,28 @@ class Registry:
     def commit(self, added: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, batch: str | None = None, forget: bool = False) -> None:
         """A new version: rows added to tables, rows that take the place of those with their ids, tables replaced, and the name of the batch that they come from. What is empty writes no part."""
         old = self._version()
-        number = old["version"] + 1
+        number, self._written = old["version"] + 1, []
         tables = {name: list(parts) for name, parts in old["tables"].items()}
-        for name, df in (replaced or {}).items():
-            part = self._write(name, df, number)
-            tables[name] = [part] if part.rows else []
-        for rows, delta in ((added or {}, False), (changed or {}, True)):
-            for name, df in rows.items():
-                if not df.isEmpty():
-                    tables[name] = self._merged(name, [*tables.get(name, []), self._write(name, df, number, delta)], number)
-        stream, at = _named(batch) if batch else (None, None)
-        streams = {} if forget else dict(old["streams"])
-        names = [] if forget else [*old["names"], *([batch] if batch and at is None else [])]
-        if at is not None:
-            streams[stream] = max(at, streams.get(stream, -1))
-        self._publish({"version": number, "tables": tables, "streams": streams, "names": names})
+        named: set[str] = set()
+        try:
+            for name, df in (replaced or {}).items():
+                part = self._write(name, df, number)
+                tables[name] = [part] if part.rows else []
+            for rows, delta in ((added or {}, False), (changed or {}, True)):
+                for name, df in rows.items():
+                    if not df.isEmpty():
+                        tables[name] = self._merged(name, [*tables.get(name, []), self._write(name, df, number, delta)], number)
+            stream, at = _named(batch) if batch else (None, None)
+            streams = {} if forget else dict(old["streams"])
+            names = [] if forget else [*old["names"], *([batch] if batch and at is None else [])]
+            if at is not None:
+                streams[stream] = max(at, streams.get(stream, -1))
+            self._publish({"version": number, "tables": tables, "streams": streams, "names": names})
+            named = {p.path for parts in tables.values() for p in parts}
+        finally:  # what was merged at once, or is in no version after a failure
+            for path in set(self._written) - named:
+                folder, fs = file_system(self.spark, path)
+                fs.delete(folder, True)
         self._forget_old()
 
     def _merged(self, name: str, parts: list[Part], number: int) -> list[Part]:

@@ -6,10 +6,11 @@ import hashlib
 import json
 import random
 import re
+import threading
 import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add
@@ -18,9 +19,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftgraph.functions.text import token_count
 from weftgraph.operators import batching, resolution
+from weftgraph.plans.requests import SharedLimiter, ask_many, factory_key, of_process, slot_of
 from weftgraph.plans.staging import materialize
 from weftgraph.schemas import TRIPLE_FIELDS
 
@@ -49,7 +52,7 @@ def with_retries(call: Callable[[], object], attempts: int = 5, base_seconds: fl
 
 @dataclass
 class SlidingWindow:
-    """Requests and tokens of one worker within a window, and how many run at once. A worker's budget is the whole one over the number of workers. One clock for all."""
+    """Requests and tokens of one Python process within a window, and how many run at once; its threads may share it. A budget of all workers is a BudgetServer's. One clock for all."""
 
     rpm: int
     tpm: int
@@ -61,6 +64,13 @@ class SlidingWindow:
     seed: int = 0
     running: int = 0
     calls: list[tuple[float, int]] = field(default_factory=list)
+    lock: threading.Lock = field(default_factory=threading.Lock, repr=False)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "lock"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, lock=threading.Lock())
 
     def wait_for(self, tokens: int) -> float:
         """Seconds until a call of so many tokens would be admitted; 0 for now."""
@@ -70,7 +80,9 @@ class SlidingWindow:
         if len(self.calls) < self.rpm and used + tokens <= self.tpm and self.running < self.max_concurrent:
             return 0.0
         if not self.calls:
-            return self.window_seconds if self.running >= self.max_concurrent else 0.0  # a call above the whole limit goes alone
+            return 0.05 if self.running >= self.max_concurrent else 0.0  # a call above the whole limit goes alone
+        if self.running >= self.max_concurrent:
+            return 0.05  # until one under way is done
         drop, left = 0.0, len(self.calls)
         for at, cost in self.calls:
             drop, used, left = at + self.window_seconds - now, used - cost, left - 1
@@ -81,18 +93,25 @@ class SlidingWindow:
     @contextmanager
     def slot(self, tokens: int) -> Iterator[None]:
         """Waits for admission; what was taken is given back only if it was."""
-        while (wait := self.wait_for(tokens)) > 0:
+        while True:
+            with self.lock:
+                if not (wait := self.wait_for(tokens)):
+                    self.calls.append((self.clock(), tokens))
+                    self.running += 1
+                    break
             self.sleep(wait)
-        self.calls.append((self.clock(), tokens))
-        self.running += 1
         try:
             yield
         finally:
-            self.running -= 1
+            with self.lock:
+                self.running -= 1
 
 
 class Extractor(ABC):
-    """Triples of texts. One instance is made for each partition, so clients are shared by its rows."""
+    """Triples of texts. One instance is made for each Python process, so clients and limiters are shared by its tasks. What is asked of it at once, from several threads, is at_once requests of request_texts texts each."""
+
+    at_once: int = 1
+    request_texts: int = 1
 
     @abstractmethod
     def extract(self, texts: list[str]) -> list[list[dict]]:
@@ -102,13 +121,13 @@ class Extractor(ABC):
 class PromptExtractor(Extractor):
     """A model behind a function from a prompt to the JSON of a chunk's triples; each request waits for `limiter`."""
 
-    def __init__(self, complete: Callable[[str], str], limiter: SlidingWindow | None = None, count: Callable[[str], int] = lambda t: len(t.split())) -> None:
-        self.complete, self.limiter, self.count = complete, limiter, count
+    def __init__(self, complete: Callable[[str], str], limiter: SlidingWindow | SharedLimiter | None = None, count: Callable[[str], int] = lambda t: len(t.split()), at_once: int = 16) -> None:
+        self.complete, self.limiter, self.count, self.at_once = complete, limiter, count, at_once
 
     def extract(self, texts: list[str]) -> list[list[dict]]:
         out = []
         for prompt in map(extraction_prompt, texts):
-            with self.limiter.slot(self.count(prompt)) if self.limiter else nullcontext():
+            with slot_of(self.limiter, self.count(prompt)):
                 out.append(json.loads(self.complete(prompt)))
         return out
 
@@ -133,8 +152,9 @@ class PatternExtractor(Extractor):
 
 
 class Embedder(ABC):
-    """Vectors of texts, one instance for each partition. A request has at most max_batch_size texts and, unless it has one, max_batch_tokens tokens; texts are cut to max_tokens words (0: not)."""
+    """Vectors of texts, one instance for each Python process, asked from at_once threads. A request has at most max_batch_size texts and, unless it has one, max_batch_tokens tokens; texts are cut to max_tokens words (0: not)."""
 
+    at_once: int = 1
     max_batch_size: int = 128
     max_batch_tokens: int = 120_000
     max_tokens: int = 0
@@ -180,30 +200,51 @@ def _bare(column: str) -> Column:
 
 
 class BatchVerifier(Verifier):
-    """A model that judges pairs in batches of a token budget: `judge` makes, once for each batch's worker, what turns a list of pairs (as dicts) into a list of answers (are_same, updated_name,
-    updated_description; None: no answer, so not the same). Each request waits for `limiter` and is repeated when it is refused."""
+    """A model that judges pairs in batches of a token budget: `judge` makes, once in each Python process, what turns a list of pairs (as dicts) into a list of answers (are_same, updated_name,
+    updated_description; None: no answer, so not the same). Each request waits for `limiter` and is repeated when it is refused; at_once of a worker run at the same time."""
 
     COLUMNS = ("name", "description", "other_name", "other_description")
 
-    def __init__(self, judge: Callable[[], Callable[[list[dict]], list[dict | None]]], count: Callable[[str], int] | None = None, budget: int = 4_000, reserve: int = 500, limiter: Callable[[], SlidingWindow] | None = None, retry: Callable = with_retries) -> None:
-        self.judge, self.count, self.budget, self.reserve, self.limiter, self.retry = judge, count, budget, reserve, limiter, retry
+    def __init__(self, judge: Callable[[], Callable[[list[dict]], list[dict | None]]], count: Callable[[str], int] | None = None, budget: int = 4_000, reserve: int = 500, limiter: Callable[[], SlidingWindow | SharedLimiter] | None = None, retry: Callable = with_retries, at_once: int = 1) -> None:
+        self.judge, self.count, self.budget, self.reserve, self.limiter, self.retry, self.at_once = judge, count, budget, reserve, limiter, retry, at_once
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         order = [c for c in ("src", "dst", "ref", *self.COLUMNS) if c in pairs.columns]
         cost = reduce(add, [token_count(F.col(c), self.count) for c in self.COLUMNS])
         packed = materialize(batching.verification_batches(pairs.withColumn("__tokens", cost), "__tokens", self.budget, self.reserve, order).withColumn("pair_id", F.monotonically_increasing_id()), "pairs")
-        judge, limiter, retry, columns = self.judge, self.limiter, self.retry, list(self.COLUMNS)
+        judge, limiter, retry, columns, at_once = self.judge, self.limiter, self.retry, list(self.COLUMNS), self.at_once
+        keys = factory_key(judge), factory_key(limiter) if limiter else ""
+
+        def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ask, limit = of_process(keys[0], judge), of_process(keys[1], limiter) if limiter else None
+
+            def answers(df: pd.DataFrame) -> pd.DataFrame:
+                rows = df[columns].to_dict("records")
+                with slot_of(limit, int(df["__tokens"].sum())):
+                    told = retry(lambda: ask(rows))
+                rows = [(i, *(a.get(k) for k in ("are_same", "updated_name", "updated_description"))) for i, a in zip(df["pair_id"], told, strict=True) if a]
+                return pd.DataFrame(rows, columns=["pair_id", "are_same", "updated_name", "updated_description"])
+
+            for done in ask_many(_whole_groups(batches, "batch_no"), answers, at_once):
+                if done.error:
+                    raise done.error
+                yield done.value
+
+        dealt = packed.repartition("batch_no").sortWithinPartitions("batch_no")
+        verdicts = dealt.mapInPandas(asked, "pair_id long, are_same boolean, updated_name string, updated_description string")
+        return resolution.merge_verdicts(packed, verdicts, ("pair_id",)).drop("__tokens", "batch_no", "pair_id")
 
-        def asked(df: pd.DataFrame) -> pd.DataFrame:
-            ask, limit = judge(), limiter() if limiter else None
-            rows = df[columns].to_dict("records")
-            with limit.slot(int(df["__tokens"].sum())) if limit else nullcontext():
-                answers = retry(lambda: ask(rows))
-            told = [(i, *(a.get(k) for k in ("are_same", "updated_name", "updated_description"))) for i, a in zip(df["pair_id"], answers, strict=True) if a]
-            return pd.DataFrame(told, columns=["pair_id", "are_same", "updated_name", "updated_description"])
 
-        verdicts = packed.groupBy("batch_no").applyInPandas(asked, "pair_id long, are_same boolean, updated_name string, updated_description string")
-        return resolution.merge_verdicts(packed, verdicts, ("pair_id",)).drop("__tokens", "batch_no", "pair_id")
+def _whole_groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
+    """The rows of each value of key, of rows sorted by it; a value that goes on in the next Arrow batch is put together."""
+    rest = None
+    for df in batches:
+        df = df if rest is None else pd.concat([rest, df], ignore_index=True)
+        groups = [g for _, g in df.groupby(key, sort=False)]
+        rest = groups.pop() if groups else None
+        yield from groups
+    if rest is not None:
+        yield rest
 
 
 class RuleVerifier(Verifier):
@@ -226,24 +267,41 @@ def extraction_prompt(text: str) -> str:
     return f"{EXTRACTION_PROMPT}\n\n{text}"
 
 
-def extract_triples(chunks: DataFrame, make: Callable[[], Extractor] = PatternExtractor, text_col: str = "chunk", batch_rows: int = 64, permissive: bool = False) -> DataFrame:
-    """chunks with answer: the JSON of each chunk's triples. An extractor that fails is an error; with permissive the answer is "[]" and the error is in the column error."""
+def extract_triples(chunks: DataFrame, make: Callable[[], Extractor] = PatternExtractor, text_col: str = "chunk", permissive: bool = False, retry: Callable = with_retries) -> DataFrame:
+    """chunks with answer: the JSON of each chunk's triples. Requests of a worker run at once as far as its extractor says, in the order of the rows. An extractor that fails is an error; with permissive the answer of the chunk that it
+    failed on is "[]" and the error is in the column error: where a request of several texts fails, they are asked for one by one."""
     names = [c for c in chunks.columns if c not in ("answer", "error")]
-    schema = chunks.select(*names).schema.add("answer", "string").add("error", "string")
+    schema = StructType([*chunks.select(*names).schema.fields, *StructType.fromDDL("answer string, error string").fields])
+    key = factory_key(make)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extractor = make()
+        extractor = of_process(key, make)
+        size = max(1, extractor.request_texts)
+
+        def ask(texts: list[str]) -> list:
+            answers = retry(lambda: extractor.extract(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+            return answers
+
+        def told(texts: list[str]) -> list[tuple[str, str | None]]:
+            try:
+                return [(json.dumps(t), None) for t in ask(texts)]
+            except Exception as failed:
+                if not permissive:
+                    raise
+                if len(texts) == 1:
+                    return [("[]", str(failed))]
+            return [row for t in texts for row in told([t])]
+
         for df in batches:
-            for at in range(0, len(df), batch_rows):
-                part = df.iloc[at : at + batch_rows].copy()
-                texts = part[text_col].tolist()
-                try:
-                    part["answer"], part["error"] = [json.dumps(t) for t in with_retries(lambda texts=texts: extractor.extract(texts))], None
-                except Exception as failed:
-                    if not permissive:
-                        raise
-                    part["answer"], part["error"] = "[]", str(failed)
-                yield part
+            texts = df[text_col].tolist()
+            rows: list[tuple[str, str | None]] = []
+            for done in ask_many((texts[at : at + size] for at in range(0, len(texts), size)), told, extractor.at_once):
+                if done.error:
+                    raise done.error
+                rows += done.value
+            yield df.assign(answer=[r[0] for r in rows], error=[r[1] for r in rows])
 
     return chunks.select(*names).mapInPandas(run, schema)
 
@@ -261,23 +319,37 @@ def request_batches(texts: list[str], most_texts: int, most_tokens: int, count:
         yield begin, len(texts), used
 
 
-def embed_column(rows: DataFrame, text_col: str, make: Callable[[], Embedder] = HashingEmbedder, out_col: str = "embedding", kind: str = "document", limiter: Callable[[], SlidingWindow] | None = None) -> DataFrame:
-    """rows with a vector of a text column, asked for in requests of the embedder's size, each after waiting for `limiter`. Vectors that rows have already (out_col not null or empty) stay and aren't asked for."""
+def embed_column(rows: DataFrame, text_col: str, make: Callable[[], Embedder] = HashingEmbedder, out_col: str = "embedding", kind: str = "document", limiter: Callable[[], SlidingWindow | SharedLimiter] | None = None, retry: Callable = with_retries) -> DataFrame:
+    """rows with a vector of a text column, asked for in requests of the embedder's size, as many at once as it says, each after waiting for `limiter` and again when it is refused. Vectors that rows have already (out_col not null or
+    empty) stay and aren't asked for. The embedder and the limiter are made once in each Python process."""
+    keys = factory_key(make), factory_key(limiter) if limiter else ""
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        embedder, limit = make(), limiter() if limiter else None
+        embedder, limit = of_process(keys[0], make), of_process(keys[1], limiter) if limiter else None
         prefix = embedder.prefixes.get(kind, "")
         for texts in batches:
             out: list = [[]] * len(texts)
             wanted = [i for i, t in enumerate(texts) if t and t.strip()]
             ready = [prefix + (" ".join(t.split()[: embedder.max_tokens]) if embedder.max_tokens else t) for t in texts.iloc[wanted]]
-            for a, b, tokens in request_batches(ready, embedder.max_batch_size, embedder.max_batch_tokens, lambda t: len(t.split())):
-                with limit.slot(tokens) if limit else nullcontext():
-                    for i, v in zip(wanted[a:b], embedder.embed(ready[a:b]), strict=True):
-                        if embedder.dimensions and len(v) not in (0, embedder.dimensions):
-                            raise ValueError(f"a vector of {len(v)} dimensions, not {embedder.dimensions}")
-                        out[i] = v
+
+            def ask(request: tuple[int, int, int], ready: list[str] = ready) -> tuple[int, int, list]:
+                a, b, tokens = request
+
+                def once() -> list:
+                    with slot_of(limit, tokens):
+                        return embedder.embed(ready[a:b])
+
+                return a, b, retry(once)
+
+            for done in ask_many(request_batches(ready, embedder.max_batch_size, embedder.max_batch_tokens, lambda t: len(t.split())), ask, embedder.at_once):
+                if done.error:
+                    raise done.error
+                a, b, made = done.value
+                for i, v in zip(wanted[a:b], made, strict=True):
+                    if embedder.dimensions and len(v) not in (0, embedder.dimensions):
+                        raise ValueError(f"a vector of {len(v)} dimensions, not {embedder.dimensions}")
+                    out[i] = v
             yield pd.Series(out, dtype=object)
 
     if out_col not in rows.columns:

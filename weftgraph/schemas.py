@@ -24,3 +24,6 @@ OBJECTS = T.StructType([T.StructField("id", _L), T.StructField("name", _S), T.St
 RELATIONSHIPS = T.StructType([T.StructField("id", _L), T.StructField("from_entity", _L), T.StructField("relationship_type", _L), T.StructField("to_entity", _L), T.StructField("constraint_condition", _S), T.StructField("reason", _S), T.StructField("is_causal", _B), T.StructField("source_document_uri", _S)])
 NODES = T.StructType([T.StructField("pg_id", _L), T.StructField("name", _S)])
 EDGES = T.StructType([T.StructField("src", _L), T.StructField("dst", _L), T.StructField("rel_type", _S), T.StructField("pg_id", _L)])
+
+#: Models' answers by the digest of what they were asked: JSON of an extractor, or a vector.
+ANSWERS = T.StructType([T.StructField("model", _S), T.StructField("digest", _S), T.StructField("answer", _S), T.StructField("vector", T.ArrayType(T.FloatType()))])

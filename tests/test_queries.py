@@ -1,6 +1,7 @@
 """Every core query against its SQL, on the smallest tables."""
 
 import os
+import pathlib
 
 import duckdb
 import pandas as pd
@@ -43,6 +44,16 @@ def test_query_runs(spark, name):
     assert queries.Q[name](spark, SF).count() > 0
 
 
+def test_both_kinds_of_candidates(spark):
+    kinds = queries.Q["candidate_union"](spark, SF).groupBy("is_from_input_list").count().collect()
+    assert {r["is_from_input_list"] for r in kinds} == {True, False} and all(r["count"] > 1 for r in kinds)
+
+
+def test_source_listing(spark):
+    wanted = sorted((p.name, p.stat().st_size) for p in pathlib.Path(SF).rglob("*") if p.is_file() and p.name[0] not in "._")
+    assert sorted(tuple(r) for r in queries.Q["source_listing"](spark, SF).collect()) == wanted
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

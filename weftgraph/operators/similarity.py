@@ -92,7 +92,12 @@ def candidates(objects: DataFrame, registry: DataFrame | list[vector_index.Segme
     own = near_top(self_pairs(objects, threshold, ident, vector, epsilon=epsilon), threshold, epsilon)
     index = registry if isinstance(registry, list) else [vector_index.make_segment(registry, ref, vector)]
     stored = near_top(vector_index.search(_usable(objects, ident, vector), index, threshold, k), threshold, epsilon)
-    own_kind, ref_kind = objects.schema[ident].dataType, stored.schema["ref"].dataType
+    return both_kinds(own, stored)
+
+
+def both_kinds(own: DataFrame, stored: DataFrame) -> DataFrame:
+    """Pairs of objects (src, dst) and of objects with rows of the registry (src, ref) under one schema, told apart by is_from_input_list."""
+    own_kind, ref_kind = own.schema["dst"].dataType, stored.schema["ref"].dataType
     return own.select("src", "dst", F.lit(None).cast(ref_kind).alias("ref"), "similarity", F.lit(True).alias("is_from_input_list")).unionByName(
         stored.select("src", F.lit(None).cast(own_kind).alias("dst"), "ref", "similarity", F.lit(False).alias("is_from_input_list"))
     )

@@ -148,7 +148,29 @@ def word_split(spark, sf_dir):
     return _pieces(spark, sf_dir, fn.words)
 
 
-@query("chunk_pack")
+def _cut_sql(source: str, keys: str, cut: str, gaps: str) -> str:
+    """The parts `cut` of the text s of a source's rows (keys, s, start), with number i of n, text part and place start."""
+    before = "coalesce(list_sum(list_transform(p[1:i - 1], lambda t: len(t))) + list_sum(list_transform(g[1:i - 1], lambda t: len(t))), 0)::BIGINT"
+    return f"SELECT {keys}, i, len(p) AS n, p[i] AS s, start + {before} AS start FROM (SELECT {keys}, p, g, start, unnest(range(1, len(p) + 1)) AS i FROM (SELECT {keys}, start, {cut} AS p, {gaps} AS g FROM {source}))"
+
+
+_CHUNKS = rf"""WITH RECURSIVE d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS s, 0::BIGINT AS start FROM documents),
+par AS (SELECT doc_id, i AS a, s, start, {_WORDS.replace("text", "s")} AS cost FROM ({_cut_sql("d", "doc_id", r"string_split_regex(s, '\n\s*\n')", r"regexp_extract_all(s, '\n\s*\n')")})),
+sen AS (SELECT doc_id, a, i AS b, s, start, {_WORDS.replace("text", "s")} AS cost FROM ({_cut_sql("(SELECT * FROM par WHERE cost > 100)", "doc_id, a", r"string_split(regexp_replace(s, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))", r"regexp_extract_all(s, '[.!?](\s+)', 1)")})),
+wrd AS (SELECT doc_id, a, b, i AS c, n, s, start FROM ({_cut_sql("(SELECT * FROM sen WHERE cost > 100)", "doc_id, a, b", r"string_split_regex(s, '\s+')", r"regexp_extract_all(s, '\s+')")}) WHERE s <> ''),
+unit AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, b, c) AS rn FROM (
+ SELECT doc_id, a, 0 AS b, 0 AS c, s, start, cost, true AS par, false AS opens, false AS shuts FROM par WHERE cost <= 100
+ UNION ALL SELECT doc_id, a, b, 0, s, start, cost, false, false, false FROM sen WHERE cost <= 100
+ UNION ALL SELECT doc_id, a, b, c, s, start, 1, false, c = min(c) OVER w, c = max(c) OVER w FROM wrd WINDOW w AS (PARTITION BY doc_id, a, b))),
+f AS (SELECT doc_id, rn, cost AS used, 1 AS chunk, NULL::BOOLEAN AS told, shuts FROM unit WHERE rn = 1
+ UNION ALL SELECT u.doc_id, u.rn, CASE WHEN u.opens OR f.shuts OR f.used + u.cost > 100 THEN u.cost ELSE f.used + u.cost END, f.chunk + CASE WHEN u.opens OR f.shuts OR f.used + u.cost > 100 THEN 1 ELSE 0 END,
+  CASE WHEN u.opens OR f.shuts THEN false WHEN f.used + u.cost > 100 THEN u.par END, u.shuts FROM f JOIN unit u ON u.doc_id = f.doc_id AND u.rn = f.rn + 1),
+g AS (SELECT f.doc_id, f.chunk, string_agg(u.s, ' ' ORDER BY f.rn) AS t, min_by(u.start, f.rn) AS x, max_by(u.start + len(u.s), f.rn) AS y, max_by(f.shuts, f.rn) AS shut FROM f JOIN unit u ON u.doc_id = f.doc_id AND u.rn = f.rn GROUP BY ALL),
+h AS (SELECT g.*, coalesce(e.told, NOT g.shut) AS par FROM g LEFT JOIN f e ON e.doc_id = g.doc_id AND e.chunk = g.chunk + 1 AND e.told IS NOT NULL)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY chunk) - 1)::INT AS chunk_no, md5(t) AS chunk, x::INT AS start_char, y::INT AS end_char, par AS is_paragraph_boundary, NOT par AS is_sentence_boundary FROM h WHERE t <> ''"""
+
+
+@query("chunk_pack", _CHUNKS)
 def chunk_pack(spark, sf_dir):
     docs = load(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("content"))
     return chunking.chunk_documents(docs, 100).select("doc_id", "chunk_no", F.md5("chunk").alias("chunk"), "start_char", "end_char", "is_paragraph_boundary", "is_sentence_boundary")
@@ -275,12 +297,17 @@ def _asking(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows.filter("vec_id % 50 = 0"), rows.withColumn("vec_id", F.col("vec_id") + 1_000_000)
 
 
+def _others_in_registry(spark, sf_dir, k: int) -> DataFrame:
+    """src, ref, similarity: the k nearest rows of the registry for every fiftieth object, its own row left out."""
+    # an object's own row in the registry is among the first k + 1, or k + 1 others are as near
+    found = similarity.nearest(*_asking(spark, sf_dir), THETA, k + 1, "vec_id", "vec_id").withColumn("ref", F.col("ref") - 1_000_000).filter("src <> ref")
+    order = Window.partitionBy("src").orderBy(F.desc("similarity"), "ref")
+    return found.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k).drop("rn")
+
+
 @query("cosine_knn", f"WITH {PAIRS}, {_KNN} SELECT src, ref, round(s, 6) AS similarity FROM knn WHERE rn <= 3")
 def cosine_knn(spark, sf_dir):
-    # an object's own row in the registry is among the first four, or four others are as near
-    found = similarity.nearest(*_asking(spark, sf_dir), THETA, 4, "vec_id", "vec_id").withColumn("ref", F.col("ref") - 1_000_000).filter("src <> ref")
-    order = Window.partitionBy("src").orderBy(F.desc("similarity"), "ref")
-    return _rounded(found.withColumn("rn", F.row_number().over(order)).filter("rn <= 3").drop("rn"))
+    return _rounded(_others_in_registry(spark, sf_dir, 3))
 
 
 @query("epsilon_candidates", f"WITH {PAIRS} SELECT src, dst, round(s, 6) AS similarity FROM (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM near) WHERE s >= top - 0.05")
@@ -288,11 +315,12 @@ def epsilon_candidates(spark, sf_dir):
     return _rounded(similarity.near_top(similarity.self_pairs(load(spark, sf_dir, "embeddings"), THETA, "vec_id", epsilon=similarity.EPSILON), THETA))
 
 
-@query("candidate_union", f"""WITH {PAIRS}, asked AS (SELECT * FROM pairs WHERE src % 50 = 0 UNION ALL SELECT vec_id, vec_id, 1.0 FROM embeddings WHERE vec_id % 50 = 0), knn AS (SELECT src, dst + 1000000 AS ref, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rn FROM asked WHERE s > {THETA}),
-own AS (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM near WHERE src % 50 = 0 AND dst % 50 = 0), db AS (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM knn WHERE rn <= 2)
+@query("candidate_union", f"""WITH {PAIRS}, {_KNN}, own AS (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM near), db AS (SELECT *, max(s) OVER (PARTITION BY src) AS top FROM knn WHERE rn <= 5)
 SELECT src, dst, NULL::BIGINT AS ref, round(s, 6) AS similarity, true AS is_from_input_list FROM own WHERE s >= top - 0.05 UNION ALL SELECT src, NULL, ref, round(s, 6), false FROM db WHERE s >= top - 0.05""")
 def candidate_union(spark, sf_dir):
-    return _rounded(similarity.candidates(*_asking(spark, sf_dir), THETA, 0.05, 2, "vec_id", "vec_id"))
+    """All objects against each other, and every fiftieth against the others in the registry."""
+    own = similarity.near_top(similarity.self_pairs(load(spark, sf_dir, "embeddings"), THETA, "vec_id", epsilon=similarity.EPSILON), THETA)
+    return _rounded(similarity.both_kinds(own, similarity.near_top(_others_in_registry(spark, sf_dir, 5), THETA)))
 
 
 def _judged(spark, sf_dir) -> DataFrame:
@@ -464,6 +492,18 @@ def rate_admission(spark, sf_dir):
     return limits.admission(load(spark, sf_dir, "events"), "ts", F.floor("value").cast("long"), ["event_type"], 2, 150).select("event_id", "admitted", "delay_seconds")
 
 
+@query("rate_admission_state", """WITH RECURSIVE s AS (SELECT event_id, event_type AS k, epoch_us(ts) AS t, CAST(floor(value) AS BIGINT) AS c, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events),
+f AS (SELECT k, 0::BIGINT AS rn, NULL::BIGINT AS event_id, false AS ok, 0::BIGINT AS wait, []::BIGINT[][] AS adm, []::BIGINT[][] AS res FROM (SELECT DISTINCT k FROM s)
+ UNION ALL SELECT k, rn, event_id, ok, CASE WHEN ok THEN 0 ELSE w END, CASE WHEN ok THEN list_append(a, [t, c]) ELSE a END, CASE WHEN ok THEN r ELSE list_append(r, [t + w, c]) END
+ FROM (SELECT *, len(a) + len(r) < 4 AND used + c <= 200 AS ok, 3600000000 * (used + c) // 200 AS w
+  FROM (SELECT *, coalesce(list_sum(list_transform(a, lambda x: x[2])), 0)::BIGINT + coalesce(list_sum(list_transform(r, lambda x: x[2])), 0)::BIGINT AS used
+   FROM (SELECT s.*, list_filter(f.adm, lambda x: x[1] > s.t - 3600000000) AS a, list_filter(f.res, lambda x: x[1] > s.t) AS r FROM f JOIN s ON s.k = f.k AND s.rn = f.rn + 1))))
+SELECT event_id, ok AS admitted, CASE WHEN ok THEN 0.0 ELSE wait / 1000000.0 END::DOUBLE AS delay_seconds FROM f WHERE rn > 0""")
+def rate_admission_state(spark, sf_dir):
+    calls = load(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.floor("value").cast("long").alias("cost"))
+    return limits.admission_state(calls, "ts", F.col("cost"), ["event_type"], 4, 200, 3_600, ["event_id"]).select("event_id", "admitted", "delay_seconds")
+
+
 @query("pipeline_counts", f"WITH {LINKED} SELECT count(*) AS n_triples, count(CASE WHEN {FULL} THEN 1 END) AS n_complete, count(DISTINCT source_document_uri) AS n_documents FROM linked")
 def pipeline_counts(spark, sf_dir):
     return linking.counts(_linked(spark, sf_dir)[0])

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import materialize
 
+#: Edges of a file between rounds.
+FILE_EDGES = 200_000
+
 
 def _least(edges: DataFrame) -> DataFrame:
     """For each u the smallest of its neighbours v and itself."""
@@ -21,7 +26,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     the driver sees one checksum a round, made while it is written. Self-loops give components of one node; rows with a null end are ignored.
     """
     ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null")
-    first = materialize(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    counted = Observation()
+    first = materialize(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().observe(counted, F.count(F.lit(1)).alias("n")), "edges")
+    # a small graph's edges are few files: rounds of it are short tasks, of which there needn't be many
+    files = max(1, ceil(counted.get["n"] / FILE_EDGES))
     now, before = first.filter("u <> v"), None
     for _ in range(most_rounds):
         both = now.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
@@ -29,7 +37,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
         seen = Observation()
-        now = materialize(small.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+        now = materialize(small.coalesce(files).observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
         sign = seen.get
         if sign == before:
             break

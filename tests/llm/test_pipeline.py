@@ -21,7 +21,8 @@ from weftgraph.llm import byte_bpe, mixing, quality, queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert normal(queries.QUERIES[name](spark, SF).toPandas()) == normal(con.execute(queries.ORACLES[name]).df())
 
 

@@ -78,6 +78,36 @@ def _rest(text: str, at: list[int], n: int) -> str:
     return b"".join([*out, raw[upto:]]).decode()
 
 
+def _hot_runs(texts: DataFrame, hot: DataFrame, words: int, kind: str, most: int = 1000) -> tuple[np.ndarray, list[tuple]]:
+    """Runs under the hot keys that more than one in `most` of all runs under these are, so fewer than `most`: sorted, with the first place (id, print, word) of each. Texts with such a key are read; what a batch holds of a run is one row."""
+    keys = [r["key"] for r in hot.collect()]  # fewer than a thousand
+    if not keys:
+        return np.zeros(0, np.int64), []
+    mine = texts.withColumn("keys", F.array_intersect("keys", F.array(*map(F.lit, keys)).cast("array<bigint>"))).filter(F.size("keys") > 0)
+
+    def combined(batches):
+        for batch in batches:
+            first: dict[int, list] = {}
+            ids, prints = batch["id"].to_pylist(), batch["print"].to_pylist()
+            for k in sorted(range(len(ids)), key=lambda k: (True, ids[k], prints[k]) if ids[k] is not None else (False, prints[k])):
+                for _, run, key in _read([batch["text"][k].as_py()], words):
+                    at = np.flatnonzero(np.isin(key, batch["keys"][k].values.to_numpy()))
+                    for r, a in zip(run[at].tolist(), at.tolist(), strict=True):
+                        if r in first:
+                            first[r][0] += 1
+                        else:
+                            first[r] = [1, k, a]
+            if first:
+                take = pa.array([k for _, k, _ in first.values()], pa.int64())
+                yield pa.RecordBatch.from_pydict({"run": pa.array(list(first), pa.int64()), "n": pa.array([n for n, *_ in first.values()], pa.int64()), "id": batch["id"].take(take), "print": batch["print"].take(take), "at": pa.array([a for *_, a in first.values()], pa.int32())})
+
+    told = materialize(mine.mapInArrow(combined, f"run long, n long, id {kind}, print long, at int"), "hot-runs")
+    total = told.agg(F.sum("n")).first()[0] or 0
+    rows = told.groupBy("run").agg(F.sum("n").alias("n"), F.min(F.struct("id", "print", "at")).alias("f")).filter((F.col("n") > total / most) & (F.col("n") > 1)).collect()
+    rows.sort(key=lambda r: r["run"])
+    return np.array([r["run"] for r in rows], np.int64), [tuple(r["f"]) for r in rows]
+
+
 def drop_passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the words that stand in a run of `words` words (of [^\\x20\\x09-\\x0D]+, A-Z as a-z) which occurs at an earlier place by (id, word) too, not overlapping it.
 
@@ -89,9 +119,9 @@ def drop_passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.filter(F.length(text) > 2 * words - 2).select(ident.alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
 
-    def table(batch: pa.RecordBatch, of: list[np.ndarray], more: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+    def table(batch: pa.RecordBatch, of: list[np.ndarray], more: dict[str, list[np.ndarray]], gone: pa.Array | None = None) -> pa.RecordBatch:
         take = pa.array(np.concatenate(of))
-        return pa.RecordBatch.from_pydict({"id": batch["id"].take(take), "print": batch["print"].take(take)} | {k: pa.array(np.concatenate(v)) for k, v in more.items()})
+        return pa.RecordBatch.from_pydict({"id": batch["id"].take(take), "print": batch["print"].take(take)} | {k: pa.array(np.concatenate(v)) for k, v in more.items()} | ({} if gone is None else {"gone": gone}))
 
     def keyed(batches):
         for batch in batches:
@@ -109,24 +139,37 @@ def drop_passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     met = met.groupBy("id", "print").agg(F.collect_set("key").alias("keys")).select(F.col("id").alias("__id"), F.col("print").alias("__print"), "keys")
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print"))
 
+    texts_met = rows.join(met, same).select("id", "print", "text", "keys")
+    first_of_hot = _hot_runs(texts_met, hot, words, kind)
+    known = docs.sparkSession.sparkContext.broadcast(first_of_hot)
+
     def runs(batches):
         for batch in batches:
-            of, hashes, ats = [], [], []
+            of, hashes, ats, gone = [], [], [], []
+            ids, prints = batch["id"].to_pylist(), batch["print"].to_pylist()
             for k, run, key in _read(batch["text"].to_pylist(), words):
                 at = np.flatnonzero(np.isin(key, batch["keys"][k].values.to_numpy()))
-                of.append(np.full(len(at), k))
-                hashes.append(run[at])
-                ats.append(at.astype(np.int32))
+                # runs that very many texts hold are told by a table of bounded size, the others are met by a join
+                place = np.minimum(np.searchsorted(known.value[0], run[at]), max(len(known.value[0]) - 1, 0))
+                told = known.value[0][place] == run[at] if len(known.value[0]) else np.zeros(len(at), bool)
+                mine = [int(a) for a, p in zip(at[told].tolist(), place[told].tolist(), strict=True) if known.value[1][p][:2] != (ids[k], prints[k]) or a - known.value[1][p][2] >= words]
+                at = at[~told]
+                more = int(bool(mine))
+                of.append(np.full(len(at) + more, k))
+                hashes.append(np.r_[run[at], np.zeros(more, np.int64)])
+                ats.append(np.r_[at, np.zeros(more, np.int64)].astype(np.int32))
+                gone += [None] * len(at) + ([mine] if mine else [])
             if of:
-                yield table(batch, of, {"run": hashes, "at": ats})
+                yield table(batch, of, {"run": hashes, "at": ats}, pa.array(gone, pa.list_(pa.int32())))
 
-    found = materialize(rows.join(met, same).select("id", "print", "text", "keys").mapInArrow(runs, f"id {kind}, print long, run long, at int"), "passage-runs")
+    found = materialize(texts_met.mapInArrow(runs, f"id {kind}, print long, run long, at int, gone array<int>"), "passage-runs")
+    at_once, found = found.filter("gone is not null").select("id", "print", F.explode("gone").alias("at")), found.filter("gone is null").drop("gone")
     firsts = found.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "print", "at")).alias("first")).filter("n > 1").drop("n")
     hot = hot_keys(found, "run")
     hot_firsts = F.broadcast(firsts.join(F.broadcast(hot), "run", "left_semi"))
     both = found.join(hot_firsts, "run").unionByName(found.join(F.broadcast(hot), "run", "left_anti").join(firsts, "run"))
     own = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("print") == F.col("first.print"))
-    repeats = both.filter(~own | (F.col("at") - F.col("first.at") >= words))
+    repeats = both.filter(~own | (F.col("at") - F.col("first.at") >= words)).select("id", "print", "at").unionByName(at_once)
     gone = repeats.groupBy(F.col("id").alias("__id"), F.col("print").alias("__print")).agg(F.collect_set("at").alias("__gone"))
 
     @F.pandas_udf("string")

@@ -126,6 +126,37 @@ def test_a_very_long_piece_adds_no_states_beyond_the_cap(monkeypatch):
         assert len(encoder.transducer.states) <= 200
 
 
+def encoders():
+    ranks = byte_bpe.read_ranks(open(PATH, "rb").read())
+    return byte_bpe.Encoder(ranks, public_tokenizers.PATTERN), tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_new_pieces_are_read_by_transitions(spark):
+    """Of the bytes of pieces that aren't remembered, and are no token, at least 95 in 100 go through the transducer's transitions, with the pattern of the query; the ids are the tokenizer's."""
+    encoder, reference = encoders()
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    got = encoder.encode_all(texts)
+    new = {p for t in texts for p in encoder.find(t)}
+    size = sum(len(x) for x in (p.encode() for p in new) if x not in encoder.transducer.ranks)
+    assert encoder.machine.read >= 0.95 * size and encoder.machine.simulated == 0
+    assert len(encoder.machine.states) > 1_000
+    assert all(np.frombuffer(ids, "<u4").tolist() == reference.encode_ordinary(t) for ids, t in zip(got[::7], texts[::7], strict=True))
+
+
+@pytest.mark.parametrize("states, pieces", [(1 << 12, 64), (1 << 7, 8_192), (1 << 17, 8_192)])
+def test_a_machine_that_is_emptied_or_full_still_encodes(monkeypatch, states, pieces):
+    monkeypatch.setattr(byte_bpe, "MACHINE_STATES", states)
+    monkeypatch.setattr(byte_bpe, "MACHINE_PIECES", pieces)
+    encoder, _ = encoders()
+    rng = random.Random(3)
+    made = [bytes(rng.choice(b"abcdeinorst \xc3\xa9\xff") for _ in range(rng.randrange(1, 33))) for _ in range(3_000)] + [b"a" * n for n in range(1, 33)] + [b" straightforwardness"]
+    got = byte_bpe.Machine(encoder.transducer).encode(made)
+    for piece, ids in zip(made, got, strict=True):
+        parts, _ = byte_bpe.merge_all(encoder.transducer.ranks, piece)
+        assert np.frombuffer(ids, "<u4").tolist() == [encoder.transducer.ranks[p] for p in parts]
+    assert byte_bpe.Machine(encoder.transducer).encode([]) == []
+
+
 def test_white_space_and_signs_between_words():
     ranks = byte_bpe.read_ranks(open(PATH, "rb").read())
     reference = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

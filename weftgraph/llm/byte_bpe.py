@@ -6,9 +6,10 @@ goes with the last token of what lies before it. A state of the transducer is th
 the last token at each place among them. A byte leads to the next state, made when it is first needed; tokens on which all places agree at which a longer token may still begin
 are emitted at once. No token begins further back than the longest token is long, so lookahead is bounded.
 
-The transducer is made lazily: a transition becomes part of it when it is needed for the second time and there is room. Until then the rest of the piece is left to the machine before it is
-determinised: at each place the longest token that ends there and goes with the last token at the place where it begins. For the new pieces of many texts this is done for all of one length at once.
-So a worker's memory is bounded, whatever the texts and however long a piece is.
+The transducer is made lazily, as far as the texts need it. The new pieces of many texts go through it together (Machine): they take a byte at a time, and transitions that none has taken before are determinised all at once and
+stay for the pieces to come; when its tables are full they are emptied and fill up anew. A single piece (Transducer.encode: very long ones, or other patterns) takes a state at a time; there a transition becomes part of the transducer
+when it is needed for the second time and there is room, and until then the rest of the piece is left to the machine before it is determinised: at each place the longest token that ends there and goes with the last token at the
+place where it begins. So a worker's memory is bounded, whatever the texts and however long a piece is.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ MEMO_PIECES, MEMO_MET = 150_000, 100_000
 MEMO_STATES = 20_000
 #: Pairs of tokens of which a worker remembers whether they stay apart, one by one and (a power of two, twice as many as there may be) for many pieces at once.
 MEMO_PAIRS, PAIR_SLOTS = 20_000, 1 << 20
-#: Bytes of the longest piece that is simulated with others, and characters of texts whose new pieces are.
+#: Bytes of the longest piece that is read with others, and characters of texts whose new pieces are; states of the machine that reads them, and pieces that go through it together.
 LONG_PIECE, BATCH_CHARS = 32, 1_000_000
+MACHINE_STATES, MACHINE_PIECES = 1 << 17, 8_192
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -126,6 +128,7 @@ class Transducer:
         self._edges, self._to = np.array([e for e, _ in edges], np.int64), np.array([i for _, i in edges], np.int64)
         self._token = np.array([kind >> 2 if kind & 2 else -1 for kind in self.kinds.values()], np.int64)
         self._first = np.array([nodes[bytes((b,))] for b in range(256)], np.int64)
+        self._longer = np.array([kind & 1 for kind in self.kinds.values()], bool)
         self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self._sizes[list(self._lens)] = list(self._lens.values())
         self._pairs = _Pairs()
@@ -248,48 +251,6 @@ class Transducer:
             fits[unknown] = np.array(told, bool)[at]
         return fits
 
-    def simulate_all(self, data: np.ndarray) -> list[bytes]:
-        """The ids, as bytes, of pieces of one length: the rows of data."""
-        many, size = data.shape
-        flat, at, node = data.ravel(), np.arange(data.size), self._first[data.ravel()]
-        # for each length, the token of so many bytes that begins at each place
-        tokens = [self._token[node].reshape(many, size)]
-        for n in range(2, size + 1):
-            inside = at % size + n <= size
-            at, edge = at[inside], node[inside] * 256 + flat[at[inside] + n - 1]
-            found = np.minimum(np.searchsorted(self._edges, edge), len(self._edges) - 1)
-            goes = self._edges[found] == edge
-            at, node = at[goes], self._to[found[goes]]
-            if not len(at):
-                break
-            longer = np.full(data.size, -1, np.int64)
-            longer[at] = self._token[node]
-            tokens.append(longer.reshape(many, size))
-        lasts = np.full((size + 1, many), -1, np.int64)
-        for end in range(1, size + 1):
-            last, open_ = tokens[0][:, end - 1].copy(), np.arange(many)
-            for n in range(min(end, len(tokens)), 1, -1):
-                token = tokens[n - 1][open_, end - n]
-                there = np.flatnonzero(token >= 0)
-                if not len(there):
-                    continue
-                if end > n:
-                    there = there[self._fit_all(lasts[end - n][open_[there]], token[there])]
-                last[open_[there]] = token[there]
-                open_ = np.delete(open_, there)
-                if not len(open_):
-                    break
-            lasts[end] = last
-        ids, first = np.zeros((many, size), "<u4"), np.full(many, size)
-        rows, ends = np.arange(many), np.full(many, size)
-        while len(rows):
-            token = lasts[ends[rows], rows]
-            first[rows] -= 1
-            ids[rows, first[rows]] = token
-            ends[rows] -= self._sizes[token]
-            rows = rows[ends[rows] > 0]
-        return [row[k:].tobytes() for row, k in zip(ids, first.tolist(), strict=True)]
-
     def encode(self, piece: bytes) -> list[int]:
         out: list[int] = []
         state = self.start
@@ -307,6 +268,185 @@ class Transducer:
         return out + self.flush(state)
 
 
+class Machine:
+    """The transducer for many pieces of at most LONG_PIECE bytes at once. States are rows of tables: the token committed before, the bytes since, the last token at each place among them, and the node (a beginning of tokens) that leads from
+    each live place to the end. All pieces take a byte at a time; transitions that none has taken yet are determinised together. When the tables fill up they are emptied, and made anew as far as they are needed."""
+
+    def __init__(self, transducer: Transducer) -> None:
+        self.t = transducer
+        w = LONG_PIECE
+        self.before, self.size = np.zeros(MACHINE_STATES, np.int32), np.zeros(MACHINE_STATES, np.int32)
+        self.window, self.lasts, self.nodes = np.zeros((MACHINE_STATES, w), np.uint8), np.zeros((MACHINE_STATES, w), np.int32), np.full((MACHINE_STATES, w), -1, np.int32)
+        self.keys, self.to = np.full(4 * MACHINE_STATES, -1, np.int64), np.zeros(4 * MACHINE_STATES, np.int32)
+        self.out_at, self.out_n = np.zeros(4 * MACHINE_STATES, np.int32), np.zeros(4 * MACHINE_STATES, np.int32)
+        #: Bytes that were read by transitions, and those that were simulated as the tables had no room left within a batch.
+        self.read, self.simulated = 0, 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys[:] = -1
+        self.before[0], self.size[0] = -1, 0
+        self.states, self.held, self.out = {self._name(np.array([-1]), np.array([0]), self.window[:1])[0]: 0}, 0, array("I")
+
+    @staticmethod
+    def _name(before: np.ndarray, size: np.ndarray, window: np.ndarray) -> list[bytes]:
+        rows = np.concatenate([before.astype("<i4")[:, None].view(np.uint8), size.astype(np.uint8)[:, None], window], axis=1)
+        data, n = np.ascontiguousarray(rows).tobytes(), rows.shape[1]
+        return [data[i : i + n] for i in range(0, len(data), n)]
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of transitions, and which aren't there."""
+        mask = len(self.keys) - 1
+        at = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64) & mask
+        there = self.keys[at]
+        off = np.flatnonzero((there != keys) & (there >= 0))
+        while len(off):
+            at[off] = (at[off] + 1) & mask
+            there = self.keys[at[off]]
+            off = off[(there != keys[off]) & (there >= 0)]
+        return at, self.keys[at] < 0
+
+    def _add(self, keys: np.ndarray, to: np.ndarray, out_at: np.ndarray, out_n: np.ndarray) -> None:
+        left = np.arange(len(keys))
+        while len(left):
+            at, _ = self._find(keys[left])
+            self.keys[at] = keys[left]  # of two that want one place the later has it
+            won = self.keys[at] == keys[left]
+            mine, at = left[won], at[won]
+            self.to[at], self.out_at[at], self.out_n[at] = to[mine], out_at[mine], out_n[mine]
+            left = left[~won]
+        self.held += len(keys)
+
+    def _grow(self, keys: np.ndarray) -> bool:
+        """Determinises transitions (state * 256 + byte), none of which is there; False if there is no room."""
+        t, many = self.t, len(keys)
+        if len(self.states) + many > MACHINE_STATES or self.held + many > 2 * MACHINE_STATES:
+            return False
+        s, byte = keys >> 8, keys & 255
+        size, rows = self.size[s].astype(np.int64), np.arange(many)
+        width = int(size.max()) + 1  # of what has been read since, the new byte included
+        window, lasts, before = np.zeros((many, width), np.uint8), np.zeros((many, width), np.int64), self.before[s].astype(np.int64)
+        window[:, : width - 1], lasts[:, : width - 1] = self.window[s, : width - 1], self.lasts[s, : width - 1]
+        window[rows, size] = byte
+        # where the tokens that may begin at live places go with the new byte
+        nodes = np.full((many, width), -1, np.int64)
+        x, y = np.nonzero(self.nodes[s, : width - 1] >= 0)
+        edge = self.nodes[s[x], y].astype(np.int64) * 256 + byte[x]
+        found = np.minimum(np.searchsorted(t._edges, edge), len(t._edges) - 1)
+        goes = t._edges[found] == edge
+        nodes[x[goes], y[goes]] = t._to[found[goes]]
+        single = t._first[byte]
+        # of the tokens that end here the longest that goes with the last token before it; else the single byte
+        x, y = x[goes], y[goes]
+        token = t._token[nodes[x, y]]
+        x, y, token = x[token >= 0], y[token >= 0], token[token >= 0]
+        left = np.where(y > 0, lasts[x, np.maximum(y - 1, 0)], before[x])
+        fits = left < 0
+        fits[~fits] = t._fit_all(left[~fits], token[~fits])
+        last = t._token[single]
+        first, at = np.unique(x[fits], return_index=True)
+        last[first] = token[fits][at]
+        lasts[rows, size] = last
+        nodes[rows, size] = single
+        nodes[(nodes >= 0) & ~t._longer[np.maximum(nodes, 0)]] = -1
+        # the paths of tokens to all live places share a beginning: it ends where they meet, going back
+        ends = np.zeros((many, width + 1), bool)
+        ends[:, :width] = nodes >= 0
+        ends[rows, size + 1] = True
+        count = ends.sum(1)
+        for far in range(width, 0, -1):
+            back = np.flatnonzero(ends[:, far] & (count > 1))
+            if len(back):
+                to = far - t._sizes[lasts[back, far - 1]]
+                count[back] -= ends[back, to]
+                ends[back, far] = False
+                ends[back, to] = True
+        sure = ends.argmax(1)
+        told, n_told = self._back(lasts, sure)
+        out_at = len(self.out) + np.r_[0, np.cumsum(n_told)[:-1]]
+        self.out.frombytes(told.astype("<u4").tobytes())
+        # the states after: what isn't sure
+        shift = np.minimum(np.arange(width)[None, :] + sure[:, None], width - 1)
+        keep = np.arange(width)[None, :] < (size + 1 - sure)[:, None]
+        before = np.where(sure > 0, lasts[rows, np.maximum(sure - 1, 0)], before)
+        window = np.where(keep, np.take_along_axis(window, shift, 1), 0).astype(np.uint8)
+        wide = np.zeros((many, LONG_PIECE), np.uint8)
+        wide[:, :width] = window[:, :LONG_PIECE]
+        to, new = np.zeros(many, np.int32), []
+        for i, name in enumerate(self._name(before, size + 1 - sure, wide)):
+            number = self.states.get(name)
+            if number is None:
+                number = self.states[name] = len(self.states)
+                new.append(i)
+            to[i] = number
+        number = to[new]
+        self.before[number], self.size[number], self.window[number] = before[new], (size + 1 - sure)[new], wide[new]
+        self.lasts[number, :width] = np.where(keep, np.take_along_axis(lasts, shift, 1), 0)[new]
+        self.nodes[number] = -1
+        self.nodes[number, :width] = np.where(keep, np.take_along_axis(nodes, shift, 1), -1)[new]
+        self._add(keys, to, out_at, n_told)
+        return True
+
+    def _back(self, lasts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens that end at a place of each row, one row's after the other, and their numbers."""
+        at, rows, found = at.copy(), np.flatnonzero(at), []
+        n = np.zeros(len(at), np.int64)
+        while len(rows):
+            token = lasts[rows, at[rows] - 1]
+            found.append((rows, token))
+            n[rows] += 1
+            at[rows] -= self.t._sizes[token]
+            rows = rows[at[rows] > 0]
+        out, end = np.zeros(int(n.sum()), np.int64), np.cumsum(n)
+        for k, (rows, token) in enumerate(found):
+            out[end[rows] - 1 - k] = token
+        return out, n
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids, as bytes, of pieces of 1 to LONG_PIECE bytes."""
+        out: list[bytes] = [b""] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
+        for a in range(0, len(order), MACHINE_PIECES):
+            if len(self.states) > MACHINE_STATES * 7 // 8 or self.held > MACHINE_STATES * 7 // 4:
+                self._clear()
+            self._encode(pieces, order[a : a + MACHINE_PIECES], out)
+        return out
+
+    def _encode(self, pieces: list[bytes], mine: list[int], out: list[bytes]) -> None:
+        sizes = np.array([len(pieces[i]) for i in mine])
+        width = int(sizes[0])
+        data = np.frombuffer(b"".join(pieces[i].ljust(width, b"\0") for i in mine), np.uint8).reshape(-1, width).astype(np.int64)
+        state, took, lost = np.zeros(len(mine), np.int64), np.zeros((len(mine), width), np.int64), np.zeros(len(mine), bool)
+        counts = np.zeros((len(mine), width + 1), np.int64)
+        for place in range(width):
+            many = int(np.searchsorted(-sizes, -place, side="left"))  # the longer ones come first
+            keys = state[:many] * 256 + data[:many, place]
+            at, missing = self._find(keys)
+            if missing.any():
+                new = np.unique(keys[missing & ~lost[:many]])
+                if not len(new) or self._grow(new):
+                    at, missing = self._find(keys)
+                lost[:many] |= missing  # no room within this batch: left to simulation
+            took[:many, place] = at
+            counts[:many, place] = self.out_n[at]
+            state[:many] = np.where(missing, 0, self.to[at])
+        end, n_end = self._back(self.lasts[state], self.size[state].astype(np.int64))
+        counts[:, width] = n_end
+        # each piece's tokens: those of its transitions, then what its last state had not committed
+        starts = np.concatenate([self.out_at[took], (len(self.out) + np.r_[0, np.cumsum(n_end)[:-1]])[:, None]], axis=1).ravel()
+        flat = counts.ravel()
+        inside = np.arange(int(flat.sum())) - np.repeat(np.cumsum(flat) - flat, flat)
+        every = np.concatenate([np.frombuffer(self.out, np.uint32), end.astype(np.uint32)])
+        ids = every[np.repeat(starts, flat) + inside].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(counts.sum(1))).tolist()
+        self.read += int(sizes[~lost].sum())
+        for k, (i, a, b) in enumerate(zip(mine, [0, *ends[:-1]], ends, strict=True)):
+            out[i] = ids[a:b]
+            if lost[k]:
+                out[i] = array("I", self.t.encode(pieces[i])).tobytes()
+                self.simulated += len(pieces[i])
+
+
 #: Fixed value: a pattern none of whose matches goes on over a space between two characters that are no white space, or looks past one.
 SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -320,6 +460,7 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.transducer = Transducer(ranks)
+        self.machine: Machine | None = None
         self.find = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
         every = "".join(map(chr, range(0x110000)))
@@ -403,18 +544,18 @@ class Encoder:
                 keys.add(stem)
             elif word not in self.met and word not in self.older:
                 keys.update(piece[1:] if piece[0] == " " and piece[-1] not in self.white else " " + piece for piece in self.find(" " + word))
-        groups: dict[int, list[tuple[str, bytes]]] = {}
+        pieces: dict[str, bytes] = {}
         for key in keys:
             if key in self.memo or key in self.met or key in self.older:
                 continue
             data = key[1:].encode() if key[0] == " " else b" " + key.encode()
             if 1 < len(data) <= LONG_PIECE and data not in self.transducer.ranks:
-                groups.setdefault(len(data), []).append((key, data))
-        if len(self.met) + sum(map(len, groups.values())) > MEMO_MET:
+                pieces[key] = data
+        if len(self.met) + len(pieces) > MEMO_MET:
             self.met.clear()
-        for size, pieces in groups.items():
-            data = np.frombuffer(b"".join(x for _, x in pieces), np.uint8).reshape(-1, size).astype(np.int64)
-            self.met.update(zip((key for key, _ in pieces), self.transducer.simulate_all(data), strict=True))
+        if self.machine is None:
+            self.machine = Machine(self.transducer)
+        self.met.update(zip(pieces, self.machine.encode(list(pieces.values())), strict=True))
 
     def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
         """The ids of each text; the new pieces of many texts are found together."""
@@ -433,8 +574,8 @@ class Encoder:
         return out[: len(texts)]
 
     def forget(self) -> None:
-        """Gives the pieces back, as a worker may lie idle beside others."""
-        self.memo, self.older, self.met = {}, {}, {}
+        """Gives the pieces and the machine's tables back, as a worker may lie idle beside others."""
+        self.memo, self.older, self.met, self.machine = {}, {}, {}, None
 
     def encode_bytes(self, text: str | None) -> bytes:
         if not text:

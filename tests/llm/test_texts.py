@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from weftgraph.llm import byte_bpe, fingerprints, jaccard_join, licenses, mixing, sharding, shingles, substring_dedup
+from weftgraph.llm import byte_bpe, common, fingerprints, jaccard_join, licenses, mixing, sharding, shingles, substring_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, copy int, rate double, n_units int, token_ids string, __n int"
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -492,3 +493,16 @@ def test_license_statements_are_found(spark, rows):
     assert got[3000]["n_matches"] == 0 and got[3001]["n_matches"] == 0 and got[3002]["n_matches"] == 0
     assert got[300]["licenses"] == [] and got[301]["licenses"] == []
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_what_a_worker_keeps_goes_when_it_is_idle():
+    kept, made = common.Kept(seconds=0.3), []
+    make = lambda: made.append(1) or object()
+    first = kept.get("a", make)
+    kept.done()
+    assert kept.get("a", make) is first  # asked for in time
+    time.sleep(0.6)
+    assert kept.get("a", make) is first  # a task is at work
+    kept.done()
+    time.sleep(0.9)
+    assert not kept.held and kept.get("a", make) is not first and len(made) == 2

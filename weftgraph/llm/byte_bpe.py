@@ -18,15 +18,17 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound_batches
+from weftgraph.llm.common import Kept, bound_batches
 
 #: Pieces met more than once whose tokens a worker remembers, in each of two generations; pieces met once; states that the transducer may have.
 MEMO_PIECES, MEMO_MET = 150_000, 100_000
@@ -665,9 +667,23 @@ class StreamingDecoder:
         return rest
 
 
-#: What a worker has made of a vocabulary; an encoder only where texts are encoded.
-_ENCODERS: dict[tuple, Encoder] = {}
-_DECODERS: dict[tuple, StreamingDecoder] = {}
+#: What a worker has made of vocabularies: encoders only where texts are encoded.
+_KEPT = Kept()
+
+
+# Functions of this module, as what tasks are sent refers to them by name: so all tasks of a worker share _KEPT.
+
+
+def _encoder_of(ranks: Broadcast, key: str, pattern: str) -> Encoder:
+    return _KEPT.get(("encoder", key, pattern), lambda: Encoder(read_ranks(ranks.value), pattern))
+
+
+def _decoder_of(ranks: Broadcast, key: str) -> StreamingDecoder:
+    return _KEPT.get(("decoder", key), lambda: StreamingDecoder({v: k for k, v in read_ranks(ranks.value).items()}))
+
+
+def _done() -> None:
+    _KEPT.done()
 
 
 class Tokenizer:
@@ -677,19 +693,8 @@ class Tokenizer:
         bound_batches(spark)
         with open(ranks_path, "rb") as f:
             data = f.read()
-        shared, key = spark.sparkContext.broadcast(data), (hashlib.sha256(data).hexdigest(), pattern)
-
-        def encoder() -> Encoder:
-            if key not in _ENCODERS:
-                _ENCODERS[key] = Encoder(read_ranks(shared.value), pattern)
-            return _ENCODERS[key]
-
-        def decoder() -> StreamingDecoder:
-            if key not in _DECODERS:
-                _DECODERS[key] = StreamingDecoder({v: k for k, v in read_ranks(shared.value).items()})
-            return _DECODERS[key]
-
-        self.encoder, self.decoder = encoder, decoder
+        shared, key = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
+        self.encoder, self.decoder = partial(_encoder_of, shared, key, pattern), partial(_decoder_of, shared, key)
 
     def encode(self, text: Column) -> Column:
         """Ids of a text; none for a null or empty one."""
@@ -701,6 +706,7 @@ class Tokenizer:
             for texts in batches:
                 yield pd.Series([np.frombuffer(ids, "<i4") for ids in encoder.encode_all(texts)], dtype=object)
             encoder.forget()
+            _done()
 
         return encoded(text)
 
@@ -713,6 +719,7 @@ class Tokenizer:
             decoder = own()
             for column in batches:
                 yield pd.Series([decoder.feed(x.tolist() if x is not None else ()) + decoder.finish() for x in column], dtype=object)
+            _done()
 
         return decoded(ids)
 
@@ -730,6 +737,7 @@ class Tokenizer:
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
             encoder.forget()
+            _done()
 
         return digested(text)
 
@@ -745,6 +753,7 @@ class Tokenizer:
                 same = [decoder.feed(x.tolist()) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
                 yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "round_trip": same})
             encoder.forget()
+            _done()
 
         return both(text)
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import threading
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import materialize, scratch
 
-__all__ = ["bound_batches", "hot_keys", "load", "materialize", "n_words", "partitions", "scratch", "small_batches"]
+__all__ = ["Kept", "bound_batches", "hot_keys", "load", "materialize", "n_words", "partitions", "scratch", "small_batches"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -50,3 +53,40 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+class Kept:
+    """What a Python worker has made and may need for its next task, by key. It goes when no task has asked for `seconds` after the last one was done: a worker lies idle, or serves other stages, beside others that need the memory."""
+
+    def __init__(self, seconds: float = 2.0) -> None:
+        self.seconds, self.lock = seconds, threading.Lock()
+        self.held: dict[Hashable, object] = {}
+        self.timer: threading.Timer | None = None
+
+    def get(self, key: Hashable, make: Callable[[], object]) -> object:
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+                self.timer = None
+            if key not in self.held:
+                self.held[key] = make()
+            return self.held[key]
+
+    def done(self) -> None:
+        """A task needs nothing more for now."""
+        with self.lock:
+            if self.timer:
+                self.timer.cancel()
+            self.timer = threading.Timer(self.seconds, self._drop)
+            self.timer.daemon = True
+            self.timer.start()
+
+    def _drop(self) -> None:
+        with self.lock:
+            self.held.clear()
+            self.timer = None
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)  # back to the machine, where the C library can
+        except (AttributeError, OSError):
+            pass

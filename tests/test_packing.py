@@ -1,7 +1,12 @@
+import random
+
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from weftgraph.operators import batching
 from weftgraph.operators.batching import embedding_batches, next_fit, verification_batches
 from weftgraph.operators.chunking import chunk_documents, pack
 from weftgraph.operators.numbering import number_rows
@@ -56,6 +61,49 @@ def test_next_fit_is_that_of_a_loop(spark):
     assert got == model(costs, 4000, 0, False)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 9), min_size=1, max_size=12), min_size=1, max_size=6), st.integers(1, 14), st.integers(0, 14))
+def test_maps_of_ranges_join(ranges, room, used):
+    """What joined maps say of an open batch is what a loop over all rows finds."""
+    maps = [batching.range_map(np.array(r, np.int64), room) for r in ranges]
+    whole = batching.joined_maps(maps, room)
+    one = batching.range_map(np.array([c for r in ranges for c in r], np.int64), room)
+    for m in (whole, one):
+        after, n = batching._follow(np.array([used]), np.array([0]), m, room)
+        u, k = used, 0
+        for c in (c for r in ranges for c in r):
+            u, k = (c, k + 1) if u + c > room else (u + c, k)
+        assert (after[0], n[0]) == (u, k)
+
+
+@pytest.mark.parametrize("cost, room, fan", [(1, 7, 2), (1, 1_000, 2), (None, 50, 3), (None, 9, 16)])
+def test_batches_go_on_over_many_ranges(spark, monkeypatch, cost, room, fan):
+    """As a loop over all rows, also where costs are all 1 and maps are long; the driver gets a row for each range."""
+    monkeypatch.setattr(batching, "FAN", fan)
+    rng = random.Random(6)
+    costs = [cost or rng.choice([0, 1, 2, 5, 9, 60]) for _ in range(900)]
+    rows = spark.createDataFrame([(i, c, "x") for i, c in enumerate(costs)], "seq int, cost int, before string").repartition(3)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, v in zip(before, ("13", "false", "20"), strict=True):
+        spark.conf.set(k, v)
+    got = []
+    collect = type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda self: got.append(collect(self)) or got[-1])
+    try:
+        done = next_fit(rows, "cost", room + 3, 3, ["seq"])
+        assert done.columns == ["seq", "cost", "before", "batch_no"]
+        monkeypatch.undo()
+        assert len(got) == 2 and all(len(x) <= 13 for x in got)
+        assert [r["batch_no"] for r in done.orderBy("seq").collect()] == model(costs, room + 3, 3, True)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_nothing_makes_no_batches(spark):
+    assert next_fit(spark.range(0).withColumn("cost", F.lit(1)), "cost", 5, 0, ["id"]).count() == 0
+
+
 def test_embedding_batches_below_the_limit_are_one(spark):
     rows = spark.createDataFrame([(1, 50), (2, 60)], "seq int, cost int")
     assert {r["batch_no"] for r in embedding_batches(rows, "cost", 110, ["seq"]).collect()} == {0}

@@ -58,6 +58,23 @@ def test_toxicity_without_labels_or_documents(corpus):
     assert toxicity.score_toxicity(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_with_string_ids(corpus):
+    """The same scores as with the numbers that the strings are of, as far as the order of ids picks the same examples; evidence names rows by their ids."""
+    _, docs, labels, _ = corpus
+    named = [d.withColumn("doc_id", F.col("doc_id").cast("string")) for d in (docs, labels)]
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(*named).collect()}
+    for r in toxicity.score_toxicity(docs, labels).collect():
+        if r["doc_id"] is not None:
+            assert got[str(r["doc_id"])]["held_out"] == r["held_out"] and abs(got[str(r["doc_id"])]["score"] - r["score"]) < 0.2
+    assert all(isinstance(e["doc_id"], str) for r in got.values() for e in r["evidence"])
+
+
+def test_neighbours_need_whole_numbers(spark):
+    rows = spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>")
+    with pytest.raises(ValueError, match="whole numbers"):
+        neighbours.nearest_neighbours(rows, F.lit(True))
+
+
 def test_the_index_gives_the_nearest():
     rng = np.random.default_rng(1)
     rows, weights = [], []

@@ -213,6 +213,12 @@ def plain_components(rows, n, percent):
     return sorted(((i, len(s), least.get(find(k)) if s else i, links[k]) for k, (i, s) in enumerate(sets)), key=str)
 
 
+def test_joined_documents_with_string_ids(spark, rows):
+    named = frame(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    plain = [(None if i is None else f"d{i}", *rest) for i, *rest in rows]
+    assert triples(jaccard_join.jaccard_components(named, 4, 85)) == plain_components(plain, 4, 85)
+
+
 def triples(df):
     return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in df.collect()), key=str)
 

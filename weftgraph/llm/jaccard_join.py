@@ -37,6 +37,8 @@ HEAVY_ROWS = 8
 #: A key of more sets than this is a bucket.
 FEW_SETS = 96
 BLOCK_SETS = 512
+#: Numbers of blocks of a class of size, more than a class can have.
+CLASS_BLOCKS = 1 << 40
 FAN_OUT = 8
 
 
@@ -191,7 +193,8 @@ def join_blocks(a: dict, b: dict | None, key: int | None, percent: int) -> pd.Da
 def document_sets(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """For each row of docs its id, print (a hash of the text), the digest and size of its set and, once for equal sets in a task, the set's first shingles in the common order; n_heavy counts those at their end that many sampled rows hold."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("print"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.count()
     share = min(1.0, SAMPLE_ROWS / max(total, 1))
     picked = rows.filter(F.pmod(F.xxhash64(F.lit("sample"), "print"), F.lit(1_000_000)) < int(1_000_000 * share)).dropDuplicates(["print"])
@@ -228,9 +231,9 @@ def document_sets(docs: DataFrame, shingle: int, percent: int, id_col: str, text
                     rank = np.where(hashes[near] == s, often[near], 0)
                 first = np.argsort(rank, kind="stable")[:p]
                 out.append((name, len(s), s[first].view(np.int64), int((rank[first] >= HEAVY_ROWS).sum())))
-            yield pd.DataFrame({"id": df["id"].astype("Int64"), "print": df["print"], "digest": [x[0] for x in out], "n": np.array([x[1] for x in out], np.int32), "keys": [x[2] for x in out], "n_heavy": np.array([x[3] for x in out], np.int32)})
+            yield pd.DataFrame({"id": df["id"], "print": df["print"], "digest": [x[0] for x in out], "n": np.array([x[1] for x in out], np.int32), "keys": [x[2] for x in out], "n_heavy": np.array([x[3] for x in out], np.int32)})
 
-    return rows.mapInPandas(digest, "id long, print long, digest binary, n int, keys array<long>, n_heavy int")
+    return rows.mapInPandas(digest, "id string, print long, digest binary, n int, keys array<long>, n_heavy int").withColumn("id", F.col("id").cast(kind))
 
 
 def _candidates(keyed: DataFrame, percent: int) -> DataFrame:
@@ -310,8 +313,10 @@ def jaccard_components(docs: DataFrame, shingle: int = 4, percent: int = 85, id_
 def _components(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     sets = materialize(document_sets(docs, shingle, percent, id_col, text_col), "sets", keep=True)
-    short = F.xxhash64("digest")
-    classes = materialize(sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct("id", "print")).alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")).withColumn("s", short), "classes")
+    classes = materialize(sets.filter("n > 0").groupBy("digest").agg(F.min(F.struct("id", "print")).alias("rep"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n")), "classes")
+    # 64 bits name a set: under the first seed that tells all sets apart
+    short = next(h for h in (F.xxhash64(F.lit(seed), "digest") for seed in range(64)) if classes.groupBy(h.alias("s")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").isEmpty())
+    classes = classes.withColumn("s", short)
 
     once = sets.filter("keys is not null").select(short.alias("s"), "n", F.size("keys").alias("p"), "n_heavy", F.posexplode("keys").alias("pos", "key"))
     heavy = F.col("pos") >= F.col("p") - F.col("n_heavy")
@@ -391,9 +396,9 @@ def _dealt(clusters: DataFrame, pairs: DataFrame, large: DataFrame, percent: int
     counts = classed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size"))
     shape = counts.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("size") / BLOCK_SETS).cast("int")))).alias("blocks"), F.sum("size").alias("size")).filter("size > 1")
     one = F.col("size") <= BLOCK_SETS
-    placed = classed.join(shape, "bucket").withColumn("block", F.when(one, 0).otherwise(F.col("class") * 65_536 + F.pmod(F.xxhash64("s"), F.element_at("blocks", F.col("class")))))
-    near = F.flatten(F.transform(F.sequence(F.col("class") - 1, F.col("class") + 1), lambda c: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("blocks", c), F.lit(0))), lambda h: c * 65_536 + h)))
-    known = F.filter(near, lambda x: F.pmod(x, F.lit(65_536)) < F.coalesce(F.try_element_at("blocks", F.floor(x / 65_536).cast("long")), F.lit(0)))
+    placed = classed.join(shape, "bucket").withColumn("block", F.when(one, 0).otherwise(F.col("class") * CLASS_BLOCKS + F.pmod(F.xxhash64("s"), F.element_at("blocks", F.col("class")))))
+    near = F.flatten(F.transform(F.sequence(F.col("class") - 1, F.col("class") + 1), lambda c: F.transform(F.sequence(F.lit(0), F.coalesce(F.try_element_at("blocks", c), F.lit(0))), lambda h: c * CLASS_BLOCKS + h)))
+    known = F.filter(near, lambda x: F.pmod(x, F.lit(CLASS_BLOCKS)) < F.coalesce(F.try_element_at("blocks", F.shiftright(x, 40)), F.lit(0)))
     meets = F.when(one, F.array(F.lit(0).cast("long"))).otherwise(known)
     keyed = placed.withColumn("other", F.explode(meets)).select("bucket", F.lit(False).alias("cluster"), "s", F.col("block").cast("long"), *ends(F.col("block").cast("long"), F.col("other")))
     return small.unionByName(chained).select("bucket", "cluster", "s", *[F.col(c).cast("long") for c in ("block", "i", "j")]).unionByName(keyed)

@@ -105,11 +105,13 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col
     effort * cells ** growth cells. Each cell's rows, in chunks of about CHUNK_ROWS, meet the queries that opened it in one place, as a block product; of each query, a task passes on its
     best k. Scores are sums of products of doubles, made anew for these. For tables of up to leaf_rows rows the result is exact.
 
-    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those with a length other than the commonest (the larger one, if two are equally common) or a null id.
+    Vectors that are null, zero, or hold null or non-finite components take no part, nor do those with a length other than the commonest (the larger one, if two are equally common) or a null id. Ids are whole numbers; a column of another type is an error.
     Rows that repeat an id count as one, with the larger score. Ties go to the smaller id. Equal vectors fall into one leaf, which is dealt over as many chunks as it needs.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
+    if vectors.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError(f"{id_col} must be of whole numbers")
     out_schema = f"query_id long, rank int, {id_col} long, score double"
     taken = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).filter(F.col("id").isNotNull() & _valid(F.col("v")))
     sizes = taken.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()

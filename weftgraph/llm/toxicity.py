@@ -156,9 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     bound_batches(spark)
     usable = labels.filter(F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
     totals = {r["toxic"]: r["count"] for r in usable.groupBy("toxic").count().collect()}
-    pick = lambda t, n: usable.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    pick = lambda t, n: usable.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).select(F.col("doc_id").cast("string").alias("doc_id"), "toxic")
     chosen = pick(1, toxic_examples).unionByName(pick(0, clean_examples)).toPandas()
-    picked = spark.createDataFrame([(int(i), int(t)) for i, t in zip(chosen["doc_id"], chosen["toxic"], strict=True)], "doc_id long, toxic int")
+    kind = docs.schema[id_col].dataType.simpleString()
+    picked = spark.createDataFrame([(str(i), int(t)) for i, t in zip(chosen["doc_id"], chosen["toxic"], strict=True)], "doc_id string, toxic int").withColumn("doc_id", F.col("doc_id").cast(kind))
     every = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # equal texts are one example, of the least id, toxic if any of them is: one that is its own neighbour would vouch for itself
     rows = every.join(F.broadcast(picked), "doc_id").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
@@ -204,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             got = [known.count(h) for h in _terms_of(df["text"].tolist())]
             yield pd.DataFrame({"doc_id": df["doc_id"], "toxic": df["toxic"], "terms": [x for x, _ in got], "counts": [y for _, y in got]})
 
-    once = rows.mapInPandas(vectors, "doc_id long, toxic int, terms array<long>, counts array<long>").toPandas().sort_values("doc_id", ignore_index=True)
+    once = rows.mapInPandas(vectors, f"doc_id {kind}, toxic int, terms array<long>, counts array<long>").toPandas().sort_values("doc_id", ignore_index=True)
     weight = totals.get(0, 0) / max(c, 1), totals.get(1, 0) / max(t, 1)
     return Model(hashes, idf, once, tuple(w / max(min(weight), 1e-9) for w in weight))
 
@@ -218,11 +219,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """doc_id, held_out, score (probability that the label is 1), predicted (score >= THRESHOLD) and evidence (nearest examples, with cosine and label) for each row of docs.
 
     Learnt from are at most toxic_examples and clean_examples labelled rows; a text that several of them have is one example, toxic if one of them is. A score depends on the text alone. Texts without a term of the vocabulary, null and empty ones included, have the share of toxic examples among such. Without usable labels every score is 0. Rows that
-    repeat an id are scored each; a null id is held out. The index is a broadcast of bounded size; documents are not moved.
+    repeat an id are scored each; a null id is held out. Ids are whole numbers or strings. The index is a broadcast of bounded size; documents are not moved.
     """
     model = docs.sparkSession.sparkContext.broadcast(_fitted(docs, labels, id_col, text_col, toxic_examples, clean_examples))
 
-    @F.pandas_udf("score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    @F.pandas_udf(f"score double, evidence array<struct<doc_id:{docs.schema[id_col].dataType.simpleString()},cosine:double,toxic:int>>")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = model.value
         for texts in batches:

@@ -132,7 +132,7 @@ class Model:
             return self.none, []
         ids, sims = self.index.nearest(*self.vector(at, counts), NEIGHBOURS)
         score = float(np.interp(self.vote(ids, sims), *self.knots)) if len(ids) else self.none
-        return score, [(int(self.ids[i]), float(s), int(self.toxic[i])) for i, s in zip(ids[:3], sims[:3], strict=True)]
+        return score, [(self.ids[i], float(s), int(self.toxic[i])) for i, s in zip(ids[:3], sims[:3], strict=True)]
 
 
 def held_out(doc_id: Column) -> Column:

@@ -9,7 +9,7 @@ import time
 import pytest
 
 from weftgraph.operators.registry import Registry
-from weftgraph.plans.answers import answered
+from weftgraph.plans.answers import answered, call_metrics
 from weftgraph.plans.ingest import Ingest
 from weftgraph.plans.models import BatchVerifier, Embedder, Extractor, HashingEmbedder, PatternExtractor, PromptExtractor, RateLimited, SlidingWindow, embed_column, extract_triples, with_retries
 from weftgraph.plans.requests import Book, BudgetServer, ask_many, factory_key, of_process
@@ -255,3 +255,36 @@ def test_the_same_documents_again_ask_for_nothing(spark, tmp_path):
         before = parts
     assert len(asks[0][0]) == len(set(asks[0][0])) == 6 and len(asks[0][1]) == 2
     assert asks[1] == asks[0] and asks[2] == asks[0]
+
+
+def test_what_calls_cost_is_counted_once(spark, tmp_path):
+    """One row for each run, right also where a request is refused and repeated, and where one fails."""
+    folder = str(tmp_path)
+
+    class Busy(Extractor):
+        request_texts = 4
+
+        def extract(self, texts):
+            name = os.path.join(folder, f"asked-{len(texts)}-{texts[0][:2]}")
+            if not os.path.exists(name):
+                open(name, "w").close()
+                raise RateLimited
+            if any(t.startswith("bad") for t in texts):
+                raise ValueError("bad text")
+            return [[] for _ in texts]
+
+    registry = Registry(spark, str(tmp_path / "r")).create()
+    rows = spark.createDataFrame([(i, f"t{i} two words" if i != 5 else "bad text") for i in range(8)], "i int, chunk string")
+    quick = lambda call: with_retries(call, base_seconds=0.0)
+    ask = lambda texts: extract_triples(texts.coalesce(1), Busy, permissive=True, retry=quick)
+    for run in ("one", "two"):
+        answered(rows, "chunk", "m", registry, ask, "answer", run=run).collect()
+    got = {r["run"]: r.asDict() for r in call_metrics(registry).collect()}
+    first = got["one"]
+    assert first["texts"] == 8 and first["errors"] == 1 and first["seconds"] > 0
+    # two requests of four, each refused once; the four texts of the one with the bad text one by one, each refused once
+    assert (first["requests"], first["refusals"]) == (4 + 8, 2 + 4)
+    assert got["two"]["texts"] == 1 and got["two"]["errors"] == 1 and got["two"]["requests"] == 1
+    docs = spark.createDataFrame([("a.txt", "Octavian is part of Rome.", "txt")], "uri string, content string, file_type string")
+    Ingest(spark, registry).run(docs, "stream:1")
+    assert {r["run"]: r["requests"] for r in call_metrics(registry).collect()}["stream:1"] == 1

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from weftgraph.operators import vector_index
 from weftgraph.operators.numbering import number_rows
 from weftgraph.plans.staging import file_system
-from weftgraph.schemas import ANSWERS, EDGES, NODES, OBJECTS, RELATIONSHIPS
+from weftgraph.schemas import ANSWERS, CALLS, EDGES, NODES, OBJECTS, RELATIONSHIPS
 
-TABLES = {"entities": OBJECTS, "relationship_types": OBJECTS, "relationships": RELATIONSHIPS, "nodes": NODES, "edges": EDGES, "answers": ANSWERS}
+TABLES = {"entities": OBJECTS, "relationship_types": OBJECTS, "relationships": RELATIONSHIPS, "nodes": NODES, "edges": EDGES, "answers": ANSWERS, "calls": CALLS}
 
 
 def assign_ids(rows: DataFrame, start: int, order: list[str], name: str = "id") -> DataFrame:
@@ -69,7 +69,6 @@ class Registry:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self._written: list[str] = []
 
     # versions
 
@@ -181,9 +180,9 @@ class Registry:
         stream, number = _named(batch)
         return batch in version["names"] if number is None else number <= version["streams"].get(stream, -1)
 
-    def _write(self, name: str, rows: DataFrame, number: int, delta: bool = False, level: int = 0) -> Part:
+    def _write(self, name: str, rows: DataFrame, number: int, written: list[str], delta: bool = False, level: int = 0) -> Part:
         at = f"{self.path}/{name}/{number}-{uuid.uuid4().hex}"
-        self._written.append(at)
+        written.append(at)
         schema = TABLES[name]
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
         if "embedding" in schema.names:
@@ -197,17 +196,18 @@ class Registry:
     def commit(self, added: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None, replaced: dict[str, DataFrame] | None = None, batch: str | None = None, forget: bool = False) -> None:
         """A new version: rows added to tables, rows that take the place of those with their ids, tables replaced, and the name of the batch that they come from. What is empty writes no part."""
         old = self._version()
-        number, self._written = old["version"] + 1, []
+        number = old["version"] + 1
         tables = {name: list(parts) for name, parts in old["tables"].items()}
+        written: list[str] = []
         named: set[str] = set()
         try:
             for name, df in (replaced or {}).items():
-                part = self._write(name, df, number)
+                part = self._write(name, df, number, written)
                 tables[name] = [part] if part.rows else []
             for rows, delta in ((added or {}, False), (changed or {}, True)):
                 for name, df in rows.items():
                     if not df.isEmpty():
-                        tables[name] = self._merged(name, [*tables.get(name, []), self._write(name, df, number, delta)], number)
+                        tables[name] = self._merged(name, [*tables.get(name, []), self._write(name, df, number, written, delta)], number, written)
             stream, at = _named(batch) if batch else (None, None)
             streams = {} if forget else dict(old["streams"])
             names = [] if forget else [*old["names"], *([batch] if batch and at is None else [])]
@@ -216,18 +216,18 @@ class Registry:
             self._publish({"version": number, "tables": tables, "streams": streams, "names": names})
             named = {p.path for parts in tables.values() for p in parts}
         finally:  # what was merged at once, or is in no version after a failure
-            for path in set(self._written) - named:
+            for path in set(written) - named:
                 folder, fs = file_system(self.spark, path)
                 fs.delete(folder, True)
         self._forget_old()
 
-    def _merged(self, name: str, parts: list[Part], number: int) -> list[Part]:
+    def _merged(self, name: str, parts: list[Part], number: int, written: list[str]) -> list[Part]:
         while len(parts) >= self.MERGED and len({p.level for p in parts[-self.MERGED :]}) == 1:
             last = parts[-self.MERGED :]
             rest = parts[: -self.MERGED]
             # with nothing before it, no row is taken the place of
             delta = bool(rest) and any(p.delta for p in last)
-            parts = [*rest, self._write(name, self._rows(name, last), number, delta, last[0].level + 1)]
+            parts = [*rest, self._write(name, self._rows(name, last), number, written, delta, last[0].level + 1)]
         return parts
 
     def largest_id(self, name: str) -> int:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +45,12 @@ class Ingest:
         self.verifier, self.limiter = verifier or RuleVerifier(), limiter
         self.extractor: Callable[[], Extractor] = extractor_named(settings.extractor)
 
-    def extract(self, docs: DataFrame) -> DataFrame:
+    def extract(self, docs: DataFrame, run: str = "") -> DataFrame:
         """Triples with identity hashes, of documents (uri, content, file_type). Chunks are dealt out anew before the model is asked, as a long document's all come from one task."""
         chunks = chunk_documents(distinct_documents(docs), self.settings.chunk_tokens).select("uri", "chunk_no", "chunk")
         model = f"extract:{factory_key(self.extractor)}:{hashlib.sha256(EXTRACTION_PROMPT.encode()).hexdigest()}:{self.settings.model_version}"
         ask = lambda texts: extract_triples(texts.repartition("digest"), self.extractor, permissive=self.settings.permissive)
-        answers = answered(chunks, "chunk", model, self.registry, ask, "answer").withColumn("answer", F.coalesce("answer", F.lit("[]")))
+        answers = answered(chunks, "chunk", model, self.registry, ask, "answer", run=run).withColumn("answer", F.coalesce("answer", F.lit("[]")))
         parsed = answers.withColumn("triples", triples.valid(triples.parse(F.col("answer"))))
         return triples.with_hashes(triples.explode(parsed))
 
@@ -100,13 +102,15 @@ class Ingest:
     def run(self, docs: DataFrame, batch: str | None = None) -> DataFrame:
         """The linked triples of docs; all tables of the registry change in one commit, under the name of the batch."""
         with scratch(self.spark):
-            return self.store(materialize(self.extract(docs), "triples"), batch)
+            return self.store(materialize(self.extract(docs, batch or uuid.uuid4().hex), "triples"), batch)
 
     def store(self, found: DataFrame, batch: str | None = None) -> DataFrame:
         """Resolves, links and stores triples that have their hashes."""
         self.added, self.changed, self.objects = {}, {}, {}
-        entity_refs = self.resolve(triples.entities(found), "entities")
-        type_refs = self.resolve(triples.relationship_types(found), "relationship_types")
+        # both kinds at once: each a chain of jobs of its own, which leave room beside each other
+        with ThreadPoolExecutor(2) as pool:
+            kinds = [pool.submit(self.resolve, objects, table) for objects, table in ((triples.entities(found), "entities"), (triples.relationship_types(found), "relationship_types"))]
+            entity_refs, type_refs = (k.result() for k in kinds)
         linked = materialize(linking.link_references(found, entity_refs, type_refs), "linked", keep=True)
         rows = linking.relationships(linked)
         added = materialize(assign_ids(rows, self.registry.largest_id("relationships"), rows.columns), "relationships")

@@ -268,40 +268,52 @@ def extraction_prompt(text: str) -> str:
 
 
 def extract_triples(chunks: DataFrame, make: Callable[[], Extractor] = PatternExtractor, text_col: str = "chunk", permissive: bool = False, retry: Callable = with_retries) -> DataFrame:
-    """chunks with answer: the JSON of each chunk's triples. Requests of a worker run at once as far as its extractor says, in the order of the rows. An extractor that fails is an error; with permissive the answer of the chunk that it
-    failed on is "[]" and the error is in the column error: where a request of several texts fails, they are asked for one by one."""
-    names = [c for c in chunks.columns if c not in ("answer", "error")]
-    schema = StructType([*chunks.select(*names).schema.fields, *StructType.fromDDL("answer string, error string").fields])
+    """chunks with answer, the JSON of each chunk's triples, error and call. Requests of a worker run at once as far as its extractor says, in the order of the rows. An extractor that fails is an error; with permissive the answer of the
+    chunk that it failed on is "[]" and the error is in the column error: where a request of several texts fails, they are asked for one by one. call has, on the first row of each request, the requests, words, seconds and refusals that
+    it took, else it is null."""
+    names = [c for c in chunks.columns if c not in ("answer", "error", "call")]
+    schema = StructType([*chunks.select(*names).schema.fields, *StructType.fromDDL("answer string, error string, call struct<requests: long, tokens: long, seconds: double, refusals: long>").fields])
     key = factory_key(make)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         extractor = of_process(key, make)
         size = max(1, extractor.request_texts)
 
-        def ask(texts: list[str]) -> list:
-            answers = retry(lambda: extractor.extract(texts))
-            if len(answers) != len(texts):
-                raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
-            return answers
+        def told(texts: list[str]) -> list[tuple[str, str | None, dict | None]]:
+            call, began = {"requests": 0, "tokens": 0, "seconds": 0.0, "refusals": 0}, time.monotonic()
+
+            def once() -> list:
+                call["requests"] += 1
+                call["tokens"] += sum(len((t or "").split()) for t in texts)
+                try:
+                    return extractor.extract(texts)
+                except RateLimited:
+                    call["refusals"] += 1
+                    raise
 
-        def told(texts: list[str]) -> list[tuple[str, str | None]]:
             try:
-                return [(json.dumps(t), None) for t in ask(texts)]
-            except Exception as failed:
+                answers, failed = retry(once), None
+                if len(answers) != len(texts):
+                    raise ValueError(f"{len(answers)} answers to {len(texts)} texts")
+            except Exception as wrong:
                 if not permissive:
                     raise
-                if len(texts) == 1:
-                    return [("[]", str(failed))]
-            return [row for t in texts for row in told([t])]
+                answers, failed = [[]] * len(texts), wrong
+            call["seconds"] = time.monotonic() - began
+            if failed and len(texts) > 1:  # one by one, beside what the request for all has cost
+                rows = [row for t in texts for row in told([t])]
+                rows[0][2].update({k: rows[0][2][k] + v for k, v in call.items()})
+                return rows
+            return [(json.dumps(t), str(failed) if failed else None, call if i == 0 else None) for i, t in enumerate(answers)]
 
         for df in batches:
             texts = df[text_col].tolist()
-            rows: list[tuple[str, str | None]] = []
+            rows: list[tuple[str, str | None, dict | None]] = []
             for done in ask_many((texts[at : at + size] for at in range(0, len(texts), size)), told, extractor.at_once):
                 if done.error:
                     raise done.error
                 rows += done.value
-            yield df.assign(answer=[r[0] for r in rows], error=[r[1] for r in rows])
+            yield df.assign(answer=[r[0] for r in rows], error=[r[1] for r in rows], call=[r[2] for r in rows])
 
     return chunks.select(*names).mapInPandas(run, schema)
 

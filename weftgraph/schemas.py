@@ -27,3 +27,6 @@ EDGES = T.StructType([T.StructField("src", _L), T.StructField("dst", _L), T.Stru
 
 #: Models' answers by the digest of what they were asked: JSON of an extractor, or a vector.
 ANSWERS = T.StructType([T.StructField("model", _S), T.StructField("digest", _S), T.StructField("answer", _S), T.StructField("vector", T.ArrayType(T.FloatType()))])
+
+#: What a model's calls of a run cost, a row for each commit of answers.
+CALLS = T.StructType([T.StructField("run", _S), T.StructField("model", _S), T.StructField("requests", _L), T.StructField("texts", _L), T.StructField("tokens", _L), T.StructField("seconds", T.DoubleType()), T.StructField("refusals", _L), T.StructField("errors", _L)])

@@ -274,13 +274,13 @@ class Machine:
     """The transducer for many pieces of at most LONG_PIECE bytes at once. States are rows of tables: the token committed before, the bytes since, the last token at each place among them, and the node (a beginning of tokens) that leads from
     each live place to the end. All pieces take a byte at a time; transitions that none has taken yet are determinised together. When the tables fill up they are emptied, and made anew as far as they are needed."""
 
-    def __init__(self, transducer: Transducer) -> None:
-        self.t = transducer
+    def __init__(self, transducer: Transducer, states: int | None = None) -> None:
+        self.t, self.most = transducer, states or MACHINE_STATES
         w = LONG_PIECE
-        self.before, self.size = np.zeros(MACHINE_STATES, np.int32), np.zeros(MACHINE_STATES, np.int32)
-        self.window, self.lasts, self.nodes = np.zeros((MACHINE_STATES, w), np.uint8), np.zeros((MACHINE_STATES, w), np.int32), np.full((MACHINE_STATES, w), -1, np.int32)
-        self.keys, self.to = np.full(4 * MACHINE_STATES, -1, np.int64), np.zeros(4 * MACHINE_STATES, np.int32)
-        self.out_at, self.out_n = np.zeros(4 * MACHINE_STATES, np.int32), np.zeros(4 * MACHINE_STATES, np.int32)
+        self.before, self.size = np.zeros(self.most, np.int32), np.zeros(self.most, np.int32)
+        self.window, self.lasts, self.nodes = np.zeros((self.most, w), np.uint8), np.zeros((self.most, w), np.int32), np.full((self.most, w), -1, np.int32)
+        self.keys, self.to = np.full(4 * self.most, -1, np.int64), np.zeros(4 * self.most, np.int32)
+        self.out_at, self.out_n = np.zeros(4 * self.most, np.int32), np.zeros(4 * self.most, np.int32)
         #: Bytes that were read by transitions, and those that were simulated as the tables had no room left within a batch.
         self.read, self.simulated = 0, 0
         self._clear()
@@ -322,7 +322,7 @@ class Machine:
     def _grow(self, keys: np.ndarray) -> bool:
         """Determinises transitions (state * 256 + byte), none of which is there; False if there is no room."""
         t, many = self.t, len(keys)
-        if len(self.states) + many > MACHINE_STATES or self.held + many > 2 * MACHINE_STATES:
+        if len(self.states) + many > self.most or self.held + many > 2 * self.most:
             return False
         s, byte = keys >> 8, keys & 255
         size, rows = self.size[s].astype(np.int64), np.arange(many)
@@ -409,7 +409,7 @@ class Machine:
         out: list[bytes] = [b""] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
         for a in range(0, len(order), MACHINE_PIECES):
-            if len(self.states) > MACHINE_STATES * 7 // 8 or self.held > MACHINE_STATES * 7 // 4:
+            if len(self.states) > self.most * 7 // 8 or self.held > self.most * 7 // 4:
                 self._clear()
             self._encode(pieces, order[a : a + MACHINE_PIECES], out)
         return out
@@ -460,9 +460,12 @@ SIGNS = frozenset(".,;:!?)\"")
 class Encoder:
     """Texts to ids; each match of the pattern is encoded separately. Ids are little-endian unsigned 32-bit integers in bytes, as these join fast."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, share: float = 1.0) -> None:
         self.transducer = Transducer(ranks)
         self.machine: Machine | None = None
+        #: What is remembered at most; a smaller share takes more time and less memory, with the same ids.
+        self.most_pieces, self.most_met = (max(1, int(share * n)) for n in (MEMO_PIECES, MEMO_MET))
+        self.states = 1 << int(share * MACHINE_STATES).bit_length() - 1  # a power of two
         self.find = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
         every = "".join(map(chr, range(0x110000)))
@@ -486,7 +489,7 @@ class Encoder:
 
     def _remember(self, key: str, ids: bytes) -> None:
         """Notes a piece that is met for the first time."""
-        if len(self.met) >= MEMO_MET:
+        if len(self.met) >= self.most_met:
             self.met.clear()
         self.met[key] = ids
 
@@ -496,7 +499,7 @@ class Encoder:
         if ids is None:
             ids = self.older.get(key)
         if ids is not None:
-            if len(self.memo) >= MEMO_PIECES:
+            if len(self.memo) >= self.most_pieces:
                 self.memo, self.older = {}, self.memo
             self.memo[key] = ids
         return ids
@@ -553,10 +556,10 @@ class Encoder:
             data = key[1:].encode() if key[0] == " " else b" " + key.encode()
             if 1 < len(data) <= LONG_PIECE and data not in self.transducer.ranks:
                 pieces[key] = data
-        if len(self.met) + len(pieces) > MEMO_MET:
+        if len(self.met) + len(pieces) > self.most_met:
             self.met.clear()
         if self.machine is None:
-            self.machine = Machine(self.transducer)
+            self.machine = Machine(self.transducer, self.states)
         self.met.update(zip(pieces, self.machine.encode(list(pieces.values())), strict=True))
 
     def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
@@ -674,8 +677,8 @@ _KEPT = Kept()
 # Functions of this module, as what tasks are sent refers to them by name: so all tasks of a worker share _KEPT.
 
 
-def _encoder_of(ranks: Broadcast, key: str, pattern: str) -> Encoder:
-    return _KEPT.get(("encoder", key, pattern), lambda: Encoder(read_ranks(ranks.value), pattern))
+def _encoder_of(ranks: Broadcast, key: str, pattern: str, share: float) -> Encoder:
+    return _KEPT.get(("encoder", key, pattern, share), lambda: Encoder(read_ranks(ranks.value), pattern, share))
 
 
 def _decoder_of(ranks: Broadcast, key: str) -> StreamingDecoder:
@@ -689,12 +692,12 @@ def _done() -> None:
 class Tokenizer:
     """Column functions for a vocabulary; its file, of fixed size, is read by the driver and broadcast."""
 
-    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str) -> None:
+    def __init__(self, spark: SparkSession, ranks_path: str, pattern: str, share: float = 1.0) -> None:
         bound_batches(spark)
         with open(ranks_path, "rb") as f:
             data = f.read()
         shared, key = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
-        self.encoder, self.decoder = partial(_encoder_of, shared, key, pattern), partial(_decoder_of, shared, key)
+        self.encoder, self.decoder = partial(_encoder_of, shared, key, pattern, share), partial(_decoder_of, shared, key)
 
     def encode(self, text: Column) -> Column:
         """Ids of a text; none for a null or empty one."""
@@ -765,9 +768,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     return docs.select(*rest, tokenizer.encode(F.col(text_col)).alias("token_ids")).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
-def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """encode_documents, with round_trip: whether the ids decode to the text (null as the empty one)."""
-    tokenizer = Tokenizer(docs.sparkSession, ranks_path, pattern)
+def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", share: float = 0.5) -> DataFrame:
+    """encode_documents, with round_trip: whether the ids decode to the text (null as the empty one). A worker remembers a share of what it does for encoding alone, as it stands beside what other stages have left."""
+    tokenizer = Tokenizer(docs.sparkSession, ranks_path, pattern, share)
     rest = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")]
     both = docs.select(*rest, tokenizer.checked(F.col(text_col)).alias("__both"))
     return both.select(*rest, "__both.token_ids", F.size("__both.token_ids").cast("long").alias("n_tokens"), "__both.round_trip")

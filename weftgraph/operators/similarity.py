@@ -74,10 +74,10 @@ def block_pairs(objects: DataFrame, threshold: float, ident: str, vector: str, b
     return placed.select(F.col("cell").alias("block"), "id", "v").join(met, "block").select("i", "j", "block", "id", "v")
 
 
-def nearest(objects: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, k: int = CANDIDATES, ident: str = "id", ref: str = "id", vector: str = "embedding", cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest(objects: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, k: int = CANDIDATES, ident: str = "id", ref: str = "id", vector: str = "embedding", block_rows: int = CELL_ROWS) -> DataFrame:
     """src, ref, similarity: for each object the k rows of the registry with the largest cosine above (not at) the threshold, ties to the smaller ref. An index of the registry is made for this search; one that is stored is searched by
     vector_index.search()."""
-    made = vector_index.make_segment(registry, ref, vector, cell_rows)
+    made = vector_index.make_segment(registry, ref, vector, block_rows)
     return vector_index.search(_usable(objects, ident, vector), [made], threshold, k)
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.text import PARAGRAPH_GAP, SENTENCE_GAP
 from weftgraph.schemas import CHUNK
 
 
@@ -51,10 +52,10 @@ def pack(text: str, budget: int, count: Callable[[str], int], keep_empty: bool =
         used += cost
         return True
 
-    for a, b in _pieces(text, r"\n\s*\n"):
+    for a, b in _pieces(text, PARAGRAPH_GAP):
         if add((a, b), True):
             continue
-        for c, d in _pieces(text[a:b], r"(?<=[.!?])\s+"):
+        for c, d in _pieces(text[a:b], SENTENCE_GAP):
             if add((a + c, a + d), False):
                 continue
             close(False)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftgraph.functions.text import token_count
+from weftgraph.functions.text import SENTENCE_GAP, token_count
 from weftgraph.operators import batching, resolution
 from weftgraph.plans.requests import SharedLimiter, ask_many, factory_key, of_process, slot_of
 from weftgraph.plans.staging import materialize
@@ -142,7 +142,7 @@ class PatternExtractor(Extractor):
         out = []
         for text in texts:
             found = []
-            for sentence in re.split(r"(?<=[.!?])\s+", text or ""):
+            for sentence in re.split(SENTENCE_GAP, text or ""):
                 m = re.match(rf"^\s*(.+?)\s+({verbs})\s+(.+?)[.!?]*\s*$", sentence)
                 if m:
                     a, verb, b = m.groups()

@@ -65,6 +65,31 @@ def test_fingerprints_of_edited_texts(spark, rows):
         assert 0 <= got[i]["near_next"] <= 1 and (len(t) < 8 or got[i]["near_edited"] > 0.6)
 
 
+def plain_likeness(a, b):
+    """Dice coefficient of the distinct windows, or what the common beginning is of the longer text."""
+    if a == b:
+        return 1.0
+    short = min(len(a), len(b)) < fingerprints.SHORT_CHARS and max(len(a), len(b)) < fingerprints.FINE_CHARS
+    m = fingerprints.FINE_WINDOW if short else fingerprints.WINDOW
+    x, y = ({t[i : i + m] for i in range(len(t) - m + 1)} for t in (a, b))
+    begin = next((i for i, (c, d) in enumerate(zip(a, b, strict=False)) if c != d), min(len(a), len(b)))
+    return max(2 * len(x & y) / max(len(x) + len(y), 1) if x and y else 0.0, begin / max(len(a), len(b), 1))
+
+
+def test_likeness_is_that_of_plain_windows():
+    """From fingerprints alone: near what all windows and the whole beginnings say, for edited, shuffled, unrelated and repetitive texts of any length."""
+    rng, off = random.Random(12), []
+    for n in (3, 9, 40, 200, 900, 3000):
+        a, b = prose(n, n), prose(n + 1, n)
+        words = a.split()
+        kinds = [a[: len(a) - len(a) // 4] + b[: len(a) // 4], a[len(a) // 2 :], " ".join(rng.sample(words, len(words))), b, a + b, " ".join("x" if rng.random() < 0.05 else w for w in words), "ab " * n, a[:1]]
+        for other in kinds:
+            got = fingerprints.likeness(*(fingerprints.fingerprint(fingerprints.PrefixHash(t)) for t in (a, other)))
+            assert 0 <= got <= 1
+            off.append(abs(got - plain_likeness(a, other)))
+    assert max(off) < 0.25 and sum(off) / len(off) < 0.05
+
+
 def test_fingerprints_with_null_and_repeated_ids(spark, rows):
     assert fingerprints.fingerprint_documents(frame(spark, rows)).count() == len(rows)
     assert fingerprints.fingerprint_documents(frame(spark, [])).count() == 0

@@ -181,6 +181,9 @@ def test_a_machine_that_is_emptied_or_full_still_encodes(monkeypatch, states, pi
         parts, _ = byte_bpe.merge_all(encoder.transducer.ranks, piece)
         assert np.frombuffer(ids, "<u4").tolist() == [encoder.transducer.ranks[p] for p in parts]
     assert byte_bpe.Machine(encoder.transducer).encode([]) == []
+    # full within a batch after it was emptied
+    machine = byte_bpe.Machine(encoder.transducer, 1 << 10)
+    assert machine.encode(made) == got and machine.encode(made[::-1]) == got[::-1]
 
 
 def test_white_space_and_signs_between_words():

@@ -37,7 +37,7 @@ MEMO_STATES = 20_000
 MEMO_PAIRS, PAIR_SLOTS = 20_000, 1 << 20
 #: Bytes of the longest piece that is read with others, and characters of texts whose new pieces are; states of the machine that reads them, and pieces that go through it together.
 LONG_PIECE, BATCH_CHARS = 32, 1_000_000
-MACHINE_STATES, MACHINE_PIECES = 1 << 17, 8_192
+MACHINE_STATES, MACHINE_PIECES = 1 << 17, 4_096
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -430,7 +430,7 @@ class Machine:
                     at, missing = self._find(keys)
                 lost[:many] |= missing  # no room within this batch: left to simulation
             took[:many, place] = at
-            counts[:many, place] = self.out_n[at]
+            counts[:many, place] = np.where(missing, 0, self.out_n[at])
             state[:many] = np.where(missing, 0, self.to[at])
         end, n_end = self._back(self.lasts[state], self.size[state].astype(np.int64))
         counts[:, width] = n_end
@@ -678,6 +678,8 @@ _KEPT = Kept()
 
 
 def _encoder_of(ranks: Broadcast, key: str, pattern: str, share: float) -> Encoder:
+    if share < 1:  # for little memory: it ends with its task, as idle workers take turns
+        return Encoder(read_ranks(ranks.value), pattern, share)
     return _KEPT.get(("encoder", key, pattern, share), lambda: Encoder(read_ranks(ranks.value), pattern, share))
 
 

@@ -770,7 +770,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
     return docs.select(*rest, tokenizer.encode(F.col(text_col)).alias("token_ids")).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
-def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", share: float = 0.5) -> DataFrame:
+def round_trip_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", share: float = 0.25) -> DataFrame:
     """encode_documents, with round_trip: whether the ids decode to the text (null as the empty one). A worker remembers a share of what it does for encoding alone, as it stands beside what other stages have left."""
     tokenizer = Tokenizer(docs.sparkSession, ranks_path, pattern, share)
     rest = [c for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")]

@@ -79,3 +79,17 @@ def test_admission_as_a_stream_that_restarts(spark, tmp_path):
             told.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination(120)
     got = {r["i"]: (r["admitted"], r["delay_seconds"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == plain_admission(micros(rows), 5, 100, 60)
+
+
+def test_admission_moves_each_row_once(spark):
+    """Where more is asked for than goes through, what a call gets depends on all before it; rows move by group once all the same, and reservations that never end in the data aren't kept one by one."""
+    rows = [(i, "ab"[i % 2], datetime.datetime(2020, 1, 1) + datetime.timedelta(seconds=i // 3), 50) for i in range(4_000)]
+    done = limits.admission_state(spark.createDataFrame(rows, "i int, g string, t timestamp_ntz, n int").repartition(5), "t", F.col("n"), ["g"], 5, 100, 60, ["i"], 50)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = {r["i"]: (r["admitted"], r["delay_seconds"]) for r in done.collect()}
+    assert got == plain_admission(micros(rows), 5, 100, 60)
+    window = limits.LimitWindow(5, 100, 60_000_000, last=1_333_000_000)
+    for k in range(4_000):
+        window.call(k // 3 * 1_000_000, 50)
+    assert window.beyond > 3_800 and len(window.reserved) < 100

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from bisect import insort
 from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
-from weftgraph.operators.numbering import ranged_rows
-from weftgraph.plans.staging import materialize
-
-#: Rows of one key that a task decides upon at a time.
+#: Rows that a task decides upon at a time.
 PIECE_ROWS = 100_000
 
 
@@ -39,11 +38,12 @@ def admission(calls: DataFrame, time_col: str, tokens: Column, by: list[str], rp
 
 
 class LimitWindow:
-    """What counts against a limit: admitted calls of the last `span` microseconds, and reservations until their time. Calls come in order of time."""
+    """What counts against a limit: admitted calls of the last `span` microseconds, and reservations until their time. Calls come in order of time, none after `last`, if that is given: reservations beyond it are kept as a number and a sum."""
 
-    def __init__(self, rpm: int, tpm: int, span: int, admitted=(), reserved=()) -> None:
-        self.rpm, self.tpm, self.span = rpm, tpm, span
-        self.admitted, self.reserved = deque(admitted), deque(sorted(reserved))
+    def __init__(self, rpm: int, tpm: int, span: int, admitted=(), reserved=(), last: int | None = None) -> None:
+        self.rpm, self.tpm, self.span, self.last = rpm, tpm, span, last
+        self.admitted, self.reserved, self.beyond = deque(admitted), list(reserved), 0
+        heapify(self.reserved)
         self.tokens = sum(c for _, c in self.admitted) + sum(c for _, c in self.reserved)
 
     def call(self, at: int, cost: int) -> tuple[bool, float]:
@@ -51,18 +51,21 @@ class LimitWindow:
         while self.admitted and self.admitted[0][0] <= at - self.span:
             self.tokens -= self.admitted.popleft()[1]
         while self.reserved and self.reserved[0][0] <= at:
-            self.tokens -= self.reserved.popleft()[1]
-        if len(self.admitted) + len(self.reserved) < self.rpm and self.tokens + cost <= self.tpm:
+            self.tokens -= heappop(self.reserved)[1]
+        if len(self.admitted) + len(self.reserved) + self.beyond < self.rpm and self.tokens + cost <= self.tpm:
             self.admitted.append((at, cost))
             self.tokens += cost
             return True, 0.0
         wait = self.span * (self.tokens + cost) // self.tpm
-        insort(self.reserved, (at + wait, cost))
+        if self.last is not None and at + wait > self.last:
+            self.beyond += 1
+        else:
+            heappush(self.reserved, (at + wait, cost))
         self.tokens += cost
         return False, wait / 1e6
 
     def state(self) -> list[list[int]]:
-        return [[x for pair in part for x in pair] for part in (self.admitted, self.reserved)]
+        return [[x for pair in part for x in pair] for part in (self.admitted, sorted(self.reserved))]
 
 
 def _pairs(flat) -> list[tuple[int, int]]:
@@ -74,56 +77,33 @@ def admission_state(calls: DataFrame, time_col: str, tokens: Column, by: list[st
     """calls with admitted and delay_seconds, of a limit for each group that keeps state: a call is admitted if the calls admitted within the last `seconds` seconds and the open reservations are fewer than rpm, and their tokens with its own at
     most tpm. One that isn't reserves its tokens until delay_seconds later: the window over the token limit times the tokens in use and its own.
 
-    Calls of equal time are taken in `order`, then as their other columns are ordered. Those without a time count nothing and are null; tokens are not negative, null ones are 0. Spark sorts by ranges, so a group of any size is cut into pieces of at most piece_rows
-    rows. A piece needs the state that the one before leaves: all begin with what the last round found, from nothing on, until no piece begins otherwise. A window's calls forget what came before them, so few rounds are needed, and any
-    number gives the right end, as each round settles one more piece of every group.
+    Calls of equal time are taken in `order`, then as their other columns are ordered. Those without a time count nothing and are null; tokens are not negative, null ones are 0. What a call gets depends on all calls of its group before it, and
+    where more is asked for than the limit lets through, reservations pile up and nothing is ever forgotten. So rows move once: Spark sorts each group by time, and they stream through a task, at most piece_rows at a time. The task holds
+    the admitted calls of a window (fewer than rpm) and the reservations that end before the group's last call.
     """
     span, names = seconds * 1_000_000, calls.columns
     timed = calls.withColumns({"__t": F.unix_micros(F.col(time_col).cast("timestamp")), "__cost": F.coalesce(tokens.cast("long"), F.lit(0))}).filter("__t is not null")
-    keyed = timed.withColumn("__key", F.to_json(F.struct(*by)))
-    placed = ranged_rows(keyed, ["__key", "__t", *(order or [c for c in names if calls.schema[c].dataType.typeName() not in ("map", "variant")])])
-    placed = placed.withColumn("__piece", F.floor(F.col("__at") / piece_rows).cast("long")).drop("__start")
-    small = placed.select("__key", "__part", "__piece", "__at", "__t", "__cost")
-    place = ["__key", "__part", "__piece"]
-    # for each piece the one before it of the same group
-    pieces = materialize(small.select(*place).distinct(), "pieces")
-    before = Window.partitionBy("__key").orderBy("__part", "__piece")
-    chain = materialize(pieces.withColumns({"__prev_part": F.lag("__part").over(before), "__prev_piece": F.lag("__piece").over(before)}), "chain")
-    empty = F.array().cast("array<long>")
-    starts = chain.select(*place, empty.alias("__admitted"), empty.alias("__reserved"))
-
-    def run(rows: pd.DataFrame, start: pd.DataFrame) -> tuple[LimitWindow, list[tuple[bool, float]], pd.DataFrame]:
-        first = start.iloc[0]
-        window = LimitWindow(rpm, tpm, span, _pairs(first["__admitted"]), _pairs(first["__reserved"]))
-        rows = rows.sort_values("__at")
-        return window, [window.call(t, c) for t, c in zip(rows["__t"].tolist(), rows["__cost"].tolist(), strict=True)], rows
-
-    def ends(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        window, _, rows = run(rows, start)
-        admitted, reserved = window.state()
-        return pd.DataFrame({"__key": [start["__key"].iloc[0]], "__part": [rows["__part"].iloc[0]], "__piece": [rows["__piece"].iloc[0]], "__admitted": [admitted], "__reserved": [reserved]})
-
-    def told(rows: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        _, answers, rows = run(rows, start)
-        return pd.DataFrame({"__part": rows["__part"], "__at": rows["__at"], "admitted": [a for a, _ in answers], "delay_seconds": [d for _, d in answers]})
-
-    state = "__key string, __part int, __piece long, __admitted array<long>, __reserved array<long>"
-    after, moved = None, chain.select(*place)
-    while True:
-        # only pieces that begin otherwise than in the last round are run again
-        mine = small.join(moved, place, "left_semi")
-        found = materialize(mine.groupBy(*place).cogroup(starts.join(moved, place, "left_semi").groupBy(*place)).applyInPandas(ends, state), "ends")
-        after = found if after is None else materialize(after.join(moved, place, "left_anti").unionByName(found), "all-ends")
-        left = after.select("__key", F.col("__part").alias("__prev_part"), F.col("__piece").alias("__prev_piece"), "__admitted", "__reserved")
-        new = chain.join(left, ["__key", "__prev_part", "__prev_piece"], "left").select(*place, *[F.coalesce(c, empty).alias(c) for c in ("__admitted", "__reserved")])
-        new = materialize(new, "starts")
-        old = starts.select(*place, F.col("__admitted").alias("__a"), F.col("__reserved").alias("__r"))
-        moved = materialize(new.join(old, place).filter("not (__admitted <=> __a and __reserved <=> __r)").select(*place), "moved")
-        starts = new
-        if moved.isEmpty():
-            break
-    answers = small.groupBy(*place).cogroup(starts.groupBy(*place)).applyInPandas(told, "__part int, __at long, admitted boolean, delay_seconds double")
-    done = placed.join(answers, ["__part", "__at"]).select(*names, "admitted", "delay_seconds")
+    # no reservation beyond the last call of all can end
+    last = timed.agg(F.max("__t").alias("last")).first()["last"]
+    told = StructType([*[calls.schema[c] for c in names], *StructType.fromDDL("admitted boolean, delay_seconds double").fields])
+    ties = order or [c for c in names if calls.schema[c].dataType.typeName() not in ("map", "variant")]
+    ordered = timed.repartition(*by).sortWithinPartitions(*by, "__t", *ties).withColumn("__key", F.to_json(F.struct(*by)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, window = None, None
+        for whole in batches:
+            for first in range(0, whole.num_rows, piece_rows):
+                batch = whole.slice(first, piece_rows)
+                admitted, delays = [], []
+                for key, at, cost in zip(*[batch.column(c).to_pylist() for c in ("__key", "__t", "__cost")], strict=True):
+                    if key != group:
+                        group, window = key, LimitWindow(rpm, tpm, span, last=last)
+                    ok, delay = window.call(at, cost)
+                    admitted.append(ok)
+                    delays.append(delay)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(admitted, pa.bool_()), pa.array(delays, pa.float64())], told.names)
+
+    done = ordered.mapInArrow(run, told)
     untimed = calls.filter(F.col(time_col).isNull())
     return done.unionByName(untimed.withColumns({"admitted": F.lit(None).cast("boolean"), "delay_seconds": F.lit(None).cast("double")}))
 

@@ -36,8 +36,11 @@ def with_hashes(triples: DataFrame) -> DataFrame:
 
 
 def _distinct(objects: DataFrame) -> DataFrame:
-    """One row for each hash. Where a hash stands for several names, the least name and description."""
-    return objects.groupBy("hash").agg(F.min("name").alias("name"), F.min("description").alias("description"))
+    """One row for each hash. Where a hash stands for several names, the least name and description. Repeats go first, by hashing in each task: a minimum of strings is found by sorting, which would be of all rows."""
+    # a plain distinct() would be left out by Spark, as a minimum doesn't need it; so the repeats are counted
+    once = objects.groupBy("hash", "name", "description").agg(F.count(F.lit(1)).alias("__n"))
+    least = lambda c: F.min(F.when(F.col("__n") > 0, F.col(c))).alias(c)
+    return once.groupBy("hash").agg(least("name"), least("description"))
 
 
 def entities(triples: DataFrame) -> DataFrame:

@@ -9,13 +9,20 @@ from weftgraph.functions.text import edge_type, label
 from weftgraph.schemas import REFERENCES
 
 
+def with_reference(rows: DataFrame, refs: DataFrame, side: str) -> DataFrame:
+    """rows with the reference of one side (from_entity, to_entity, relationship_type) by its hash, null where refs (hash, reference) has none."""
+    mapped = refs.filter(F.coalesce("reference", F.lit(0)) != 0).select(F.col("hash").alias(f"{side}_hash"), F.col("reference").alias(f"{side}_reference"))
+    return rows.join(mapped, f"{side}_hash", "left")
+
+
 def link_references(triples: DataFrame, entity_refs: DataFrame, type_refs: DataFrame) -> DataFrame:
-    """triples with the three references, null where a hash has none. Refs have hash and reference. Spark broadcasts them while they are below its threshold, and joins by hash beyond."""
+    """triples with the three references, null where a hash has none. Refs have hash and reference. Spark broadcasts them while they are below its threshold, and joins by hash beyond. A side that has its reference already, as it was
+    looked up for the table that the triples were made of (with_reference), is left as it is."""
     out = triples
-    for refs, side in ((entity_refs, "from_entity"), (entity_refs, "to_entity"), (type_refs, "relationship_type")):
-        mapped = refs.filter(F.coalesce("reference", F.lit(0)) != 0).select(F.col("hash").alias(f"{side}_hash"), F.col("reference").alias(f"{side}_reference"))
-        out = out.join(mapped, f"{side}_hash", "left")
-    return out.select(*triples.columns, *REFERENCES)
+    for refs, side in ((type_refs, "relationship_type"), (entity_refs, "from_entity"), (entity_refs, "to_entity")):
+        if f"{side}_reference" not in triples.columns:
+            out = with_reference(out, refs, side)
+    return out.select(*[c for c in triples.columns if c not in REFERENCES], *REFERENCES)
 
 
 def complete(linked: DataFrame) -> DataFrame:

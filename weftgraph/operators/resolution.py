@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from weftgraph.operators.components import connected_components
 
 
-def merge_verdicts(pairs: DataFrame, verdicts: DataFrame, keys: tuple[str, ...] = ("batch_no", "pair_id")) -> DataFrame:
-    """pairs with are_same, updated_name and updated_description of a verifier's answers; verdicts on unknown pairs are ignored, pairs without one are not the same."""
+def merge_verdicts(pairs: DataFrame, verdicts: DataFrame | None = None, keys: tuple[str, ...] = ("batch_no", "pair_id")) -> DataFrame:
+    """pairs with are_same, updated_name and updated_description of a verifier's answers; verdicts on unknown pairs are ignored, pairs without one are not the same. Without verdicts, pairs have these columns already, null where an answer is
+    missing: a verifier that is asked where pairs are made needs no join of all pairs with all answers."""
+    if verdicts is None:
+        return pairs.withColumn("are_same", F.coalesce("are_same", F.lit(False)))
     said = verdicts.dropDuplicates(list(keys)).select(*keys, "are_same", "updated_name", "updated_description")
     return pairs.join(said, list(keys), "left").withColumn("are_same", F.coalesce("are_same", F.lit(False)))
 

@@ -6,72 +6,82 @@ the data: all but neighbours where objects stand in groups, few where they stand
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from weftgraph.operators import vector_index
 from weftgraph.operators.cells import CELL_ROWS, cell_table, make_cells, near_cell_pairs, unit_rows
 from weftgraph.plans.staging import materialize
 
-BLOCK_ROWS = 4_096
+#: Rows of a block. A row is sent to a task for each block that its own may have pairs with, so blocks are large; a task makes SLICE_CELLS products at a time.
+BLOCK_ROWS, SLICE_CELLS = 16_384, 1 << 22
 THRESHOLD, EPSILON, CANDIDATES = 0.4, 0.05, 1
 
 
-def _ids(rows: pd.DataFrame, kind: str) -> np.ndarray:
-    return rows["id"].to_numpy(object if kind == "string" else None)
-
-
-def _column(ids: np.ndarray, kind: str) -> pd.Series:
-    """Ids as Spark takes them back: strings as objects."""
-    return pd.Series(ids, dtype=object if kind == "string" else None)
-
-
 def _usable(objects: DataFrame, ident: str, vector: str) -> DataFrame:
     return objects.filter(F.size(vector) > 0).select(F.col(ident).alias("id"), F.col(vector).alias("v"))
 
 
-def self_pairs(objects: DataFrame, threshold: float = THRESHOLD, ident: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, epsilon: float | None = None) -> DataFrame:
-    """src, dst, similarity for all ordered pairs of different objects with a cosine of at least the threshold. Objects without a vector have no pairs.
+def self_pairs(objects: DataFrame, threshold: float = THRESHOLD, ident: str = "id", vector: str = "embedding", block_rows: int = BLOCK_ROWS, epsilon: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst, similarity for all ordered pairs of different objects with a cosine of at least the threshold. Objects without a vector have no pairs. Columns to carry come from both, as src_x and dst_x: pairs may be very many, so what is
+    asked of their ends shouldn't be joined to them.
 
     Blocks are cells of near objects; two of them meet only where their bounds leave room for a pair. With epsilon, only pairs within epsilon of the best that src has in the same two blocks: a superset of what near_top() keeps, and
-    all that it needs.
+    all that it needs. Products are made of a few rows at a time, and pairs leave a task as they are found.
     """
-    dealt, kind = block_pairs(objects, threshold, ident, vector, block_rows), objects.schema[ident].dataType.simpleString()
-
-    def pairs(df: pd.DataFrame) -> pd.DataFrame:
-        i, j = df["i"].iloc[0], df["j"].iloc[0]
-        a, b = df[df["block"] == i], df[df["block"] == j]
-        sims = unit_rows(a["v"]) @ unit_rows(b["v"]).T if len(a) and len(b) else np.zeros((len(a), len(b)))
-        if i == j:
-            np.fill_diagonal(sims, -1)
-
-        def enough(axis: int) -> tuple[np.ndarray, np.ndarray]:
-            least = threshold if epsilon is None else np.maximum(threshold, sims.max(axis=axis, keepdims=True, initial=-1) - epsilon)
-            return np.nonzero(sims >= least)
-
-        x, y = enough(1)
-        left, right, s = _ids(a, kind)[x], _ids(b, kind)[y], sims[x, y]
-        if i != j:
-            x, y = enough(0)
-            left, right, s = np.r_[left, _ids(b, kind)[y]], np.r_[right, _ids(a, kind)[x]], np.r_[s, sims[x, y]]
-        return pd.DataFrame({"src": _column(left, kind), "dst": _column(right, kind), "similarity": s})
-
-    return dealt.groupBy("i", "j").applyInPandas(pairs, f"src {kind}, dst {kind}, similarity double")
-
-
-def block_pairs(objects: DataFrame, threshold: float, ident: str, vector: str, block_rows: int) -> DataFrame:
-    """i, j, block, id, v: the rows of each pair (i, j) of blocks that may hold a pair of objects at the threshold or above."""
-    rows = _usable(objects, ident, vector)
+    dealt, kind = block_pairs(objects, threshold, ident, vector, block_rows, carry), objects.schema[ident].dataType.simpleString()
+    made = StructType([*StructType.fromDDL(f"src {kind}, dst {kind}, similarity double").fields, *[StructField(f"{end}_{c}", objects.schema[c].dataType) for c in carry for end in ("src", "dst")]])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).combine_chunks()
+        i, j, block = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["block"].to_numpy()
+        a, b = rows.take(np.flatnonzero(block == i)), rows.take(np.flatnonzero(block == j))
+        if not len(a) or not len(b):
+            return
+        left, right = unit_rows(a["v"].to_pandas()), unit_rows(b["v"].to_pandas())
+        step = max(1, SLICE_CELLS // len(right))
+
+        def slices() -> Iterator[tuple[int, np.ndarray]]:
+            for at in range(0, len(left), step):
+                sims = left[at : at + step] @ right.T
+                if i == j:
+                    np.fill_diagonal(sims[:, at:], -1)
+                yield at, sims
+
+        def found(sims: np.ndarray, at: int, best: np.ndarray | None, swapped: bool) -> pa.RecordBatch:
+            x, y = np.nonzero(sims >= (threshold if best is None else np.maximum(threshold, best - epsilon)))
+            ends = (b.take(y), a.take(x + at)) if swapped else (a.take(x + at), b.take(y))
+            columns = [ends[0]["id"], ends[1]["id"], pa.chunked_array([pa.array(sims[x, y])]), *[end[c] for c in carry for end in ends]]
+            return pa.Table.from_arrays(columns, names=made.names).combine_chunks()
+
+        tops = None
+        if epsilon is not None and i != j:
+            tops = reduce(np.maximum, (sims.max(axis=0, keepdims=True) for _, sims in slices()))
+        for at, sims in slices():
+            yield from found(sims, at, None if epsilon is None else sims.max(axis=1, keepdims=True), False).to_batches()
+            if i != j:
+                yield from found(sims, at, tops, True).to_batches()
+
+    return dealt.groupBy("i", "j").applyInArrow(pairs, made)
+
+
+def block_pairs(objects: DataFrame, threshold: float, ident: str, vector: str, block_rows: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """i, j, block, id, v (and what to carry): the rows of each pair (i, j) of blocks that may hold a pair of objects at the threshold or above."""
+    rows = objects.filter(F.size(vector) > 0).select(F.col(ident).alias("id"), F.col(vector).alias("v"), *carry)
     n = rows.count()
     if n <= block_rows:
         zero = F.lit(0).cast("long")
-        return rows.select(zero.alias("i"), zero.alias("j"), zero.alias("block"), "id", "v")
+        return rows.select(zero.alias("i"), zero.alias("j"), zero.alias("block"), "id", "v", *carry)
     placed, centres = make_cells(rows, block_rows, n)
     pairs = materialize(near_cell_pairs(cell_table(placed), centres, threshold), "block-pairs")
     met = pairs.select("i", "j", F.col("i").alias("block")).unionByName(pairs.filter("i <> j").select("i", "j", F.col("j").alias("block")))
-    return placed.select(F.col("cell").alias("block"), "id", "v").join(met, "block").select("i", "j", "block", "id", "v")
+    return placed.select(F.col("cell").alias("block"), "id", "v", *carry).join(met, "block").select("i", "j", "block", "id", "v", *carry)
 
 
 def nearest(objects: DataFrame, registry: DataFrame, threshold: float = THRESHOLD, k: int = CANDIDATES, ident: str = "id", ref: str = "id", vector: str = "embedding", block_rows: int = CELL_ROWS) -> DataFrame:

@@ -17,8 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator, Sequence
-from functools import partial
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache, cached_property, partial
 
 import ahocorasick
 import numpy as np
@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Kept, bound_batches
+from weftgraph.llm.common import Kept, bound_batches, give_back
 
 #: Pieces met more than once whose tokens a worker remembers, in each of two generations; pieces met once; states that the transducer may have.
 MEMO_PIECES, MEMO_MET = 150_000, 100_000
@@ -107,52 +107,75 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks = ranks
-        #: How tokens come about by merging, for those that do.
-        self._merges = {rank: done for t, rank in ranks.items() for parts, done in (merge_all(ranks, t),) if len(parts) == 1}
         self._bytes = {rank: t for t, rank in ranks.items()}
         self._lens = {rank: len(t) for t, rank in ranks.items()}
-        #: For each beginning of a token: 4 * rank + 2 if it is a token, + 1 if a longer one begins so.
-        self.kinds: dict[bytes, int] = {}
-        for rank in self._merges:
-            t = self._bytes[rank]
-            self.kinds[t] = self.kinds.get(t, 0) | 4 * rank | 2
-            for i in range(1, len(t)):
-                self.kinds[t[:i]] = self.kinds.get(t[:i], 0) | 1
-        tokens = ahocorasick.Automaton()
-        for rank in self._merges:
-            tokens.add_word(self._bytes[rank].decode("latin-1"), (rank, self._lens[rank]))
-        tokens.make_automaton()
-        self._ends = tokens.iter
+        #: How tokens come about by merging, for those that do: the merges of a rank are from _merge_at[rank] to _merge_at[rank + 1]; of each its rank, and the sizes of the parts then at either end.
+        self._merge_at, self._merge_rank, self._merge_begin, self._merge_end = array("I", (0,)), array("I"), array("I"), array("I")
+        self._merged = array("I")
+        for rank in range(max(ranks.values()) + 1):
+            parts, done = merge_all(ranks, self._bytes[rank]) if rank in self._bytes else ([], [])
+            if len(parts) == 1:
+                self._merged.append(rank)
+                self._merge_rank.extend(r for r, _, _ in done)
+                self._merge_begin.extend(len(first) for _, first, _ in done)
+                self._merge_end.extend(len(last) for _, _, last in done)
+            self._merge_at.append(len(self._merge_rank))
         self._goes: dict[int, bool] = {}
         # beginnings of tokens as nodes, for many pieces at once: node * 256 + byte -> node
-        nodes = {prefix: i for i, prefix in enumerate(self.kinds)}
-        edges = sorted((nodes[x[:-1]] * 256 + x[-1], i) for x, i in nodes.items() if len(x) > 1)
-        self._edges, self._to = np.array([e for e, _ in edges], np.int64), np.array([i for _, i in edges], np.int64)
-        self._token = np.array([kind >> 2 if kind & 2 else -1 for kind in self.kinds.values()], np.int64)
+        kinds = self._beginnings()
+        nodes = {prefix: i for i, prefix in enumerate(kinds)}
+        edges = np.fromiter((nodes[x[:-1]] * 256 + x[-1] if len(x) > 1 else -1 for x in kinds), np.int64, len(kinds))
+        self._to = np.argsort(edges)[int((edges < 0).sum()) :]
+        self._edges = edges[self._to]
+        kind = np.fromiter(kinds.values(), np.int64, len(kinds))
+        self._token, self._longer = np.where(kind & 2, kind >> 2, -1), (kind & 1).astype(bool)
         self._first = np.array([nodes[bytes((b,))] for b in range(256)], np.int64)
-        self._longer = np.array([kind & 1 for kind in self.kinds.values()], bool)
         self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self._sizes[list(self._lens)] = list(self._lens.values())
         self._pairs = _Pairs()
         self.start = _State(-1, b"", (), (0,))
         self.states = {(-1, b""): self.start}
 
+    def _beginnings(self) -> dict[bytes, int]:
+        """For each beginning of a token: 4 * rank + 2 if it is a token, + 1 if a longer one begins so."""
+        kinds: dict[bytes, int] = {}
+        for rank in self._merged:
+            t = self._bytes[rank]
+            kinds[t] = kinds.get(t, 0) | 4 * rank | 2
+            for i in range(1, len(t)):
+                kinds[t[:i]] = kinds.get(t[:i], 0) | 1
+        return kinds
+
+    @cached_property
+    def kinds(self) -> dict[bytes, int]:
+        """_beginnings(), made for the first piece that takes a state at a time."""
+        return self._beginnings()
+
+    @cached_property
+    def _ends(self) -> Callable[[str], Iterator[tuple[int, tuple[int, int]]]]:
+        """The tokens that end at each place, made for the first piece that is simulated."""
+        tokens = ahocorasick.Automaton()
+        for rank in self._merged:
+            tokens.add_word(self._bytes[rank].decode("latin-1"), (rank, self._lens[rank]))
+        tokens.make_automaton()
+        return tokens.iter
+
     def _apart(self, a: int, b: int) -> bool:
         """Whether tokens a and b side by side encode to themselves: no merge across their boundary ever comes first."""
-        left, right = self._merges[a], self._merges[b]
-        end, begin, i, j, never = self._bytes[a][-1:], self._bytes[b][:1], 0, 0, len(self.ranks) + 1
+        left, right, at, rank_of, never = self._bytes[a], self._bytes[b], self._merge_at, self._merge_rank, max(self._sizes.size, len(self.ranks)) + 1
+        end, begin, i, j, n, m = left[-1:], right[:1], at[a], at[b], at[a + 1], at[b + 1]
         while True:
             across = self.ranks.get(end + begin, never)
-            ours = left[i][0] if i < len(left) else never
-            theirs = right[j][0] if j < len(right) else never
+            ours = rank_of[i] if i < n else never
+            theirs = rank_of[j] if j < m else never
             if across < ours and across <= theirs:
                 return False
             if ours == theirs == never:
                 return True
             if ours <= theirs:
-                end, i = left[i][2], i + 1
+                end, i = left[-self._merge_end[i] :], i + 1
             else:
-                begin, j = right[j][1], j + 1
+                begin, j = right[: self._merge_begin[j]], j + 1
 
     def _fits(self, left: int, token: int) -> bool:
         if len(self._goes) >= MEMO_PAIRS:
@@ -457,6 +480,17 @@ SPACED_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|
 SIGNS = frozenset(".,;:!?)\"")
 
 
+@cache
+def _characters() -> tuple[frozenset[str], frozenset[str]]:
+    """White space, and the characters on which Python and the pattern differ about what a letter is; looked for in a few thousand characters at a time."""
+    white, doubtful = set(), set()
+    for a in range(0, 0x110000, 4_096):
+        some = "".join(map(chr, range(a, a + 4_096)))
+        white.update(regex.findall(r"\s", some))
+        doubtful |= set(regex.findall(r"\p{L}", some)) ^ {c for c in some if c.isalpha()}
+    return frozenset(white), frozenset(doubtful)
+
+
 class Encoder:
     """Texts to ids; each match of the pattern is encoded separately. Ids are little-endian unsigned 32-bit integers in bytes, as these join fast."""
 
@@ -468,10 +502,7 @@ class Encoder:
         self.states = 1 << int(share * MACHINE_STATES).bit_length() - 1  # a power of two
         self.find = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
-        every = "".join(map(chr, range(0x110000)))
-        self.white = frozenset(regex.findall(r"\s", every))
-        #: Characters on which Python and the pattern differ about what a letter is.
-        self.doubtful = frozenset(regex.findall(r"\p{L}", every)) ^ frozenset(c for c in every if c.isalpha())
+        self.white, self.doubtful = _characters()
         #: The ids of pieces. What follows a space goes without it, so that it is found as a word of a text; all other pieces have one more space before them.
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -687,8 +718,11 @@ def _decoder_of(ranks: Broadcast, key: str) -> StreamingDecoder:
     return _KEPT.get(("decoder", key), lambda: StreamingDecoder({v: k for k, v in read_ranks(ranks.value).items()}))
 
 
-def _done() -> None:
-    _KEPT.done()
+def _done(share: float = 1.0) -> None:
+    if share < 1:
+        give_back()
+    else:
+        _KEPT.done()
 
 
 class Tokenizer:
@@ -698,6 +732,7 @@ class Tokenizer:
         bound_batches(spark)
         with open(ranks_path, "rb") as f:
             data = f.read()
+        self.share = share
         shared, key = spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
         self.encoder, self.decoder = partial(_encoder_of, shared, key, pattern, share), partial(_decoder_of, shared, key)
 
@@ -748,17 +783,19 @@ class Tokenizer:
 
     def checked(self, text: Column) -> Column:
         """token_ids, and round_trip: whether they decode to the text, found in the worker that encodes it."""
-        encoder_of, decoder_of = self.encoder, self.decoder
+        encoder_of, share = self.encoder, self.share
 
         @F.pandas_udf("token_ids array<int>, round_trip boolean")
         def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            encoder, decoder = encoder_of(), decoder_of()
+            encoder = encoder_of()
+            decoder = StreamingDecoder(encoder.transducer._bytes)
             for texts in batches:
                 ids = [np.frombuffer(x, "<i4") for x in encoder.encode_all(texts)]
                 same = [decoder.feed(x.tolist()) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
                 yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "round_trip": same})
             encoder.forget()
-            _done()
+            del encoder, decoder
+            _done(share)
 
         return both(text)
 

@@ -8,12 +8,13 @@ import threading
 from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.plans.staging import materialize, scratch
 
-__all__ = ["Kept", "bound_batches", "hot_keys", "load", "materialize", "n_words", "partitions", "scratch", "small_batches"]
+__all__ = ["Kept", "bound_batches", "give_back", "hot_keys", "load", "materialize", "n_words", "partitions", "scratch", "small_batches"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +56,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def give_back() -> None:
+    """What a task held goes back to the machine, as its worker may lie idle beside others."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)  # where the C library can
+    except (AttributeError, OSError):
+        pass
+
+
 class Kept:
     """What a Python worker has made and may need for its next task, by key. It goes when no task has asked for `seconds` after the last one was done: a worker lies idle, or serves other stages, beside others that need the memory."""
 
@@ -85,8 +96,4 @@ class Kept:
         with self.lock:
             self.held.clear()
             self.timer = None
-        gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)  # back to the machine, where the C library can
-        except (AttributeError, OSError):
-            pass
+        give_back()

@@ -19,10 +19,13 @@ import hashlib
 from array import array
 from collections.abc import Callable, Iterator, Sequence
 from functools import cache, cached_property, partial
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,8 +38,8 @@ MEMO_PIECES, MEMO_MET = 150_000, 100_000
 MEMO_STATES = 20_000
 #: Pairs of tokens of which a worker remembers whether they stay apart, one by one and (a power of two, twice as many as there may be) for many pieces at once.
 MEMO_PAIRS, PAIR_SLOTS = 20_000, 1 << 20
-#: Bytes of the longest piece that is read with others, and characters of texts whose new pieces are; states of the machine that reads them, and pieces that go through it together.
-LONG_PIECE, BATCH_CHARS = 32, 1_000_000
+#: Bytes of the longest piece that is read with others, and characters of texts whose words are told apart together; states of the machine that reads them, and pieces that go through it together.
+LONG_PIECE, BATCH_CHARS = 32, 8_000_000
 MACHINE_STATES, MACHINE_PIECES = 1 << 17, 8_192
 
 
@@ -92,14 +95,19 @@ class _Pairs:
             slots[open_] = (slots[open_] + 1) & (PAIR_SLOTS - 1)
         return fits, np.concatenate(unknown) if unknown else open_
 
-    def add(self, keys: np.ndarray, fits: list[bool]) -> None:
+    def add(self, keys: np.ndarray, fits: np.ndarray) -> None:
+        """Notes different pairs that aren't known; of more than there is room for, the first."""
         if self.held + len(keys) > PAIR_SLOTS // 2:
             self.keys[:], self.held = -1, 0
-        for key, slot, fit in zip(keys.tolist(), self._slots(keys).tolist(), fits, strict=True):
-            while self.keys[slot] >= 0:
-                slot = (slot + 1) & (PAIR_SLOTS - 1)
-            self.keys[slot], self.fits[slot] = key, fit
+        keys, fits = keys[: PAIR_SLOTS // 2], fits[: PAIR_SLOTS // 2]
         self.held += len(keys)
+        slots = self._slots(keys)
+        while len(keys):
+            free = self.keys[slots] < 0
+            self.keys[slots[free]] = keys[free]  # of two that want one place the later has it
+            won = self.keys[slots] == keys
+            self.fits[slots[won]] = fits[won]
+            keys, fits, slots = keys[~won], fits[~won], (slots[~won] + 1) & (PAIR_SLOTS - 1)
 
 
 class Transducer:
@@ -109,7 +117,7 @@ class Transducer:
         self.ranks = ranks
         self._bytes = {rank: t for t, rank in ranks.items()}
         self._lens = {rank: len(t) for t, rank in ranks.items()}
-        #: How tokens come about by merging, for those that do: the merges of a rank are from _merge_at[rank] to _merge_at[rank + 1]; of each its rank, and the sizes of the parts then at either end.
+        #: How tokens come about by merging, for those that do: the merges of a rank are from _merge_at[rank] to _merge_at[rank + 1]; of each its rank, and the tokens then at either end.
         self._merge_at, self._merge_rank, self._merge_begin, self._merge_end = array("I", (0,)), array("I"), array("I"), array("I")
         self._merged = array("I")
         for rank in range(max(ranks.values()) + 1):
@@ -117,8 +125,8 @@ class Transducer:
             if len(parts) == 1:
                 self._merged.append(rank)
                 self._merge_rank.extend(r for r, _, _ in done)
-                self._merge_begin.extend(len(first) for _, first, _ in done)
-                self._merge_end.extend(len(last) for _, _, last in done)
+                self._merge_begin.extend(ranks[first] for _, first, _ in done)
+                self._merge_end.extend(ranks[last] for _, _, last in done)
             self._merge_at.append(len(self._merge_rank))
         self._goes: dict[int, bool] = {}
         # beginnings of tokens as nodes, for many pieces at once: node * 256 + byte -> node
@@ -133,6 +141,15 @@ class Transducer:
         self._sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         self._sizes[list(self._lens)] = list(self._lens.values())
         self._pairs = _Pairs()
+        # what two tokens make together: left << 20 | right -> rank, sorted; and, as arrays, what _apart reads
+        made = {ranks[t[:k]] << 20 | ranks[t[k:]]: rank for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+        self._joins = np.fromiter(made, np.int64, len(made))
+        order = np.argsort(self._joins)
+        self._joins, self._joined = self._joins[order], np.fromiter(made.values(), np.int64, len(made))[order].astype(np.int32)
+        single = np.array([ranks[bytes((b,))] for b in range(256)], np.int32)
+        self._ends_in, self._begins_with = np.zeros(len(self._sizes), np.int32), np.zeros(len(self._sizes), np.int32)
+        known = np.fromiter(ranks.values(), np.int64, len(ranks))
+        self._ends_in[known], self._begins_with[known] = single[[t[-1] for t in ranks]], single[[t[0] for t in ranks]]
         self.start = _State(-1, b"", (), (0,))
         self.states = {(-1, b""): self.start}
 
@@ -173,9 +190,33 @@ class Transducer:
             if ours == theirs == never:
                 return True
             if ours <= theirs:
-                end, i = left[-self._merge_end[i] :], i + 1
+                end, i = self._bytes[self._merge_end[i]], i + 1
             else:
-                begin, j = right[: self._merge_begin[j]], j + 1
+                begin, j = self._bytes[self._merge_begin[j]], j + 1
+
+    def _apart_all(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_apart() of many pairs together."""
+        at, never = np.frombuffer(self._merge_at, np.uint32), max(self._sizes.size, len(self.ranks)) + 1
+        rank_of, ends, begins = (np.frombuffer(x, np.uint32) for x in (self._merge_rank, self._merge_end, self._merge_begin))
+        fits, rows, last, most = np.ones(len(a), bool), np.arange(len(a)), len(rank_of) - 1, len(self._joins) - 1
+        if last < 0:
+            return fits
+        i, n, j, m = (at[x].astype(np.int64) for x in (a, a + 1, b, b + 1))
+        end, begin = self._ends_in[a].astype(np.int64), self._begins_with[b].astype(np.int64)
+        while len(rows):
+            both = end << 20 | begin
+            found = np.minimum(np.searchsorted(self._joins, both), most)
+            across = np.where(self._joins[found] == both, self._joined[found], never)
+            mine, theirs = np.minimum(i, last), np.minimum(j, last)
+            ours_next, theirs_next = np.where(i < n, rank_of[mine], never), np.where(j < m, rank_of[theirs], never)
+            bad = (across < ours_next) & (across <= theirs_next)
+            fits[rows[bad]] = False
+            left = ours_next <= theirs_next
+            end, begin = np.where(left, ends[mine], end), np.where(left, begin, begins[theirs])
+            i, j = i + left, j + ~left
+            go = ~bad & (np.minimum(ours_next, theirs_next) < never)
+            rows, i, n, j, m, end, begin = (x[go] for x in (rows, i, n, j, m, end, begin))
+        return fits
 
     def _fits(self, left: int, token: int) -> bool:
         if len(self._goes) >= MEMO_PAIRS:
@@ -271,9 +312,9 @@ class Transducer:
         fits, unknown = self._pairs.find(keys)
         if len(unknown):
             new, at = np.unique(keys[unknown], return_inverse=True)
-            told = [self._apart(k >> 20, k & 0xFFFFF) for k in new.tolist()]
+            told = self._apart_all(new >> 20, new & 0xFFFFF)
             self._pairs.add(new, told)
-            fits[unknown] = np.array(told, bool)[at]
+            fits[unknown] = told[at]
         return fits
 
     def encode(self, piece: bytes) -> list[int]:
@@ -431,10 +472,11 @@ class Machine:
         """The ids, as bytes, of pieces of 1 to LONG_PIECE bytes."""
         out: list[bytes] = [b""] * len(pieces)
         order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
-        for a in range(0, len(order), MACHINE_PIECES):
-            if len(self.states) > self.most * 7 // 8 or self.held > self.most * 7 // 4:
+        many = min(MACHINE_PIECES, max(1, self.most // 16))
+        for a in range(0, len(order), many):
+            if len(self.states) > self.most * 3 // 4 or self.held > self.most * 3 // 2:
                 self._clear()
-            self._encode(pieces, order[a : a + MACHINE_PIECES], out)
+            self._encode(pieces, order[a : a + many], out)
         return out
 
     def _encode(self, pieces: list[bytes], mine: list[int], out: list[bytes]) -> None:
@@ -499,6 +541,7 @@ class Encoder:
         self.machine: Machine | None = None
         #: What is remembered at most; a smaller share takes more time and less memory, with the same ids.
         self.most_pieces, self.most_met = (max(1, int(share * n)) for n in (MEMO_PIECES, MEMO_MET))
+        self.chars = int(share * BATCH_CHARS)
         self.states = 1 << int(share * MACHINE_STATES).bit_length() - 1  # a power of two
         self.find = regex.compile(pattern).findall
         self.spaced = pattern == SPACED_PATTERN
@@ -508,56 +551,19 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.met: dict[str, bytes] = {}
 
-    def _piece(self, key: str) -> bytes:
-        """The ids of a piece, by its key in the memo."""
-        ids = self._known(key)
-        if ids is None:
-            data = key[1:].encode() if key[0] == " " else b" " + key.encode()
-            whole = self.transducer.ranks.get(data)  # a piece that is a token stays whole even if merges don't lead to it
-            ids = array("I", (whole,) if whole is not None else self.transducer.encode(data)).tobytes()
-            self._remember(key, ids)
-        return ids
-
-    def _remember(self, key: str, ids: bytes) -> None:
-        """Notes a piece that is met for the first time."""
-        if len(self.met) >= self.most_met:
-            self.met.clear()
-        self.met[key] = ids
-
-    def _known(self, key: str) -> bytes | None:
-        """The ids of a piece that was met once, or long ago; from now on it is in the memo."""
-        ids = self.met.pop(key, None)
-        if ids is None:
-            ids = self.older.get(key)
-        if ids is not None:
-            if len(self.memo) >= self.most_pieces:
-                self.memo, self.older = {}, self.memo
-            self.memo[key] = ids
-        return ids
-
-    def _matches(self, text: str) -> bytes:
-        out = []
-        for piece in self.find(text):
-            key = piece[1:] if piece[0] == " " and piece[-1] not in self.white else " " + piece
-            ids = self.memo.get(key)
-            out.append(self._piece(key) if ids is None else ids)
-        return b"".join(out)
-
-    def _word(self, word: str) -> bytes:
-        """What follows a space, up to the next one. Letters are one piece; most other words are letters and a sign."""
-        if word.isalpha() and self.doubtful.isdisjoint(word):
-            return self._piece(word)
-        stem, sign = word[:-1], word[-1]
-        if sign in SIGNS and stem.isalpha() and self.doubtful.isdisjoint(stem):
-            known, end = self.memo.get(stem), self.memo.get(" " + sign)
-            return (self._piece(stem) if known is None else known) + (self._piece(" " + sign) if end is None else end)
-        if word[-1] in self.white or " " in word:
-            return self._matches(" " + word)
-        ids = self._known(word)
-        if ids is None:
-            ids = self._matches(" " + word)
-            self._remember(word, ids)
-        return ids
+    def _matches(self, text: str) -> list[str]:
+        """The keys of a text's pieces."""
+        white = self.white
+        return [piece[1:] if piece[0] == " " and piece[-1] not in white else " " + piece for piece in self.find(text)]
+
+    def _word(self, word: str) -> list[str]:
+        """The keys of what follows a space, up to the next one. Letters are one piece; most other words are letters and a sign."""
+        if word.isalpha() and (word.isascii() or self.doubtful.isdisjoint(word)):
+            return [word]
+        stem = word[:-1]
+        if stem.isalpha() and word[-1] in SIGNS and (stem.isascii() or self.doubtful.isdisjoint(stem)):
+            return [stem, " " + word[-1]]
+        return self._matches(" " + word)
 
     def _grouped(self, words: list[str]) -> list[str]:
         """words joined again where white space is next to the space between them."""
@@ -570,66 +576,140 @@ class Encoder:
                 out.append(word)
         return out
 
-    def _new_pieces(self, words: set[str]) -> None:
-        """Notes the pieces of words that no memo has."""
-        keys: set[str] = set()
-        for word in words:
-            if word.isalpha() and self.doubtful.isdisjoint(word):
-                keys.add(word)
-            elif word and word[-1] in SIGNS and (stem := word[:-1]).isalpha() and self.doubtful.isdisjoint(stem):
-                keys.add(stem)
-            elif word not in self.met and word not in self.older:
-                keys.update(piece[1:] if piece[0] == " " and piece[-1] not in self.white else " " + piece for piece in self.find(" " + word))
-        pieces: dict[str, bytes] = {}
+    def _pieces(self, keys: set[str]) -> dict[str, bytes]:
+        """The ids of pieces by their keys; the new ones are found together."""
+        found: dict[str, bytes] = {}
+        new: dict[str, bytes] = {}
+        first: dict[str, bytes] = {}
+        transducer, met = self.transducer, self.met
         for key in keys:
-            if key in self.memo or key in self.met or key in self.older:
+            ids = self.memo.get(key)
+            if ids is None:
+                ids = met.pop(key, None)
+                if ids is None:
+                    ids = self.older.get(key)
+                if ids is not None:  # met once, or long ago: in the memo from now on
+                    if len(self.memo) >= self.most_pieces:
+                        self.memo, self.older = {}, self.memo
+                    self.memo[key] = ids
+            if ids is not None:
+                found[key] = ids
                 continue
             data = key[1:].encode() if key[0] == " " else b" " + key.encode()
-            if 1 < len(data) <= LONG_PIECE and data not in self.transducer.ranks:
-                pieces[key] = data
-        if len(self.met) + len(pieces) > self.most_met:
+            whole = transducer.ranks.get(data)  # a piece that is a token stays whole even if merges don't lead to it
+            if whole is not None:
+                first[key] = array("I", (whole,)).tobytes()
+            elif 1 < len(data) <= LONG_PIECE:
+                new[key] = data
+            else:
+                first[key] = array("I", transducer.encode(data)).tobytes()
+        if new:
+            if self.machine is None:
+                self.machine = Machine(transducer, self.states)
+            first.update(zip(new, self.machine.encode(list(new.values())), strict=True))
+        # noted as met for the first time
+        if len(self.met) + len(first) > self.most_met:
             self.met.clear()
-        if self.machine is None:
-            self.machine = Machine(self.transducer, self.states)
-        self.met.update(zip(pieces, self.machine.encode(list(pieces.values())), strict=True))
+        self.met.update(islice(first.items(), self.most_met))
+        found.update(first)
+        return found
 
     def encode_all(self, texts: Sequence[str | None]) -> list[bytes]:
-        """The ids of each text; the new pieces of many texts are found together."""
+        """The ids of each text; words of many texts are told apart together, and their new pieces are found together."""
         out: list[bytes] = []
-        part: list[str | None] = []
+        part: list[str] = []
         size = 0
-        for text in (*texts, None):
-            part.append(text)
-            size += len(text or "")
-            if size > BATCH_CHARS or len(out) + len(part) > len(texts):
-                if self.spaced:
-                    known = self.memo
-                    self._new_pieces({w for t in part if t for w in t.split(" ") if w not in known})
-                out += map(self.encode_bytes, part)
+        for text in texts:
+            part.append(text or "")
+            size += len(part[-1])
+            if size > self.chars:
+                out += self._encode_part(part)
                 part, size = [], 0
-        return out[: len(texts)]
+        return out + self._encode_part(part)
+
+    def _encode_part(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        if not self.spaced:
+            keys = [self._matches(text) if text else [] for text in texts]
+            found = self._pieces(set(chain.from_iterable(keys)))
+            return [b"".join([found[key] for key in mine]) for mine in keys]
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        told = words.flatten().dictionary_encode()
+        names, codes, at = told.dictionary.to_pylist(), told.indices.to_numpy(), words.offsets.to_numpy().tolist()
+        white, memo = self.white, self.memo
+        # the ids of each different word, or the keys of its pieces; words that are remembered have no white space at their ends
+        ids: list[bytes | None] = list(map(memo.get, names))
+        plain = pc.ascii_is_alpha(told.dictionary).to_pylist()
+        single = {i: names[i] for i, known in enumerate(ids) if known is None and plain[i]}
+        keys: dict[int, list[str]] = {}
+        odd = np.zeros(len(names), bool)
+        for i in [i for i, known in enumerate(ids) if known is None and not plain[i]]:
+            word = names[i]
+            if not word or word[0] in white or word[-1] in white:
+                odd[i] = True
+            else:
+                keys[i] = self._word(word)
+        # a text's first word follows no space, and white space next to a space is read with it
+        numbers: dict[str, int] = {}
+        rows: list[np.ndarray] = []
+        for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+            first, row = names[codes[a]], codes[a + 1 : b]
+            if b > a + 1 and (not first or first[-1] in white or odd[row].any()):
+                first, *rest = self._grouped(text.split(" "))
+                numbers = numbers or {name: i for i, name in enumerate(names)}
+                for word in rest:
+                    if (i := numbers.setdefault(word, len(ids))) == len(ids):
+                        ids.append(None)
+                    if ids[i] is None and i not in keys and i not in single:
+                        keys[i] = self._word(word)
+                row = np.array([numbers[word] for word in rest], np.int64)
+            keys[len(ids)] = self._matches(first)
+            rows += [np.array([len(ids)]), row]
+            ids.append(None)
+        found = self._pieces({*single.values(), *chain.from_iterable(keys.values())})
+        for i, key in single.items():
+            ids[i] = found[key]
+        for i, mine in keys.items():
+            ids[i] = b"".join([found[key] for key in mine])
+        done = [x or b"" for x in ids]
+        sizes = np.fromiter(map(len, done), np.int64, len(done)) // 4
+        every, begins = np.frombuffer(b"".join(done), "<u4"), np.cumsum(sizes) - sizes
+        out: list[bytes] = []
+        for k in range(0, len(rows), 1_000):
+            some = rows[k : k + 1_000]
+            codes = np.concatenate(some)
+            many = sizes[codes]
+            upto = np.cumsum(many)
+            data = every[np.repeat(begins[codes] - (upto - many), many) + np.arange(int(upto[-1]))].tobytes()
+            cuts = [0, *(4 * upto[np.cumsum([len(a) + len(b) for a, b in zip(some[::2], some[1::2], strict=True)]) - 1]).tolist()]
+            out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
+
+    def encode_series(self, batches: Iterator[pd.Series]) -> Iterator[tuple[pd.Series, list[bytes]]]:
+        """Batches of texts with their ids; as many batches go together as their characters allow."""
+        held: list[pd.Series] = []
+        size = 0
+
+        def done() -> Iterator[tuple[pd.Series, list[bytes]]]:
+            ids = iter(self.encode_all([text for texts in held for text in texts]))
+            for texts in held:
+                yield texts, list(islice(ids, len(texts)))
+
+        for texts in batches:
+            held.append(texts)
+            size += sum(len(text) for text in texts if text)
+            if size > self.chars:
+                yield from done()
+                held, size = [], 0
+        yield from done()
 
     def forget(self) -> None:
         """Gives the pieces and the machine's tables back, as a worker may lie idle beside others."""
         self.memo, self.older, self.met, self.machine = {}, {}, {}, None
 
     def encode_bytes(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.spaced:
-            return self._matches(text)
-        words = text.split(" ")
-        first, rest = words[0], words[1:]
-        out = list(map(self.memo.get, rest))
-        unknown = [i for i, ids in enumerate(out) if ids is None] if None in out else []
-        white = self.white
-        if not first or first[-1] in white or any(not (w := rest[i]) or w[0] in white or w[-1] in white for i in unknown):
-            # words that are remembered have no white space at their ends
-            first, *rest = self._grouped(words)
-            return self._matches(first) + b"".join([self._word(w) for w in rest])
-        for i in unknown:
-            out[i] = self._word(rest[i])
-        return self._matches(first) + b"".join(out)
+        return self.encode_all([text])[0]
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
@@ -654,7 +734,8 @@ class StreamingDecoder:
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
         self.tokens = tokens
-        self.ready: dict[int, str] = {}  # tokens that lead from state 0 to state 0
+        self.whole = np.full(max(tokens, default=-1) + 1, None, object)  # the texts of tokens that lead from state 0 to state 0, as far as they are known
+        self.known = np.zeros(len(self.whole), bool)
         self.state, self.pending = 0, b""
 
     def _bytes(self, data: bytes) -> str:
@@ -676,23 +757,30 @@ class StreamingDecoder:
                 self.pending = b""
         return "".join(out)
 
-    def feed(self, ids: Sequence[int]) -> str:
-        ready = self.ready
-        if self.state == 0:
-            texts = list(map(ready.get, ids))
-            if None not in texts:
-                return "".join(texts)
-        out = []
-        for i in ids:
-            if self.state == 0:
-                text = ready.get(i)
-                if text is None:
-                    text = self._bytes(self.tokens[i])
-                    if self.state == 0 and "�" not in text:
-                        ready[i] = text
-                out.append(text)
-            else:
-                out.append(self._bytes(self.tokens[i]))
+    def feed(self, ids: Sequence[int] | np.ndarray) -> str:
+        out, at, ids = [], 0, np.asarray(ids, np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.whole)):
+            raise KeyError(int(ids[(ids < 0) | (ids >= len(self.whole))][0]))
+        texts = self.whole[ids].tolist()
+        stops = np.flatnonzero(~self.known[ids]).tolist() if len(ids) else []
+        for stop in stops:
+            if stop > at:
+                # tokens that lead from state 0 to state 0, unless a character is open: then one by one until it is done
+                while self.state and at < stop:
+                    out.append(self._bytes(self.tokens[int(ids[at])]))
+                    at += 1
+                out += texts[at:stop]
+            i = int(ids[stop])
+            closed = self.state == 0
+            text = self._bytes(self.tokens[i])
+            if closed and self.state == 0 and "\ufffd" not in text:
+                self.whole[i], self.known[i] = text, True
+            out.append(text)
+            at = stop + 1
+        while self.state and at < len(texts):
+            out.append(self._bytes(self.tokens[int(ids[at])]))
+            at += 1
+        out += texts[at:]
         return "".join(out)
 
     def finish(self) -> str:
@@ -743,9 +831,8 @@ class Tokenizer:
         @F.pandas_udf("array<int>")
         def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encoder = own()
-            for texts in batches:
-                yield pd.Series([np.frombuffer(ids, "<i4") for ids in encoder.encode_all(texts)], dtype=object)
-            encoder.forget()
+            for _, found in encoder.encode_series(batches):
+                yield pd.Series([np.frombuffer(ids, "<i4") for ids in found], dtype=object)
             _done()
 
         return encoded(text)
@@ -758,7 +845,7 @@ class Tokenizer:
         def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             decoder = own()
             for column in batches:
-                yield pd.Series([decoder.feed(x.tolist() if x is not None else ()) + decoder.finish() for x in column], dtype=object)
+                yield pd.Series([decoder.feed(x if x is not None else ()) + decoder.finish() for x in column], dtype=object)
             _done()
 
         return decoded(ids)
@@ -769,14 +856,13 @@ class Tokenizer:
 
         @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
         def digested(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            encoder, decoder = encoder_of(), decoder_of()
-            for texts in batches:
+            encoder, decoder = encoder_of(), decoder_of()  # with what they remember from the worker's last task, unless that is long ago
+            for _, found in encoder.encode_series(batches):
                 rows = []
-                for ids in encoder.encode_all(texts):
-                    back = decoder.feed(np.frombuffer(ids, "<u4").tolist()) + decoder.finish()
+                for ids in found:
+                    back = decoder.feed(np.frombuffer(ids, "<u4")) + decoder.finish()
                     rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
                 yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-            encoder.forget()
             _done()
 
         return digested(text)
@@ -789,9 +875,9 @@ class Tokenizer:
         def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             encoder = encoder_of()
             decoder = StreamingDecoder(encoder.transducer._bytes)
-            for texts in batches:
-                ids = [np.frombuffer(x, "<i4") for x in encoder.encode_all(texts)]
-                same = [decoder.feed(x.tolist()) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
+            for texts, found in encoder.encode_series(batches):
+                ids = [np.frombuffer(x, "<i4") for x in found]
+                same = [decoder.feed(x) + decoder.finish() == (t or "") for x, t in zip(ids, texts, strict=True)]
                 yield pd.DataFrame({"token_ids": pd.Series(ids, dtype=object), "round_trip": same})
             encoder.forget()
             del encoder, decoder

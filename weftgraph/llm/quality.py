@@ -244,17 +244,21 @@ class _Said:
         return out
 
 
+def _packed(texts: pd.Series) -> pd.Series:
+    pack = zstandard.ZstdCompressor(level=3)
+    return texts.map(lambda t: pack.compress(t.encode("utf-8", "surrogatepass")))
+
+
 def _squeeze():
     @F.pandas_udf("binary")
     def squeeze(texts: pd.Series) -> pd.Series:
-        pack = zstandard.ZstdCompressor(level=3)
-        return texts.map(lambda t: pack.compress(t.encode("utf-8", "surrogatepass")))
+        return _packed(texts)
 
     return squeeze
 
 
-def _maybe_in(ids: DataFrame, ident: Column):
-    """A filter of bounded size: a condition that holds for all rows with an id of `ids`, and for few others as long as these are at most an eighth of FILTER_BITS."""
+def _filter_of(ids: DataFrame):
+    """A filter of bounded size: a bit for each id of `ids`, broadcast, and how many bits there are."""
     spark = ids.sparkSession
     bits = min(FILTER_BITS, max(1 << 15, 1 << max(0, 16 * ids.count() - 1).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1  # Spark counts bits from 1 on
@@ -263,7 +267,12 @@ def _maybe_in(ids: DataFrame, ident: Column):
     table = np.zeros(bits // 8, np.uint8)
     for r in rows:
         table[(r["bucket"] - 1) * 4_096 : r["bucket"] * 4_096] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(table)
+    return spark.sparkContext.broadcast(table), bits
+
+
+def _maybe_in(ids: DataFrame, ident: Column):
+    """A condition that holds for all rows with an id of `ids`, and for few others as long as these are at most an eighth of FILTER_BITS."""
+    shared, bits = _filter_of(ids)
 
     @F.pandas_udf("boolean")
     def held(at: pd.Series) -> pd.Series:
@@ -273,6 +282,22 @@ def _maybe_in(ids: DataFrame, ident: Column):
     return held(F.pmod(F.xxhash64(ident), F.lit(bits)))
 
 
+def _squeezed_if_in(ids: DataFrame, ident: Column, text: Column) -> Column:
+    """The compressed texts of rows of which _maybe_in() holds, null for the rest. One function, as two in a stage take two Python workers for each task."""
+    shared, bits = _filter_of(ids)
+
+    @F.pandas_udf("binary")
+    def squeezed(at: pd.Series, texts: pd.Series) -> pd.Series:
+        p = at.to_numpy(np.int64)
+        held = (shared.value[p >> 3] >> (p & 7) & 1).astype(bool)
+        out = np.full(len(texts), None, object)
+        out[held] = _packed(texts[held])
+        return pd.Series(out)
+
+    # else Spark would work it out a second time for a filter on its result
+    return squeezed.asNondeterministic()(F.pmod(F.xxhash64(ident), F.lit(bits)), text)
+
+
 def train(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Languages with a model of their own (lang, mine), and the models of these and of POOLED, from the documents whose id is in trusted, but for one in KEPT_BACK."""
     bound_batches(docs.sparkSession)
@@ -284,7 +309,7 @@ def _train(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang
     good = materialize(trusted.select(F.col(id_col).alias("id")).filter("id is not null").distinct(), "trusted")
     rows = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("__id"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("__text"))
     # compressed texts move to their labels, at every size: ids of trusted documents are as many as the corpus makes them
-    likely = rows.filter(F.col("__id").isNotNull()).filter(_maybe_in(good, F.col("__id"))).select("__id", "lang", _squeeze()("__text").alias("packed"))
+    likely = rows.filter(F.col("__id").isNotNull()).select("__id", "lang", _squeezed_if_in(good, F.col("__id"), F.col("__text")).alias("packed")).filter("packed is not null")
     ours = likely.join(good.hint("merge"), F.col("__id") == F.col("id"), "left_semi")
     per_lang = rows.select("__id", "lang").join(good, F.col("__id") == F.col("id"), "left_semi").groupBy("lang").count()
     langs = materialize(per_lang.filter(F.col("count") >= LEAST_TRUSTED).orderBy(F.desc("count"), "lang").limit(MOST_LANGS).select("lang", F.lit(True).alias("mine")), "langs", keep=True)

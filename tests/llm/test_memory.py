@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tests.llm.test_texts import PATH
-from weftgraph.llm import byte_bpe, quality
+from weftgraph.llm import byte_bpe, passages, quality, substring_dedup
 
 
 def test_an_encoder_is_small_and_made_without_much_more():
@@ -76,3 +76,14 @@ def test_texts_for_the_model_take_one_python_worker_a_task(spark):
     assert done._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     got = {r["id"]: zstandard.ZstdDecompressor().decompress(bytes(r["packed"])).decode() for r in done.collect()}
     assert {i for i in range(3_000) if i % 100 == 7} <= set(got) and len(got) < 300 and all(got[i] == f"text {i}" for i in got)
+
+
+def test_texts_are_cut_once_if_a_filter_follows(spark):
+    """A filter on the texts that are left was pushed below, and they were cut for it as well, in a second Python worker of each task."""
+    line = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"{line} a"), (2, f"b {line} c")], "doc_id long, text string")
+    for left in (substring_dedup.dedup_units(docs), passages.drop_passages(docs)):
+        kept = left.filter(F.col("text").rlike(r"\S"))
+        kept.collect()
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("== Initial Plan ==")[0].count("ArrowEvalPython") == 1

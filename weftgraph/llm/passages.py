@@ -179,5 +179,6 @@ def drop_passages(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     joined = docs.withColumn("__p", F.xxhash64(text)).join(gone, ident.eqNullSafe(F.col("__id")) & (F.col("__p") == F.col("__print")), "left")
     # only texts that lose words go to Python
     loses = F.col("__gone").isNotNull()
-    cut = F.when(loses, rest(F.when(loses, text), F.col("__gone"))).otherwise(text)
+    # else Spark would work it out a second time, in one more Python worker a task, for a filter on the texts
+    cut = F.when(loses, rest.asNondeterministic()(F.when(loses, text), F.col("__gone"))).otherwise(text)
     return joined.select(*(cut.alias(c) if c == text_col else F.col(c) for c in docs.columns))

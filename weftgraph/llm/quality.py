@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import bound_batches, materialize, partitions, scratch
+from weftgraph.llm.common import bound_batches, give_back, materialize, partitions, scratch
 
 ORDER = 5
 #: Bits of a symbol. Code points below EXACT stand for themselves (Latin, Greek, Cyrillic, Hebrew, Arabic), others for one of as many classes by a hash; 0 is what is before a text.
@@ -126,6 +126,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if sum(len(c.done[0]) + c.held for c in counts.values()) > HELD_GRAMS:
             yield from flush()
     yield from flush()
+    give_back()
 
 
 def _tail(code: Column, n: int) -> Column:

@@ -73,9 +73,9 @@ def dedup_units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS,
             done = [_without(t, set(g.tolist()), sep) if t is not None else (None, []) for t, g in zip(text_batch, gone_batch, strict=True)]
             yield pd.DataFrame({"rest": [x for x, _ in done], "spans": [[{"start": a, "end": b} for a, b in y] for _, y in done]})
 
-    # only texts that lose units go to Python
+    # only texts that lose units go to Python; without asNondeterministic() they would go twice if a filter on what is left follows
     loses = F.col("__gone").isNotNull()
-    parted = joined.select(*kept, "__gone", units_of.alias("n_units"), cut(F.when(loses, text), F.coalesce("__gone", F.array().cast("array<bigint>"))).alias("__cut"))
+    parted = joined.select(*kept, "__gone", units_of.alias("n_units"), cut.asNondeterministic()(F.when(loses, text), F.coalesce("__gone", F.array().cast("array<bigint>"))).alias("__cut"))
     spans = F.when(loses, F.col("__cut.spans")).otherwise(F.array().cast(SPANS))
     others = [F.col(c) if c != text_col else F.when(loses, F.col("__cut.rest")).otherwise(text).alias(text_col) for c in kept]
     return parted.select(*others, "n_units", F.size(spans).alias("n_removed"), spans.alias("removed_spans"))
